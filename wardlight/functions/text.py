@@ -50,9 +50,11 @@ def before(text: Column, start: Column) -> Column:
 
 
 def split_lines(text: Column, pattern: str = LINE_BREAK) -> Column:
-    """Lines of a text; a final terminator opens no further line."""
-    parts = F.split(text, pattern, -1)
-    return F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    """Lines of a non-empty text; a final terminator opens no further line."""
+    body = F.when(
+        F.right(text, F.lit(1)).rlike(pattern), F.regexp_replace(text, f"(?:{pattern})\\z", "")
+    ).otherwise(text)
+    return F.split(body, pattern, -1)
 
 
 def last(array: Column) -> Column:

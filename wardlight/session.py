@@ -28,6 +28,7 @@ def local_session(cores: int | str = "*", app: str = "wardlight", **extra: str)
         **RECOMMENDED,
         "spark.sql.shuffle.partitions": "8" if cores == "*" else str(cores),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         **extra,
     }

@@ -78,36 +78,31 @@ def decode(files: DataFrame) -> DataFrame:
     the file as text and the body decodes strictly. Bytes that are not UTF-8
     are still read, with replacement characters, and reported as lossy.
     """
-    content = F.col("content")
-    zero = F.expr("position(x'00', substring(content, 1, %d)) > 0" % vocab.BINARY_PROBE_BYTES)
+    content, raw = F.col("content"), F.col("content").cast("string")
     head = F.hex(F.substring(content, F.lit(1), F.lit(4)))
     charset = (
         F.when(head.startswith("FFFE0000") | head.startswith("0000FEFF"), F.lit("UTF-32"))
         .when(head.startswith("FFFE") | head.startswith("FEFF"), F.lit("UTF-16"))
     )
-    declared = F.when(charset == "UTF-32", _strict(content, "UTF-32")).when(
-        charset == "UTF-16", _strict(content, "UTF-16")
+    zero = F.expr(f"position(x'00', substring(content, 1, {vocab.BINARY_PROBE_BYTES})) > 0")
+    refused = F.when(~admitted_by_name(F.col("path")), F.lit("not_scannable")).when(
+        F.col("length") > vocab.MAX_FILE_SIZE, F.lit("too_large")
     )
-    raw = content.cast("string")
-    reason = (
-        F.when(~admitted_by_name(F.col("path")), F.lit("not_scannable"))
-        .when(F.col("length") > vocab.MAX_FILE_SIZE, F.lit("too_large"))
-        .when(zero & declared.isNull(), F.lit("binary"))
+    declared = F.when(F.col("_charset") == "UTF-32", _strict(content, "UTF-32")).when(
+        F.col("_charset") == "UTF-16", _strict(content, "UTF-16")
     )
     return (
-        files.withColumn("skip_reason", reason)
-        .withColumn("_zero", F.col("skip_reason").isNull() & zero)
+        files.withColumn("_refused", refused)
+        .withColumn("_charset", F.when(F.col("_refused").isNull() & zero, F.coalesce(charset, F.lit("none"))))
+        .withColumn("_declared", declared)
         .withColumn(
-            "text",
-            F.when(F.col("skip_reason").isNotNull(), F.lit(None).cast("string"))
-            .when(F.col("_zero"), declared)
-            .otherwise(F.make_valid_utf8(raw)),
+            "skip_reason",
+            F.coalesce("_refused", F.when(F.col("_charset").isNotNull() & F.col("_declared").isNull(), F.lit("binary"))),
         )
-        .withColumn(
-            "lossy",
-            F.col("skip_reason").isNull() & ~F.col("_zero") & ~F.is_valid_utf8(raw),
-        )
-        .drop("_zero", "content")
+        .withColumn("_plain", F.col("skip_reason").isNull() & F.col("_charset").isNull())
+        .withColumn("text", F.when(F.col("_plain"), F.make_valid_utf8(raw)).otherwise(F.col("_declared")))
+        .withColumn("lossy", F.when(F.col("_plain"), ~F.is_valid_utf8(raw)).otherwise(F.lit(False)))
+        .drop("_refused", "_charset", "_declared", "_plain", "content")
     )
 
 
@@ -174,9 +169,22 @@ def documents_of(decoded: DataFrame) -> DataFrame:
 def explode_lines(docs: DataFrame, pattern: str = tx.LINE_BREAK) -> DataFrame:
     """One row per line with its 1-based number; every other column is kept."""
     kept = [c for c in docs.columns if c != "text"]
-    return docs.select(*kept, F.posexplode(tx.split_lines(F.col("text"), pattern)).alias("_pos", "text")).select(
-        *kept, (F.col("_pos") + 1).alias("line"), "text"
-    )
+    parts = F.posexplode(tx.split_lines(F.col("text"), pattern)).alias("_pos", "text")
+    return docs.where("text <> ''").select(*kept, parts).select(*kept, (F.col("_pos") + 1).alias("line"), "text")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when the input is small.
+
+    A table of a few files, each one row group, is read by as many tasks. As
+    long as the input is below one split per core, moving it once is cheap.
+    Larger inputs bring enough splits of their own and are left alone.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if size < cores * split else df
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
