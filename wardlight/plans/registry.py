@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["q_rules", "q_scoring"]
+MODULES = ["q_rules", "q_scoring", "q_steps"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
