@@ -176,12 +176,17 @@ def path_graph(spark: SparkSession, folder: str) -> DataFrame:
     asset = F.when(obj < 5, named("SECRET:o", obj)).otherwise(named("DATA:o", obj))
     mate = F.floor(block / TEAM) * TEAM + user % TEAM
     handoff = (kind == "signup") & (user % 10 == 0)
+
+    def link(source, target, kind: str):
+        return F.struct(source.alias("source"), target.alias("target"), F.lit(kind).alias("type"))
+
+    action = F.concat(F.lit("ACTION:"), F.get(F.array(*[F.lit(v) for v in VERBS]), (user % 4).cast("int")))
     edge = (
-        F.when(kind.isin("view", "click"), F.struct(skill.alias("source"), asset.alias("target"), F.lit("READS").alias("type")))
-        .when(kind == "error", F.struct(asset, named("DATA:o", out), F.lit("FLOWS_TO")))
-        .when(kind == "purchase", F.struct(asset, F.concat(F.lit("ENDPOINT:https://h"), (user % 7).cast("string")), F.lit("SENDS_TO")))
-        .when(handoff, F.struct(skill, named("SKILL:c", mate), F.lit("HANDOFF")))
-        .otherwise(F.struct(skill, F.concat(F.lit("ACTION:"), F.get(F.array(*[F.lit(v) for v in VERBS]), (user % 4).cast("int"))), F.lit("EXECUTES")))
+        F.when(kind.isin("view", "click"), link(skill, asset, "READS"))
+        .when(kind == "error", link(asset, named("DATA:o", out), "FLOWS_TO"))
+        .when(kind == "purchase", link(asset, named("ENDPOINT:https://h", user % 7), "SENDS_TO"))
+        .when(handoff, link(skill, named("SKILL:c", mate), "HANDOFF"))
+        .otherwise(link(skill, action, "EXECUTES"))
     )
     severity = F.when(F.col("value") > 60, F.lit("CRITICAL")).when(F.col("value") > 30, F.lit("HIGH")).when(F.col("value") > 10, F.lit("MEDIUM"))
     confidence = F.when(n % 3 == 0, F.lit("HIGH")).when(n % 3 == 1, F.lit("LOW"))
