@@ -404,9 +404,9 @@ def judge_lines(lines: DataFrame, rules: Sequence[LineRule] | None = None) -> Da
     return hits.withColumn("found", use["found"]).where(use["keep"]).drop("_start", "_pre", "_suf")
 
 
-def with_catalog(hits: DataFrame) -> DataFrame:
+def with_catalog(hits: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Attach rule id, severity and wording; the table is a constant, so the join is broadcast."""
-    table = rc.rule_table(hits.sparkSession)
+    table = rc.rule_table(hits.sparkSession) if table is None else table
     return (
         hits.join(F.broadcast(table), "rule")
         .withColumn("evidence", F.coalesce("found", "evidence"))
@@ -414,9 +414,9 @@ def with_catalog(hits: DataFrame) -> DataFrame:
     )
 
 
-def dress(judged: DataFrame) -> DataFrame:
+def dress(judged: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Judged lines with catalog columns and the source fragment to show."""
-    found = with_catalog(judged)
+    found = with_catalog(judged, table)
     shown = F.when(F.col("rule_id") == "AS-001", F.col("evidence")).otherwise(tx.strip(F.col("text")))
     return found.withColumn(
         "matched_text", F.coalesce(F.nullif(shown, F.lit("")), F.col("evidence"))

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["q_rules", "q_scoring", "q_steps", "q_graph", "q_documents"]
+MODULES = ["q_rules", "q_scoring", "q_steps", "q_graph", "q_documents", "q_reports"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
