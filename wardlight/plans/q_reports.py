@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight import vocab
+from wardlight.functions import text as tx
 from wardlight.operators import baseline as bl
 from wardlight.operators import enrich as en
 from wardlight.operators import evaluation as ev
@@ -17,17 +17,17 @@ from wardlight.operators import rule_catalog as rc
 from wardlight.operators import scoring as sc
 from wardlight.plans import carriers
 from wardlight.plans import scan as whole
-from wardlight.plans.carriers import DOCS_SQL, GRAPH_SQL, LINES_SQL
+from wardlight.plans.carriers import GRAPH_SQL, LINES_SQL
 from wardlight.plans.q_documents import COLLAPSE, PAYLOADS
-from wardlight.plans.q_graph import CLAMPED, PATHS, event_graph, event_paths
+from wardlight.plans.q_graph import PATHS, event_graph, event_paths
 from wardlight.plans.q_rules import FINDINGS_SQL, seeded_findings
 from wardlight.plans.q_scoring import LEVEL, MARKED_SQL, marked_findings, score_sql
 from wardlight.plans.q_steps import CHAINS_SQL, TRIPLE_SQL
-from wardlight.plans.sqltext import array, m, names, q
+from wardlight.plans.sqltext import m, q
 from wardlight.session import constant_table, cut
 from wardlight.sources import reports as rp
 from wardlight.sources import snapshots as sn
-from wardlight.sources.corpus import explode_lines, read_table, scan_files
+from wardlight.sources.corpus import admitted_by_name, base_name, read_table, scan_files
 from wardlight.streaming import arrivals as ar
 
 # ------------------------------------------------------------------- baseline
@@ -45,7 +45,7 @@ def _placed(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.concat(F.lit("/build/work/"), "path"))
     )
     said = F.when(n % 4 == 0, F.concat(F.lit("Contributing: "), place, F.lit(":"), F.col("line").cast("string"), F.lit(", /usr/lib/x.md and ../../up"))).otherwise(F.col("evidence"))
-    return found.withColumn("path", place).withColumn("evidence", said)
+    return found.withColumns({"path": place, "evidence": said})
 
 
 def locations(spark: SparkSession, folder: str) -> DataFrame:
@@ -324,8 +324,6 @@ def properties(spark: SparkSession, folder: str) -> DataFrame:
     """String-set normalisation over part words."""
     part = read_table(spark, folder, "part")
     words = F.concat(F.split("p_name", " "), F.split("p_type", " "), F.array(F.lit(" "), F.lit(" zeta "), F.lit("zeta")))
-    from wardlight.functions import text as tx
-
     return part.select("p_partkey", F.array_join(tx.clean_set(words), ",").alias("words"), F.array_join(ev.violated(words, F.split("p_name", " ")), ",").alias("missing"))
 
 
@@ -372,15 +370,15 @@ def own_rule(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("rule", "rule_id", "severity").agg(F.count("*").alias("n"))
 
 
-PATTERNS = [("P1", "ignore", r"\bignore\b.*\binstructions\b"), ("P2", "curl", r"\bcurl\b"), ("P3", "token", r"\btoken\w*"), ("P4", "read", r"^read\b"), ("P5", "de", r"\bde\b.*\bla\b")]
+PATTERNS = [("P1", "ignore", r"\bignore\b.*\binstructions\b"), ("P2", "curl", r"\bcurl\b"), ("P3", "token", r"\btoken\w*"), ("P4", "read", r"^read\b"), ("P5", "the", r"\bthe\b.*\bthe\b")]
 
 
 def pattern_table(limit: int):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         lines = carriers.seeded_lines(spark, folder).select("doc_id", "line", "text")
         table = constant_table(spark, ["pattern_id", "stem", "pattern"], PATTERNS)
-        words = [("tokens", r"\btoken\w*"), ]
-        table = table.unionByName(constant_table(spark, ["pattern_id", "stem", "pattern"], [("P3", w, p) for w, p in words])) if limit == 0 else table
+        if limit == 0:  # the joined form needs every word a match may contain
+            table = table.unionByName(constant_table(spark, ["pattern_id", "stem", "pattern"], [("P3", "tokens", r"\btoken\w*")]))
         return ex.match_pattern_table(lines, table, limit).select("doc_id", "line", "pattern_id").distinct()
 
     return run
@@ -425,8 +423,6 @@ def stream_new(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------------------------ all of it
 def corpus_listing(spark: SparkSession, folder: str) -> DataFrame:
     """The files of the given folder as a corpus: names and sizes, contents untouched."""
-    from wardlight.sources.corpus import admitted_by_name, base_name
-
     files = scan_files(spark, folder).where(base_name(F.col("path")).endswith(".parquet"))
     return files.select(base_name(F.col("path")).alias("name"), F.col("length").alias("size"), admitted_by_name(F.col("path")).alias("admitted"))
 
@@ -497,8 +493,7 @@ QUERIES = {
 # ------------------------------------------------------------------ SQL twins
 PLACED = f"""{FINDINGS_SQL}, abs_ AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN '/other/place/' || path WHEN 1 THEN '/build/work/./x/../' || path WHEN 2 THEN '<correlated>' ELSE '/build/work/' || path END AS p,
     CASE doc_id % 6 WHEN 0 THEN '<outside>/' || regexp_extract(path, '([^/]*)$', 1) WHEN 2 THEN '<correlated>' ELSE path END AS file FROM line_findings),
-recs AS (SELECT rule_id, file, line, CASE WHEN doc_id % 4 <> 0 THEN regexp_replace(evidence, '(^|[^\\w:/.~+-])/sh\\b', '\\1/sh') ELSE 'Contributing: ' || file || ':' || line || ', <outside>/x.md and <up>/<up>/up' END AS evidence, severity, doc_id FROM abs_)"""
-PLACED = PLACED.replace("<up>/<up>/up", "up")
+recs AS (SELECT rule_id, file, line, CASE WHEN doc_id % 4 <> 0 THEN regexp_replace(evidence, '(^|[^\\w:/.~+-])/sh\\b', '\\1/sh') ELSE 'Contributing: ' || replace(file, '<outside>/', '<outside><path>/') || ':' || line || ', <outside><path>/x.md and up' END AS evidence, severity, doc_id FROM abs_)"""
 ID = "'fnd-' || left(sha256(rule_id || chr(31) || file || chr(31) || coalesce(CAST(line AS VARCHAR), '') || chr(31) || evidence || chr(31) || severity), 12)"
 SIDES = """items AS (SELECT l_orderkey AS o, l_linenumber, 'R-' || l_returnflag AS rule_id, 'f' || (l_orderkey % 50) AS file, CASE WHEN l_linenumber > 5 THEN NULL ELSE l_linenumber END AS line,
     l_linestatus AS evidence, CASE WHEN l_quantity > 25 THEN 'HIGH' ELSE 'LOW' END AS severity FROM lineitem),
@@ -534,7 +529,7 @@ WORD_HITS = " UNION ".join(
 )
 G = f"WITH RECURSIVE {GRAPH_SQL}, {PATHS}"
 Z = "1.959963984540054"
-WHOLE = f"""{CHAINS_SQL}, {FINDINGS_SQL[FINDINGS_SQL.index('line_findings AS ('):].replace('line_findings AS (', 'raw_findings AS (', 1)}, {COLLAPSE[:COLLAPSE.rindex('SELECT doc_id, line, rule, matched_text')].rstrip().rstrip(',').replace(', f AS (', ', fhttp AS (', 1).replace('FROM f)', 'FROM fhttp)')},
+WHOLE = f"""{CHAINS_SQL}, {FINDINGS_SQL[FINDINGS_SQL.index('line_findings AS ('):].replace('line_findings AS (', 'raw_findings AS (', 1)}, {COLLAPSE[:COLLAPSE.rindex('SELECT doc_id, line, rule, matched_text')].rstrip().rstrip(',').replace('\nf AS (', '\nfhttp AS (', 1).replace('FROM f)', 'FROM fhttp)')},
 claims AS ({COLLAPSE[COLLAPSE.rindex('SELECT doc_id, line, rule, matched_text'):]}), {PAYLOADS},
 line_findings AS (SELECT doc_id, source, path, 0 AS phase, line, rule_order, rule, rule_id, severity FROM raw_findings WHERE rule <> 'http_client'
   UNION ALL SELECT c.doc_id, d.source, d.path, CASE c.rule WHEN 'http_client' THEN 0 ELSE 1 END, c.line, CASE c.rule WHEN 'http_client' THEN {rc.RULE_ORDER['http_client']} ELSE {rc.RULE_ORDER['session_request']} END, c.rule, 'AS-003', 'MEDIUM' FROM claims c JOIN docs d USING (doc_id)
@@ -602,4 +597,3 @@ ORACLES = {
         UNION ALL SELECT source, chain, CASE WHEN chain = 'AS-CHAIN-001' OR (bool_or(severity IN ('CRITICAL', 'HIGH') AND rule_id IN ('AS-003','AS-005')) AND bool_or(severity IN ('CRITICAL', 'HIGH') AND rule_id = 'AS-002')) THEN 'CRITICAL' ELSE 'HIGH' END FROM parts GROUP BY source, chain
         UNION ALL SELECT d.source, c.rule_id, 'CRITICAL' FROM chains c JOIN docs d USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.path = d.path AND p.chain = c.rule_id AND p.line BETWEEN c."first" AND c."last")) GROUP BY ALL""",
 }
-_ = (array, names, explode_lines, DOCS_SQL, CLAMPED, vocab)
