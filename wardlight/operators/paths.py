@@ -43,12 +43,10 @@ def flow_walks(flows: DataFrame, origins: DataFrame, limit: int = vocab.MAX_FLOW
     level is spread by its open ends; it is written out before the next one.
     """
     steps = flows.select("component", F.col("source").alias("last"), F.col("target").alias("to"), F.col("sev").alias("s"), F.col("conf").alias("c"))
-    steps = cut(steps)
     level = origins.select(
         "component", "origin", F.col("origin").alias("last"), F.array("origin").alias("walk"),
         F.lit(None).cast("int").alias("sev"), F.lit(None).cast("int").alias("conf"),
     ).distinct()
-    level = cut(level)
     walks = level
     for _ in range(limit):
         level = cut(
@@ -67,8 +65,8 @@ def flow_walks(flows: DataFrame, origins: DataFrame, limit: int = vocab.MAX_FLOW
 
 def _can_reach(flows: DataFrame, goals: DataFrame, limit: int) -> DataFrame:
     """Nodes (component, node) from which a goal is reachable; a set, so it stays linear."""
-    back = cut(flows.select("component", F.col("source").alias("node"), F.col("target").alias("to")))
-    known = cut(goals.select("component", "node").distinct())
+    back = flows.select("component", F.col("source").alias("node"), F.col("target").alias("to"))
+    known = goals.select("component", "node").distinct()
     fresh = known
     for _ in range(limit):
         fresh = cut(
@@ -104,10 +102,13 @@ def exfiltration_paths(edges: DataFrame, limit: int = vocab.MAX_FLOW_EDGES) -> D
 
     Walks are grown only along edges that can still end at a send.
     """
-    edges = cut(ranked_edges(edges.where("type IN ('READS', 'FLOWS_TO', 'SENDS_TO')")))
+    return _exfiltration(cut(ranked_edges(edges.where("type IN ('READS', 'FLOWS_TO', 'SENDS_TO')"))), limit)
+
+
+def _exfiltration(edges: DataFrame, limit: int = vocab.MAX_FLOW_EDGES) -> DataFrame:
     reads, flows, sends = read_origins(edges), _of_type(edges, "FLOWS_TO"), _of_type(edges, "SENDS_TO")
     useful = _can_reach(flows, sends.select("component", F.col("source").alias("node")), limit)
-    useful_flows = flows.join(useful.withColumnRenamed("node", "target"), ["component", "target"], "left_semi")
+    useful_flows = cut(flows.join(useful.withColumnRenamed("node", "target"), ["component", "target"], "left_semi"))
     origins = reads.select("component", F.col("target").alias("node")).distinct().join(useful, ["component", "node"], "left_semi")
     walks = flow_walks(useful_flows, origins.withColumnRenamed("node", "origin"), limit)
     start = reads.select("component", F.col("target").alias("origin"), F.col("source").alias("skill"), F.col("sev").alias("rs"), F.col("conf").alias("rc"))
@@ -132,7 +133,10 @@ def exfiltration_paths(edges: DataFrame, limit: int = vocab.MAX_FLOW_EDGES) -> D
 
 def correlation_paths(edges: DataFrame) -> DataFrame:
     """A skill that reads a secret and executes an action; the read is associated, not walked."""
-    edges = cut(ranked_edges(edges.where("type IN ('READS', 'EXECUTES')")))
+    return _correlation(ranked_edges(edges.where("type IN ('READS', 'EXECUTES')")))
+
+
+def _correlation(edges: DataFrame) -> DataFrame:
     secrets = read_origins(edges).where(kind_of(F.col("target")) == "SECRET").select(
         "component", F.col("source").alias("skill"), F.col("target").alias("secret"), F.col("sev").alias("s1"), F.col("conf").alias("c1")
     )
@@ -164,16 +168,18 @@ def handoff_paths(edges: DataFrame) -> DataFrame:
     cycle guard is part of the join condition, so a walk whose every successor
     was visited ends too.
     """
+    return _handoffs(ranked_edges(_of_type(edges, "HANDOFF")))
+
+
+def _handoffs(edges: DataFrame) -> DataFrame:
     hand = cut(
-        _of_type(edges, "HANDOFF")
-        .groupBy("source", "target")
-        .agg(F.max(tx.severity_rank(F.col("severity"))).alias("s"), F.max(tx.confidence_rank(F.col("confidence"))).alias("c"))
+        _of_type(edges, "HANDOFF").groupBy("source", "target").agg(F.max("sev").alias("s"), F.max("conf").alias("c"))
     )
     heads = hand.select("source").distinct().join(hand.select(F.col("target").alias("source")).distinct(), "source", "left_anti")
-    level = cut(heads.select(
+    level = heads.select(
         F.col("source").alias("last"), F.array("source").alias("nodes"),
         F.lit(MEDIUM).alias("sev"), F.lit(MEDIUM_CONF).alias("conf"),
-    ))
+    )
     ended = None
     while True:
         tried = cut(
@@ -331,12 +337,8 @@ def finalize(paths: DataFrame) -> DataFrame:
 
 def analyze(edges: DataFrame) -> DataFrame:
     """Every path of every component plus the hand-off walks of the merged graph."""
-    edges = cut(edges.select(*EDGE_KEY, "severity", "confidence"))
-    found = (
-        exfiltration_paths(edges)
-        .unionByName(correlation_paths(edges))
-        .unionByName(handoff_paths(edges).select(*PATH_COLUMNS), allowMissingColumns=False)
-    )
+    ranked = cut(ranked_edges(edges))
+    found = _exfiltration(ranked).unionByName(_correlation(ranked)).unionByName(_handoffs(ranked))
     return finalize(found.select(*PATH_COLUMNS))
 
 
