@@ -370,16 +370,19 @@ def breakpoints(paths: DataFrame) -> DataFrame:
 
 
 def edge_provenance(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """Components that really built each edge of a path: distinct rows."""
+    """Components that really built each edge of a path: distinct rows.
+
+    A local path is judged in its own component only, so the component is part
+    of the join key; an edge that many components share meets none of the
+    others. Only composed paths look over all components.
+    """
     owners = edges.where("component <> '<unknown>'").select("source", "target", "type", F.col("component").alias("owner")).distinct()
     on_path = path_edges(paths).join(paths.select("path_id", "is_composed", "component"), "path_id")
-    # a local path is judged in its own component, a composed one over all of them
-    return (
-        on_path.join(owners, ["source", "target", "type"])
-        .where("is_composed OR owner = component")
-        .select("path_id", "associated", "pos", "source", "target", "type", "owner")
-        .distinct()
-    )
+    key = ["source", "target", "type"]
+    shown = ["path_id", "associated", "pos", *key, "owner"]
+    local = on_path.where("NOT is_composed").withColumnRenamed("component", "owner").join(owners, [*key, "owner"], "left_semi")
+    composed = on_path.where("is_composed").join(owners, key)
+    return local.select(*shown).unionByName(composed.select(*shown)).distinct()
 
 
 def node_provenance(provenance: DataFrame) -> DataFrame:

@@ -170,11 +170,9 @@ def gate(findings: DataFrame, keys: Sequence[str], fail_on: str = "HIGH", only_n
 
 def record_index(ids: DataFrame, id_column: str, limit: int = vocab.MAX_LISTED_IDS) -> DataFrame:
     """The first ids in order and how many more there are (a top-k listing)."""
-    total = ids.agg(F.count("*").alias("total"))
-    # the count row joins the k listed rows; both sides are bounded
-    first = ids.select(id_column).orderBy(id_column).limit(limit)
-    return first.join(F.broadcast(total)).select(
-        id_column, "total", F.greatest(F.col("total") - limit, F.lit(0)).alias("not_shown")
+    total = ids.agg(F.count("*")).scalar()
+    return ids.select(id_column).orderBy(id_column).limit(limit).select(
+        id_column, total.alias("total"), F.greatest(total - limit, F.lit(0)).alias("not_shown")
     )
 
 

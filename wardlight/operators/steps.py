@@ -19,15 +19,18 @@ _CONTAINER = "|".join(vocab.CONTAINERS)
 
 
 def split_actions(lines: DataFrame) -> DataFrame:
-    """One row per action segment of a line, in order (``seg``, ``part``)."""
+    """One row per non-blank action segment of a line, in order (``seg``, ``part``)."""
     kept = [c for c in lines.columns if c != "text"]
-    pieces = F.split(F.col("text"), tx.UNICODE_FOLD + vocab.ACTION_SEPARATOR, -1)
-    part = tx.strip(tx.replace(tx.strip(F.col("part")), r"^(?:and\s+then|then)\s+", "", fold=True))
-    return (
-        lines.select(*kept, F.posexplode(pieces).alias("seg", "part"))
-        .withColumn("part", part)
-        .where("part <> ''")
-    )
+    text = F.col("text")
+
+    def clean(part: Column) -> Column:
+        return tx.strip(tx.replace(tx.strip(part), r"^(?:and\s+then|then)\s+", "", fold=True))
+
+    pieces = F.transform(F.split(text, tx.UNICODE_FOLD + vocab.ACTION_SEPARATOR, -1), clean)
+    # most lines hold no separator and are one segment
+    several = text.contains(";") | F.lower(text).contains("then")
+    parts = F.array_remove(F.when(several, pieces).otherwise(F.array(tx.strip(text))), "")
+    return lines.select(*kept, F.posexplode(parts).alias("seg", "part"))
 
 
 def category_of(part: Column) -> Column:
@@ -39,6 +42,15 @@ def category_of(part: Column) -> Column:
     return expr
 
 
+def classified(segments: DataFrame) -> DataFrame:
+    """Segments that are steps, with their ``category``.
+
+    The category is unfolded from an array: a filter on it would be pushed
+    below the projection and run the patterns twice.
+    """
+    return segments.select("*", F.explode(F.array_compact(F.array(category_of(F.col("part"))))).alias("category"))
+
+
 def normalize_object(phrase: Column) -> Column:
     """Lower case, plain characters, no leading modifiers, no trailing container words."""
     s = F.lower(tx.strip(phrase))
@@ -53,7 +65,9 @@ def actions(lines: DataFrame) -> DataFrame:
     """Structured actions: idx, line, category, verb, object, destination, output."""
     kept = [c for c in lines.columns if c not in ("text", "line")]
     part, rest = F.col("part"), F.col("_rest")
-    steps = split_actions(lines).withColumn("category", category_of(part)).where("category IS NOT NULL")
+    # a line without any step verb holds no step; a byte search answers that
+    able = lines.where(tx.any_contains(F.lower("text"), vocab.STEP_STEMS))
+    steps = classified(split_actions(able))
     verb = F.lower(F.regexp_extract(part, r"^\s*([A-Za-z]+)", 1))
     goal = tx.first_match(rest, r"\b(?:into|to)\s+(.+)$", 1, fold=True)
     return (
@@ -224,7 +238,7 @@ def find_source_sink(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
         .groupBy(*keys, F.col("object").alias("input"), F.col("output").alias("object"))
         .agg(F.min("idx").alias("step"))
     )
-    produced, derived = cut(produced), cut(derived)
+    derived = cut(derived)
     settled = produced.select(*keys, "object", "ready")
     frontier = settled
     while True:
@@ -242,7 +256,7 @@ def find_source_sink(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
         )
         if frontier.isEmpty():
             break
-        settled = cut(settled.unionByName(frontier).groupBy(*keys, "object").agg(F.min("ready").alias("ready")))
+        settled = settled.unionByName(frontier).groupBy(*keys, "object").agg(F.min("ready").alias("ready"))
     sinks = named.where("category = 'NETWORK' AND destination IS NOT NULL").select(*keys, "object", "idx", "line")
     first = cut(
         sinks.join(settled, [*keys, "object"])
@@ -264,7 +278,7 @@ def find_source_sink(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
         frontier = cut(step_back.join(visited, [*keys, "sink", "object"], "left_anti"))
         if frontier.isEmpty():
             break
-        visited = cut(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)
     start = (
         visited.join(produced, [*keys, "object"])
         .where("ready < sink")

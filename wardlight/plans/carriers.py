@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.session import constant_table
-from wardlight.sources.corpus import explode_lines, read_table, spread
+from wardlight.sources.corpus import explode_lines, read_table, read_texts
 
 # (file suffix, lines). Attacks and harmless look-alikes in about equal number.
 SNIPPETS: list[tuple[str, str]] = [
@@ -77,7 +77,7 @@ def seeded_documents(spark: SparkSession, folder: str) -> DataFrame:
     snippets = constant_table(
         spark, ["k", "ending", "body"], [(i, e, b) for i, (e, b) in enumerate(SNIPPETS)]
     )
-    docs = spread(read_table(spark, folder, "documents").select("doc_id", "source", "text"))
+    docs = read_texts(spark, folder, "documents", "doc_id", "source", "text")
     return (
         docs.join(F.broadcast(snippets), F.col("doc_id") % PERIOD == F.col("k"))
         .select(

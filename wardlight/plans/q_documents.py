@@ -15,7 +15,7 @@ from wardlight.plans import carriers
 from wardlight.plans.carriers import DOCS_SQL, LINES_SQL
 from wardlight.plans.q_rules import CALL, LIVE_OBJECT, OTHER, rule_select
 from wardlight.plans.sqltext import every, live, m, q
-from wardlight.sources.corpus import read_table
+from wardlight.sources.corpus import read_table, read_texts
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,7 +36,7 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
 
 def payload_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Every base64-like token of the raw documents and what it decodes to."""
-    docs = read_table(spark, folder, "documents")
+    docs = read_texts(spark, folder, "documents", "doc_id", "text")
     tokens = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(rc.BASE64_TOKEN), F.lit(0))).alias("token"))
     return tokens.select("doc_id", "token", dr._rot13(F.col("token")).alias("turned"), F.length(F.try_to_binary("token", F.lit("base64"))).alias("n_bytes"))
 

@@ -9,7 +9,7 @@ from wardlight.operators import line_rules as lr
 from wardlight.operators import rule_catalog as rc
 from wardlight.plans import carriers
 from wardlight.plans.carriers import LINES_SQL
-from wardlight.sources.corpus import explode_lines, read_table
+from wardlight.sources.corpus import explode_lines, read_texts
 from wardlight.plans.sqltext import (
     array, every, lead, live, m, plain_regex, q, quoted_mention, tail, vocabulary_row,
 )
@@ -208,7 +208,7 @@ def lines_of_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lines_of_pages(spark: SparkSession, folder: str) -> DataFrame:
-    pages = read_table(spark, folder, "pages").select("page_id", F.col("html").alias("text"))
+    pages = read_texts(spark, folder, "pages", "page_id", "html").select("page_id", F.col("html").alias("text"))
     return explode_lines(pages).groupBy("page_id").agg(
         F.count("*").alias("n_lines"), F.max("line").alias("last_line"), F.sum(F.length("text")).alias("n_chars")
     )
@@ -219,11 +219,11 @@ def plain_scan(kind: str):
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         if kind == "documents":
-            docs = read_table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+            docs = read_texts(spark, folder, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("id"), "text")
         elif kind == "pages":
-            docs = read_table(spark, folder, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("text"))
+            docs = read_texts(spark, folder, "pages", "page_id", "html").select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("text"))
         else:
-            docs = read_table(spark, folder, "conversations").select(
+            docs = read_texts(spark, folder, "conversations", "conv_id", "turn", "text").select(
                 F.concat_ws("/", "conv_id", "turn").alias("id"), "text"
             )
         return lr.line_findings(explode_lines(docs)).select("id", "line", "rule", "rule_id", "severity", "evidence")

@@ -12,7 +12,7 @@ from wardlight.operators import scoring as sc
 from wardlight.plans.q_rules import FINDINGS_SQL, seeded_findings
 from wardlight.plans.sqltext import names, q
 from wardlight.sources import corpus
-from wardlight.sources.corpus import read_table
+from wardlight.sources.corpus import read_table, read_texts
 
 # ------------------------------------------------------------------ file tree
 ENDINGS = [".md", ".py", ".png", ".json", ".txt", ".env", "", ".SH"]
@@ -34,7 +34,7 @@ def file_tree(spark: SparkSession, folder: str) -> DataFrame:
         .when(n % 9 == 4, F.concat(F.unhex(F.lit("FFFE0000")), F.unhex(F.regexp_replace(F.hex(F.encode("text", "UTF-32")), "(..)(..)(..)(..)", "$4$3$2$1"))))
         .otherwise(utf8)
     )
-    return read_table(spark, folder, "documents").select(
+    return read_texts(spark, folder, "documents", "doc_id", "source", "text", "n_chars").select(
         "doc_id",
         "source",
         F.concat(F.lit("tree/"), "source", F.lit("/"), place, F.lit("/d"), n.cast("string"), F.lit("/"), name).alias("path"),

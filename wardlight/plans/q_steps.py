@@ -31,7 +31,7 @@ def split_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 def step_categories(spark: SparkSession, folder: str) -> DataFrame:
     lines = carriers.seeded_lines(spark, folder).select("doc_id", "line", "text")
-    rows = st.split_actions(lines).withColumn("category", st.category_of(F.col("part"))).where("category IS NOT NULL")
+    rows = st.classified(st.split_actions(lines))
     return rows.groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
@@ -81,9 +81,9 @@ def _normal(expr: str) -> str:
 
 
 SEGMENTS_SQL = LINES_SQL + f""", pieces AS (
-  SELECT doc_id, source, path, line, CAST(i - 1 AS INTEGER) AS seg, trim(regexp_replace(trim(p[i]), '(?i)^(?:and\\s+then|then)\\s+', '')) AS part
+  SELECT doc_id, source, path, line, i, trim(regexp_replace(trim(p[i]), '(?i)^(?:and\\s+then|then)\\s+', '')) AS part
   FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM (SELECT *, string_split_regex(text, {q('(?i)' + vocab.ACTION_SEPARATOR)}) AS p FROM lines))),
-segments AS (SELECT * FROM pieces WHERE part <> ''),
+segments AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, line ORDER BY i) - 1 AS INTEGER) AS seg FROM pieces WHERE part <> ''),
 stepped AS (SELECT *, {_case(vocab.STEP_PATTERNS, 'part')} AS category FROM segments),
 spoken AS (SELECT *, lower(regexp_extract(part, '^\\s*([A-Za-z]+)', 1)) AS verb FROM stepped WHERE category IS NOT NULL),
 resting AS (SELECT *, trim(substr(part, length(verb) + 1)) AS rest FROM spoken),

@@ -189,3 +189,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def read_texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a text table, spread over all cores when the table is small."""
+    return spread(read_table(spark, folder, name).select(*columns))
