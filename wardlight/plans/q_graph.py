@@ -77,7 +77,7 @@ def _declared(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, D
     comps = (
         region.select(F.concat(F.lit(" AGENT:"), "r_name").alias("node_id"), F.lit("AGENT").alias("node_type"))
         .unionByName(supplier.select(F.concat(F.lit("TOOL:"), "s_name").alias("node_id"), F.when(F.col("s_suppkey") % 7 == 0, F.lit("DATA")).otherwise(F.lit("TOOL")).alias("node_type")))
-        .unionByName(nation.where("n_nationkey % 6 = 0").select(F.concat(F.lit("SKILL:"), "n_name").alias("node_id"), F.lit("AGENT").alias("node_type")))
+        .unionByName(nation.where("n_regionkey = 2").select(F.concat(F.lit("SKILL:"), "n_name").alias("node_id"), F.lit("AGENT").alias("node_type")))
     )
     rels = (
         nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
@@ -194,9 +194,10 @@ def explanations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def entry_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Entry components that exist as read files: every second component was read."""
+    """Entry components that exist as read files: those with a large purchase."""
     edges = event_graph(spark, folder)
-    files = edges.select("component").distinct().where("substring(component, -1) IN ('0', '2', '4', '6', '8')").select(F.col("component").alias("path"))
+    block = F.floor(F.col("event_id") / carriers.ACTIONS_PER_COMPONENT).cast("string")
+    files = read_table(spark, folder, "events").where("event_type = 'purchase' AND value > 60").select(F.concat(F.lit("c"), block).alias("path")).distinct()
     return pt.entry_files(pt.analyze(edges), files)
 
 
@@ -289,8 +290,8 @@ def contiguity(spark: SparkSession, folder: str) -> DataFrame:
 
 # ----------------------------------------------------------------- components
 def _context(spark: SparkSession, folder: str) -> DataFrame:
-    """Associations for the event graph: each behaviour edge belongs to its skill,
-    every third event also to a neighbouring tool that does not exist, and so on."""
+    """Associations for the event graph: each behaviour edge belongs to its skill;
+    others name components, types or edges that do not exist."""
     n = F.col("event_id")
     events = read_table(spark, folder, "events")
     rows = carriers.path_graph(spark, folder).where(F.col("type").isin(vocab.BEHAVIOUR_TYPES))
@@ -298,7 +299,7 @@ def _context(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("SKILL:"), "component").alias("component_id"), F.lit("SKILL").alias("component_type"),
         "source", F.col("type").alias("edge_type"), "target", F.lit("decl").alias("assoc_source"),
     ).distinct()
-    odd = events.where("event_id % 50 = 0").select(
+    odd = events.select(
         F.when(n % 100 == 0, F.lit("TOOL:absent")).otherwise(F.lit("SKILL:c0")).alias("component_id"),
         F.when(n % 150 == 0, F.lit("AGENT")).when(n % 250 == 0, F.lit("DATA")).otherwise(F.lit("SKILL")).alias("component_type"),
         F.lit("SKILL:c0").alias("source"), F.when(n % 200 == 0, F.lit("USES")).otherwise(F.lit("READS")).alias("edge_type"),
@@ -494,7 +495,7 @@ RESULTS = "results AS (SELECT policy_id, path_id, component, attack_type, attack
 CONTEXT = f"""context AS (SELECT DISTINCT 'SKILL:' || component AS component_id, 'SKILL' AS component_type, source, type AS edge_type, target, 'decl' AS assoc_source FROM graph
     WHERE type IN ('READS', 'WRITES', 'SENDS_TO', 'EXECUTES', 'PRODUCES', 'FLOWS_TO')
   UNION ALL SELECT DISTINCT CASE WHEN event_id % 100 = 0 THEN 'TOOL:absent' ELSE 'SKILL:c0' END, CASE WHEN event_id % 150 = 0 THEN 'AGENT' WHEN event_id % 250 = 0 THEN 'DATA' ELSE 'SKILL' END,
-    'SKILL:c0', CASE WHEN event_id % 200 = 0 THEN 'USES' ELSE 'READS' END, 'DATA:o' || (event_id % 30), 'odd' FROM events WHERE event_id % 50 = 0),
+    'SKILL:c0', CASE WHEN event_id % 200 = 0 THEN 'USES' ELSE 'READS' END, 'DATA:o' || (event_id % 30), 'odd' FROM events),
 gnodes AS (SELECT source AS id FROM graph UNION SELECT target FROM graph),
 valid AS (SELECT DISTINCT c.* FROM context c WHERE component_type IN ('AGENT', 'SKILL', 'TOOL', 'MCPSERVER') AND edge_type IN ('READS', 'WRITES', 'SENDS_TO', 'EXECUTES', 'PRODUCES', 'FLOWS_TO')
   AND component_id IN (SELECT id FROM gnodes) AND split_part(component_id, ':', 1) = component_type
@@ -533,7 +534,7 @@ viol AS (SELECT 'missing_path_id' AS kind, subject FROM sub WHERE path_id = ''
 FULL = "CASE WHEN n % 2 = 0 THEN 'full' ELSE 'partial' END"
 DECLARED = """existing AS (SELECT 'SKILL:' || n_name AS id, 'SKILL' AS type FROM nation),
 comps AS (SELECT 'AGENT:' || r_name AS node_id, 'AGENT' AS node_type FROM region UNION ALL SELECT 'TOOL:' || s_name, CASE WHEN s_suppkey % 7 = 0 THEN 'DATA' ELSE 'TOOL' END FROM supplier
-  UNION ALL SELECT 'SKILL:' || n_name, 'AGENT' FROM nation WHERE n_nationkey % 6 = 0),
+  UNION ALL SELECT 'SKILL:' || n_name, 'AGENT' FROM nation WHERE n_regionkey = 2),
 rels AS (SELECT 'AGENT:' || r_name AS s, 'SKILL:' || n_name AS t, 'CONTAINS' AS e FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT 'SKILL:' || n_name, 'TOOL:' || s_name, CASE s_suppkey % 5 WHEN 0 THEN 'READS' WHEN 1 THEN 'HANDOFF' ELSE 'USES' END FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT 'SKILL:' || n_name, 'SKILL:' || n_name, 'HANDOFF' FROM nation UNION ALL SELECT 'TOOL:none' || n_nationkey, 'SKILL:' || n_name, 'TRUSTS' FROM nation),
@@ -587,7 +588,7 @@ ORACLES = {
         'Severity ' || risk_severity || ', confidence ' || risk_confidence || ', risk score ' || risk_score || '.' AS impact,
         coalesce(policies, '') AS policies, coalesce(breakpoints, '') AS breakpoints, coalesce(components, '') AS components
         FROM p LEFT JOIN own USING (path_id) LEFT JOIN pol USING (path_id) LEFT JOIN brk USING (path_id)""",
-    "path_entry_files": f"{G} SELECT path_id, substr(nodes[1], 7) AS file FROM p WHERE right(nodes[1], 1) IN ('0', '2', '4', '6', '8') AND substr(nodes[1], 7) IN (SELECT component FROM graph)",
+    "path_entry_files": f"{G} SELECT path_id, substr(nodes[1], 7) AS file FROM p WHERE substr(nodes[1], 7) IN (SELECT 'c' || (event_id // {carriers.ACTIONS_PER_COMPONENT}) FROM events WHERE event_type = 'purchase' AND value > 60)",
     "path_context": f"{C} SELECT DISTINCT pe.path_id, v.component_id, v.component_type, pe.source, v.edge_type, pe.target, v.assoc_source FROM pe JOIN valid v ON v.source = pe.source AND v.target = pe.target AND v.edge_type = pe.type",
     "highest_risk_path": f"{G} SELECT component, unnest(arg_min({{'path_id': path_id, 'attack_type': attack_type, 'risk_severity': risk_severity, 'risk_score': risk_score}}, (-risk_score, path_id))) FROM p GROUP BY component",
     "policy_evaluate": f"{G}, {RESULTS} SELECT policy_id, path_id, violated, reason FROM results",

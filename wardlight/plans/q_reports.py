@@ -83,15 +83,19 @@ def known_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """lineitem read twice as fingerprints with many repeats: two overlapping sets of orders."""
+    """lineitem read twice as fingerprints with many repeats: severity by quantity now, by discount then."""
     n = F.col("l_orderkey")
     rows = read_table(spark, folder, "lineitem").select(
         n.alias("o"), "l_linenumber",
         F.concat(F.lit("R-"), "l_returnflag").alias("rule_id"), F.concat(F.lit("f"), (n % 50).cast("string")).alias("file"),
         F.when(F.col("l_linenumber") > 5, F.lit(None).cast("int")).otherwise(F.col("l_linenumber")).alias("line"),
-        F.col("l_linestatus").alias("evidence"), F.when(F.col("l_quantity") > 25, F.lit("HIGH")).otherwise(F.lit("LOW")).alias("severity"),
+        F.col("l_linestatus").alias("evidence"), "l_quantity", "l_discount",
     )
-    return rows.where("o % 3 <> 0"), rows.where("o % 4 <> 0")
+
+    def graded(high) -> DataFrame:
+        return rows.withColumn("severity", F.when(high, F.lit("HIGH")).otherwise(F.lit("LOW"))).drop("l_quantity", "l_discount")
+
+    return graded(F.col("l_quantity") > 25), graded(F.col("l_discount") > 0.05)
 
 
 CHUNK = 4096
@@ -263,9 +267,10 @@ def _benchmarks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     """Brands as benchmarks, parts as cases, line items as observations."""
     part = read_table(spark, folder, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("benchmark_id"))
     cases = part.select("benchmark_id", F.col("k").cast("string").alias("case_id"), F.when(F.col("k") % 3 == 0, F.array(F.lit("R"), F.lit("A"))).otherwise(F.array(F.lit("N"))).alias("expected_security_properties"))
-    items = read_table(spark, folder, "lineitem").select(F.col("l_partkey").alias("k"), "l_returnflag", "l_linestatus", "l_quantity").where("l_quantity < 12")
+    items = read_table(spark, folder, "lineitem").select(F.col("l_partkey").alias("k"), "l_returnflag", "l_linestatus", "l_quantity")
     seen = items.groupBy("k").agg(
-        F.collect_set("l_returnflag").alias("observed_properties"), F.when(F.max("l_quantity") > 11, F.lit("error")).when(F.min("l_linestatus") == "F", F.lit("timeout")).otherwise(F.lit("completed")).alias("status"),
+        # three flags at most
+        F.collect_set(F.when(F.col("l_quantity") < 4, F.col("l_returnflag"))).alias("observed_properties"), F.when(F.max("l_quantity") > 49, F.lit("error")).when(F.min("l_quantity") < 2, F.lit("timeout")).otherwise(F.lit("completed")).alias("status"),
     )
     # a few observations name a benchmark that does not know the case
     observations = seen.join(part, "k").select(
@@ -412,10 +417,10 @@ def stream_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_new(spark: SparkSession, folder: str) -> DataFrame:
-    """Only findings a baseline lacks: the baseline holds two documents out of three."""
+    """Only findings a baseline lacks: it was taken before the command rules existed."""
     out, checkpoint = ar.fresh_folders(spark)
     found = _stream(spark, folder).select("doc_id", "rule_id", F.col("doc_id").cast("string").alias("file"), "line", "rule_order", "evidence", "severity")
-    known = seeded_findings(spark, folder).where("doc_id % 3 <> 0").select("rule_id", F.col("doc_id").cast("string").alias("file"), "line", "evidence", "severity")
+    known = seeded_findings(spark, folder).where("rule_id <> 'AS-002'").select("rule_id", F.col("doc_id").cast("string").alias("file"), "line", "evidence", "severity")
     ar.write_new_findings(found, cut(known), out, checkpoint, available_now=True).awaitTermination()
     return spark.read.parquet(out).select("doc_id", "line", "rule_id", "evidence")
 
@@ -496,8 +501,8 @@ PLACED = f"""{FINDINGS_SQL}, abs_ AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN '/ot
 recs AS (SELECT rule_id, file, line, CASE WHEN doc_id % 4 <> 0 THEN regexp_replace(evidence, '(^|[^\\w:/.~+-])/sh\\b', '\\1/sh') ELSE 'Contributing: ' || replace(file, '<outside>/', '<outside><path>/') || ':' || line || ', <outside><path>/x.md and up' END AS evidence, severity, doc_id FROM abs_)"""
 ID = "'fnd-' || left(sha256(rule_id || chr(31) || file || chr(31) || coalesce(CAST(line AS VARCHAR), '') || chr(31) || evidence || chr(31) || severity), 12)"
 SIDES = """items AS (SELECT l_orderkey AS o, l_linenumber, 'R-' || l_returnflag AS rule_id, 'f' || (l_orderkey % 50) AS file, CASE WHEN l_linenumber > 5 THEN NULL ELSE l_linenumber END AS line,
-    l_linestatus AS evidence, CASE WHEN l_quantity > 25 THEN 'HIGH' ELSE 'LOW' END AS severity FROM lineitem),
-cur AS (SELECT * FROM items WHERE o % 3 <> 0), base AS (SELECT * FROM items WHERE o % 4 <> 0),
+    l_linestatus AS evidence, l_quantity, l_discount FROM lineitem),
+cur AS (SELECT *, CASE WHEN l_quantity > 25 THEN 'HIGH' ELSE 'LOW' END AS severity FROM items), base AS (SELECT *, CASE WHEN l_discount > 0.05 THEN 'HIGH' ELSE 'LOW' END AS severity FROM items),
 cn AS (SELECT rule_id, file, line, evidence, severity, count(*) AS a FROM cur GROUP BY ALL), bn AS (SELECT rule_id, file, line, evidence, severity, count(*) AS b FROM base GROUP BY ALL),
 cnt AS (SELECT coalesce(cn.rule_id, bn.rule_id) AS rule_id, coalesce(cn.file, bn.file) AS file, CASE WHEN a IS NOT NULL THEN cn.line ELSE bn.line END AS line, coalesce(cn.evidence, bn.evidence) AS evidence,
     coalesce(cn.severity, bn.severity) AS severity, coalesce(a, 0) AS n_current, coalesce(b, 0) AS n_baseline, least(coalesce(a, 0), coalesce(b, 0)) AS matched
@@ -511,7 +516,7 @@ MARK = "CASE WHEN rule_id = 'AS-001' THEN evidence ELSE trim(text) END"
 STATE = "CASE doc_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'matched' END"
 CONFIDENCE = "CASE WHEN rule_id IN ('AS-006', 'AS-007') OR (rule_id = 'AS-001' AND (contains(evidence, 'API credential detected') OR contains(evidence, 'Private key block'))) THEN 'HIGH' ELSE 'MEDIUM' END"
 BENCH = """cases AS (SELECT p_brand AS benchmark_id, CAST(p_partkey AS VARCHAR) AS case_id, p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN ['A', 'R'] ELSE ['N'] END AS expected FROM part),
-seen AS (SELECT l_partkey AS k, list(DISTINCT l_returnflag) AS observed, CASE WHEN max(l_quantity) > 11 THEN 'error' WHEN min(l_linestatus) = 'F' THEN 'timeout' ELSE 'completed' END AS status FROM lineitem WHERE l_quantity < 12 GROUP BY l_partkey),
+seen AS (SELECT l_partkey AS k, coalesce(list(DISTINCT l_returnflag) FILTER (l_quantity < 4), []) AS observed, CASE WHEN max(l_quantity) > 49 THEN 'error' WHEN min(l_quantity) < 2 THEN 'timeout' ELSE 'completed' END AS status FROM lineitem GROUP BY l_partkey),
 obs AS (SELECT CASE WHEN k % 101 = 0 THEN 'Brand#none' ELSE benchmark_id END AS benchmark_id, case_id, observed, status FROM seen JOIN cases USING (k)),
 res AS (SELECT benchmark_id, case_id, list_filter(expected, lambda x: NOT list_contains(observed, x)) AS missing, status FROM cases JOIN obs USING (benchmark_id, case_id)),
 summ AS (SELECT benchmark_id, count(*) AS total_cases, count(*) FILTER (status <> 'error' AND len(missing) = 0) AS passed_cases, count(*) FILTER (status <> 'error' AND len(missing) > 0) AS failed_cases,
@@ -592,7 +597,7 @@ ORACLES = {
     "pattern_table_joined": f"WITH {LINES_SQL} {WORD_HITS}",
     "python_rule_errors": f"WITH {LINES_SQL} SELECT doc_id, line, CASE WHEN contains(text, 'password') THEN 'line_rule_exception' ELSE 'short' END AS outcome FROM lines WHERE contains(text, 'password') OR length(text) BETWEEN 1 AND 11",
     "stream_scan": f"WITH {FINDINGS_SQL} SELECT doc_id, line, rule, severity FROM line_findings",
-    "stream_new_findings": f"WITH {FINDINGS_SQL} SELECT doc_id, line, rule_id, evidence FROM line_findings WHERE doc_id % 3 = 0",
+    "stream_new_findings": f"WITH {FINDINGS_SQL} SELECT doc_id, line, rule_id, evidence FROM line_findings WHERE rule_id = 'AS-002'",
     "whole_scan_findings": f"""WITH RECURSIVE {WHOLE} SELECT source, rule_id, severity, count(*) AS n FROM (SELECT source, rule_id, severity FROM line_findings
         UNION ALL SELECT source, chain, CASE WHEN chain = 'AS-CHAIN-001' OR (bool_or(severity IN ('CRITICAL', 'HIGH') AND rule_id IN ('AS-003','AS-005')) AND bool_or(severity IN ('CRITICAL', 'HIGH') AND rule_id = 'AS-002')) THEN 'CRITICAL' ELSE 'HIGH' END FROM parts GROUP BY source, chain
         UNION ALL SELECT d.source, c.rule_id, 'CRITICAL' FROM chains c JOIN docs d USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.path = d.path AND p.chain = c.rule_id AND p.line BETWEEN c."first" AND c."last")) GROUP BY ALL""",

@@ -195,7 +195,7 @@ def risk_verdict_by_document(spark: SparkSession, folder: str) -> DataFrame:
     """One target per document, so that all levels and UNKNOWN occur."""
     files = file_tree(spark, folder)
     left, pruned = corpus.prune(files)
-    events = corpus.coverage_events(corpus.decode(left), pruned.limit(0))
+    events = corpus.coverage_events(corpus.decode(left), pruned.where("false"))
     ids = files.select("path", "doc_id")
     per_doc = events.join(ids, "path")
     return sc.risk_with_coverage(
@@ -206,7 +206,7 @@ def risk_verdict_by_document(spark: SparkSession, folder: str) -> DataFrame:
 def escaped(spark: SparkSession, folder: str) -> DataFrame:
     """Untrusted text made printable: page markup with control characters in it."""
     pages = read_table(spark, folder, "pages")
-    raw = F.concat("url", F.lit("\\"), F.lit("\u001b[31m"), F.substring("html", 60, 600), F.lit("\u0085​ "))
+    raw = F.concat("url", F.lit("\\"), F.lit("\u001b[31m"), "html", F.lit("\u0085​ "))
     return pages.select("page_id", tx.escape_untrusted(raw).alias("shown"), F.length(tx.escape_untrusted(raw, None)).alias("n"))
 
 
@@ -287,6 +287,6 @@ ORACLES = {
         CASE WHEN coalesce(score, 0) < 5 AND coalesce(coverage_status, 'none') <> 'full' THEN 'UNKNOWN' ELSE {LEVEL} END AS risk_level
         FROM status FULL JOIN scored USING (doc_id)""",
     "escape_untrusted": f"""SELECT page_id, CASE WHEN length(t) > 500 THEN left(t, 500) || ' [truncated]' ELSE t END AS shown, CAST(length(t) AS INTEGER) AS n
-        FROM (SELECT page_id, array_to_string({ESC}, '') AS t FROM (SELECT page_id, url || '\\' || chr(27) || '[31m' || substr(html, 60, 600) || chr(133) || chr(8203) || chr(160) AS raw FROM pages))""",
+        FROM (SELECT page_id, array_to_string({ESC}, '') AS t FROM (SELECT page_id, url || '\\' || chr(27) || '[31m' || html || chr(133) || chr(8203) || chr(160) AS raw FROM pages))""",
     "extract_domain": "SELECT page_id, nullif(lower(regexp_extract('see ' || url, 'https?://([^/\\s''\"]+)', 1)), '') AS domain FROM pages",
 }

@@ -18,6 +18,7 @@ RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
