@@ -169,7 +169,7 @@ def _result_counts() -> list[Column]:
 
 
 def lab_summary(results: DataFrame) -> DataFrame:
-    share = F.round(100 * F.col("detected") / F.col("total"), 1)
+    share = F.bround(100 * F.col("detected") / F.col("total"), 1)
     return results.agg(F.count("*").alias("total"), *_result_counts()).withColumn(
         "detection_percentage", F.when(F.col("total") > 0, share).otherwise(F.lit(0.0))
     )

@@ -320,12 +320,15 @@ def assess(paths: DataFrame) -> DataFrame:
 
 
 def describe(paths: DataFrame) -> DataFrame:
-    """Title and composition: which components the walk really crosses."""
+    """Title and composition: the components a walk crosses, listed when there are several."""
     comps = F.array_distinct(F.transform(F.filter("nodes", lambda n: kind_of(n) == "SKILL"), label_of))
+    several = F.size("_comps") > 1
     return (
         paths.withColumn("title", tx.map_lookup(F.col("kind"), vocab.PATH_TITLES))
-        .withColumn("component_ids", comps)
-        .withColumn("is_composed", F.size("component_ids") > 1)
+        .withColumn("_comps", comps)
+        .withColumn("component_ids", F.when(several, F.col("_comps")).otherwise(F.array().cast("array<string>")))
+        .withColumn("is_composed", several)
+        .drop("_comps")
     )
 
 

@@ -202,8 +202,7 @@ def entry_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def top_path(spark: SparkSession, folder: str) -> DataFrame:
-    paths = event_paths(spark, folder).withColumn("component", F.get("component_ids", F.lit(0)))
-    return sc.highest_risk_path(paths, ["component"])
+    return sc.highest_risk_path(event_paths(spark, folder), ["component"])
 
 
 # ------------------------------------------------------------------- policies
@@ -217,7 +216,7 @@ def policy_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _by_component(spark: SparkSession, folder: str) -> DataFrame:
-    return cut(po.evaluate(event_paths(spark, folder).select(F.get("component_ids", F.lit(0)).alias("component"), "path_id", "attack_type")))
+    return cut(po.evaluate(event_paths(spark, folder).select("component", "path_id", "attack_type")))
 
 
 def policy_status(spark: SparkSession, folder: str) -> DataFrame:

@@ -585,7 +585,7 @@ ORACLES = {
     "normalize_sets": """SELECT p_partkey, array_to_string(w, ',') AS words, array_to_string(list_filter(w, lambda x: NOT list_contains(string_split(p_name, ' '), x)), ',') AS missing
         FROM (SELECT *, list_sort(list_distinct(list_concat(string_split(p_name, ' '), string_split(p_type, ' '), ['zeta']))) AS w FROM part)""",
     "lab_cases": f"WITH {LAB} SELECT doc_id, result FROM lab",
-    "lab_summary": f"WITH {LAB} SELECT count(*) AS total, {COUNTS}, round(100.0 * count(*) FILTER (result = 'DETECTED') / count(*), 1) AS detection_percentage FROM lab",
+    "lab_summary": f"WITH {LAB} SELECT count(*) AS total, {COUNTS}, round_even(100.0 * count(*) FILTER (result = 'DETECTED') / count(*), 1) AS detection_percentage FROM lab",
     "lab_by_category": f"WITH {LAB} SELECT category, count(*) AS total, {COUNTS} FROM lab GROUP BY category",
     "precision_wilson": f"""WITH c AS (SELECT source, count(*) FILTER (toxic <> 1 AND quality = 1) AS tp, count(*) FILTER (toxic <> 1 AND quality <> 1) AS fp, count(*) FILTER (toxic = 1) AS inconclusive
           FROM labels JOIN documents USING (doc_id) GROUP BY source), d AS (SELECT *, CAST(tp + fp AS DOUBLE) AS n, tp / CAST(tp + fp AS DOUBLE) AS p FROM c),
