@@ -15,7 +15,7 @@ from wardlight.plans import carriers
 from wardlight.plans.carriers import DOCS_SQL, LINES_SQL
 from wardlight.plans.q_rules import CALL, LIVE_OBJECT, OTHER, rule_select
 from wardlight.plans.sqltext import every, live, m, q
-from wardlight.sources.corpus import read_table, read_texts
+from wardlight.sources.corpus import read_texts
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,7 +82,7 @@ def config_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(', "env": '), choose([_json(e) for e in ENVS], F.floor(n / 5)),
         F.lit(', "url": "'), choose(URLS, F.floor(n / 7)), F.lit('"},\n  "note": 5\n }\n}'),
     )
-    return read_table(spark, folder, "customer").select(
+    return read_texts(spark, folder, "customer", "c_custkey").select(
         n.alias("doc_id"),
         F.when(n % 10 == 0, F.concat(F.lit("cfg/"), n.cast("string"), F.lit(".yaml"))).otherwise(F.concat(F.lit("cfg/"), n.cast("string"), F.lit("/mcp.json"))).alias("path"),
         F.when(n % 23 == 0, F.lit("{broken")).otherwise(body).alias("text"),
