@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from wardlight.llm import exact_dedup, mixing, warc
+from wardlight.llm import decontaminate, exact_dedup, hmm_lm, mixing, mixture_langid, near_dedup, pii, token_rollup, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity_channel": toxicity.query,
+    "op2_latent_decontamination": decontaminate.query,
     "op3_warc_boundary_chain": warc.query,
+    "op4_order_minhash": near_dedup.query,
+    "op5_token_rollup": token_rollup.query,
+    "op6_pii_weak_supervision": pii.query,
+    "op7_mixture_language": mixture_langid.query,
+    "op8_hmm_score": hmm_lm.query,
     "op9_sainte_lague_mix": mixing.query,
     "op10_patricia_exact_dedup": exact_dedup.query,
 }
