@@ -201,12 +201,14 @@ def test_component_projections(spark):
         ("TOOL:t", "AGENT", "DATA:z", "SENDS_TO", "ENDPOINT:https://e", "d"), ("TOOL:gone", "TOOL", "DATA:x", "FLOWS_TO", "DATA:y", "d"),
         ("SKILL:a.md", "SKILL", "DATA:x", "FLOWS_TO", "DATA:q", "d"), ("SKILL:a.md", "SKILL", "SKILL:a.md", "USES", "TOOL:t", "d"),
     ]
-    context = spark.createDataFrame(rows, "component_id string, component_type string, source string, edge_type string, target string, assoc_source string")
+    context = spark.createDataFrame(rows, "component_id string, component_type string, source string, edge_type string, target string, assoc_source string").withColumn("component", F.lit("a.md"))
     nodes = gr.nodes_of(edges)
     assert {r.kind for r in cp.context_violations(context, nodes, edges).collect()} == {"type_mismatch", "unknown_component", "unknown_edge", "edge_type"}
     good = cp.valid_context(context, nodes, edges)
     assert good.count() == 2
-    assert cp.composed_text(cp.composition(paths, good)).first().components == "TOOL:t > SKILL:a.md"
+    assert [r.component_id for r in cp.composition(paths, good).orderBy("path_id", "place").limit(2).collect()] == ["TOOL:t", "SKILL:a.md"]
+    elsewhere = context.withColumn("component", F.lit("b.md"))
+    assert cp.valid_context(elsewhere, nodes, edges).count() == 0 and cp.participation(paths, elsewhere).count() == 0
     facts = {r.component_id: r.evidence for r in cp.risk_evidence(paths, good).collect()}
     assert facts == {"SKILL:a.md": ["sensitive data read"], "TOOL:t": ["external network send"]}
 

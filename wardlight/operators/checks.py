@@ -1,7 +1,12 @@
-"""Checks on finished paths and policy results. Each check yields violation rows."""
+"""Checks on finished paths and policy results. Each check yields violation rows.
+
+``keys`` are the columns of one target: a path is checked against the graph of its own target.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +41,14 @@ def contiguity(paths: DataFrame) -> DataFrame:
     return _rows(paths.where(broken), "non_contiguous_walk", "the edges are no walk over the nodes")
 
 
-def phantom_nodes(paths: DataFrame, nodes: DataFrame) -> DataFrame:
-    named = paths.select("path_id", F.explode("nodes").alias("id"))
-    return _rows(named.join(nodes.select("id").distinct(), "id", "left_anti"), "phantom_node", F.concat(F.lit("node "), "id", F.lit(" is not in the graph")))
+def phantom_nodes(paths: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    named = paths.select(*keys, "path_id", F.explode("nodes").alias("id"))
+    return _rows(named.join(nodes.select(*keys, "id").distinct(), [*keys, "id"], "left_anti"), "phantom_node", F.concat(F.lit("node "), "id", F.lit(" is not in the graph")))
 
 
-def phantom_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    real = edges.select("source", "target", "type").distinct()
-    unknown = path_edges(paths).join(real, ["source", "target", "type"], "left_anti")
+def phantom_edges(paths: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    real = edges.select(*keys, "source", "target", "type").distinct()
+    unknown = path_edges(paths, keys).join(real, [*keys, "source", "target", "type"], "left_anti")
     said = F.concat(F.lit("edge "), "source", F.lit(" -"), "type", F.lit("-> "), "target", F.lit(" is not in the graph"))
     return _rows(unknown, "phantom_edge", said)
 
@@ -69,19 +74,20 @@ def severity_without_evidence(paths: DataFrame) -> DataFrame:
     return _rows(paths.where(bare), "severity_without_evidence", F.concat(F.lit("risk_severity "), "risk_severity", F.lit(" without evidence")))
 
 
-def policy_results(paths: DataFrame, results: DataFrame) -> DataFrame:
+def policy_results(paths: DataFrame, results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """No id, orphan, duplicate, violation without proof or without reason."""
     subject = F.concat("policy_id", F.lit("@"), _subject())
     has_id = F.coalesce(F.col("path_id"), F.lit("")) != ""
-    known = paths.where(has_id).groupBy("path_id").agg(F.first("attack_type").alias("attack_type"))
-    matched = results.where(has_id).join(known, "path_id")
-    repeats = matched.groupBy("policy_id", "path_id").agg(F.count("*").alias("n")).where("n > 1")
+    own = [*keys, "path_id"]
+    known = paths.where(has_id).groupBy(*own).agg(F.min("attack_type").alias("attack_type"))
+    matched = results.where(has_id).join(known, own)
+    repeats = matched.groupBy(*keys, "policy_id", "path_id").agg(F.count("*").alias("n")).where("n > 1")
     # every repetition beyond the first is one violation
     again = repeats.select("policy_id", "path_id", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))))
     violated = matched.where("violated")
     parts = [
         _rows(results.where(~has_id), "result_without_path_id", "the result names no path", subject),
-        _rows(results.where(has_id).join(known, "path_id", "left_anti"), "orphan_policy_result", "the path was not evaluated", subject),
+        _rows(results.where(has_id).join(known, own, "left_anti"), "orphan_policy_result", "the path was not evaluated", subject),
         _rows(again, "duplicate_policy_result", "the pair was evaluated again", subject),
         _rows(violated.where("attack_type = 'UNKNOWN'"), "violation_without_proof", "violated on a path without proven semantics", subject),
         _rows(violated.where(F.trim(F.coalesce("reason", F.lit(""))) == ""), "violation_without_reason", "violated with an empty reason", subject),
@@ -92,11 +98,11 @@ def policy_results(paths: DataFrame, results: DataFrame) -> DataFrame:
     return result
 
 
-def all_checks(paths: DataFrame, results: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def all_checks(paths: DataFrame, results: DataFrame, edges: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Every violation; a sound run yields no row."""
     parts = [
-        path_identity(paths), contiguity(paths), phantom_nodes(paths, nodes), phantom_edges(paths, edges),
-        ceiling(paths), severity_without_evidence(paths), policy_results(paths, results),
+        path_identity(paths), contiguity(paths), phantom_nodes(paths, nodes, keys), phantom_edges(paths, edges, keys),
+        ceiling(paths), severity_without_evidence(paths), policy_results(paths, results, keys),
     ]
     result = parts[0]
     for p in parts[1:]:

@@ -1,13 +1,17 @@
 """What declared components take part in: scopes, participation, composition, risk evidence.
 
-``context`` rows: component_id, component_type, source, target, edge_type,
-assoc_source. An association names an existing edge and an existing component;
-nothing is inferred.
+``context`` rows: (target keys), component, component_id, component_type, source, target,
+edge_type, assoc_source. An association names an existing edge of an existing graph
+component (``component``) and an existing declared component; nothing is inferred. Joins
+hold within the target and the component, so what merely shares names never meets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight import vocab
@@ -15,72 +19,64 @@ from wardlight.operators.graph import kind_of
 from wardlight.operators.paths import path_edges
 
 OWNER = ["component_id", "component_type"]
+EDGE = ["component", "source", "target", "edge_type"]
 
 
 def behaviour() -> Column:
     return F.struct("source", "edge_type", "target")
 
 
-def context_violations(context: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Associations that name no real component or edge: (kind, subject)."""
+def context_violations(context: DataFrame, nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Associations that name no real component or edge: (keys, kind, subject)."""
     said = F.concat_ws(" ", "component_id", "component_type", "source", "edge_type", "target").alias("subject")
 
     def rows(df: DataFrame, kind: str) -> DataFrame:
-        return df.select(F.lit(kind).alias("kind"), said)
+        return df.select(*keys, F.lit(kind).alias("kind"), said)
 
     bad_type = rows(context.where(~F.col("component_type").isin(vocab.COMPONENT_TYPES)), "component_type")
     bad_edge_type = rows(context.where(~F.col("edge_type").isin(vocab.BEHAVIOUR_TYPES)), "edge_type")
-    known = nodes.select(F.col("id").alias("component_id"), F.col("type").alias("real_type")).distinct()
-    joined = context.join(known, "component_id", "left")
+    known = nodes.select(*keys, F.col("id").alias("component_id"), F.col("type").alias("real_type")).distinct()
+    joined = context.join(known, [*keys, "component_id"], "left")
     absent = rows(joined.where("real_type IS NULL"), "unknown_component")
     mismatch = rows(joined.where("real_type IS NOT NULL AND real_type <> component_type"), "type_mismatch")
-    real = edges.select("source", "target", F.col("type").alias("edge_type")).distinct()
-    no_edge = rows(context.join(real, ["source", "target", "edge_type"], "left_anti"), "unknown_edge")
+    real = edges.select(*keys, "component", "source", "target", F.col("type").alias("edge_type")).distinct()
+    no_edge = rows(context.join(real, [*keys, *EDGE], "left_anti"), "unknown_edge")
     return bad_type.unionByName(bad_edge_type).unionByName(absent).unionByName(mismatch).unionByName(no_edge).distinct()
 
 
-def valid_context(context: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def valid_context(context: DataFrame, nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Associations that hold, each once per (edge, component, source)."""
-    known = nodes.select(F.col("id").alias("component_id"), F.col("type").alias("component_type")).distinct()
-    real = edges.select("source", "target", F.col("type").alias("edge_type")).distinct()
+    known = nodes.select(*keys, F.col("id").alias("component_id"), F.col("type").alias("component_type")).distinct()
+    real = edges.select(*keys, "component", "source", "target", F.col("type").alias("edge_type")).distinct()
     return (
         context.where(F.col("component_type").isin(vocab.COMPONENT_TYPES) & F.col("edge_type").isin(vocab.BEHAVIOUR_TYPES))
-        .join(known, OWNER, "left_semi")
-        .join(real, ["source", "target", "edge_type"], "left_semi")
+        .join(known, [*keys, *OWNER], "left_semi")
+        .join(real, [*keys, *EDGE], "left_semi")
         .distinct()
     )
 
 
-def security_scope(context: DataFrame) -> DataFrame:
+def security_scope(context: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Behaviours per component, one row each. Ordered by type, id and behaviour on output."""
-    return context.select(*OWNER, "source", "edge_type", "target").distinct()
-
+    return context.select(*keys, *OWNER, "source", "edge_type", "target").distinct()
 
-def participation(paths: DataFrame, context: DataFrame) -> DataFrame:
-    """Behaviours of components that lie on a path, walked or associated: one row each."""
-    on = path_edges(paths).select("path_id", "source", "target", F.col("type").alias("edge_type")).distinct()
-    owned = context.select(*OWNER, "source", "edge_type", "target").distinct()
-    return on.join(owned, ["source", "target", "edge_type"]).select("path_id", *OWNER, "source", "edge_type", "target")
 
+def participation(paths: DataFrame, context: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Behaviours of components that lie on a path, walked or associated: one row each.
 
-def composition(paths: DataFrame, context: DataFrame) -> DataFrame:
-    """Components of a path with their first behaviour, which orders them.
-
-    The behaviours of one component on one path are edges of that path, so the
-    collected lists are as short as the walk.
+    A composed path crosses components by hand-offs, which are no behaviour; every other
+    path lies in one component, so the component is part of the key.
     """
-    rows = participation(paths, context).groupBy("path_id", *OWNER).agg(
-        F.min(behaviour()).alias("first"), F.array_sort(F.collect_set(behaviour())).alias("behaviours")
-    )
-    return rows
+    on = path_edges(paths, keys, "component").select(*keys, "path_id", "component", "source", "target", F.col("type").alias("edge_type")).distinct()
+    owned = context.select(*keys, *OWNER, *EDGE).distinct()
+    return on.join(owned, [*keys, *EDGE]).select(*keys, "path_id", *OWNER, "source", "edge_type", "target")
 
 
-def composed_text(rows: DataFrame) -> DataFrame:
-    """Component ids per path in composition order."""
-    order = F.struct("first", "component_type", "component_id")
-    return rows.groupBy("path_id").agg(F.array_sort(F.collect_list(order)).alias("o")).select(
-        "path_id", F.array_join(F.transform("o", lambda x: x["component_id"]), " > ").alias("components")
-    )
+def composition(paths: DataFrame, context: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Components of a path, one row each: their first behaviour, how many, and their place in the path."""
+    rows = participation(paths, context, keys).groupBy(*keys, "path_id", *OWNER).agg(F.min(behaviour()).alias("first"), F.count("*").alias("behaviours"))
+    order = W.partitionBy(*keys, "path_id").orderBy("first", "component_type", "component_id")
+    return rows.withColumn("place", F.row_number().over(order))
 
 
 def _label(edge_type: Column, target: Column) -> Column:
@@ -94,17 +90,16 @@ def _label(edge_type: Column, target: Column) -> Column:
     )
 
 
-def risk_evidence(paths: DataFrame, context: DataFrame) -> DataFrame:
+def risk_evidence(paths: DataFrame, context: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per path and component: relevant behaviours, the facts they back, and the risk of the path."""
-    rows = participation(paths, context).withColumn("label", _label(F.col("edge_type"), F.col("target"))).where("label IS NOT NULL")
-    mine = rows.groupBy("path_id", *OWNER).agg(
+    rows = participation(paths, context, keys).withColumn("label", _label(F.col("edge_type"), F.col("target"))).where("label IS NOT NULL")
+    mine = rows.groupBy(*keys, "path_id", *OWNER).agg(
         F.collect_set("label").alias("labels"), F.count("*").alias("behaviours"), F.min(behaviour()).alias("first")
     )
     order = F.array(*[F.lit(x) for x in vocab.EVIDENCE_ORDER])
-    return mine.join(paths.select("path_id", "evidence", "risk_severity", "risk_confidence"), "path_id").select(
-        "path_id", *OWNER, "behaviours",
+    facts = paths.select(*keys, "path_id", "evidence", "risk_severity", "risk_confidence")
+    return mine.join(facts, [*keys, "path_id"]).select(
+        *keys, "path_id", *OWNER, "behaviours",
         F.array_intersect(F.array_intersect(order, F.col("labels")), F.col("evidence")).alias("evidence"),
         "risk_severity", "risk_confidence",
     )
-
-

@@ -7,7 +7,10 @@ along with the exploded lines, so these rules do not shuffle either.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight.functions import text as tx
@@ -15,10 +18,10 @@ from wardlight.operators import rule_catalog as rc
 from wardlight.operators.line_rules import (
     calls_http_object, live_matches, with_catalog,
 )
-from wardlight.session import cut
 from wardlight.sources.corpus import explode_lines
 
 NEWLINE = "\n"
+STRETCH = 256  # lines of a file that stay together where its claims meet their facts
 _ASSIGN = (
     r"(?m)^[ \t]*((?:[A-Za-z_]\w*\.)*[A-Za-z_]\w*)[ \t]*(?::[^=\n]+)?=[ \t]*" + rc.SESSION_CTOR + r"[ \t]*\("
 )
@@ -137,35 +140,45 @@ def _no_imports(text: Column) -> Column:
     return F.concat(F.regexp_replace(head, '[^"]', " "), F.substring(text, F.length(head) + 1, F.length(text)))
 
 
-def collapse_http_claims(findings: DataFrame, file: str) -> DataFrame:
+def collapse_http_claims(findings: DataFrame, file: Sequence[str]) -> DataFrame:
     """Keep one statement per fact: calls over imports, requests over constructions.
 
-    A file without a call keeps its first import, one without a request its
-    first construction. Facts per file are an aggregate of a few flags, so a
-    file with many findings is combined before it is shuffled.
+    ``file`` names one file of one target. A file without a call keeps its first import,
+    one without a request its first construction. Facts are an aggregate of a few flags,
+    so a file with many findings is combined before it is shuffled; the rows find their
+    facts by (file, stretch of lines), so it is not one task afterwards either.
+    ``findings`` is read three times and should be written down.
     """
     claim = (F.col("rule_id") == "AS-003") & (F.col("severity") == "MEDIUM")
-    findings = cut(findings)  # read three times below; the rules must not run again
     rest = findings.where(~claim)
     text = F.coalesce("matched_text", F.lit(""))
     rows = (
         findings.where(claim)
+        .withColumn("_part", F.floor(F.coalesce("line", F.lit(0)) / STRETCH))
         .withColumn("_calls", (F.size(live_matches(_no_imports(text), rc.HTTP_CALL)) > 0) | (F.size(live_matches(text, rc.SESSION_REQUEST)) > 0))
         .withColumn("_declares", tx.has(text, rc.HTTP_DECLARATION) & ~F.col("_calls"))
         .withColumn("_builds", F.size(live_matches(text, rc.CLIENT_CONSTRUCTION)) > 0)
     )
     place = F.coalesce("line", F.lit(0))
-    facts = rows.groupBy(file).agg(
+    spread = rows.groupBy(*file, "_part").agg(
         F.bool_or(~F.col("_builds") & ~F.col("_declares")).alias("requesting"),
         F.bool_or("_calls").alias("calling"),
         F.min(F.when(F.col("_declares"), place)).alias("first_declared"),
         F.min(F.when(F.col("_builds"), place)).alias("first_built"),
     )
+    whole = W.partitionBy(*file)
+    facts = spread.select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate([*file, "_part"])], F.bool_or("requesting").over(whole).alias("requesting"),
+        F.bool_or("calling").over(whole).alias("calling"), F.min("first_declared").over(whole).alias("first_declared"), F.min("first_built").over(whole).alias("first_built"),
+    )
+    same = F.lit(True)
+    for i, c in enumerate([*file, "_part"]):
+        same = same & rows[c].eqNullSafe(facts[f"_k{i}"])
     drop = (
         (F.col("_declares") & (F.col("calling") | (place != F.col("first_declared"))))
         | (F.col("_builds") & (F.col("requesting") | (place != F.col("first_built"))))
     )
-    kept = rows.join(facts, file).where(~drop).select(*findings.columns)
+    kept = rows.join(facts, same).where(~F.coalesce(drop, F.lit(False))).select(*[rows[c] for c in findings.columns])
     return rest.unionByName(kept)
 
 

@@ -1,7 +1,7 @@
 """Typed nodes and edges from findings, actions and declarations.
 
-Edges carry their component, so every component is a graph of its own and all
-of them together are the merged graph. What an edge is based on (rules, files,
+Edges carry their target (``keys``) and their component, so every component is a
+graph of its own and the components of one target together are its merged graph. What an edge is based on (rules, files,
 lines, evidence) stays rows in a fact table; the edge itself keeps only what
 paths need.
 """
@@ -57,7 +57,7 @@ def identities(findings: DataFrame) -> DataFrame:
     )
 
 
-def finding_edges(findings: DataFrame) -> DataFrame:
+def finding_edges(findings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per finding that says something about the graph.
 
     The cases are tried in a fixed order. A finding that names no concrete
@@ -91,7 +91,7 @@ def finding_edges(findings: DataFrame) -> DataFrame:
     )
     concrete = F.concat(F.col("spec.kind"), F.lit(":"), F.col("spec.thing"))
     return named.withColumn("spec", spec).where("spec IS NOT NULL").select(
-        "component",
+        *keys, "component",
         F.concat(F.lit("SKILL:"), "component").alias("source"),
         F.coalesce(concrete, place).alias("target"),
         F.col("spec.type").alias("type"),
@@ -101,25 +101,25 @@ def finding_edges(findings: DataFrame) -> DataFrame:
     )
 
 
-def merge_edges(rows: DataFrame) -> DataFrame:
-    """One edge per (component, source, target, type) with the strongest metadata.
+def merge_edges(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One edge per (target, component, source, target, type) with the strongest metadata.
 
     Severity starts at LOW; a confidence of LOW counts as none.
     """
-    merged = rows.groupBy(*EDGE_KEY).agg(
+    merged = rows.groupBy(*keys, *EDGE_KEY).agg(
         F.max(tx.severity_rank(F.col("severity"))).alias("s"),
         F.max(tx.confidence_rank(F.col("confidence"))).alias("c"),
         F.count("*").alias("n_facts"),
     )
     return merged.select(
-        *EDGE_KEY,
+        *keys, *EDGE_KEY,
         tx.severity_name(F.greatest(F.col("s"), F.lit(1))).alias("severity"),
         tx.confidence_name(F.when(F.col("c") > 0, F.col("c"))).alias("confidence"),
         "n_facts",
     )
 
 
-def edge_facts(rows: DataFrame) -> DataFrame:
+def edge_facts(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """What edges are based on: distinct (edge, fact kind, value) rows."""
     def fact(name: str, value: Column) -> Column:
         return F.struct(F.lit(name).alias("fact"), value.alias("value"))
@@ -130,15 +130,16 @@ def edge_facts(rows: DataFrame) -> DataFrame:
         fact("line", F.when(F.col("line") > 0, F.col("line").cast("string"))),
         fact("evidence", F.nullif("evidence", F.lit(""))),
     )
-    return rows.select(*EDGE_KEY, F.inline(facts)).where("value IS NOT NULL").distinct()
+    return rows.select(*keys, *EDGE_KEY, F.inline(facts)).where("value IS NOT NULL").distinct()
 
 
-def skill_edges(rows: DataFrame) -> DataFrame:
+def skill_edges(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The agent contains every component that has a finding in the graph."""
-    return rows.select("component", F.lit(AGENT).alias("source"), "source").distinct().toDF("component", "source", "target").withColumn("type", F.lit("CONTAINS"))
+    skills = rows.select(*keys, "component", F.col("source").alias("target")).distinct()
+    return skills.select(*keys, "component", F.lit(AGENT).alias("source"), "target", F.lit("CONTAINS").alias("type"))
 
 
-def action_edges(actions: DataFrame) -> DataFrame:
+def action_edges(actions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Edges of ordered actions, each owned by its component (repeats kept out).
 
     ``actions``: component, category, verb, object, destination, output.
@@ -166,32 +167,30 @@ def action_edges(actions: DataFrame) -> DataFrame:
         F.when(cat == "EXECUTION", edge(skill, node("ACTION", F.lower("verb")), "EXECUTES")),
         F.when((cat == "TRANSFER") & has_dest, edge(skill, node("SKILL", dest), "HANDOFF")),
     ))
-    return actions.select("component", F.inline(edges)).distinct()
+    return actions.select(*keys, "component", F.inline(edges)).distinct()
 
 
-def handoff_edges(handoffs: DataFrame) -> DataFrame:
-    """Declared control transfers (component, target) as edges of the giving component."""
+def handoff_edges(handoffs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Declared control transfers (component, to) as edges of the giving component."""
     return handoffs.select(
-        "component", F.concat(F.lit("SKILL:"), "component").alias("source"),
-        F.concat(F.lit("SKILL:"), F.col("target")).alias("target"), F.lit("HANDOFF").alias("type"),
+        *keys, "component", F.concat(F.lit("SKILL:"), "component").alias("source"),
+        F.concat(F.lit("SKILL:"), F.col("to")).alias("target"), F.lit("HANDOFF").alias("type"),
     ).distinct()
 
 
-def security_graph(finding_rows: DataFrame, from_actions: DataFrame) -> DataFrame:
-    """All edges per component. An action edge stands over a finding edge of the same key:
+def security_graph(finding_rows: DataFrame, from_actions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """All edges per target and component. An action edge stands over a finding edge of the same key:
     it carries no severity, and the later record of an edge is the one paths consult."""
-    found = merge_edges(finding_rows).select(*EDGE_KEY, "severity", "confidence", F.lit(False).alias("by_action"))
-    agent = skill_edges(finding_rows).select(
-        *EDGE_KEY, F.lit(None).cast("string").alias("severity"), F.lit(None).cast("string").alias("confidence"), F.lit(False).alias("by_action")
-    )
-    acted = from_actions.select(
-        *EDGE_KEY, F.lit(None).cast("string").alias("severity"), F.lit(None).cast("string").alias("confidence"), F.lit(True).alias("by_action")
-    )
-    merged = found.unionByName(agent).unionByName(acted).groupBy(*EDGE_KEY).agg(
+    shown = [*keys, *EDGE_KEY]
+    nothing = F.lit(None).cast("string")
+    found = merge_edges(finding_rows, keys).select(*shown, "severity", "confidence", F.lit(False).alias("by_action"))
+    agent = skill_edges(finding_rows, keys).select(*shown, nothing.alias("severity"), nothing.alias("confidence"), F.lit(False).alias("by_action"))
+    acted = from_actions.select(*shown, nothing.alias("severity"), nothing.alias("confidence"), F.lit(True).alias("by_action"))
+    merged = found.unionByName(agent).unionByName(acted).groupBy(*shown).agg(
         F.bool_or("by_action").alias("by_action"), F.max("severity").alias("_s"), F.max("confidence").alias("_c")
     )
     return merged.select(
-        *EDGE_KEY,
+        *shown,
         F.when(~F.col("by_action"), F.col("_s")).alias("severity"),
         F.when(~F.col("by_action"), F.col("_c")).alias("confidence"),
         "by_action",
@@ -204,9 +203,9 @@ def nodes_of(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return ends.select(*keys, "id", kind_of(F.col("id")).alias("type"), label_of(F.col("id")).alias("label"))
 
 
-def neighbors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def neighbors(edges: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Out-edges of the given nodes (``id``)."""
-    return edges.join(nodes.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
+    return edges.join(nodes.select(*keys, F.col("id").alias("source")).distinct(), [*keys, "source"], "left_semi")
 
 
 # --------------------------------------------------------------- declarations

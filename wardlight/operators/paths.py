@@ -1,7 +1,13 @@
-"""Attack paths: bounded walks over edge tables, their identity, class, risk and proof."""
+"""Attack paths: walks over edge tables, their identity, class, risk and proof.
+
+``keys`` names the columns of one target, wherever it occurs. Equal names in two
+targets are different things: every join, grouping and identity holds within a target.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +21,9 @@ MEDIUM = vocab.SEVERITY_RANK["MEDIUM"]
 MEDIUM_CONF = vocab.CONFIDENCE_RANK["MEDIUM"]
 
 
-def ranked_edges(edges: DataFrame) -> DataFrame:
+def ranked_edges(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per edge key with numeric ranks; unknown metadata stays null."""
-    return edges.groupBy(*EDGE_KEY).agg(
+    return edges.groupBy(*keys, *EDGE_KEY).agg(
         F.max(tx.severity_rank(F.col("severity"))).alias("sev"),
         F.max(tx.confidence_rank(F.col("confidence"))).alias("conf"),
     )
@@ -36,24 +42,27 @@ def _of_type(edges: DataFrame, kind: str) -> DataFrame:
     return edges.where(F.col("type") == kind)
 
 
-def flow_walks(flows: DataFrame, origins: DataFrame, limit: int = vocab.MAX_FLOW_EDGES) -> DataFrame:
-    """All simple FLOWS_TO walks from the origins, the empty walk included, up to ``limit`` edges.
+def flow_walks(flows: DataFrame, origins: DataFrame, limit: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """All simple FLOWS_TO walks from the origins, the empty walk included; a walk visits no node twice.
 
-    ``origins``: component, origin. Each level joins on (component, last), so a
-    level is spread by its open ends; it is written out before the next one.
+    ``origins``: keys, component, origin. Each level joins on (component, last), so a
+    level is spread by its open ends; it is written out before the next one. A caller
+    may bound the edges of a walk by ``limit``; ``cut_walks`` then names what it cut.
     """
-    steps = flows.select("component", F.col("source").alias("last"), F.col("target").alias("to"), F.col("sev").alias("s"), F.col("conf").alias("c"))
+    place = [*keys, "component"]
+    steps = flows.select(*place, F.col("source").alias("last"), F.col("target").alias("to"), F.col("sev").alias("s"), F.col("conf").alias("c"))
     level = origins.select(
-        "component", "origin", F.col("origin").alias("last"), F.array("origin").alias("walk"),
+        *place, "origin", F.col("origin").alias("last"), F.array("origin").alias("walk"),
         F.lit(None).cast("int").alias("sev"), F.lit(None).cast("int").alias("conf"),
     ).distinct()
-    walks = level
-    for _ in range(limit):
+    walks, depth = level, 0
+    while limit is None or depth < limit:
+        depth += 1
         level = cut(
-            level.join(steps, ["component", "last"])
+            level.join(steps, [*place, "last"])
             .where(~F.array_contains("walk", F.col("to")))
             .select(
-                "component", "origin", F.col("to").alias("last"), F.array_append("walk", F.col("to")).alias("walk"),
+                *place, "origin", F.col("to").alias("last"), F.array_append("walk", F.col("to")).alias("walk"),
                 F.greatest("sev", "s").alias("sev"), F.greatest("conf", "c").alias("conf"),
             )
         )
@@ -63,22 +72,50 @@ def flow_walks(flows: DataFrame, origins: DataFrame, limit: int = vocab.MAX_FLOW
     return walks
 
 
-def _can_reach(flows: DataFrame, goals: DataFrame, limit: int) -> DataFrame:
-    """Nodes (component, node) from which a goal is reachable; a set, so it stays linear."""
-    back = flows.select("component", F.col("source").alias("node"), F.col("target").alias("to"))
-    known = goals.select("component", "node").distinct()
+def cut_walks(walks: DataFrame, flows: DataFrame, limit: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Walks of ``limit`` edges that a further edge would continue: keys, component, origin, walk."""
+    place = [*keys, "component"]
+    steps = flows.select(*place, F.col("source").alias("last"), F.col("target").alias("to"))
+    full = walks.where(F.size("walk") == limit + 1).join(steps, [*place, "last"])
+    return full.where(~F.array_contains("walk", F.col("to"))).select(*place, "origin", "walk").distinct()
+
+
+def _can_reach(flows: DataFrame, goals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Nodes (keys, component, node) from which a goal is reachable; a set, so it stays linear."""
+    place = [*keys, "component"]
+    back = flows.select(*place, F.col("source").alias("node"), F.col("target").alias("to"))
+    known = goals.select(*place, "node").distinct()
     fresh = known
-    for _ in range(limit):
+    while True:
         fresh = cut(
-            back.join(fresh.withColumnRenamed("node", "to"), ["component", "to"])
-            .select("component", "node")
+            back.join(fresh.withColumnRenamed("node", "to"), [*place, "to"])
+            .select(*place, "node")
             .distinct()
-            .join(known, ["component", "node"], "left_anti")
+            .join(known, [*place, "node"], "left_anti")
         )
         if fresh.isEmpty():
-            break
+            return known
         known = known.unionByName(fresh)
-    return known
+
+
+def attack_types(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, component, attack_type) of the proven attack types, without listing a path.
+
+    A component has an exfiltration path when a send is reachable from something its
+    skill reads, and a correlated execution when a skill both reads a secret and executes.
+    """
+    place = [*keys, "component"]
+    ranked = cut(ranked_edges(edges.where("type IN ('READS', 'FLOWS_TO', 'SENDS_TO', 'EXECUTES')"), keys))
+    reads, flows = read_origins(ranked), _of_type(ranked, "FLOWS_TO")
+    sends = _of_type(ranked, "SENDS_TO").where(kind_of(F.col("target")) == "ENDPOINT")
+    ends = sends.select(*place, F.col("source").alias("node"))
+    useful = _can_reach(flows, ends, keys).withColumnRenamed("node", "target")
+    leaked = reads.join(useful, [*place, "target"], "left_semi")
+    named = F.when(kind_of(F.col("target")) == "SECRET", F.lit("SECRET_EXFILTRATION")).otherwise(F.lit("DATA_EXFILTRATION"))
+    runs = _of_type(ranked, "EXECUTES").where(kind_of(F.col("target")) == "ACTION").select(*place, "source")
+    shared = reads.where(kind_of(F.col("target")) == "SECRET").join(runs, [*place, "source"], "left_semi")
+    rows = leaked.select(*place, named.alias("attack_type"))
+    return rows.unionByName(shared.select(*place, F.lit("CORRELATED_SECRET_EXECUTION").alias("attack_type"))).distinct()
 
 
 def _walk_edges(nodes: Column) -> Column:
@@ -97,22 +134,23 @@ def _no_edges() -> Column:
     return F.array().cast("array<struct<source:string,target:string,type:string>>")
 
 
-def exfiltration_paths(edges: DataFrame, limit: int = vocab.MAX_FLOW_EDGES) -> DataFrame:
+def exfiltration_paths(edges: DataFrame, limit: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """skill READS origin, origin FLOWS_TO ... , last SENDS_TO endpoint.
 
     Walks are grown only along edges that can still end at a send.
     """
-    return _exfiltration(cut(ranked_edges(edges.where("type IN ('READS', 'FLOWS_TO', 'SENDS_TO')"))), limit)
+    return _exfiltration(cut(ranked_edges(edges.where("type IN ('READS', 'FLOWS_TO', 'SENDS_TO')"), keys)), limit, keys)
 
 
-def _exfiltration(edges: DataFrame, limit: int = vocab.MAX_FLOW_EDGES) -> DataFrame:
+def _exfiltration(edges: DataFrame, limit: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    place = [*keys, "component"]
     reads, flows, sends = read_origins(edges), _of_type(edges, "FLOWS_TO"), _of_type(edges, "SENDS_TO")
-    useful = _can_reach(flows, sends.select("component", F.col("source").alias("node")), limit)
-    useful_flows = cut(flows.join(useful.withColumnRenamed("node", "target"), ["component", "target"], "left_semi"))
-    origins = reads.select("component", F.col("target").alias("node")).distinct().join(useful, ["component", "node"], "left_semi")
-    walks = flow_walks(useful_flows, origins.withColumnRenamed("node", "origin"), limit)
-    start = reads.select("component", F.col("target").alias("origin"), F.col("source").alias("skill"), F.col("sev").alias("rs"), F.col("conf").alias("rc"))
-    end = sends.select("component", F.col("source").alias("last"), F.col("target").alias("endpoint"), F.col("sev").alias("es"), F.col("conf").alias("ec"))
+    useful = _can_reach(flows, sends.select(*place, F.col("source").alias("node")), keys)
+    useful_flows = cut(flows.join(useful.withColumnRenamed("node", "target"), [*place, "target"], "left_semi"))
+    origins = reads.select(*place, F.col("target").alias("node")).distinct().join(useful, [*place, "node"], "left_semi")
+    walks = flow_walks(useful_flows, origins.withColumnRenamed("node", "origin"), limit, keys)
+    start = reads.select(*place, F.col("target").alias("origin"), F.col("source").alias("skill"), F.col("sev").alias("rs"), F.col("conf").alias("rc"))
+    end = sends.select(*place, F.col("source").alias("last"), F.col("target").alias("endpoint"), F.col("sev").alias("es"), F.col("conf").alias("ec"))
     nodes = F.concat(F.array("skill"), "walk", F.array("endpoint"))
     kind = (
         F.when(kind_of(F.col("origin")) == "SECRET", F.lit("exposure"))
@@ -120,77 +158,78 @@ def _exfiltration(edges: DataFrame, limit: int = vocab.MAX_FLOW_EDGES) -> DataFr
         .otherwise(F.lit("data"))
     )
     return (
-        walks.join(end, ["component", "last"])
-        .join(start, ["component", "origin"])
+        walks.join(end, [*place, "last"])
+        .join(start, [*place, "origin"])
         .select(
-            "component", nodes.alias("nodes"), kind.alias("kind"),
+            *place, nodes.alias("nodes"), kind.alias("kind"),
             F.greatest("sev", "rs", "es", F.lit(MEDIUM)).alias("sev"),
             F.greatest("conf", "rc", "ec", F.lit(MEDIUM_CONF)).alias("conf"),
         )
-        .select("component", "nodes", _walk_edges(F.col("nodes")).alias("edges"), _no_edges().alias("associated_edges"), "sev", "conf", "kind")
+        .select(*place, "nodes", _walk_edges(F.col("nodes")).alias("edges"), _no_edges().alias("associated_edges"), "sev", "conf", "kind")
     )
 
 
-def correlation_paths(edges: DataFrame) -> DataFrame:
+def correlation_paths(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """A skill that reads a secret and executes an action; the read is associated, not walked."""
-    return _correlation(ranked_edges(edges.where("type IN ('READS', 'EXECUTES')")))
+    return _correlation(ranked_edges(edges.where("type IN ('READS', 'EXECUTES')"), keys), keys)
 
 
-def _correlation(edges: DataFrame) -> DataFrame:
+def _correlation(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    place = [*keys, "component"]
     secrets = read_origins(edges).where(kind_of(F.col("target")) == "SECRET").select(
-        "component", F.col("source").alias("skill"), F.col("target").alias("secret"), F.col("sev").alias("s1"), F.col("conf").alias("c1")
+        *place, F.col("source").alias("skill"), F.col("target").alias("secret"), F.col("sev").alias("s1"), F.col("conf").alias("c1")
     )
     runs = _of_type(edges, "EXECUTES").select(
-        "component", F.col("source").alias("skill"), F.col("target").alias("action"), F.col("sev").alias("s2"), F.col("conf").alias("c2")
+        *place, F.col("source").alias("skill"), F.col("target").alias("action"), F.col("sev").alias("s2"), F.col("conf").alias("c2")
     )
 
     def edge(target: str, kind: str) -> Column:
         return F.array(F.struct(F.col("skill").alias("source"), F.col(target).alias("target"), F.lit(kind).alias("type")))
 
-    return secrets.join(runs, ["component", "skill"]).select(
-        "component", F.array("skill", "action").alias("nodes"), edge("action", "EXECUTES").alias("edges"),
+    return secrets.join(runs, [*place, "skill"]).select(
+        *place, F.array("skill", "action").alias("nodes"), edge("action", "EXECUTES").alias("edges"),
         edge("secret", "READS").alias("associated_edges"),
         F.greatest("s1", "s2", F.lit(MEDIUM)).alias("sev"), F.greatest("c1", "c2", F.lit(MEDIUM_CONF)).alias("conf"),
         F.lit("execution").alias("kind"),
     )
 
 
-def handoff_heads(edges: DataFrame) -> DataFrame:
+def handoff_heads(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Skills that hand off but are never handed to."""
     hand = _of_type(edges, "HANDOFF")
-    return hand.select("source").distinct().join(hand.select(F.col("target").alias("source")).distinct(), "source", "left_anti")
+    given = hand.select(*keys, F.col("target").alias("source")).distinct()
+    return hand.select(*keys, "source").distinct().join(given, [*keys, "source"], "left_anti")
 
 
-def handoff_paths(edges: DataFrame) -> DataFrame:
-    """Maximal simple HANDOFF walks over the merged graph, from every head.
+def handoff_paths(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Maximal simple HANDOFF walks over the merged graph of a target, from every head.
 
     One left join per level tells walks that go on from walks that end; the
     cycle guard is part of the join condition, so a walk whose every successor
     was visited ends too.
     """
-    return _handoffs(ranked_edges(_of_type(edges, "HANDOFF")))
+    return _handoffs(ranked_edges(_of_type(edges, "HANDOFF"), keys), keys)
 
 
-def _handoffs(edges: DataFrame) -> DataFrame:
+def _handoffs(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     hand = cut(
-        _of_type(edges, "HANDOFF").groupBy("source", "target").agg(F.max("sev").alias("s"), F.max("conf").alias("c"))
+        _of_type(edges, "HANDOFF").groupBy(*keys, "source", "target").agg(F.max("sev").alias("s"), F.max("conf").alias("c"))
     )
-    heads = hand.select("source").distinct().join(hand.select(F.col("target").alias("source")).distinct(), "source", "left_anti")
-    level = heads.select(
-        F.col("source").alias("last"), F.array("source").alias("nodes"),
+    level = handoff_heads(hand.withColumn("type", F.lit("HANDOFF")), keys).select(
+        *keys, F.col("source").alias("last"), F.array("source").alias("nodes"),
         F.lit(MEDIUM).alias("sev"), F.lit(MEDIUM_CONF).alias("conf"),
     )
+    kept = [F.col(f"w.{k}").alias(k) for k in keys]
     ended = None
     while True:
-        tried = cut(
-            level.alias("w")
-            .join(hand.alias("h"), (F.col("w.last") == F.col("h.source")) & ~F.array_contains(F.col("w.nodes"), F.col("h.target")), "left")
-            .select("w.nodes", "w.sev", "w.conf", "h.target", "h.s", "h.c")
-        )
-        leaves = tried.where("target IS NULL").select("nodes", "sev", "conf")
+        goes_on = (F.col("w.last") == F.col("h.source")) & ~F.array_contains(F.col("w.nodes"), F.col("h.target"))
+        for k in keys:
+            goes_on = goes_on & F.col(f"w.{k}").eqNullSafe(F.col(f"h.{k}"))
+        tried = cut(level.alias("w").join(hand.alias("h"), goes_on, "left").select(*kept, "w.nodes", "w.sev", "w.conf", "h.target", "h.s", "h.c"))
+        leaves = tried.where("target IS NULL").select(*keys, "nodes", "sev", "conf")
         ended = leaves if ended is None else ended.unionByName(leaves)
         level = tried.where("target IS NOT NULL").select(
-            F.col("target").alias("last"), F.array_append("nodes", F.col("target")).alias("nodes"),
+            *keys, F.col("target").alias("last"), F.array_append("nodes", F.col("target")).alias("nodes"),
             F.greatest("sev", "s").alias("sev"), F.greatest("conf", "c").alias("conf"),
         )
         if level.isEmpty():
@@ -200,7 +239,7 @@ def _handoffs(edges: DataFrame) -> DataFrame:
         lambda i: F.struct(F.get("nodes", i).alias("source"), F.get("nodes", i + 1).alias("target"), F.lit("HANDOFF").alias("type")),
     )
     return ended.where(F.size("nodes") > 1).select(
-        label_of(F.get("nodes", F.lit(0))).alias("component"), "nodes", walked.alias("edges"), _no_edges().alias("associated_edges"),
+        *keys, label_of(F.get("nodes", F.lit(0))).alias("component"), "nodes", walked.alias("edges"), _no_edges().alias("associated_edges"),
         "sev", "conf", F.lit("handoff").alias("kind"),
     )
 
@@ -320,11 +359,12 @@ def assess(paths: DataFrame) -> DataFrame:
 
 
 def describe(paths: DataFrame) -> DataFrame:
-    """Title and composition: the components a walk crosses, listed when there are several."""
+    """Title, description and composition: the components a walk crosses, listed when there are several."""
     comps = F.array_distinct(F.transform(F.filter("nodes", lambda n: kind_of(n) == "SKILL"), label_of))
     several = F.size("_comps") > 1
     return (
         paths.withColumn("title", tx.map_lookup(F.col("kind"), vocab.PATH_TITLES))
+        .withColumn("description", F.concat(F.get("nodes", F.lit(0)), F.lit(" gets to "), tx.last(F.col("nodes")), F.lit(" in "), (F.size("nodes") - 1).cast("string"), F.lit(" steps.")))
         .withColumn("_comps", comps)
         .withColumn("component_ids", F.when(several, F.col("_comps")).otherwise(F.array().cast("array<string>")))
         .withColumn("is_composed", several)
@@ -332,79 +372,92 @@ def describe(paths: DataFrame) -> DataFrame:
     )
 
 
-def finalize(paths: DataFrame) -> DataFrame:
-    """Identity, one row per identity, class, risk and wording."""
+def finalize(paths: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Identity, one row per target and identity, class, risk and wording.
+
+    Rows of one identity keep the strongest ranks and the first component and kind by name.
+    """
     named = paths.withColumn("path_id", path_id(F.col("nodes"), F.col("edges"), F.col("associated_edges")))
-    return describe(assess(classify(named.dropDuplicates(["path_id"]))))
+    one = named.groupBy(*keys, "path_id").agg(
+        F.min("component").alias("component"), *[F.first(c).alias(c) for c in ("nodes", "edges", "associated_edges")],
+        F.max("sev").alias("sev"), F.max("conf").alias("conf"), F.min("kind").alias("kind"),
+    )
+    return describe(assess(classify(one)))
 
 
-def analyze(edges: DataFrame) -> DataFrame:
-    """Every path of every component plus the hand-off walks of the merged graph."""
-    ranked = cut(ranked_edges(edges))
-    found = _exfiltration(ranked).unionByName(_correlation(ranked)).unionByName(_handoffs(ranked))
-    return finalize(found.select(*PATH_COLUMNS))
+def analyze(edges: DataFrame, keys: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """Every path of every component plus the hand-off walks of each target's merged graph."""
+    ranked = cut(ranked_edges(edges, keys))
+    found = _exfiltration(ranked, limit, keys).unionByName(_correlation(ranked, keys)).unionByName(_handoffs(ranked, keys))
+    return finalize(found.select(*keys, *PATH_COLUMNS), keys)
 
 
 # ----------------------------------------------------------- parts of a path
 
 
-def path_edges(paths: DataFrame) -> DataFrame:
-    """One row per edge on a path: walk edges in order, then associated ones."""
-    walk = paths.select("path_id", F.posexplode("edges").alias("pos", "e")).select("path_id", "pos", F.lit(False).alias("associated"), "e.*")
-    more = paths.select("path_id", F.posexplode(F.array_sort("associated_edges")).alias("pos", "e")).select(
-        "path_id", "pos", F.lit(True).alias("associated"), "e.*"
+def path_edges(paths: DataFrame, keys: Sequence[str] = (), *more: str) -> DataFrame:
+    """One row per edge on a path: walk edges in order, then associated ones; ``more`` columns of the path stay."""
+    kept = [*keys, "path_id", *more]
+    walk = paths.select(*kept, F.posexplode("edges").alias("pos", "e")).select(*kept, "pos", F.lit(False).alias("associated"), "e.*")
+    others = paths.select(*kept, F.posexplode(F.array_sort("associated_edges")).alias("pos", "e")).select(
+        *kept, "pos", F.lit(True).alias("associated"), "e.*"
     )
-    return walk.unionByName(more)
+    return walk.unionByName(others)
 
 
-def breakpoints(paths: DataFrame) -> DataFrame:
+def breakpoints(paths: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Edges whose removal interrupts a proven path, in walk order."""
     kind, edge_type = F.col("attack_type"), F.col("type")
     exfil = kind.isin("SECRET_EXFILTRATION", "DATA_EXFILTRATION") & ~F.col("associated") & edge_type.isin(list(vocab.BREAKPOINTS))
     shared = (kind == "CORRELATED_SECRET_EXECUTION") & (
         (~F.col("associated") & (edge_type == "EXECUTES")) | (F.col("associated") & (edge_type == "READS"))
     )
-    rows = path_edges(paths).join(paths.select("path_id", "attack_type"), "path_id")
-    return rows.where(exfil | shared).select(
-        "path_id", "associated", "pos", "source", "target", "type",
+    return path_edges(paths, keys, "attack_type").where(exfil | shared).select(
+        *keys, "path_id", "associated", "pos", "source", "target", "type",
         tx.map_lookup(edge_type, {k: v[0] for k, v in vocab.BREAKPOINTS.items()}).alias("impact"),
         tx.map_lookup(edge_type, {k: v[1] for k, v in vocab.BREAKPOINTS.items()}).alias("reason"),
     )
 
 
-def edge_provenance(paths: DataFrame, edges: DataFrame) -> DataFrame:
+def edge_provenance(paths: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Components that really built each edge of a path: distinct rows.
 
     A local path is judged in its own component only, so the component is part
     of the join key; an edge that many components share meets none of the
-    others. Only composed paths look over all components.
+    others. Only composed paths look over all components of their target.
     """
-    owners = edges.where("component <> '<unknown>'").select("source", "target", "type", F.col("component").alias("owner")).distinct()
-    on_path = path_edges(paths).join(paths.select("path_id", "is_composed", "component"), "path_id")
-    key = ["source", "target", "type"]
-    shown = ["path_id", "associated", "pos", *key, "owner"]
+    owners = edges.where("component <> '<unknown>'").select(*keys, "source", "target", "type", F.col("component").alias("owner")).distinct()
+    on_path = path_edges(paths, keys, "is_composed", "component")
+    key = [*keys, "source", "target", "type"]
+    shown = [*keys, "path_id", "associated", "pos", "source", "target", "type", "owner"]
     local = on_path.where("NOT is_composed").withColumnRenamed("component", "owner").join(owners, [*key, "owner"], "left_semi")
     composed = on_path.where("is_composed").join(owners, key)
     return local.select(*shown).unionByName(composed.select(*shown)).distinct()
 
 
-def node_provenance(provenance: DataFrame) -> DataFrame:
+def node_provenance(provenance: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Components per node of a path, from the edges that touch it."""
-    return provenance.select("path_id", F.explode(F.array("source", "target")).alias("node"), "owner").distinct()
+    return provenance.select(*keys, "path_id", F.explode(F.array("source", "target")).alias("node"), "owner").distinct()
 
 
-def entry_files(paths: DataFrame, files: DataFrame) -> DataFrame:
+def entry_files(paths: DataFrame, files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The file behind the entry of a path, when it is a skill that was read."""
-    read = files.select(F.col("path").alias("file")).distinct()
-    entry = paths.where(kind_of(F.col("entry_node")) == "SKILL").select("path_id", label_of(F.col("entry_node")).alias("file"))
-    return entry.join(read, "file").select("path_id", "file")
+    read = files.select(*keys, F.col("path").alias("file")).distinct()
+    entry = paths.where(kind_of(F.col("entry_node")) == "SKILL").select(*keys, "path_id", label_of(F.col("entry_node")).alias("file"))
+    return entry.join(read, [*keys, "file"]).select(*keys, "path_id", "file")
 
 
-def context_on_path(paths: DataFrame, context: DataFrame) -> DataFrame:
-    """Declared component context whose edge lies on the path."""
-    on = path_edges(paths).select("path_id", "source", "target", "type").distinct()
-    return on.join(context.withColumnRenamed("edge_type", "type"), ["source", "target", "type"]).select(
-        "path_id", "component_id", "component_type", "source", F.col("type").alias("edge_type"), "target", "assoc_source"
+def context_on_path(paths: DataFrame, context: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Declared component context whose edge lies on the path.
+
+    An association names an edge of one component, and only local paths hold such
+    edges (hand-offs are no behaviour), so the component is part of the key: a component
+    takes no part in paths of others that merely share names.
+    """
+    on = path_edges(paths, keys, "component").select(*keys, "path_id", "component", "source", "target", "type").distinct()
+    told = context.withColumnRenamed("edge_type", "type")
+    return on.join(told, [*keys, "component", "source", "target", "type"]).select(
+        *keys, "path_id", "component_id", "component_type", "source", F.col("type").alias("edge_type"), "target", "assoc_source"
     )
 
 
@@ -433,20 +486,24 @@ def _breakpoint_words() -> Column:
     return F.transform(chosen, words)
 
 
-def explain(paths: DataFrame, policies: DataFrame, provenance: DataFrame) -> DataFrame:
+def explain(paths: DataFrame, policies: DataFrame, provenance: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Structured explanation read off the finished path.
 
-    ``policies``: path_id, policy_ids. ``provenance``: path_id, owner (the
-    components that built the edges of the path, as many as the walk has).
+    ``policies``: path_id, policy_ids. ``provenance``: path_id, owner, the components
+    that built the edges. A local path lists its own component; a composed one names
+    the components it crosses, and all owners of its edges stay rows of ``provenance``.
     """
     impact = F.concat(
         F.lit("Severity "), "risk_severity", F.lit(", confidence "), "risk_confidence",
         F.lit(", risk score "), F.col("risk_score").cast("string"), F.lit("."),
     )
-    owners = provenance.groupBy("path_id").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
+    own = [*keys, "path_id"]
+    crossed = paths.select(*own, F.explode(F.array_distinct(F.concat(F.array("component"), "component_ids"))).alias("owner"))
+    owners = provenance.select(*own, "owner").distinct().join(crossed, [*own, "owner"], "left_semi")
+    owners = owners.groupBy(*own).agg(F.array_sort(F.collect_set("owner")).alias("owners"))
     none = F.array().cast("array<string>")
-    return paths.join(policies, "path_id", "left").join(owners, "path_id", "left").select(
-        "path_id",
+    return paths.join(policies, own, "left").join(owners, own, "left").select(
+        *own,
         F.struct(
             tx.map_lookup(F.col("attack_type"), vocab.SUMMARIES).alias("summary"),
             F.nullif("entry_node", F.lit("")).alias("entry"),

@@ -38,14 +38,21 @@ def evaluate(paths: DataFrame, enabled: Sequence[str] | None = None) -> DataFram
     )
 
 
-def associate(paths: DataFrame, results: DataFrame) -> DataFrame:
+def associate(paths: DataFrame, results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Sorted ids of the policies each path violates (at most one per policy)."""
-    hits = results.where("violated").groupBy("path_id").agg(F.array_sort(F.collect_set("policy_id")).alias("policy_ids"))
-    return paths.select("path_id").join(hits, "path_id", "left").select(
-        "path_id", F.coalesce("policy_ids", F.array().cast("array<string>")).alias("policy_ids")
+    own = [*keys, "path_id"]
+    hits = results.where("violated").groupBy(*own).agg(F.array_sort(F.collect_set("policy_id")).alias("policy_ids"))
+    return paths.select(*own).join(hits, own, "left").select(
+        *own, F.coalesce("policy_ids", F.array().cast("array<string>")).alias("policy_ids")
     )
 
 
+def violated_types(types: DataFrame, enabled: Sequence[str] | None = None) -> DataFrame:
+    """(keys, attack_type) rows as (keys, violated): what a verdict needs, without a path."""
+    triggers = [t for i, t, *_ in vocab.POLICIES if enabled is None or i in enabled]
+    return types.withColumn("violated", F.col("attack_type").isin(triggers)).drop("attack_type")
+
+
 def status(results: DataFrame, coverage: DataFrame, keys: Sequence[str]) -> DataFrame:
     """FAIL when anything is violated, PASS only with full coverage, else UNKNOWN."""
     failed = results.groupBy(*keys).agg(F.bool_or("violated").alias("failed"))

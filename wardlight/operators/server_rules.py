@@ -28,16 +28,22 @@ def read_servers(docs: DataFrame) -> DataFrame:
     keys = ", ".join(f"{k} string" for k in rc.SERVER_KEYS)
     top = F.from_json(F.col("text"), keys)
     maps = F.coalesce(*[F.when(F.ltrim(F.col(f"_top.{k}")).startswith("{"), F.col(f"_top.{k}")) for k in rc.SERVER_KEYS])
+
+    def placed(entry: Column) -> Column:
+        has_name = F.transform(F.col("_lines"), lambda line: line.contains(entry["key"]))
+        return F.struct(entry["key"].alias("server"), entry["value"].alias("_cfg"), F.array_position(has_name, True).cast("int").alias("_at"))
+
     rows = (
         docs.where(is_config(F.col("path")))
         .withColumn("_top", top)
         .withColumn("_map", F.from_json(maps, "map<string,string>"))
-        .select(*kept, "text", F.explode("_map").alias("server", "_cfg"))
+        .withColumn("_lines", tx.split_lines(F.col("text")))  # once a document, not once a server
+        .select(*kept, F.explode(F.transform(F.map_entries("_map"), placed)).alias("e"))
+        .select(*kept, "e.*")
         .where(F.ltrim("_cfg").startswith("{"))
         .withColumn("c", F.from_json("_cfg", "command string, args string, env string, url string, type string, transport string"))
     )
-    has_name = F.transform(tx.split_lines(F.col("text")), lambda l: l.contains(F.col("server")))
-    at = F.array_position(has_name, True).cast("int")
+    at = F.col("_at")
     return rows.select(
         *kept, "server", "c.command",
         F.when(F.ltrim("c.args").startswith("["), F.from_json("c.args", STRINGS)).alias("args"),
@@ -59,14 +65,18 @@ def _args() -> Column:
     return F.coalesce("args", F.array().cast(STRINGS))
 
 
-def shell_line() -> Column:
-    """The command line when a shell hides what it runs, else null."""
+def _shown(text: Column, shown: int | None) -> Column:
+    return text if shown is None else F.when(F.length(text) > shown, F.concat(F.left(text, F.lit(shown - 3)), F.lit("..."))).otherwise(text)
+
+
+def shell_line(shown: int | None = None) -> Column:
+    """The command line when a shell hides what it runs, else null; whole unless a caller bounds it."""
     cmd, args = _command(), _args()
     line = F.when(F.size(args) > 0, F.concat_ws(" ", cmd, _joined(args))).otherwise(cmd)
     meta = rc.SHELL_METACHAR
     inline = F.exists(args, lambda a: a.isin(rc.SHELL_INLINE_FLAGS) | a.startswith("--command="))
     wrapped = cmd.rlike(meta) | (tx.has(cmd, rc.SHELL_BINARY, fold=True) & (inline | line.rlike(meta)))
-    return F.when((cmd != "") & wrapped, F.when(F.length(line) > 160, F.concat(F.left(line, F.lit(157)), F.lit("..."))).otherwise(line))
+    return F.when((cmd != "") & wrapped, _shown(line, shown))
 
 
 def _is_runner() -> Column:
@@ -102,8 +112,11 @@ def broad_paths() -> Column:
     return F.array_compact(F.transform(_args(), reason))
 
 
-def server_findings(servers: DataFrame) -> DataFrame:
-    """One row per finding; a server yields several, a secret variable one each."""
+def server_findings(servers: DataFrame, shown: int | None = None) -> DataFrame:
+    """One row per finding; a server yields several, a secret variable one each.
+
+    Evidence holds whole command lines; ``shown`` bounds them for display.
+    """
     kept = [c for c in servers.columns if c not in ("server", "command", "args", "env", "url", "type", "transport")]
     url, env = F.coalesce("url", F.lit("")), F.coalesce("env", F.create_map().cast("map<string,string>"))
     names = F.array_sort(F.map_keys(env))
@@ -118,7 +131,7 @@ def server_findings(servers: DataFrame) -> DataFrame:
         )
 
     stages = (
-        servers.withColumn("_shell", shell_line())
+        servers.withColumn("_shell", shell_line(shown))
         .withColumn("_bare", bare_packages())
         .withColumn("_broad", broad_paths())
         .withColumn("_runner", _is_runner())
@@ -146,7 +159,7 @@ def server_findings(servers: DataFrame) -> DataFrame:
             "AS-MCP-007", F.concat(F.lit("Broad path in args: "), F.array_join(broad, "; ")),
             F.when(F.col("_runner"), F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
         )),
-        F.when(tx.has(joined, rc.SUSPICIOUS_ARGS, fold=True), finding("AS-MCP-008", F.concat(F.lit("Suspicious args: "), F.left(joined, F.lit(120))))),
+        F.when(tx.has(joined, rc.SUSPICIOUS_ARGS, fold=True), finding("AS-MCP-008", F.concat(F.lit("Suspicious args: "), _shown(joined, shown)))),
         F.when(tx.has(url, rc.REMOTE_EXEC, fold=True), finding("AS-MCP-009", F.concat(F.lit("Remote executable URL: "), url))),
         F.when(nothing, finding("AS-MCP-010", F.lit("No command/url/type specified"))),
     ))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -215,84 +218,79 @@ def find_download_execute(steps: DataFrame, keys: Sequence[str], span: int = voc
     return by_word.unionByName(free).groupBy(*keys).agg(best.alias("m")).select(*keys, "m.*")
 
 
+def _trace(steps) -> tuple | None:
+    """(object, sink idx, sink line, line of the earliest producer) of one group's steps, or None.
+
+    An object is ready at the smallest, over its derivations, of the largest step index used:
+    a shortest-path search with maxima for sums. Then backwards from the first sink.
+    """
+    ready: dict[str, tuple[int, int]] = {}
+    follow: dict[str, dict[str, int]] = {}
+    before: dict[str, dict[str, int]] = {}
+    for s in steps:
+        if s["category"] in ("SOURCE", "SENSITIVE"):
+            ready[s["object"]] = min(ready.get(s["object"], (s["idx"], s["line"])), (s["idx"], s["line"]))
+        elif s["category"] == "TRANSFORM" and s["output"]:
+            step = min(follow.get(s["object"], {}).get(s["output"], s["idx"]), s["idx"])
+            follow.setdefault(s["object"], {})[s["output"]] = step
+            before.setdefault(s["output"], {})[s["object"]] = step
+    settled: dict[str, int] = {}
+    heap = [(at, name) for name, (at, _) in ready.items()]
+    heapq.heapify(heap)
+    while heap:
+        at, name = heapq.heappop(heap)
+        if name in settled:
+            continue
+        settled[name] = at
+        for output, step in follow.get(name, {}).items():
+            if output not in settled:
+                heapq.heappush(heap, (max(at, step), output))
+    sinks = [
+        (s["idx"], s["line"], s["object"]) for s in steps
+        if s["category"] == "NETWORK" and s["destination"] is not None and s["object"] in settled and settled[s["object"]] < s["idx"]
+    ]
+    if not sinks:
+        return None
+    idx, line, name = min(sinks)
+    seen, stack = {name}, [name]
+    while stack:
+        for source, step in before.get(stack.pop(), {}).items():
+            if step < idx and source not in seen:
+                seen.add(source)
+                stack.append(source)
+    return name, idx, line, min(ready[n][1] for n in seen if n in ready and ready[n][0] < idx)
+
+
+def _traced(groups: pd.Series) -> pd.DataFrame:
+    found = [_trace(steps) or (None, None, None, None) for steps in groups]
+    out = pd.DataFrame(found, columns=["object", "sink_idx", "last_line", "first_line"])
+    return out.astype({"sink_idx": "Int64", "last_line": "Int32", "first_line": "Int32"})
+
+
 def find_source_sink(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """First network action per group whose object stems from an earlier source.
 
-    An object is reachable at the smallest, over its derivations, of the
-    largest step index used. That number is relaxed until nothing improves, so
-    the loop carries one row per object, never a derivation path.
+    Derivations never leave a document, and a document is one row of the input, so its
+    steps meet as one list: no rounds, one shuffle. Groups without a source or a sink, and
+    steps that can take no part, are left out first.
     Returns object, sink idx and line, and the line of the earliest producer.
     """
-    named = cut(
-        steps.where("object <> '' AND category IN ('SOURCE', 'SENSITIVE', 'TRANSFORM', 'NETWORK')").select(
-            *keys, *ACTION_COLUMNS
-        )
-    )
-    produced = (
-        named.where("category IN ('SOURCE', 'SENSITIVE')")
-        .groupBy(*keys, "object")
-        .agg(F.min("idx").alias("ready"), F.min_by("line", "idx").alias("made_at"))
-    )
-    derived = (
-        named.where("category = 'TRANSFORM' AND output <> ''")
-        .groupBy(*keys, F.col("object").alias("input"), F.col("output").alias("object"))
-        .agg(F.min("idx").alias("step"))
-    )
-    derived = cut(derived)
-    settled = produced.select(*keys, "object", "ready")
-    frontier = settled
-    while True:
-        reached = (
-            frontier.withColumnRenamed("object", "input")
-            .join(derived, [*keys, "input"])
-            .groupBy(*keys, "object")
-            .agg(F.min(F.greatest("ready", "step")).alias("ready"))
-        )
-        known = settled.withColumnRenamed("ready", "known")
-        frontier = cut(
-            reached.join(known, [*keys, "object"], "left")
-            .where("known IS NULL OR ready < known")
-            .select(*keys, "object", "ready")
-        )
-        if frontier.isEmpty():
-            break
-        settled = settled.unionByName(frontier).groupBy(*keys, "object").agg(F.min("ready").alias("ready"))
-    sinks = named.where("category = 'NETWORK' AND destination IS NOT NULL").select(*keys, "object", "idx", "line")
-    first = cut(
-        sinks.join(settled, [*keys, "object"])
-        .where("ready < idx")
-        .groupBy(*keys)
-        .agg(F.min(F.struct("idx", "line", "object")).alias("m"))
-        .select(*keys, "m.*")
-    )
-    # backwards from the one sink of each group, over steps before it
-    visited = first.select(*keys, F.col("idx").alias("sink"), "object")
-    frontier = visited
-    while True:
-        step_back = (
-            frontier.join(derived, [*keys, "object"])
-            .where("step < sink")
-            .select(*keys, "sink", F.col("input").alias("object"))
-            .distinct()
-        )
-        frontier = cut(step_back.join(visited, [*keys, "sink", "object"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier)
-    start = (
-        visited.join(produced, [*keys, "object"])
-        .where("ready < sink")
-        .groupBy(*keys)
-        .agg(F.min("made_at").alias("first_line"))
-    )
-    return first.join(start, list(keys)).select(
-        *keys, "object", F.col("idx").alias("sink_idx"), F.col("line").alias("last_line"), "first_line"
-    )
+    named = steps.where("object <> '' AND category IN ('SOURCE', 'SENSITIVE', 'TRANSFORM', 'NETWORK')").where(
+        "category <> 'TRANSFORM' OR output <> ''"
+    ).where("category <> 'NETWORK' OR destination IS NOT NULL")
+    made, sent = F.col("category").isin("SOURCE", "SENSITIVE"), F.col("category") == "NETWORK"
+    item = F.struct("idx", F.col("line").cast("int").alias("line"), "category", "object", "destination", "output")
+    groups = named.groupBy(*keys).agg(F.bool_or(made).alias("made"), F.bool_or(sent).alias("sent"), F.collect_list(item).alias("steps"))
+    traced = F.pandas_udf(_traced, "struct<object:string,sink_idx:long,last_line:int,first_line:int>")
+    return groups.where("made AND sent").select(*keys, traced("steps").alias("t")).where("t.object IS NOT NULL").select(*keys, "t.*")
 
 
 def file_chains(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Chain findings of single documents: rule, severity, title, evidence, first and last line."""
-    steps = cut(steps.select(*keys, *ACTION_COLUMNS))
+    """Chain findings of single documents: rule, severity, title, evidence, first and last line.
+
+    ``steps`` is read three times and should be written down.
+    """
+    steps = steps.select(*keys, *ACTION_COLUMNS)
     exfil = find_sequence(steps, keys, ["SOURCE", "SENSITIVE", "NETWORK"])
     fetch = find_download_execute(steps, keys)
     sink = find_source_sink(steps, keys)

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlight.operators import correlate as co
 from wardlight.operators import document_rules as dr
 from wardlight.operators import line_rules as lr
 from wardlight.operators import rule_catalog as rc
@@ -15,6 +16,7 @@ from wardlight.plans import carriers
 from wardlight.plans.carriers import DOCS_SQL, LINES_SQL
 from wardlight.plans.q_rules import CALL, LIVE_OBJECT, OTHER, rule_select
 from wardlight.plans.sqltext import every, live, m, q
+from wardlight.session import cut
 from wardlight.sources.corpus import read_texts
 
 
@@ -49,7 +51,7 @@ def _http_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def collapsed(spark: SparkSession, folder: str) -> DataFrame:
-    return dr.collapse_http_claims(_http_findings(spark, folder), "doc_id").select("doc_id", "line", "rule", "matched_text")
+    return dr.collapse_http_claims(cut(_http_findings(spark, folder)), ["doc_id"]).select("doc_id", "line", "rule", "matched_text")
 
 
 # -------------------------------------------------------- server configurations
@@ -110,6 +112,24 @@ def server_findings(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
+def remote_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """Configurations of twelve targets: a remote endpoint and a dynamic runner in one target make a chain."""
+    found = sr.server_findings(sr.read_servers(config_documents(spark, folder)))
+    rows = found.select((F.col("doc_id") % 12).alias("target"), "path", "line", F.substring("rule_id", -3, 3).cast("int").alias("rule_order"), "rule_id", "severity")
+    odd = rows.where("target <> 5 OR rule_id <> 'AS-MCP-004'").where("target <> 7 OR rule_id NOT IN ('AS-MCP-006', 'AS-MCP-007')")
+    parts = cut(co.contributors(odd, ["target"], "path", ["line", "rule_order"]))
+    told = co.chain_findings(parts, ["target"], "path")
+    return told.select("target", "rule_id", "severity", "title", F.size(F.split("evidence", ", ")).alias("places"))
+
+
+def chain_rows_remote(spark: SparkSession, folder: str) -> DataFrame:
+    """The same targets, contributor by contributor."""
+    found = sr.server_findings(sr.read_servers(config_documents(spark, folder)))
+    rows = found.select((F.col("doc_id") % 12).alias("target"), "path", "line", F.substring("rule_id", -3, 3).cast("int").alias("rule_order"), "rule_id", "severity")
+    odd = rows.where("target <> 5 OR rule_id <> 'AS-MCP-004'")
+    return co.contributors(odd, ["target"], "path", ["line", "rule_order"]).select("target", "path", "chain", "rule_id", "severity", "line")
+
+
 # ------------------------------------------------------------------ SQL twins
 ASSIGN = r"(?m)^[ \t]*((?:[A-Za-z_]\w*\.)*[A-Za-z_]\w*)[ \t]*(?::[^=\n]+)?=[ \t]*" + rc.SESSION_CTOR + r"[ \t]*\("
 WITH_AS = r"(?s)\bwith\b[^\n:]*?" + rc.SESSION_CTOR + r"[ \t]*\((?:[^()]|\([^()]*\))*\)[ \t]*as[ \t]+([A-Za-z_]\w*)"
@@ -159,7 +179,7 @@ SERVER_WHERE = {
     "AS-MCP-005": ("len(env) > 0", "'Environment variables: ' || array_to_string(env, ', ')", None),
     "AS-MCP-006": ("secret IS NOT NULL", "'Secret-like env var: ' || secret", None),
     "AS-MCP-007": ("len(broad) > 0", "'Broad path in args: ' || array_to_string(broad, '; ')", "CASE WHEN runner THEN 'HIGH' ELSE 'MEDIUM' END"),
-    "AS-MCP-008": (m("argline", rc.SUSPICIOUS_ARGS, True), "'Suspicious args: ' || left(argline, 120)", None),
+    "AS-MCP-008": (m("argline", rc.SUSPICIOUS_ARGS, True), "'Suspicious args: ' || argline", None),
     "AS-MCP-009": (m("url", rc.REMOTE_EXEC, True), "'Remote executable URL: ' || url", None),
     "AS-MCP-010": ("cmd = '' AND url = ''", "'No command/url/type specified'", None),
 }
@@ -194,6 +214,8 @@ QUERIES = {
     "collapse_http_claims": collapsed,
     "read_server_configs": servers,
     "server_findings": server_findings,
+    "chain_remote_mcp": remote_chains,
+    "chain_remote_contributors": chain_rows_remote,
 }
 QUERIES |= {f"server_{r[-3:]}_{t.split()[0].lower()}": server_rule(r) for r, (_, t) in rc.SERVER_RULES.items()}
 ORACLES = {
@@ -210,3 +232,14 @@ ORACLES |= {
     f"server_{r[-3:]}_{t.split()[0].lower()}": f"WITH {SERVERS} SELECT doc_id, line, severity, title, evidence FROM ({_server_sql(r)})"
     for r, (_, t) in rc.SERVER_RULES.items()
 }
+_CHAINED = "('AS-MCP-001', 'AS-MCP-004', 'AS-MCP-006', 'AS-MCP-007')"
+REMOTE = f"""{SERVERS}, f AS ({" UNION ALL ".join(_server_sql(r) for r in SERVER_WHERE)}),
+r AS (SELECT doc_id % 12 AS target, 'cfg/' || doc_id || '/mcp.json' AS path, rule_id, severity, line FROM f WHERE doc_id % 12 <> 5 OR rule_id <> 'AS-MCP-004'),
+ready AS (SELECT target FROM r GROUP BY target HAVING bool_or(rule_id = 'AS-MCP-001') AND bool_or(rule_id = 'AS-MCP-004'))"""
+ORACLES |= {
+    "chain_remote_mcp": f"""WITH {REMOTE}, s AS (SELECT * FROM r WHERE target <> 7 OR rule_id NOT IN ('AS-MCP-006', 'AS-MCP-007'))
+        SELECT target, 'AS-CHAIN-003' AS rule_id, CASE WHEN bool_or(rule_id IN ('AS-MCP-006', 'AS-MCP-007')) THEN 'CRITICAL' ELSE 'HIGH' END AS severity,
+        'High-risk remote MCP execution chain' AS title, CAST(count(DISTINCT path) AS INTEGER) AS places FROM s WHERE target IN (SELECT target FROM ready) AND rule_id IN {_CHAINED} GROUP BY target""",
+    "chain_remote_contributors": f"""WITH {REMOTE} SELECT target, path, 'AS-CHAIN-003' AS chain, rule_id, severity, line FROM r
+        WHERE target IN (SELECT target FROM ready) AND rule_id IN {_CHAINED}""",
+}

@@ -96,13 +96,28 @@ def declaration_violations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def declared_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Containment declared twice over, one region already in the graph."""
-    _, _, rels = _declared(spark, folder)
-    good = rels.where("edge_type = 'CONTAINS'")
+    """All relationships declared twice over, one region already in the graph."""
+    _, _, good = _declared(spark, folder)
     have = good.where("source_id = 'AGENT:ASIA'").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.col("edge_type").alias("type"))
     return gr.apply_declarations(have, good.unionByName(good))
 
 
+def declared_handoffs(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as transfers of control between nations; each market segment is a target."""
+    rows = read_table(spark, folder, "customer").select(
+        F.col("c_mktsegment").alias("target_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("component"),
+        F.concat(F.lit("n"), (F.col("c_custkey") % 25).cast("string")).alias("to"),
+    )
+    return gr.handoff_edges(rows, ["target_id"])
+
+
+def handoff_heads_by_target(spark: SparkSession, folder: str) -> DataFrame:
+    """Heads of declared transfers that only lead to later nations, per market segment."""
+    edges = declared_handoffs(spark, folder)
+    number = lambda c: F.substring(c, 8, 9).cast("int")
+    return pt.handoff_heads(edges.where(number("source") < number("target")).where(number("target") % 3 != 0), ["target_id"])
+
+
 # ---------------------------------------------------------------------- paths
 def event_graph(spark: SparkSession, folder: str) -> DataFrame:
     return carriers.path_graph(spark, folder)
@@ -112,7 +127,7 @@ def event_paths(spark: SparkSession, folder: str) -> DataFrame:
     return pt.analyze(event_graph(spark, folder))
 
 
-SHOWN = ["path_id", "nodes", "attack_type", "severity", "confidence", "title", "entry_node", "asset_node", "sink_node"]
+SHOWN = ["path_id", "nodes", "attack_type", "severity", "confidence", "title", "description", "entry_node", "asset_node", "sink_node"]
 
 
 def _flat(paths: DataFrame, *columns: str) -> DataFrame:
@@ -220,12 +235,26 @@ def _by_component(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def policy_status(spark: SparkSession, folder: str) -> DataFrame:
-    results = _by_component(spark, folder)
-    seen = event_graph(spark, folder).groupBy("component").agg(F.count("*").alias("n"))
+    """Verdicts from what is reachable; no path is listed."""
+    edges = cut(event_graph(spark, folder))
+    results = po.violated_types(pt.attack_types(edges))
+    seen = edges.groupBy("component").agg(F.count("*").alias("n"))
     coverage = seen.select("component", F.when(F.col("n") % 2 == 0, F.lit("full")).otherwise(F.lit("partial")).alias("coverage_status"))
     return po.status(results, coverage, ["component"])
 
 
+def attack_types(spark: SparkSession, folder: str) -> DataFrame:
+    return pt.attack_types(event_graph(spark, folder))
+
+
+def cut_walks(spark: SparkSession, folder: str) -> DataFrame:
+    """Walks that a bound of two edges cuts."""
+    edges = cut(pt.ranked_edges(event_graph(spark, folder)))
+    flows, origins = edges.where("type = 'FLOWS_TO'"), pt.read_origins(edges).select("component", F.col("target").alias("origin"))
+    cut_off = pt.cut_walks(pt.flow_walks(flows, origins, 2), flows, 2)
+    return cut_off.select("component", "origin", F.array_join("walk", " > ").alias("walk"))
+
+
 def violation_counts(spark: SparkSession, folder: str) -> DataFrame:
     return po.violation_counts(_by_component(spark, folder), ["component"])
 
@@ -261,10 +290,16 @@ def _spoiled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Da
 
 
 def sound_run(spark: SparkSession, folder: str) -> DataFrame:
-    """All checks on a run as it is: no row expected."""
+    """All checks on a run as it is: how many paths and results they saw, and that nothing was found."""
     edges = cut(event_graph(spark, folder))
     paths = cut(pt.analyze(edges))
-    return ck.all_checks(paths, po.evaluate(paths.select("path_id", "attack_type")), edges, gr.nodes_of(edges))
+    results = po.evaluate(paths.select("path_id", "attack_type"))
+    found = ck.all_checks(paths, results, edges, gr.nodes_of(edges))
+    counts = [df.agg(F.count("*").alias(name)) for df, name in ((paths, "paths"), (results, "results"), (found, "violations"))]
+    named = counts[0].withColumn("k", F.lit(1))
+    for more in counts[1:]:
+        named = named.join(more.withColumn("k", F.lit(1)), "k")
+    return named.drop("k")
 
 
 def spoiled_run(spark: SparkSession, folder: str) -> DataFrame:
@@ -272,7 +307,7 @@ def spoiled_run(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def spoiled_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return ck.all_checks(*_spoiled(spark, folder)).select("kind", "subject")
+    return ck.all_checks(*_spoiled(spark, folder)).select("kind", "subject", "detail")
 
 
 def proofs(spark: SparkSession, folder: str) -> DataFrame:
@@ -296,12 +331,12 @@ def _context(spark: SparkSession, folder: str) -> DataFrame:
     rows = carriers.path_graph(spark, folder).where(F.col("type").isin(vocab.BEHAVIOUR_TYPES))
     owned = rows.select(
         F.concat(F.lit("SKILL:"), "component").alias("component_id"), F.lit("SKILL").alias("component_type"),
-        "source", F.col("type").alias("edge_type"), "target", F.lit("decl").alias("assoc_source"),
+        "component", "source", F.col("type").alias("edge_type"), "target", F.lit("decl").alias("assoc_source"),
     ).distinct()
     odd = events.select(
         F.when(n % 100 == 0, F.lit("TOOL:absent")).otherwise(F.lit("SKILL:c0")).alias("component_id"),
         F.when(n % 150 == 0, F.lit("AGENT")).when(n % 250 == 0, F.lit("DATA")).otherwise(F.lit("SKILL")).alias("component_type"),
-        F.lit("SKILL:c0").alias("source"), F.when(n % 200 == 0, F.lit("USES")).otherwise(F.lit("READS")).alias("edge_type"),
+        F.lit("c0").alias("component"), F.lit("SKILL:c0").alias("source"), F.when(n % 200 == 0, F.lit("USES")).otherwise(F.lit("READS")).alias("edge_type"),
         F.concat(F.lit("DATA:o"), (n % 30).cast("string")).alias("target"), F.lit("odd").alias("assoc_source"),
     ).distinct()
     return owned.unionByName(odd)
@@ -333,7 +368,7 @@ def participation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def composition(spark: SparkSession, folder: str) -> DataFrame:
-    return cp.composed_text(cp.composition(*_valid(spark, folder)))
+    return cp.composition(*_valid(spark, folder)).select("path_id", *cp.OWNER, "behaviours", "place")
 
 
 def risk_evidence(spark: SparkSession, folder: str) -> DataFrame:
@@ -357,6 +392,10 @@ QUERIES = {
     "graph_nodes": corpus_nodes,
     "declaration_violations": declaration_violations,
     "apply_declarations": declared_edges,
+    "handoff_edges": declared_handoffs,
+    "handoff_heads_by_target": handoff_heads_by_target,
+    "attack_types": attack_types,
+    "cut_walks": cut_walks,
     "read_origins": read_origins,
     "flow_walks": flow_walks,
     "exfiltration_paths": exfiltration,
@@ -447,7 +486,7 @@ PATHS = f"""ranked AS (SELECT component, source, target, type, max({SEV.format(c
 reads AS (SELECT * FROM ranked WHERE type = 'READS' AND source LIKE 'SKILL:%' AND (target LIKE 'SECRET:%' OR target LIKE 'DATA:%')),
 walks AS (SELECT DISTINCT component, target AS origin, target AS last, [target] AS walk, CAST(NULL AS INTEGER) AS sev, CAST(NULL AS INTEGER) AS conf, 0 AS depth FROM reads
   UNION ALL SELECT w.component, w.origin, e.target, list_append(w.walk, e.target), greatest(w.sev, e.sev), greatest(w.conf, e.conf), w.depth + 1
-    FROM walks w JOIN ranked e ON w.component = e.component AND w.last = e.source AND e.type = 'FLOWS_TO' AND NOT list_contains(w.walk, e.target) WHERE w.depth < {vocab.MAX_FLOW_EDGES}),
+    FROM walks w JOIN ranked e ON w.component = e.component AND w.last = e.source AND e.type = 'FLOWS_TO' AND NOT list_contains(w.walk, e.target)),
 exfil AS (SELECT w.component, list_append(list_prepend(r.source, w.walk), s.target) AS nodes,
     CASE WHEN w.origin LIKE 'SECRET:%' THEN 'exposure' WHEN len(w.walk) > 1 THEN 'sensitive-data' ELSE 'data' END AS kind,
     greatest(w.sev, r.sev, s.sev, 2) AS sev, greatest(w.conf, r.conf, s.conf, 1) AS conf, w.origin AS asset, CAST(NULL AS VARCHAR) AS secret
@@ -484,22 +523,22 @@ CLAMPED = (
 )
 TITLE = "CASE kind " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in vocab.PATH_TITLES.items()) + " END"
 SHOW_SQL = (
-    f"SELECT path_id, array_to_string(nodes, ' > ') AS nodes, attack_type, {CLAMPED}, {TITLE} AS title, nodes[1] AS entry_node, asset AS asset_node, "
+    f"SELECT path_id, array_to_string(nodes, ' > ') AS nodes, attack_type, {CLAMPED}, {TITLE} AS title, nodes[1] || ' gets to ' || nodes[-1] || ' in ' || (len(nodes) - 1) || ' steps.' AS description, nodes[1] AS entry_node, asset AS asset_node, "
     "CASE WHEN kind = 'handoff' THEN '' ELSE nodes[-1] END AS sink_node FROM p"
 )
 G = f"WITH RECURSIVE {GRAPH_SQL}, {PATHS}"
 RESULTS = "results AS (SELECT policy_id, path_id, component, attack_type, attack_type = kind2 AS violated, CASE WHEN attack_type = kind2 THEN why ELSE said END AS reason FROM p, (VALUES " + ", ".join(
     f"({q(a)}, {q(b)}, {q(c)}, {q(d)})" for a, b, c, d in vocab.POLICIES
 ) + ") pol(policy_id, kind2, said, why))"
-CONTEXT = f"""context AS (SELECT DISTINCT 'SKILL:' || component AS component_id, 'SKILL' AS component_type, source, type AS edge_type, target, 'decl' AS assoc_source FROM graph
+CONTEXT = f"""context AS (SELECT DISTINCT 'SKILL:' || component AS component_id, 'SKILL' AS component_type, component, source, type AS edge_type, target, 'decl' AS assoc_source FROM graph
     WHERE type IN ('READS', 'WRITES', 'SENDS_TO', 'EXECUTES', 'PRODUCES', 'FLOWS_TO')
   UNION ALL SELECT DISTINCT CASE WHEN event_id % 100 = 0 THEN 'TOOL:absent' ELSE 'SKILL:c0' END, CASE WHEN event_id % 150 = 0 THEN 'AGENT' WHEN event_id % 250 = 0 THEN 'DATA' ELSE 'SKILL' END,
-    'SKILL:c0', CASE WHEN event_id % 200 = 0 THEN 'USES' ELSE 'READS' END, 'DATA:o' || (event_id % 30), 'odd' FROM events),
+    'c0', 'SKILL:c0', CASE WHEN event_id % 200 = 0 THEN 'USES' ELSE 'READS' END, 'DATA:o' || (event_id % 30), 'odd' FROM events),
 gnodes AS (SELECT source AS id FROM graph UNION SELECT target FROM graph),
 valid AS (SELECT DISTINCT c.* FROM context c WHERE component_type IN ('AGENT', 'SKILL', 'TOOL', 'MCPSERVER') AND edge_type IN ('READS', 'WRITES', 'SENDS_TO', 'EXECUTES', 'PRODUCES', 'FLOWS_TO')
   AND component_id IN (SELECT id FROM gnodes) AND split_part(component_id, ':', 1) = component_type
-  AND EXISTS (SELECT 1 FROM graph g WHERE g.source = c.source AND g.target = c.target AND g.type = c.edge_type)),
-onpath AS (SELECT DISTINCT pe.path_id, v.component_id, v.component_type, pe.source, v.edge_type, pe.target FROM pe JOIN valid v ON v.source = pe.source AND v.target = pe.target AND v.edge_type = pe.type)"""
+  AND EXISTS (SELECT 1 FROM graph g WHERE g.component = c.component AND g.source = c.source AND g.target = c.target AND g.type = c.edge_type)),
+onpath AS (SELECT DISTINCT pe.path_id, v.component_id, v.component_type, pe.source, v.edge_type, pe.target FROM pe JOIN valid v ON v.component = pe.component AND v.source = pe.source AND v.target = pe.target AND v.edge_type = pe.type)"""
 C = f"{G}, {CONTEXT}"
 OWNERS = """owned AS (SELECT DISTINCT pe.path_id, pe.pos, pe.associated, pe.source, pe.target, pe.type, g.component AS owner FROM pe JOIN graph g ON g.source = pe.source AND g.target = pe.target AND g.type = pe.type
   WHERE pe.kind = 'handoff' OR g.component = pe.component)"""
@@ -517,19 +556,20 @@ spoiled AS (SELECT policy_id, path_id, violated OR left(path_id, 1) = '8' AS vio
 nodeset AS (SELECT source AS id FROM graph WHERE target NOT LIKE 'ACTION:node' UNION SELECT target FROM graph WHERE target NOT LIKE 'ACTION:node'),
 sub AS (SELECT *, CASE WHEN path_id = '' THEN '<no path_id>' ELSE path_id END AS subject FROM bad),
 byid AS (SELECT path_id, any_value(attack_type) AS attack_type FROM bad WHERE path_id <> '' GROUP BY path_id),
-viol AS (SELECT 'missing_path_id' AS kind, subject FROM sub WHERE path_id = ''
-  UNION ALL SELECT 'path_id_mismatch', subject FROM sub WHERE path_id <> '' AND (path_id <> own OR d = '5')
-  UNION ALL SELECT 'non_contiguous_walk', subject FROM sub WHERE d = '5'
-  UNION ALL SELECT 'phantom_node', subject FROM (SELECT subject, unnest(nodes) AS n FROM sub) WHERE n NOT IN (SELECT id FROM nodeset)
-  UNION ALL SELECT 'phantom_edge', s.subject FROM sub s JOIN pe ON pe.path_id = s.own WHERE pe.type = 'SENDS_TO' AND pe.target LIKE '%h6'
-  UNION ALL SELECT 'unproven_severity', subject FROM sub WHERE {SEV.format(c='severity')} > top
-  UNION ALL SELECT 'unproven_confidence', subject FROM sub WHERE {CONF.format(c='confidence')} > topc
-  UNION ALL SELECT 'risk_above_ceiling', subject FROM sub WHERE {SEV.format(c='risk_severity')} > top
-  UNION ALL SELECT 'severity_without_evidence', subject FROM sub WHERE risk_severity <> 'INFO' AND len(evidence) = 0
-  UNION ALL SELECT 'orphan_policy_result', policy_id || '@' || path_id FROM spoiled WHERE path_id NOT IN (SELECT path_id FROM byid)
-  UNION ALL SELECT 'duplicate_policy_result', policy_id || '@' || path_id FROM spoiled JOIN byid USING (path_id) GROUP BY policy_id, path_id HAVING count(*) > 1
-  UNION ALL SELECT 'violation_without_proof', policy_id || '@' || path_id FROM spoiled JOIN byid USING (path_id) WHERE violated AND attack_type = 'UNKNOWN'
-  UNION ALL SELECT 'violation_without_reason', policy_id || '@' || path_id FROM spoiled JOIN byid USING (path_id) WHERE violated AND trim(reason) = '')"""
+named AS (SELECT *, path_id <> '' AS has FROM sub),
+viol AS (SELECT 'missing_path_id' AS kind, subject, 'the path has no identity' AS detail FROM sub WHERE path_id = ''
+  UNION ALL SELECT 'path_id_mismatch', subject, 'the identity is not that of the walk' FROM sub WHERE path_id <> '' AND (path_id <> own OR d = '5')
+  UNION ALL SELECT 'non_contiguous_walk', subject, 'the edges are no walk over the nodes' FROM sub WHERE d = '5'
+  UNION ALL SELECT 'phantom_node', subject, 'node ' || n || ' is not in the graph' FROM (SELECT subject, unnest(nodes) AS n FROM sub) WHERE n NOT IN (SELECT id FROM nodeset)
+  UNION ALL SELECT 'phantom_edge', s.subject, 'edge ' || pe.source || ' -' || pe.type || '-> ' || pe.target || ' is not in the graph' FROM sub s JOIN pe ON pe.path_id = s.own WHERE pe.type = 'SENDS_TO' AND pe.target LIKE '%h6'
+  UNION ALL SELECT 'unproven_severity', subject, 'severity ' || severity || ' is more than ' || attack_type || ' proves' FROM sub WHERE {SEV.format(c='severity')} > top
+  UNION ALL SELECT 'unproven_confidence', subject, 'confidence ' || confidence || ' is more than ' || attack_type || ' proves' FROM sub WHERE {CONF.format(c='confidence')} > topc
+  UNION ALL SELECT 'risk_above_ceiling', subject, 'risk_severity ' || risk_severity || ' is more than ' || attack_type || ' proves' FROM sub WHERE {SEV.format(c='risk_severity')} > top
+  UNION ALL SELECT 'severity_without_evidence', subject, 'risk_severity ' || risk_severity || ' without evidence' FROM sub WHERE risk_severity <> 'INFO' AND len(evidence) = 0
+  UNION ALL SELECT 'orphan_policy_result', policy_id || '@' || path_id, 'the path was not evaluated' FROM spoiled WHERE path_id NOT IN (SELECT path_id FROM byid)
+  UNION ALL SELECT 'duplicate_policy_result', policy_id || '@' || path_id, 'the pair was evaluated again' FROM spoiled JOIN byid USING (path_id) GROUP BY policy_id, path_id HAVING count(*) > 1
+  UNION ALL SELECT 'violation_without_proof', policy_id || '@' || path_id, 'violated on a path without proven semantics' FROM spoiled JOIN byid USING (path_id) WHERE violated AND attack_type = 'UNKNOWN'
+  UNION ALL SELECT 'violation_without_reason', policy_id || '@' || path_id, 'violated with an empty reason' FROM spoiled JOIN byid USING (path_id) WHERE violated AND trim(reason) = '')"""
 FULL = "CASE WHEN n % 2 = 0 THEN 'full' ELSE 'partial' END"
 DECLARED = """existing AS (SELECT 'SKILL:' || n_name AS id, 'SKILL' AS type FROM nation),
 comps AS (SELECT 'AGENT:' || r_name AS node_id, 'AGENT' AS node_type FROM region UNION ALL SELECT 'TOOL:' || s_name, CASE WHEN s_suppkey % 7 = 0 THEN 'DATA' ELSE 'TOOL' END FROM supplier
@@ -562,7 +602,7 @@ ORACLES = {
         UNION ALL SELECT 'undeclared_target', s || ' ' || e || ' ' || t FROM rels WHERE t NOT IN (SELECT node_id FROM decl)
         UNION ALL SELECT 'unsupported', s || ' ' || e || ' ' || t FROM rels JOIN types a ON a.node_id = s JOIN types b ON b.node_id = t
           WHERE s <> t AND NOT EXISTS (SELECT 1 FROM allowed WHERE st = a.node_type AND allowed.e = rels.e AND tt = b.node_type))""",
-    "apply_declarations": f"WITH {DECLARED} SELECT DISTINCT s AS source, t AS target, e AS type FROM rels WHERE e = 'CONTAINS' AND s <> 'AGENT:ASIA'",
+    "apply_declarations": f"WITH {DECLARED} SELECT DISTINCT s AS source, t AS target, e AS type FROM rels WHERE s <> 'AGENT:ASIA'",
     "read_origins": f"{G} SELECT component, source, target FROM reads",
     "flow_walks": f"{G} SELECT component, origin, array_to_string(walk, ' > ') AS walk, sev, conf FROM walks",
     "exfiltration_paths": f"{G} SELECT component, array_to_string(nodes, ' > ') AS nodes, kind, sev, conf FROM exfil",
@@ -588,7 +628,7 @@ ORACLES = {
         coalesce(policies, '') AS policies, coalesce(breakpoints, '') AS breakpoints, coalesce(components, '') AS components
         FROM p LEFT JOIN own USING (path_id) LEFT JOIN pol USING (path_id) LEFT JOIN brk USING (path_id)""",
     "path_entry_files": f"{G} SELECT path_id, substr(nodes[1], 7) AS file FROM p WHERE substr(nodes[1], 7) IN (SELECT 'c' || (event_id // {carriers.ACTIONS_PER_COMPONENT}) FROM events WHERE event_type = 'purchase' AND value > 60)",
-    "path_context": f"{C} SELECT DISTINCT pe.path_id, v.component_id, v.component_type, pe.source, v.edge_type, pe.target, v.assoc_source FROM pe JOIN valid v ON v.source = pe.source AND v.target = pe.target AND v.edge_type = pe.type",
+    "path_context": f"{C} SELECT DISTINCT pe.path_id, v.component_id, v.component_type, pe.source, v.edge_type, pe.target, v.assoc_source FROM pe JOIN valid v ON v.component = pe.component AND v.source = pe.source AND v.target = pe.target AND v.edge_type = pe.type",
     "highest_risk_path": f"{G} SELECT component, unnest(arg_min({{'path_id': path_id, 'attack_type': attack_type, 'risk_severity': risk_severity, 'risk_score': risk_score}}, (-risk_score, path_id))) FROM p GROUP BY component",
     "policy_evaluate": f"{G}, {RESULTS} SELECT policy_id, path_id, violated, reason FROM results",
     "policy_associate": f"{G}, {RESULTS} SELECT path_id, coalesce(string_agg(policy_id, ',') FILTER (violated), '') AS policy_ids FROM results GROUP BY path_id",
@@ -596,21 +636,27 @@ ORACLES = {
         SELECT component, CASE WHEN coalesce(failed, false) THEN 'FAIL' WHEN coalesce({FULL}, 'none') <> 'full' THEN 'UNKNOWN' ELSE 'PASS' END AS policy_status FROM cov FULL JOIN f USING (component)""",
     "policy_violation_counts": f"{G}, {RESULTS} SELECT component, policy_id, count(*) AS violations FROM results WHERE violated GROUP BY ALL",
     "policy_violated_paths": f"{G}, {RESULTS} SELECT component, policy_id, path_id FROM results WHERE violated",
-    "check_sound_run": "SELECT '' AS kind, '' AS subject, '' AS detail WHERE false",
+    "check_sound_run": f"{G}, {RESULTS} SELECT (SELECT count(*) FROM p) AS paths, (SELECT count(*) FROM results) AS results, CAST(0 AS BIGINT) AS violations",
     "check_spoiled_kinds": f"{SPOILED} SELECT kind, count(*) AS n, count(DISTINCT subject) AS subjects FROM viol GROUP BY kind",
-    "check_spoiled_rows": f"{SPOILED} SELECT kind, subject FROM viol",
+    "check_spoiled_rows": f"{SPOILED} SELECT kind, subject, detail FROM viol",
     "proof_checks": f"""{G} SELECT path_id, attack_type, clause, true AS ok FROM (SELECT path_id, attack_type, unnest(CASE WHEN kind = 'execution'
         THEN ['contiguous-walk', 'skill-executes-action', 'associated-secret-read', 'no-secret-to-action-edge']
         ELSE ['contiguous-walk', 'reads-into-asset', 'sends-to-endpoint', 'flows-to-lineage', 'asset-kind-matches-type'] END) AS clause FROM p WHERE kind <> 'handoff')""",
     "context_violations": f"""{C} SELECT DISTINCT kind, subject FROM (SELECT component_id || ' ' || component_type || ' ' || source || ' ' || edge_type || ' ' || target AS subject, unnest([
         CASE WHEN component_type = 'DATA' THEN 'component_type' END, CASE WHEN edge_type = 'USES' THEN 'edge_type' END,
         CASE WHEN component_id NOT IN (SELECT id FROM gnodes) THEN 'unknown_component' WHEN split_part(component_id, ':', 1) <> component_type THEN 'type_mismatch' END,
-        CASE WHEN NOT EXISTS (SELECT 1 FROM graph g WHERE g.source = c.source AND g.target = c.target AND g.type = c.edge_type) THEN 'unknown_edge' END]) AS kind FROM context c) WHERE kind IS NOT NULL""",
+        CASE WHEN NOT EXISTS (SELECT 1 FROM graph g WHERE g.component = c.component AND g.source = c.source AND g.target = c.target AND g.type = c.edge_type) THEN 'unknown_edge' END]) AS kind FROM context c) WHERE kind IS NOT NULL""",
     "context_list": f"{C} SELECT component_id, component_type, source, edge_type, target, assoc_source FROM valid",
     "component_scope": f"{C} SELECT DISTINCT component_id, component_type, source, edge_type, target FROM valid",
     "component_participation": f"{C} SELECT * FROM onpath",
-    "component_composition": f"""{C}, firsts AS (SELECT path_id, component_id, component_type, min((source, edge_type, target)) AS f FROM onpath GROUP BY ALL)
-        SELECT path_id, string_agg(component_id, ' > ' ORDER BY f, component_type, component_id) AS components FROM firsts GROUP BY path_id""",
+    "component_composition": f"""{C}, firsts AS (SELECT path_id, component_id, component_type, min((source, edge_type, target)) AS f, count(*) AS behaviours FROM onpath GROUP BY path_id, component_id, component_type)
+        SELECT path_id, component_id, component_type, behaviours, CAST(row_number() OVER (PARTITION BY path_id ORDER BY f, component_type, component_id) AS INTEGER) AS place FROM firsts""",
+    "handoff_edges": "SELECT DISTINCT c_mktsegment AS target_id, 'n' || c_nationkey AS component, 'SKILL:n' || c_nationkey AS source, 'SKILL:n' || (c_custkey % 25) AS target, 'HANDOFF' AS type FROM customer",
+    "handoff_heads_by_target": """WITH h AS (SELECT DISTINCT c_mktsegment AS target_id, c_nationkey AS s, c_custkey % 25 AS t FROM customer WHERE c_nationkey < c_custkey % 25 AND (c_custkey % 25) % 3 <> 0)
+        SELECT DISTINCT target_id, 'SKILL:n' || s AS source FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.target_id = h.target_id AND g.t = h.s)""",
+    "attack_types": f"{G} SELECT DISTINCT component, attack_type FROM p WHERE attack_type <> 'UNKNOWN'",
+    "cut_walks": f"""{G} SELECT DISTINCT w.component, w.origin, array_to_string(w.walk, ' > ') AS walk FROM walks w JOIN ranked e ON e.component = w.component AND e.source = w.last
+        AND e.type = 'FLOWS_TO' AND NOT list_contains(w.walk, e.target) WHERE w.depth = 2""",
     "component_risk_evidence": f"""{C}, lab AS (SELECT *, CASE WHEN edge_type = 'READS' AND target LIKE 'SECRET:%' THEN 'secret read' WHEN edge_type = 'READS' AND target LIKE 'DATA:%' THEN 'sensitive data read'
           WHEN edge_type = 'FLOWS_TO' THEN 'sensitive data flow' WHEN edge_type = 'SENDS_TO' THEN 'external network send' WHEN edge_type = 'EXECUTES' THEN 'execution' END AS label FROM onpath),
         agg AS (SELECT path_id, component_id, component_type, count(*) AS behaviours, list(DISTINCT label) AS labels FROM lab WHERE label IS NOT NULL GROUP BY ALL)

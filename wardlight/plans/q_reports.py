@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlight import vocab
 from wardlight.functions import text as tx
 from wardlight.operators import baseline as bl
 from wardlight.operators import enrich as en
 from wardlight.operators import evaluation as ev
 from wardlight.operators import extend as ex
+from wardlight.operators import graph as gr
 from wardlight.operators import line_rules as lr
 from wardlight.operators import paths as pt
 from wardlight.operators import policy as po
@@ -19,15 +23,15 @@ from wardlight.plans import carriers
 from wardlight.plans import scan as whole
 from wardlight.plans.carriers import GRAPH_SQL, LINES_SQL
 from wardlight.plans.q_documents import COLLAPSE, PAYLOADS
-from wardlight.plans.q_graph import PATHS, event_graph, event_paths
-from wardlight.plans.q_rules import FINDINGS_SQL, seeded_findings
-from wardlight.plans.q_scoring import LEVEL, MARKED_SQL, marked_findings, score_sql
+from wardlight.plans.q_graph import FINDING_EDGES, PATHS, RESULTS, action_sql, event_graph, event_paths
+from wardlight.plans.q_rules import FINDINGS_SQL, plain_findings_sql, seeded_findings
+from wardlight.plans.q_scoring import LEVEL, MARKED_SQL, TREE_SQL, file_tree, marked_findings, score_sql
 from wardlight.plans.q_steps import CHAINS_SQL, TRIPLE_SQL
 from wardlight.plans.sqltext import m, q
-from wardlight.session import constant_table, cut
+from wardlight.session import constant_table, cut, shared_folder
 from wardlight.sources import reports as rp
 from wardlight.sources import snapshots as sn
-from wardlight.sources.corpus import admitted_by_name, base_name, read_table, scan_files
+from wardlight.sources.corpus import coverage_events, decode, documents_of, explode_lines, prune, read_table
 from wardlight.streaming import arrivals as ar
 
 # ------------------------------------------------------------------- baseline
@@ -120,9 +124,30 @@ def fixed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def diff_balance(spark: SparkSession, folder: str) -> DataFrame:
-    """Keys whose counts do not add up: none expected."""
-    counts = bl.matched_counts(*_sides(spark, folder))
-    return counts.where("matched > n_current OR matched > n_baseline OR matched < 0").select("rule_id", "file")
+    """Per file the sides of the difference, each counted on its own: states of rows and fixed rows."""
+    now, then = _sides(spark, folder)
+    states = bl.annotate(now, then, ["o", "l_linenumber"], F.floor(F.col("o") / CHUNK)).groupBy("file").agg(
+        F.count("*").alias("rows_now"), F.count_if(F.col("baseline_state") == "matched").alias("matched"), F.count_if(F.col("baseline_state") == "new").alias("new")
+    )
+    gone = bl.fixed_rows(now, then).groupBy("file").agg(F.count("*").alias("fixed"))
+    return states.join(gone, "file", "left").withColumn("fixed", F.coalesce("fixed", F.lit(0)))
+
+
+def round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Records written as a table of any size and read back; per rule how many came back equal."""
+    rows = cut(bl.records(_placed(spark, folder), ROOT).select(*bl.KEY))
+    place = f"{shared_folder(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+    sn.write_records(rows, place)
+    return bl.matched_counts(rows, sn.read_records(spark, place)).groupBy("rule_id").agg(
+        F.sum("n_current").alias("written"), F.sum("n_baseline").alias("back"), F.sum("matched").alias("equal")
+    )
+
+
+def resolved(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of records and of nothing, resolved."""
+    rows = bl.with_ids(bl.records(_placed(spark, folder), ROOT)).select("finding_id", "rule_id", "file")
+    wanted = rows.select("finding_id").unionByName(rows.where("rule_id = 'AS-002'").select(F.concat("finding_id", F.lit("x")).alias("finding_id")))
+    return bl.resolve(rows, "finding_id", wanted)
 
 
 def matched_severity(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,18 +197,28 @@ def findings_json(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One result document per source."""
+    """One result document per source, as ordered rows; what its opening says and what it lists."""
     found = cut(_reported(spark, folder).drop("text", "rule"))
     keys = ["source"]
     coverage = read_table(spark, folder, "documents").groupBy("source").agg(F.count("*").alias("files_scanned")).withColumn("coverage_status", F.lit("full"))
-    docs = rp.scan_json(found, sc.scores(found, keys), sc.severity_summary(found, keys), coverage, keys, ["doc_id", "line", "rule_order"])
-    j = F.col("json")
-    return docs.select(
+    rows = cut(rp.scan_json(found, sc.scores(found, keys), sc.severity_summary(found, keys), coverage, keys, ["doc_id", "line", "rule_order"], F.floor(F.col("doc_id") / 64)))
+    j = F.concat("json", F.lit("]}"))
+    heads = rows.where("section = 0").select(
         "source", F.get_json_object(j, "$.score").alias("score"), F.get_json_object(j, "$.risk_level").alias("risk_level"),
         F.get_json_object(j, "$.summary.high").alias("high"), F.get_json_object(j, "$.coverage.files_scanned").alias("files"),
-        F.get_json_object(j, "$.findings[0].rule_id").alias("first_rule"),
-        F.size(F.from_json(F.get_json_object(j, "$.findings"), "array<string>")).alias("listed"),
     )
+    rule = F.get_json_object(F.regexp_replace("json", "^,", ""), "$.rule_id")
+    listed = rows.where("section = 1").groupBy("source").agg(F.min_by(rule, "pos").alias("first_rule"), F.count("*").cast("int").alias("listed"))
+    return heads.join(listed, "source")
+
+
+def sarif_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """One SARIF document per source, as ordered rows; lines per section."""
+    found = cut(_reported(spark, folder))
+    results = rp.result_json(rp.sarif_results(found)).select("source", "doc_id", "line", "rule_order", "json")
+    run = rp.sarif_run(results, rp.sarif_rules(found, ["source"], ["doc_id", "line", "rule_order"]), rp.sarif_artifacts(found, ["source"]), ["source"],
+                       ["doc_id", "line", "rule_order"], F.floor(F.col("doc_id") / 64))
+    return run.groupBy("source", "section").agg(F.count("*").alias("n"))
 
 
 def _superseding(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -193,10 +228,10 @@ def _superseding(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 
 def superseded(spark: SparkSession, folder: str) -> DataFrame:
-    """Chain findings of components that also have a proven path."""
+    """Findings of components, some of them chains, next to the proven paths of the component."""
     _, _, best = _superseding(spark, folder)
     chains = (
-        carriers.action_stream(spark, folder).where("category = 'NETWORK'").select(
+        carriers.action_stream(spark, folder).select(
             F.col("component").alias("file"), "line", F.when(F.col("idx") % 2 == 0, F.lit("AS-CHAIN-004")).otherwise(F.lit("AS-003")).alias("rule_id"),
             F.lit("HIGH").alias("severity"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("matched_text"),
             F.lit(False).alias("suppressed"), F.lit(None).cast("string").alias("suppression_reason"), F.lit(None).cast("string").alias("baseline_state"),
@@ -234,11 +269,29 @@ def sarif_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def serialized_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths as stable JSON, identified by a hash of the text."""
+    """Paths as stable JSON; fields read back from the text."""
     rows = event_paths(spark, folder).select(
         "path_id", F.to_json(F.struct("path_id", "nodes", "edges", "associated_edges", "severity", "confidence", "attack_type", "risk_score", "evidence")).alias("json")
     )
-    return rows.select("path_id", F.length("json").alias("n_chars"), F.get_json_object("json", "$.edges[0].type").alias("first_type"))
+    j = F.col("json")
+    return rows.select(
+        F.get_json_object(j, "$.path_id").alias("path_id"), F.get_json_object(j, "$.edges[0].type").alias("first_type"), F.get_json_object(j, "$.attack_type").alias("attack_type"),
+        F.json_array_length(F.get_json_object(j, "$.nodes")).alias("n_nodes"), F.get_json_object(j, "$.risk_score").alias("risk_score"),
+    )
+
+
+def serialized_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes, edges and policy results of the event graph as JSON texts."""
+    edges = cut(event_graph(spark, folder))
+    paths = event_paths(spark, folder).select("path_id", "attack_type")
+    keep = {"ignoreNullFields": "false"}
+    merged = edges.groupBy("component", "source", "target", "type").agg(F.max("severity").alias("severity"))
+    parts = [
+        gr.nodes_of(edges).select(F.lit("node").alias("kind"), F.to_json(F.struct("id", "type", "label")).alias("json")),
+        merged.select(F.lit("edge").alias("kind"), F.to_json(F.struct("component", "source", "target", "type", "severity"), keep).alias("json")),
+        po.evaluate(paths).select(F.lit("policy").alias("kind"), F.to_json(F.struct("policy_id", "path_id", "violated", "reason")).alias("json")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # ----------------------------------------------------------------- evaluation
@@ -301,8 +354,13 @@ def statuses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bad_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """Summaries, some of which were changed: a passed case too many, or a total that the statuses do not reach."""
     results = ev.evaluate(*_benchmarks(spark, folder))
-    return ev.summary_violations(ev.summarize(results), ev.status_counts(results))
+    told = ev.summarize(results)
+    changed = told.withColumn("passed_cases", F.col("passed_cases") + F.when(F.col("benchmark_id").endswith("3"), 1).otherwise(0))
+    both = F.when(F.col("benchmark_id").endswith("4"), 1).otherwise(0)
+    changed = changed.withColumn("total_cases", F.col("total_cases") + both).withColumn("failed_cases", F.col("failed_cases") + both)
+    return ev.summary_violations(changed, ev.status_counts(results))
 
 
 def cross(spark: SparkSession, folder: str) -> DataFrame:
@@ -378,15 +436,31 @@ def own_rule(spark: SparkSession, folder: str) -> DataFrame:
 PATTERNS = [("P1", "ignore", r"\bignore\b.*\binstructions\b"), ("P2", "curl", r"\bcurl\b"), ("P3", "token", r"\btoken\w*"), ("P4", "read", r"^read\b"), ("P5", "the", r"\bthe\b.*\bthe\b")]
 
 
-def pattern_table(limit: int):
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        lines = carriers.seeded_lines(spark, folder).select("doc_id", "line", "text")
-        table = constant_table(spark, ["pattern_id", "stem", "pattern"], PATTERNS)
-        if limit == 0:  # the joined form needs every word a match may contain
-            table = table.unionByName(constant_table(spark, ["pattern_id", "stem", "pattern"], [("P3", "tokens", r"\btoken\w*")]))
-        return ex.match_pattern_table(lines, table, limit).select("doc_id", "line", "pattern_id").distinct()
+def pattern_table(spark: SparkSession, folder: str) -> DataFrame:
+    lines = carriers.seeded_lines(spark, folder).select("doc_id", "line", "text")
+    return ex.match_pattern_table(lines, constant_table(spark, ["pattern_id", "stem", "pattern"], PATTERNS)).select("doc_id", "line", "pattern_id")
+
+
+def pattern_table_many(spark: SparkSession, folder: str) -> DataFrame:
+    """The same lines against as many patterns as parts have names; texts hold every third word in part."""
+    word = F.lower(F.regexp_extract("p_name", r"(\w+)$", 1))
+    named = read_table(spark, folder, "part").select(word.alias("w")).distinct().where("w <> ''")
+    table = named.select(F.concat(F.lit("W-"), "w").alias("pattern_id"), F.left("w", F.lit(4)).alias("stem"), F.left("w", F.lit(4)).alias("pattern"))
+    lines = carriers.seeded_lines(spark, folder).select("doc_id", "line", "text")
+    return ex.match_pattern_table(lines, table.unionByName(constant_table(spark, ["pattern_id", "stem", "pattern"], PATTERNS))).select("doc_id", "line", "pattern_id")
+
+
+def own_file_rule(spark: SparkSession, folder: str) -> DataFrame:
+    """A registered document rule: files that both start a process and evaluate text."""
+    book = ex.RuleBook()
+
+    @book.register_document_rule
+    def both(docs: DataFrame) -> DataFrame:
+        hit = F.col("text").contains("subprocess") & F.col("text").contains("eval(")
+        return docs.where(hit).select("doc_id", F.lit("X-F-001").alias("rule_id"), F.lit("HIGH").alias("severity"))
 
-    return run
+    found = book.document_findings(carriers.seeded_documents(spark, folder).select("doc_id", "text"))
+    return found[0]
 
 
 def _fussy(text: str) -> str | None:
@@ -398,8 +472,7 @@ def _fussy(text: str) -> str | None:
 
 def python_rule(spark: SparkSession, folder: str) -> DataFrame:
     lines = carriers.seeded_lines(spark, folder).select("doc_id", "line", "text")
-    found, errors = ex.apply_python_rule(lines, "fussy", _fussy)
-    return found.select("doc_id", "line", F.col("evidence").alias("outcome")).unionByName(errors.select("doc_id", "line", F.col("reason").alias("outcome")))
+    return ex.apply_python_rule(lines, "fussy", _fussy).select("doc_id", "line", F.coalesce("reason", "evidence").alias("outcome"))
 
 
 # -------------------------------------------------------------------- streams
@@ -426,23 +499,41 @@ def stream_new(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ all of it
-def corpus_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """The files of the given folder as a corpus: names and sizes, contents untouched."""
-    files = scan_files(spark, folder).where(base_name(F.col("path")).endswith(".parquet"))
-    return files.select(base_name(F.col("path")).alias("name"), F.col("length").alias("size"), admitted_by_name(F.col("path")).alias("admitted"))
+def files_to_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files in a tree: bytes are pruned, decoded, ruled and accounted for."""
+    left, pruned = prune(file_tree(spark, folder))
+    read = cut(decode(left, vocab.MAX_FILE_SIZE).select("path", "text", "skip_reason", "lossy"))
+    found = lr.line_findings(explode_lines(documents_of(read).select("path", "text")))
+    events = coverage_events(read, pruned)
+    return found.groupBy(F.lit("finding").alias("kind"), F.col("rule").alias("name")).agg(F.count("*").alias("n"), F.countDistinct("path").alias("files")).unionByName(
+        events.groupBy("kind", F.coalesce("reason", F.lit("read")).alias("name")).agg(F.count("*").alias("n"), F.countDistinct("path").alias("files"))
+    )
+
 
+TARGET = ["source"]
 
-def _scan(spark: SparkSession, folder: str) -> whole.Scan:
-    return whole.run(cut(carriers.seeded_documents(spark, folder).select("source", "path", "text")), ["source"])
+
+def _docs_by_target(spark: SparkSession, folder: str) -> DataFrame:
+    return cut(carriers.target_documents(spark, folder))
 
 
 def scan_findings(spark: SparkSession, folder: str) -> DataFrame:
-    return _scan(spark, folder).findings.groupBy("source", "rule_id", "severity").agg(F.count("*").alias("n"))
+    """Targets that hold equal paths, scanned together; the twin scans files of unique paths."""
+    found = whole.find(_docs_by_target(spark, folder), TARGET)
+    return found.findings.groupBy("source", "rule_id", "severity").agg(F.count("*").alias("n"))
 
 
 def scan_paths(spark: SparkSession, folder: str) -> DataFrame:
-    paths = _scan(spark, folder).paths
-    return paths.select("path_id", "attack_type", "risk_score", "entry_node", "asset_node", "sink_node")
+    found = whole.find(_docs_by_target(spark, folder), TARGET)
+    paths = pt.analyze(whole.graph(found, TARGET), whole.inner(TARGET))
+    return paths.groupBy(F.col("scan_source").alias("source"), "attack_type", "risk_score").agg(F.count("*").alias("n"))
+
+
+def scan_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole scan: one row per target. URL findings are ignored, command findings are in the baseline."""
+    docs = _docs_by_target(spark, folder)
+    known = lr.line_findings(explode_lines(docs)).where("rule_id = 'AS-002'").select("source", "rule_id", F.col("path").alias("file"), "line", "evidence", "severity")
+    return whole.run(docs, TARGET, baseline=known, ignore={"rules": ["AS-005"]}).targets
 
 
 QUERIES = {
@@ -468,6 +559,10 @@ QUERIES = {
     "sarif_paths": sarif_paths,
     "superseded_chains": superseded,
     "serialize_paths": serialized_paths,
+    "serialize_graph": serialized_graph,
+    "sarif_run": sarif_documents,
+    "baseline_round_trip": round_trip,
+    "resolve_ids": resolved,
     "adapt_cases": adapted,
     "evaluate_cases": evaluated,
     "evaluate_executions": executions,
@@ -485,14 +580,16 @@ QUERIES = {
     "lab_by_category": lab_categories,
     "precision_wilson": precision,
     "register_rule": own_rule,
-    "pattern_table_inline": pattern_table(ex.INLINE_PATTERNS),
-    "pattern_table_joined": pattern_table(0),
+    "register_file_rule": own_file_rule,
+    "pattern_table": pattern_table,
+    "pattern_table_many": pattern_table_many,
     "python_rule_errors": python_rule,
     "stream_scan": stream_scan,
     "stream_new_findings": stream_new,
-    "corpus_listing": corpus_listing,
+    "files_to_findings": files_to_findings,
     "whole_scan_findings": scan_findings,
     "whole_scan_paths": scan_paths,
+    "whole_scan_targets": scan_targets,
 }
 
 # ------------------------------------------------------------------ SQL twins
@@ -528,10 +625,6 @@ lab AS (SELECT doc_id, source AS category, CASE WHEN doc_id % 4 = 3 THEN CASE WH
     ELSE 'MISSED' END AS result FROM documents LEFT JOIN hit USING (doc_id))"""
 COUNTS = ", ".join(f"count(*) FILTER (result = {q(k)}) AS {v}" for k, v in ev.RESULTS.items())
 HITS = " UNION ALL ".join(f"SELECT doc_id, line, {q(a)} AS pattern_id FROM lines WHERE contains(lower(text), {q(s)}) AND {m('text', p, True)}" for a, s, p in PATTERNS)
-# In the joined form a stem is a whole word, as its contract says.
-WORD_HITS = " UNION ".join(
-    f"SELECT doc_id, line, {q(a)} AS pattern_id FROM lines WHERE {m('lower(text)', r'(?:^|[^\w])' + s + r'(?:[^\w]|$)')} AND {m('text', p, True)}" for a, s, p in [*PATTERNS, ("P3", "tokens", r"\btoken\w*")]
-)
 G = f"WITH RECURSIVE {GRAPH_SQL}, {PATHS}"
 Z = "1.959963984540054"
 WHOLE = f"""{CHAINS_SQL}, {FINDINGS_SQL[FINDINGS_SQL.index('line_findings AS ('):].replace('line_findings AS (', 'raw_findings AS (', 1)}, {COLLAPSE[:COLLAPSE.rindex('SELECT doc_id, line, rule, matched_text')].rstrip().rstrip(',').replace('\nf AS (', '\nfhttp AS (', 1).replace('FROM f)', 'FROM fhttp)')},
@@ -540,6 +633,17 @@ line_findings AS (SELECT doc_id, source, path, 0 AS phase, line, rule_order, rul
   UNION ALL SELECT c.doc_id, d.source, d.path, CASE c.rule WHEN 'http_client' THEN 0 ELSE 1 END, c.line, CASE c.rule WHEN 'http_client' THEN {rc.RULE_ORDER['http_client']} ELSE {rc.RULE_ORDER['session_request']} END, c.rule, 'AS-003', 'MEDIUM' FROM claims c JOIN docs d USING (doc_id)
   UNION ALL SELECT h.doc_id, d.source, d.path, 1, h.line, 99, h.rule, 'AS-007', CASE h.rule WHEN 'base64_url' THEN 'HIGH' ELSE 'CRITICAL' END FROM hidden h JOIN docs d USING (doc_id) WHERE h.rule IS NOT NULL),
 {TRIPLE_SQL.replace('struct_pack(line := line, rule_order := rule_order)', 'struct_pack(phase := phase, line := line, rule_order := rule_order)')}"""
+ALL_FINDINGS = """SELECT source, rule_id, severity FROM line_findings
+        UNION ALL SELECT source, chain, CASE WHEN chain = 'AS-CHAIN-001' OR (bool_or(severity IN ('CRITICAL', 'HIGH') AND rule_id IN ('AS-003','AS-005')) AND bool_or(severity IN ('CRITICAL', 'HIGH') AND rule_id = 'AS-002')) THEN 'CRITICAL' ELSE 'HIGH' END FROM parts GROUP BY source, chain
+        UNION ALL SELECT d.source, c.rule_id, 'CRITICAL' FROM chains c JOIN docs d USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.path = d.path AND p.chain = c.rule_id AND p.line BETWEEN c."first" AND c."last")"""
+WHOLE_PATHS = f"""{WHOLE}, {FINDING_EDGES[FINDING_EDGES.index('named AS ('):].replace('FROM line_findings', 'FROM raw_findings')}, {action_sql('steps', 'path')},
+ran AS (SELECT d.path AS component, h.line FROM hidden h JOIN docs d USING (doc_id) WHERE h.rule IN ('base64_command', 'rot13_token', 'rot13_phrase')
+  UNION SELECT d.path, c."first" FROM chains c JOIN docs d USING (doc_id) WHERE c.rule_id = 'AS-CHAIN-002' AND NOT EXISTS (SELECT 1 FROM parts p WHERE p.path = d.path AND p.chain = c.rule_id AND p.line BETWEEN c."first" AND c."last")),
+graph AS (SELECT DISTINCT component, source, target, type, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS VARCHAR) AS confidence FROM (SELECT component, source, target, type FROM fe
+  UNION ALL SELECT component, source, target, type FROM acted UNION ALL SELECT component, 'SKILL:' || component, 'ACTION:' || component || ':' || line || ':executes', 'EXECUTES' FROM ran)),
+{PATHS.replace('exfil AS (SELECT', 'exfil_walks AS (SELECT').replace('FROM exfil UNION', 'FROM exfil_walks UNION').replace('allp AS', 'allpaths AS').replace('FROM allp)', 'FROM allpaths)')},
+per AS (SELECT d.source, p.attack_type, p.risk_score FROM p JOIN docs d ON d.path = p.component)"""
+GRAPH_RESULTS = RESULTS
 ORACLES = {
     "relative_location": f"WITH {PLACED} SELECT file, count(*) AS n FROM recs GROUP BY file",
     "baseline_records": f"WITH {PLACED} SELECT rule_id, file, line, evidence, severity FROM recs",
@@ -551,7 +655,21 @@ ORACLES = {
     "baseline_counts": f"WITH {SIDES} SELECT CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(n_current - matched) AS BIGINT) AS new, CAST(sum(n_baseline - matched) AS BIGINT) AS fixed FROM cnt",
     "baseline_annotate": f"WITH {SIDES} SELECT o, l_linenumber, CASE WHEN file = 'f7' THEN NULL ELSE baseline_state END AS baseline_state FROM state",
     "baseline_fixed": f"WITH {SIDES} SELECT rule_id, file, line, evidence, severity FROM (SELECT *, unnest(range(0, n_baseline - matched)) AS i FROM cnt)",
-    "baseline_balance": "SELECT '' AS rule_id, '' AS file WHERE false",
+    "baseline_balance": f"""WITH {SIDES}, s AS (SELECT file, count(*) AS rows_now, count(*) FILTER (baseline_state = 'matched') AS matched, count(*) FILTER (baseline_state = 'new') AS new FROM state GROUP BY file),
+        g AS (SELECT file, CAST(sum(n_baseline - matched) AS BIGINT) AS fixed FROM cnt GROUP BY file) SELECT s.*, coalesce(fixed, 0) AS fixed FROM s LEFT JOIN g USING (file)""",
+    "baseline_round_trip": f"WITH {PLACED} SELECT rule_id, count(*) AS written, count(*) AS back, count(*) AS equal FROM recs GROUP BY rule_id",
+    "resolve_ids": f"""WITH {PLACED}, i AS (SELECT {ID} AS finding_id, rule_id, file FROM recs), c AS (SELECT finding_id, count(*) AS n, min(rule_id) AS r, min(file) AS f FROM i GROUP BY finding_id)
+        SELECT finding_id, n AS n_records, CASE WHEN n = 1 THEN r END AS rule_id, CASE WHEN n = 1 THEN f END AS file FROM c
+        UNION ALL SELECT finding_id || 'x', CAST(0 AS BIGINT), NULL, NULL FROM c WHERE finding_id IN (SELECT finding_id FROM i WHERE rule_id = 'AS-002')""",
+    "sarif_run": f"""WITH {FINDINGS_SQL}, t AS (SELECT DISTINCT source FROM line_findings) SELECT source, CAST(section AS INTEGER) AS section, n FROM (
+        SELECT source, unnest([0, 2, 4, 6]) AS section, CAST(1 AS BIGINT) AS n FROM t UNION ALL SELECT source, 1, count(DISTINCT rule_id) FROM line_findings GROUP BY source
+        UNION ALL SELECT source, 3, count(DISTINCT path) FROM line_findings GROUP BY source UNION ALL SELECT source, 5, count(*) FROM line_findings GROUP BY source)""",
+    "serialize_paths": f"""{G} SELECT path_id, edges[1].type AS first_type, attack_type, CAST(len(nodes) AS INTEGER) AS n_nodes, CAST(risk_score AS VARCHAR) AS risk_score FROM p""",
+    "serialize_graph": f"""{G}, {GRAPH_RESULTS}, ids AS (SELECT source AS id FROM graph UNION SELECT target FROM graph),
+        merged AS (SELECT component, source, target, type, max(severity) AS severity FROM graph GROUP BY ALL)
+        SELECT 'node' AS kind, '{{"id":"' || id || '","type":"' || split_part(id, ':', 1) || '","label":"' || substr(id, position(':' IN id) + 1) || '"}}' AS json FROM ids
+        UNION ALL SELECT 'edge', '{{"component":"' || component || '","source":"' || source || '","target":"' || target || '","type":"' || type || '","severity":' || coalesce('"' || severity || '"', 'null') || '}}' FROM merged
+        UNION ALL SELECT 'policy', '{{"policy_id":"' || policy_id || '","path_id":"' || path_id || '","violated":' || CASE WHEN violated THEN 'true' ELSE 'false' END || ',"reason":"' || reason || '"}}' FROM results""",
     "matched_by_severity": f"WITH {SIDES} SELECT file, severity, count(*) AS n FROM state WHERE baseline_state = 'matched' GROUP BY ALL",
     "gate_only_new": f"WITH {SIDES} SELECT o % 1000 AS target, CASE WHEN count(*) FILTER (baseline_state = 'new' AND severity = 'HIGH') > 0 THEN 1 ELSE 0 END AS exit_code FROM state GROUP BY ALL",
     "read_snapshots": f"WITH {SNAP} SELECT path, verdict, CASE WHEN n % 13 < 4 THEN 1 ELSE 2 END::BIGINT AS n, CASE WHEN verdict = 'ok' AND n % 7 <> 0 THEN 2 * n END AS lines FROM (SELECT path, verdict, n FROM judged)",
@@ -568,7 +686,7 @@ ORACLES = {
         CASE attack_type WHEN 'UNKNOWN' THEN NULL ELSE replace(attack_type, '_', '-') || '-001' END AS policy, 'entry_node_skill_file' AS place FROM p""",
     "superseded_chains": f"""{G}, {carriers.ACTIONS_SQL}, best AS (SELECT substr(nodes[1], 7) AS file, max(path_id) AS pid FROM p WHERE substr(nodes[1], 7) IN (SELECT component FROM graph) GROUP BY ALL)
         SELECT a.component AS file, line, CASE WHEN idx % 2 = 0 THEN 'AS-CHAIN-004' ELSE 'AS-003' END AS rule_id, 'error' AS level, CASE WHEN idx % 2 = 0 THEN pid END AS superseded_by_path,
-        CASE WHEN idx % 2 = 0 AND pid IS NOT NULL THEN 'inSource' END AS kind FROM actions a LEFT JOIN best ON best.file = a.component WHERE category = 'NETWORK'""",
+        CASE WHEN idx % 2 = 0 AND pid IS NOT NULL THEN 'inSource' END AS kind FROM actions a LEFT JOIN best ON best.file = a.component""",
     "adapt_cases": f"WITH {CASES} SELECT 'parts' AS benchmark_id, CAST(p_partkey AS VARCHAR) AS case_id, p_name AS name, p_type AS description, array_to_string(list_sort(list_distinct(['ASI0' || (p_partkey % 12), 'ASI01'])), ',') AS threats, 'A,N,R' AS expected FROM ok",
     "evaluate_cases": f"WITH {BENCH} SELECT benchmark_id, case_id, array_to_string(missing, ',') AS violated, len(missing) = 0 AS passed, status, 'Benchmark evaluation completed.' AS message FROM res",
     "evaluate_executions": f"WITH {BENCH} SELECT benchmark_id, case_id, len(missing) = 0 AS passed, 'completed' AS status FROM res",
@@ -576,7 +694,7 @@ ORACLES = {
         UNION ALL SELECT benchmark_id, case_id, 'not executed' FROM cases WHERE (benchmark_id, case_id) NOT IN (SELECT benchmark_id, case_id FROM obs)""",
     "benchmark_summary": f"WITH {BENCH} SELECT * FROM summ",
     "benchmark_statuses": f"WITH {BENCH} SELECT benchmark_id, status, count(*) AS n FROM res GROUP BY ALL",
-    "benchmark_sum_check": "SELECT '' AS benchmark_id WHERE false",
+    "benchmark_sum_check": f"WITH {BENCH} SELECT benchmark_id FROM summ WHERE benchmark_id LIKE '%3' OR benchmark_id LIKE '%4'",
     "cross_benchmark": f"WITH {BENCH} SELECT count(*) AS total_benchmarks, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("total_cases", "passed_cases", "failed_cases", "error_cases")) + " FROM summ",
     "duplicate_benchmarks": f"WITH {BENCH} SELECT benchmark_id, CAST(2 AS BIGINT) AS n FROM summ WHERE benchmark_id LIKE '%1'",
     "threat_mapping": f"WITH {CASES}, tax(entry_id, entry_name) AS (VALUES " + ", ".join(f"({q(a)}, {q(b)})" for a, b, _ in ev.TAXONOMY)
@@ -593,12 +711,23 @@ ORACLES = {
         SELECT source, tp, fp, inconclusive, CASE WHEN n > 0 THEN round(p, 6) END AS precision, CASE WHEN n > 0 THEN round(mid - half, 6) END AS low, CASE WHEN n > 0 THEN round(mid + half, 6) END AS high FROM e""",
     "register_rule": f"""WITH {FINDINGS_SQL} SELECT rule, rule_id, severity, count(*) AS n FROM line_findings GROUP BY ALL
         UNION ALL SELECT 'todo_marker', 'X-001', 'INFO', count(*) FROM lines WHERE regexp_matches(text, '(?i)nothing (?:to|else)')""",
-    "pattern_table_inline": f"WITH {LINES_SQL} {HITS}",
-    "pattern_table_joined": f"WITH {LINES_SQL} {WORD_HITS}",
+    "register_file_rule": f"WITH {carriers.DOCS_SQL} SELECT doc_id, 'X-F-001' AS rule_id, 'HIGH' AS severity FROM docs WHERE contains(text, 'subprocess') AND contains(text, 'eval(')",
+    "pattern_table": f"WITH {LINES_SQL} {HITS}",
+    "pattern_table_many": f"""WITH {LINES_SQL}, w AS (SELECT DISTINCT lower(regexp_extract(p_name, '(\\w+)$', 1)) AS w FROM part)
+        SELECT DISTINCT doc_id, line, 'W-' || w AS pattern_id FROM lines JOIN w ON contains(lower(text), left(w, 4)) WHERE w <> '' UNION ALL {HITS}""",
     "python_rule_errors": f"WITH {LINES_SQL} SELECT doc_id, line, CASE WHEN contains(text, 'password') THEN 'line_rule_exception' ELSE 'short' END AS outcome FROM lines WHERE contains(text, 'password') OR length(text) BETWEEN 1 AND 11",
     "stream_scan": f"WITH {FINDINGS_SQL} SELECT doc_id, line, rule, severity FROM line_findings",
     "stream_new_findings": f"WITH {FINDINGS_SQL} SELECT doc_id, line, rule_id, evidence FROM line_findings WHERE rule_id = 'AS-002'",
-    "whole_scan_findings": f"""WITH RECURSIVE {WHOLE} SELECT source, rule_id, severity, count(*) AS n FROM (SELECT source, rule_id, severity FROM line_findings
-        UNION ALL SELECT source, chain, CASE WHEN chain = 'AS-CHAIN-001' OR (bool_or(severity IN ('CRITICAL', 'HIGH') AND rule_id IN ('AS-003','AS-005')) AND bool_or(severity IN ('CRITICAL', 'HIGH') AND rule_id = 'AS-002')) THEN 'CRITICAL' ELSE 'HIGH' END FROM parts GROUP BY source, chain
-        UNION ALL SELECT d.source, c.rule_id, 'CRITICAL' FROM chains c JOIN docs d USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.path = d.path AND p.chain = c.rule_id AND p.line BETWEEN c."first" AND c."last")) GROUP BY ALL""",
+    "files_to_findings": f"""WITH {TREE_SQL}, {plain_findings_sql("SELECT path AS id, CASE WHEN variant = 2 THEN text || chr(65533) ELSE text END AS text FROM judged WHERE skip_reason IS NULL AND NOT pruned")}
+        SELECT 'finding' AS kind, rule AS name, count(*) AS n, count(DISTINCT id) AS files FROM f GROUP BY rule
+        UNION ALL SELECT kind, coalesce(reason, 'read'), count(*), count(DISTINCT path) FROM events_of GROUP BY ALL""",
+    "whole_scan_findings": f"WITH RECURSIVE {WHOLE} SELECT source, rule_id, severity, count(*) AS n FROM ({ALL_FINDINGS}) GROUP BY ALL",
+    "whole_scan_paths": f"WITH RECURSIVE {WHOLE_PATHS} SELECT source, attack_type, risk_score, count(*) AS n FROM per GROUP BY ALL",
+    "whole_scan_targets": f"""WITH RECURSIVE {WHOLE_PATHS}, every_finding AS ({ALL_FINDINGS}), marked AS (SELECT *, rule_id = 'AS-005' AS suppressed FROM every_finding), {score_sql('source')},
+        counted AS (SELECT source, {", ".join(f"count(*) FILTER (NOT suppressed AND severity = {q(s)}) AS {s.lower()}" for s in vocab.SEVERITIES[:4])}, count(*) FILTER (suppressed) AS suppressed,
+          count(*) AS findings, count(*) FILTER (rule_id <> 'AS-002') AS new, count(*) FILTER (rule_id = 'AS-002') AS matched FROM marked GROUP BY source),
+        pathed AS (SELECT source, count(*) AS paths, count(*) FILTER (attack_type <> 'UNKNOWN') AS proven_paths, max(risk_score) AS worst_path_score, arg_max(attack_type, risk_score) AS worst_attack FROM per GROUP BY source)
+        SELECT t.source, coalesce(score, 0) AS score, {LEVEL.replace('score', 'coalesce(score, 0)')} AS risk_level, 'full' AS coverage_status, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("critical", "high", "medium", "low", "suppressed", "findings", "new", "matched", "paths", "proven_paths"))},
+        files_scanned, CASE WHEN coalesce(proven_paths, 0) > 0 THEN 'FAIL' ELSE 'PASS' END AS policy_status, worst_attack, worst_path_score
+        FROM (SELECT source, count(*) AS files_scanned FROM documents GROUP BY source) t LEFT JOIN scored USING (source) LEFT JOIN counted USING (source) LEFT JOIN pathed USING (source)""",
 }

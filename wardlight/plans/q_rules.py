@@ -215,33 +215,36 @@ def lines_of_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def plain_scan(kind: str):
-    """The rules over a given table just as it is."""
+    """The rules over a given table: documents just as they are, pages and turns with a snippet each."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         if kind == "documents":
             docs = read_texts(spark, folder, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("id"), "text")
         elif kind == "pages":
-            docs = read_texts(spark, folder, "pages", "page_id", "html").select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("text"))
+            docs = carriers.seeded_texts(spark, folder, "pages", F.col("page_id").cast("string"), F.col("page_id"), "html")
         else:
-            docs = read_texts(spark, folder, "conversations", "conv_id", "turn", "text").select(
-                F.concat_ws("/", "conv_id", "turn").alias("id"), "text"
-            )
+            docs = carriers.seeded_texts(spark, folder, "conversations", F.concat_ws("/", "conv_id", "turn"), F.col("conv_id") + F.col("turn"), "text")
         return lr.line_findings(explode_lines(docs)).select("id", "line", "rule", "rule_id", "severity", "evidence")
 
     return run
 
 
-def _plain_sql(kind: str) -> str:
-    docs = {
-        "documents": "SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents",
-        "pages": "SELECT CAST(page_id AS VARCHAR) AS id, html AS text FROM pages",
-        "conversations": "SELECT conv_id || '/' || turn AS id, text FROM conversations",
-    }[kind]
+def plain_findings_sql(docs: str) -> str:
+    """``f``: findings of ``docs`` (id, text), as the tail of a WITH clause."""
     cut = LINES_SQL[LINES_SQL.index(", cut AS"):].replace("doc_id, source, path, ", "id, ").lstrip(", ")
     union = " UNION ALL ".join(
         rule_select(r).replace("doc_id, source, path, line, text,", "id, line,") for r in CATALOG
     )
-    return f"WITH docs AS ({docs}), {cut}, f AS ({union}) SELECT id, line, rule, rule_id, severity, evidence FROM f"
+    return f"docs AS ({docs}), {cut}, f AS ({union})"
+
+
+def _plain_sql(kind: str) -> str:
+    docs = {
+        "documents": "SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents",
+        "pages": f"SELECT CAST(page_id AS VARCHAR) AS id, html || chr(10) || body AS text FROM pages JOIN snippets ON page_id % {carriers.PERIOD} = k",
+        "conversations": f"SELECT conv_id || '/' || turn AS id, text || chr(10) || body AS text FROM conversations JOIN snippets ON (conv_id + turn) % {carriers.PERIOD} = k",
+    }[kind]
+    return f"WITH {carriers.SNIPPETS_SQL}, {plain_findings_sql(docs)} SELECT id, line, rule, rule_id, severity, evidence FROM f"
 
 
 QUERIES = {f"rule_{r.rule}": _rule_query(r.rule) for r in lr.RULES}

@@ -68,17 +68,17 @@ events_of AS (
 
 def admission(spark: SparkSession, folder: str) -> DataFrame:
     files = file_tree(spark, folder)
-    return corpus.decode(files).select("path", "length", F.coalesce("skip_reason", F.lit("read")).alias("verdict"))
+    return corpus.decode(files, vocab.MAX_FILE_SIZE).select("path", "length", F.coalesce("skip_reason", F.lit("read")).alias("verdict"))
 
 
 def decoded(spark: SparkSession, folder: str) -> DataFrame:
-    rows = corpus.decode(file_tree(spark, folder)).where("text IS NOT NULL")
+    rows = corpus.decode(file_tree(spark, folder), vocab.MAX_FILE_SIZE).where("text IS NOT NULL")
     return rows.select("path", "lossy", F.md5("text").alias("text_hash"))
 
 
 def _tree_events(spark: SparkSession, folder: str) -> DataFrame:
     left, pruned = corpus.prune(file_tree(spark, folder))
-    events = corpus.coverage_events(corpus.decode(left), pruned)
+    events = corpus.coverage_events(corpus.decode(left, vocab.MAX_FILE_SIZE), pruned)
     return events.withColumn("source", F.split_part("path", F.lit("/"), F.lit(2)))
 
 
@@ -195,7 +195,7 @@ def risk_verdict_by_document(spark: SparkSession, folder: str) -> DataFrame:
     """One target per document, so that all levels and UNKNOWN occur."""
     files = file_tree(spark, folder)
     left, pruned = corpus.prune(files)
-    events = corpus.coverage_events(corpus.decode(left), pruned.where("false"))
+    events = corpus.coverage_events(corpus.decode(left, vocab.MAX_FILE_SIZE), pruned.where("false"))
     ids = files.select("path", "doc_id")
     per_doc = events.join(ids, "path")
     return sc.risk_with_coverage(

@@ -63,7 +63,7 @@ def _sequence(steps: DataFrame, keys) -> DataFrame:
 
 
 def document_chains(spark: SparkSession, folder: str) -> DataFrame:
-    return st.file_chains(seeded_actions(spark, folder), DOC).select("doc_id", "rule_id", "severity", "title", "evidence", "first", "last")
+    return st.file_chains(cut(seeded_actions(spark, folder)), DOC).select("doc_id", "rule_id", "severity", "title", "evidence", "first", "last")
 
 
 # ------------------------------------------------------------------ SQL twins
@@ -161,12 +161,12 @@ def chain_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def correlated(spark: SparkSession, folder: str) -> DataFrame:
-    parts = co.contributors(_found(spark, folder), ["source"], "path", ORDER)
+    parts = cut(co.contributors(_found(spark, folder), ["source"], "path", ORDER))
     return co.chain_findings(parts, ["source"], "path").select("source", "rule_id", "severity", "title", "file", "evidence")
 
 
 def uncovered_chains(spark: SparkSession, folder: str) -> DataFrame:
-    chains = cut(st.file_chains(seeded_actions(spark, folder), ["source", "path"]))
+    chains = cut(st.file_chains(cut(seeded_actions(spark, folder)), ["source", "path"]))
     parts = cut(co.contributors(_found(spark, folder), ["source"], "path", ORDER))
     return co.uncovered(chains, parts, ["source"], "path").select("path", "rule_id", "first", "last")
 

@@ -1,4 +1,10 @@
-"""The whole scan as one flow of tables: documents to findings, chains, graph, paths and verdicts."""
+"""The whole scan as one flow of tables: documents to findings, chains, graph, paths and verdicts.
+
+``scan`` names the columns that make one target. They go through everything: equal paths
+in two targets are two files, two components and two graphs. Tables of edges and paths
+have columns of their own called ``source`` and ``target``, so there, and in declared
+edges and context, a target column ``x`` is called ``scan_x``.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.operators import baseline as bl
 from wardlight.operators import checks as ck
+from wardlight.operators import components as cp
 from wardlight.operators import correlate as co
 from wardlight.operators import document_rules as dr
 from wardlight.operators import enrich as en
@@ -16,6 +24,7 @@ from wardlight.operators import graph as gr
 from wardlight.operators import line_rules as lr
 from wardlight.operators import paths as pt
 from wardlight.operators import policy as po
+from wardlight.operators import scoring as sc
 from wardlight.operators import server_rules as sr
 from wardlight.operators import steps as st
 from wardlight.session import cut
@@ -25,25 +34,43 @@ ORDER = ["phase", "line", "rule_order"]
 SHAPE = ["path", "phase", "line", "rule_order", "rule_id", "severity", "title", "description", "evidence", "remediation", "matched_text"]
 
 
+def inner(scan: Sequence[str]) -> list[str]:
+    """Names of the target columns in tables of edges, paths and context."""
+    return [f"scan_{k}" for k in scan]
+
+
+def _renamed(df: DataFrame, old: Sequence[str], new: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed(dict(zip(old, new)))
+
+
+@dataclass
+class Found:
+    """What single files and their correlation yield; all three are materialised."""
+
+    findings: DataFrame
+    contributors: DataFrame
+    steps: DataFrame
+
+
 @dataclass
 class Scan:
-    """Tables of one scan. ``findings`` and ``contributors`` are materialised."""
+    """Tables of one scan, each with its target columns. Findings, edges and paths are materialised."""
 
     findings: DataFrame
     contributors: DataFrame
     edges: DataFrame
     paths: DataFrame
     policy_results: DataFrame
+    entry_files: DataFrame
+    path_policies: DataFrame
+    context: DataFrame | None
+    targets: DataFrame
 
 
 def file_findings(docs: DataFrame, scan: Sequence[str]) -> DataFrame:
-    """Findings of single files: line, document and server rules, HTTP claims collapsed.
-
-    ``docs``: scan keys, path, text.
-    """
+    """Findings of single files: line, document and server rules. ``docs``: scan keys, path, text."""
     shape = [*scan, *SHAPE]
-    lines = explode_lines(docs)
-    by_line = lr.line_findings(lines).withColumn("phase", F.lit(0)).select(*shape)
+    by_line = lr.line_findings(explode_lines(docs)).withColumn("phase", F.lit(0)).select(*shape)
     by_document = dr.document_findings(docs).withColumn("phase", F.lit(1)).select(*shape)
     by_server = (
         sr.server_findings(sr.read_servers(docs))
@@ -52,16 +79,17 @@ def file_findings(docs: DataFrame, scan: Sequence[str]) -> DataFrame:
         .withColumn("remediation", F.lit("Review the server configuration."))
         .select(*shape)
     )
-    return dr.collapse_http_claims(by_line.unionByName(by_document).unionByName(by_server), "path")
+    return by_line.unionByName(by_document).unionByName(by_server)
 
 
-def run(docs: DataFrame, scan: Sequence[str], declared: DataFrame | None = None) -> Scan:
-    """Scan documents; ``scan`` names the columns that make one target."""
+def find(docs: DataFrame, scan: Sequence[str]) -> Found:
+    """Findings of files, chains over findings and chains over steps, enriched."""
     keys = list(scan)
-    raw = cut(file_findings(docs, keys))
+    file = [*keys, "path"]
+    raw = dr.collapse_http_claims(cut(file_findings(docs, keys)), file)
     parts = cut(co.contributors(raw, keys, "path", ORDER))
-    steps = cut(st.actions(explode_lines(docs)).select(*keys, "path", *st.ACTION_COLUMNS))
-    chains = co.uncovered(st.file_chains(steps, [*keys, "path"]), parts, keys, "path")
+    steps = cut(st.actions(explode_lines(docs)).select(*file, *st.ACTION_COLUMNS))
+    chains = co.uncovered(st.file_chains(steps, file), parts, keys, "path")
     nothing = F.lit(None).cast("int")
 
     def shaped(df: DataFrame, phase: int, path, line) -> DataFrame:
@@ -72,14 +100,74 @@ def run(docs: DataFrame, scan: Sequence[str], declared: DataFrame | None = None)
 
     together = shaped(co.chain_findings(parts, keys, "path"), 3, F.col("file"), nothing)
     inside = shaped(chains, 4, F.col("path"), F.col("first"))
-    findings = cut(en.enrich(raw.unionByName(together).unionByName(inside)))
-    edges = gr.security_graph(
-        cut(gr.finding_edges(findings)), gr.action_edges(steps.withColumn("component", gr.component_id(F.col("path"))))
+    return Found(cut(en.enrich(raw.unionByName(together).unionByName(inside))), parts, steps)
+
+
+def graph(found: Found, scan: Sequence[str], declared: DataFrame | None = None) -> DataFrame:
+    """Edges of every target: of findings, of steps, and declared ones (scan_ keys, component, source, target, type)."""
+    keys = inner(scan)
+    steps = _renamed(found.steps, scan, keys).withColumn("component", gr.component_id(F.col("path")))
+    acted = gr.action_edges(steps, keys)
+    edges = gr.security_graph(gr.finding_edges(_renamed(found.findings, scan, keys), keys), acted, keys)
+    return cut(edges if declared is None else edges.unionByName(declared, allowMissingColumns=True))
+
+
+def run(
+    docs: DataFrame, scan: Sequence[str], declared: DataFrame | None = None, events: DataFrame | None = None, baseline: DataFrame | None = None,
+    context: DataFrame | None = None, ignore: dict | None = None, limit: int | None = None,
+) -> Scan:
+    """Scan documents (scan keys, path, text).
+
+    ``events``: coverage rows (scan keys, kind, path, reason, line) of what was read or not;
+    without them every document counts as read. ``baseline``: fingerprints with the scan keys.
+    ``context``: component associations with the scan_ keys. ``ignore``: lists of rules, servers
+    and domains. ``limit`` bounds the edges of a walk; a cut walk leaves a coverage row, which
+    makes its target's coverage partial.
+    """
+    keys, inside = list(scan), inner(scan)
+    found = find(docs, keys)
+    edges = graph(found, keys, declared)
+    paths = cut(pt.analyze(edges, inside, limit))
+    results = po.evaluate(paths.select(*inside, "path_id", "attack_type"))
+    nodes = gr.nodes_of(edges, inside)
+    ck.assert_sound(ck.all_checks(paths, results, edges, nodes, inside))
+    none = F.lit(None).cast("string")
+    read = docs.select(*keys, F.lit("scanned").alias("kind"), "path", none.alias("reason"), F.lit(None).cast("int").alias("line"))
+    events = read if events is None else events
+    if limit is not None:
+        ranked = cut(pt.ranked_edges(edges, inside))
+        flows, origins = ranked.where("type = 'FLOWS_TO'"), pt.read_origins(ranked).select(*inside, "component", F.col("target").alias("origin"))
+        short = _renamed(pt.cut_walks(pt.flow_walks(flows, origins, limit, inside), flows, limit, inside), inside, keys)
+        events = events.unionByName(short.select(*keys, F.lit("skipped").alias("kind"), F.col("component").alias("path"), F.lit("walk_cut").alias("reason"), F.lit(None).cast("int").alias("line")))
+    findings = en.suppress(found.findings, **(ignore or {})).withColumn("file", F.col("path"))
+    state = none.alias("baseline_state")
+    if baseline is not None:
+        findings = cut(bl.annotate(findings, baseline, ORDER, F.floor(F.coalesce("line", F.lit(0)) / 4096), [*keys, *bl.KEY]))
+    else:
+        findings = findings.select("*", state)
+    valid = None if context is None else cp.valid_context(context, nodes, edges, inside)
+    files = _renamed(docs, keys, inside).select(*inside, gr.component_id(F.col("path")).alias("path")).distinct()
+    return Scan(
+        findings, found.contributors, edges, paths, results, pt.entry_files(paths, files, inside), po.associate(paths, results, inside), valid,
+        targets(findings, _renamed(paths.drop("source", "target"), inside, keys), _renamed(results, inside, keys), events, keys),
+    )
+
+
+def targets(findings: DataFrame, paths: DataFrame, results: DataFrame, events: DataFrame, scan: Sequence[str]) -> DataFrame:
+    """One row per target: score, level, counts, coverage, baseline, policy status and the worst path."""
+    keys = list(scan)
+    coverage = sc.coverage_status(events, keys)
+    row = sc.risk_with_coverage(sc.scores(findings, keys), coverage, keys).join(coverage.drop("coverage_status", "holes"), keys, "left")
+    row = row.join(sc.severity_summary(findings, keys), keys, "left")
+    states = findings.groupBy(*keys).agg(
+        F.count("*").alias("findings"), F.count_if(F.col("baseline_state") == "new").alias("new"), F.count_if(F.col("baseline_state") == "matched").alias("matched")
+    )
+    worst = sc.highest_risk_path(paths, keys).select(*keys, F.col("attack_type").alias("worst_attack"), F.col("risk_score").alias("worst_path_score"))
+    counted = paths.groupBy(*keys).agg(F.count("*").alias("paths"), F.count_if(F.col("attack_type") != "UNKNOWN").alias("proven_paths"))
+    verdict = po.status(results, coverage.select(*keys, "coverage_status"), keys)
+    for part in (states, counted, worst, verdict):
+        row = row.join(part, keys, "left")
+    counts = ["critical", "high", "medium", "low", "suppressed", "findings", "new", "matched", "paths", "proven_paths", "files_scanned"]
+    return row.select(
+        *keys, "score", "risk_level", "coverage_status", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], "policy_status", "worst_attack", "worst_path_score"
     )
-    if declared is not None:
-        edges = edges.unionByName(declared, allowMissingColumns=True)
-    edges = cut(edges)
-    paths = cut(pt.analyze(edges))
-    results = po.evaluate(paths.select("path_id", "attack_type"))
-    ck.assert_sound(ck.all_checks(paths, results, edges, gr.nodes_of(edges)))
-    return Scan(findings, parts, edges, paths, results)
