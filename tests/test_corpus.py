@@ -21,7 +21,9 @@ def file_table(spark, files=FILES):
 
 def test_decode_and_reasons(spark):
     left, pruned = corpus.prune(file_table(spark))
-    rows = {r.path[2:]: r for r in corpus.decode(left).collect()}
+    rows = {r.path[2:]: r for r in corpus.decode(left, max_bytes=1_000_000, probe_bytes=8192).collect()}
+    whole = {r.path[2:]: r.skip_reason for r in corpus.decode(left).collect()}
+    assert whole["big.txt"] is None and whole["late.md"] == "binary"
     assert rows["u16.md"].text == "hé\nllo 𝄞"
     assert rows["u16be.txt"].text == rows["u32.txt"].text == rows["u32be.txt"].text == "héllo"
     assert {p: r.skip_reason for p, r in rows.items() if r.skip_reason} == {

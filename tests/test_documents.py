@@ -61,7 +61,7 @@ def claims(spark, *texts):
     docs = docs_of(spark, texts)
     found = lr.line_findings(explode_lines(docs)).select("path", "line", "rule", "rule_id", "severity", "matched_text")
     more = dr.document_findings(docs).select(*found.columns)
-    kept = dr.collapse_http_claims(found.unionByName(more), "path")
+    kept = dr.collapse_http_claims(found.unionByName(more), ["path"])
     return sorted((r.path, r.line) for r in kept.where("rule_id = 'AS-003'").collect())
 
 
@@ -116,4 +116,6 @@ def test_server_rules(spark):
     assert findings(spark, command="uvx", args=["pkg==1.0", "/var"])["007"][0] == "HIGH"
     assert findings(spark, command="x", args=["--force", 8080]) == {"008": ("HIGH", "Suspicious args: --force 8080")}
     long = findings(spark, command="sh", args=["-c", "a" * 300])["003"][1]
-    assert len(long) == len("Shell command line: ") + 160 and long.endswith("...")
+    assert long == "Shell command line: sh -c " + "a" * 300
+    shown = sr.server_findings(servers(spark, {"mcpServers": {"one": {"command": "sh", "args": ["-c", "a" * 300]}}}), shown=160).first().evidence
+    assert len(shown) == len("Shell command line: ") + 160 and shown.endswith("...")

@@ -14,6 +14,7 @@ PICKED = [
     "step_sequence_events", "download_execute_text", "source_sink_text", "correlated_chains", "security_graph", "attack_paths",
     "policy_evaluate", "check_spoiled_rows", "component_risk_evidence", "collapse_http_claims", "server_findings",
     "baseline_annotate", "sarif_results", "evaluate_cases", "lab_cases", "whole_scan_findings",
+    "whole_scan_paths", "chain_remote_mcp", "policy_status", "pattern_table", "path_context", "sarif_run", "serialize_graph",
 ]
 
 

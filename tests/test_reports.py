@@ -103,7 +103,14 @@ def test_snapshots_round_trip(spark, tmp_path):
             sn.read_snapshot(spark, str(bad))
     bad.write_bytes(b" " * (vocab.MAX_BASELINE_BYTES + 1))
     with pytest.raises(sn.SnapshotError, match="too large"):
-        sn.read_snapshot(spark, str(bad))
+        sn.read_snapshot(spark, str(bad), max_bytes=vocab.MAX_BASELINE_BYTES)
+    same = rows.unionByName(rows).unionByName(rows)
+    sn.write_snapshot(same, out)
+    assert sn.read_snapshot(spark, out + "/part-*").count() == 9
+    with pytest.raises(sn.SnapshotError, match="too many"):
+        sn.read_snapshot(spark, out + "/part-*", max_records=8)
+    sn.write_records(same, str(tmp_path / "records"))
+    assert sorted(map(str, sn.read_records(spark, str(tmp_path / "records")).collect())) == sorted(map(str, same.select(*bl.KEY).collect()))
 
 
 def findings(spark):
@@ -146,15 +153,35 @@ def test_sarif(spark):
     assert rp.sarif_artifacts(findings(spark), ["target"]).count() == 2
 
 
-def test_scan_document_and_its_limit(spark):
-    rows = findings(spark)
+def document(rows):
+    return json.loads("".join(r.json for r in sorted(rows.collect(), key=lambda r: (r.section, r.pos))))
+
+
+def test_scan_document(spark, tmp_path):
     keys = ["target"]
-    cover = spark.createDataFrame([("t", "full", 2)], "target string, coverage_status string, files_scanned int")
-    def doc(limit):
-        return json.loads(rp.scan_json(rows, sc.scores(rows, keys), sc.severity_summary(rows, keys), cover, keys, ["file", "ord"], limit).first().json)
+    cover = spark.createDataFrame([("t", "full", 2), ("u", "none", 0)], "target string, coverage_status string, files_scanned int")
+
+    def lines(rows, chunk=None):
+        return rp.scan_json(rows, sc.scores(rows, keys), sc.severity_summary(rows, keys), cover, keys, ["file", "ord"], chunk)
+
+    few = findings(spark)
+    doc = document(lines(few).where("target = 't'"))
+    assert doc["score"] == 65 and len(doc["findings"]) == 3 and doc["summary"]["suppressed"] == 1
+    assert document(lines(few).where("target = 'u'"))["findings"] == []
+    many = few.where("rule_id = 'AS-002'").withColumn("ord", F.explode(F.sequence(F.lit(1), F.lit(10_500)))).withColumn("line", F.col("ord"))
+    doc = document(lines(many, F.floor(F.col("ord") / 512)).where("target = 't'"))
+    assert [f["line"] for f in doc["findings"]] == list(range(1, 10_501)) and doc["n_findings"] == 10_500
+    rp.write_documents(lines(few), str(tmp_path / "docs"), keys)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "docs" / "target=t").glob("part-*")))
+    assert len(json.loads(text)["findings"]) == 3
+
 
-    assert doc(10)["score"] == 65 and len(doc(10)["findings"]) == 3 and doc(10)["summary"]["suppressed"] == 1
-    assert doc(2)["findings"] is None and doc(2)["n_findings"] == 3
+def test_sarif_run_is_one_document(spark):
+    found = findings(spark)
+    results = rp.result_json(rp.sarif_results(found)).select("target", "file", "ord", "json")
+    run = document(rp.sarif_run(results, rp.sarif_rules(found, ["target"], ["file", "ord"]), rp.sarif_artifacts(found, ["target"]), ["target"], ["file", "ord"]))["runs"][0]
+    assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["AS-002", "AS-005", "AS-CHAIN-002"]
+    assert len(run["results"]) == 3 and [a["location"]["uri"] for a in run["artifacts"]] == ["a.md", "b/c.md"]
 
 
 def test_escaping(spark):
@@ -216,16 +243,35 @@ def test_python_rule_errors_are_recorded(spark):
             raise KeyError(text)
         return "seen"
 
-    found, errors = ex.apply_python_rule(lines, "mine", judge)
-    assert [r.line for r in found.collect()] == [1]
-    assert [(r.line, r.reason, r.error_type) for r in errors.collect()] == [(2, "line_rule_exception", "KeyError")]
+    rows = ex.apply_python_rule(lines, "mine", judge).orderBy("line").collect()
+    assert [(r.line, r.evidence, r.reason, r.error_type) for r in rows] == [(1, "seen", None, None), (2, None, "line_rule_exception", "KeyError")]
+
+
+def test_pattern_table_does_not_depend_on_its_size(spark):
+    lines = spark.createDataFrame([(1, "Drop the table"), (2, "drop it"), (3, "all tokens here"), (4, "a token here"), (5, "x"), (6, "re-use of io")], "line int, text string")
+    rules = [("a", "drop", r"\bdrop\b"), ("b", "the table", r"\bthe\s+table\b"), ("c", "token", r"\btoken\w*"), ("d", "x", "^x$"), ("e", "re-use", "re-use"), ("a", "drop it", "drop it")]
+    want = [(1, "a"), (1, "b"), (2, "a"), (3, "c"), (4, "c"), (5, "d"), (6, "e")]
+    more = [(f"n{i}", f"zz{i}", f"zz{i}") for i in range(600)]
+    for table in (rules, rules + more):
+        found = ex.match_pattern_table(lines, spark.createDataFrame(table, "pattern_id string, stem string, pattern string")).collect()
+        assert sorted((r.line, r.pattern_id) for r in found) == want
+    with pytest.raises(ValueError):
+        ex.match_pattern_table(lines, spark.createDataFrame([("f", "--", "--")], "pattern_id string, stem string, pattern string"))
+
+
+def test_a_fingerprint_that_holds_most_rows(spark):
+    hot = [(i, "R", "f", 1, "e", "LOW") for i in range(2000)]
+    rows = spark.createDataFrame(hot + [(5000 + i, "R", f"g{i}", 1, "e", "LOW") for i in range(200)], RECORD)
+    then = spark.createDataFrame(hot[:700], RECORD)
+    for base in (then, bl.count_keys(then)):
+        state = bl.annotate(rows, base, ["ord"], F.floor(F.col("ord") / 64))
+        assert {r.ord for r in state.where("baseline_state = 'matched'").collect()} == set(range(700))
 
 
-def test_pattern_tables_agree(spark):
-    lines = spark.createDataFrame([(1, "Drop the table"), (2, "drop it"), (3, "tables")], "line int, text string")
-    rules = spark.createDataFrame([("a", "drop", r"\bdrop\b"), ("b", "table", r"\bthe\s+table\b")], "pattern_id string, stem string, pattern string")
-    ways = [sorted((r.line, r.pattern_id) for r in ex.match_pattern_table(lines, rules, n).collect()) for n in (10, 1)]
-    assert ways[0] == ways[1] == [(1, "a"), (1, "b"), (2, "a")]
+def test_resolved_ids(spark):
+    rows = spark.createDataFrame([("i", "R", "a"), ("j", "R", "b"), ("j", "S", "c")], "id string, rule_id string, file string")
+    got = {r.id: (r.n_records, r.rule_id, r.file) for r in bl.resolve(rows, "id", spark.createDataFrame([("i",), ("j",), ("k",), ("k",)], "id string")).collect()}
+    assert got == {"i": (1, "R", "a"), "j": (2, None, None), "k": (0, None, None)}
 
 
 def test_document_rules_register(spark):

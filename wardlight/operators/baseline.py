@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight import vocab
-from wardlight.operators.scoring import ranked
 
 KEY = ["rule_id", "file", "line", "evidence", "severity"]
 # fixed values
@@ -122,30 +122,36 @@ def diff_counts(current: DataFrame, baseline: DataFrame, keys: Sequence[str] = K
     )
 
 
+def count_keys(baseline: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """A baseline as (key, n_baseline): what comparisons read, once per baseline."""
+    return baseline.groupBy(*keys).agg(F.count("*").alias("n_baseline"))
+
+
 def annotate(current: DataFrame, baseline: DataFrame, order: Sequence[str], chunk: Column,
              keys: Sequence[str] = KEY, excluded: Column | None = None) -> DataFrame:
     """Adds ``baseline_state``: the first matched rows of a key in scan order, the rest new.
 
-    Only keys that are matched in part need a rank. ``chunk`` must grow with
-    the order; it keeps a frequent key from becoming one task. ``excluded``
-    rows were not compared and keep null.
+    ``baseline`` holds fingerprints, or ``n_baseline`` per key. Rows are numbered inside
+    (key, chunk) and meet the baseline as one row per (key, chunk), which carries the count of
+    the chunks before it; ``chunk`` must grow with the order. So no step, the join included, has
+    a frequent key in one task. ``excluded`` rows were not compared and keep null.
     """
     rows = current.withColumn("_skip", F.lit(False) if excluded is None else excluded)
     compared, skipped = rows.where(~F.col("_skip")), rows.where("_skip")
-    counts = matched_counts(compared, baseline, keys).where("n_current > 0").select(*keys, "n_current", "matched")
-    placed = compared.alias("l").join(counts.alias("r"), _same(keys)).select("l.*", "r.n_current", "r.matched")
-    whole = placed.where("matched = 0 OR matched = n_current").withColumn(
-        "baseline_state", F.when(F.col("matched") == 0, F.lit("new")).otherwise(F.lit("matched"))
-    )
-    part = ranked(placed.where("matched > 0 AND matched < n_current"), keys, order, chunk).withColumn(
-        "baseline_state", F.when(F.col("rank") <= F.col("matched"), F.lit("matched")).otherwise(F.lit("new"))
-    )
-    shown = [*current.columns, "baseline_state"]
-    return (
-        whole.select(*shown)
-        .unionByName(part.select(*shown))
-        .unionByName(skipped.withColumn("baseline_state", F.lit(None).cast("string")).select(*shown))
+    marked = compared.withColumn("_chunk", chunk)
+    place = [*keys, "_chunk"]
+    then = baseline if "n_baseline" in baseline.columns else count_keys(baseline, keys)
+    sizes = marked.groupBy(*place).agg(F.count("*").alias("_n"))
+    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    told = offsets.alias("l").join(then.alias("r"), _same(keys), "left").select(
+        *[F.col(f"l.{k}") for k in place], "l._before", F.coalesce("r.n_baseline", F.lit(0)).alias("_then")
     )
+    inside = W.partitionBy(*place).orderBy(*order)
+    numbered = marked.withColumn("_rn", F.row_number().over(inside))
+    state = F.when(F.col("l._rn") + F.col("r._before") <= F.col("r._then"), F.lit("matched")).otherwise(F.lit("new"))
+    judged = numbered.alias("l").join(told.alias("r"), _same(place)).select(*[F.col(f"l.{c}") for c in current.columns], state.alias("baseline_state"))
+    return judged.unionByName(skipped.withColumn("baseline_state", F.lit(None).cast("string")).select(*judged.columns))
 
 
 def fixed_rows(current: DataFrame, baseline: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -169,6 +175,18 @@ def with_ids(rows: DataFrame) -> DataFrame:
     return rows.withColumn("finding_id", finding_id(*[F.col(c) for c in KEY]))
 
 
+def resolve(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Each wanted id with the number of records it names and, where that is one, the record's fields."""
+    fields = [c for c in rows.columns if c != column]
+    found = rows.join(wanted.select(column).distinct(), column, "left_semi").groupBy(column).agg(
+        F.count("*").alias("n_records"), F.min(F.struct(*fields)).alias("r")
+    )
+    one = F.col("n_records") == 1
+    return wanted.select(column).distinct().join(found, column, "left").select(
+        column, F.coalesce("n_records", F.lit(0)).alias("n_records"), *[F.when(one, F.col(f"r.{c}")).alias(c) for c in fields]
+    )
+
+
 def lookup(rows: DataFrame, column: str, wanted: str):
     """The one record with this id; none or several is an error."""
     hits = rows.where(F.col(column) == wanted).limit(2).collect()

@@ -9,13 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight import vocab
-from wardlight.operators.bands import near, touching
+from wardlight.operators.bands import TILE, near, tile_of, touching
 from wardlight.session import cut
 
 STRONG = ["CRITICAL", "HIGH"]
-# A report may print this many locations in one line; beyond it the finding
-# names their number and the locations stay rows of the contributor table.
-INLINE_LOCATIONS = 10_000
 CHAINS = {
     "AS-CHAIN-001": (
         "Potential secret exfiltration chain", "Signals: prompt-injection + secret-access + network. Contributing: ",
@@ -86,8 +83,11 @@ def secret_exfiltration(findings: DataFrame, keys: Sequence[str], order: Sequenc
         .agg(F.min(F.struct("a", "b", "first", "last")).alias("m"))
         .select(*keys, "m.*")
     )
+    # one pair a file, a few tiles wide: the network findings meet it on (file, tile)
+    tiles = F.sequence(tile_of(F.col("first"), TILE).cast("int"), tile_of(F.col("last"), TILE).cast("int"))
     distinct = (
-        first_pair.join(net, list(keys))
+        first_pair.withColumn("_tile", F.explode(tiles))
+        .join(net.withColumn("_tile", tile_of(F.col("line"), TILE).cast("int")), [*keys, "_tile"])
         .where("line BETWEEN first AND last")
         .groupBy(*keys, "a", "b")
         .agg(F.min("c").alias("c"))
@@ -198,8 +198,7 @@ def contributors(findings: DataFrame, scan: Sequence[str], file: str, order: Seq
 
 
 def chain_findings(parts: DataFrame, scan: Sequence[str], file: str) -> DataFrame:
-    """One finding per target and chain, summarising its contributors."""
-    parts = cut(parts)
+    """One finding per target and chain, summarising its contributors (read twice)."""
     strong = F.col("severity").isin(STRONG)
     flags = parts.groupBy(*scan, "chain").agg(
         F.bool_or(F.col("rule_id").isin(vocab.NETWORK_RULES) & strong).alias("strong_download"),
@@ -228,25 +227,14 @@ def chain_findings(parts: DataFrame, scan: Sequence[str], file: str) -> DataFram
     )
 
 
-def locations(parts: DataFrame, scan: Sequence[str], file: str, inline: int = INLINE_LOCATIONS) -> DataFrame:
-    """Sorted ``file:line`` list per target and chain.
+def locations(parts: DataFrame, scan: Sequence[str], file: str) -> DataFrame:
+    """Sorted ``file:line`` list per target and chain, always complete.
 
-    The number of places is counted first. Only lists below ``inline`` become
-    one string; a longer list is named by its size and is read from the
-    contributor rows.
+    It is the evidence of one finding, and identities hash it, so it may not depend on its
+    length. It grows with the target's contributors; readers that want rows take those.
     """
     spots = parts.select(*scan, "chain", location_of(F.col(file), F.col("line")).alias("spot")).distinct()
-    sizes = spots.groupBy(*scan, "chain").agg(F.count("*").alias("n"))
-    short = sizes.where(F.col("n") <= inline).select(*scan, "chain")
-    listed = (
-        spots.join(short, [*scan, "chain"], "left_semi")
-        .groupBy(*scan, "chain")
-        .agg(F.array_join(F.array_sort(F.collect_set("spot")), ", ").alias("places"))
-    )
-    counted = sizes.where(F.col("n") > inline).select(
-        *scan, "chain", F.concat(F.col("n").cast("string"), F.lit(" locations")).alias("places")
-    )
-    return listed.unionByName(counted)
+    return spots.groupBy(*scan, "chain").agg(F.array_join(F.array_sort(F.collect_set("spot")), ", ").alias("places"))
 
 
 def uncovered(chains: DataFrame, parts: DataFrame, scan: Sequence[str], file: str, span: int = vocab.LINE_SPAN) -> DataFrame:

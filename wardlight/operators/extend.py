@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.functions import text as tx
 from wardlight.operators import line_rules as lr
 from wardlight.operators import rule_catalog as rc
 from wardlight.session import constant_table
 
-# Up to this many patterns are evaluated as expressions in one pass.
-INLINE_PATTERNS = 500
+# Letters on which lines and stems meet.
+STEM_PIECE = 5
+WORD = r"(?U)\w+"
 
 
 @dataclass
@@ -50,34 +50,49 @@ class RuleBook:
         return [rule(docs) for rule in self.document_rules]
 
 
-def match_pattern_table(lines: DataFrame, patterns: DataFrame, limit: int = INLINE_PATTERNS) -> DataFrame:
-    """Lines against rules kept as data: ``pattern_id``, ``stem``, ``pattern``.
+def match_pattern_table(lines: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Lines against rules kept as data: ``pattern_id``, ``stem``, ``pattern``; one row per line and id.
 
-    The table is counted first. A short one becomes expressions and is applied
-    in one pass. A longer one is joined on ``stem``, a lower-case word that
-    every match contains, and only lines with that word are tested.
+    ``stem`` is a lower-case text with a letter or digit that every match contains. The
+    longest word in it lies within some word of the line: the distinct words of all lines meet
+    the stems on the first letters, as they occur anywhere in the word; lines meet the words
+    that passed. Whole stem and pattern are tested on those lines only. The answer does not
+    depend on the number of patterns.
     """
     kept = lines.columns
-    if patterns.count() <= limit:
-        rows = patterns.select("pattern_id", "stem", "pattern").collect()  # at most ``limit`` rows
-        if not rows:
-            return lines.withColumn("pattern_id", F.lit(None).cast("string")).where("false")
-        low = F.lower("text")
-        hits = F.array_compact(F.array(*[
-            F.when(low.contains(r.stem) & tx.has(F.col("text"), r.pattern, fold=True), F.lit(r.pattern_id)) for r in rows
-        ]))
-        return lines.select(*kept, F.explode(hits).alias("pattern_id"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
-    stems = patterns.select("stem").distinct()
-    met = lines.withColumn("_w", words).select(*kept, F.explode("_w").alias("stem")).join(stems, "stem", "left_semi")
+    low = F.lower("text")
+    table = patterns.select("pattern_id", "stem", "pattern").distinct().withColumn("_run", _longest_word(F.col("stem")))
+    sizes = [r.n for r in table.select(F.least(F.length("_run"), F.lit(STEM_PIECE)).alias("n")).distinct().collect()]  # at most STEM_PIECE
+    if 0 in sizes:
+        raise ValueError("a stem holds no letter or digit")
+    if not sizes:
+        return lines.withColumn("pattern_id", F.lit(None).cast("string")).where("false")
+    found = lines.select(*kept, F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))).alias("_word"))
+
+    def cuts(n: int):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("_word") - (n - 1), F.lit(1))), lambda at: F.substring(F.col("_word"), at, F.lit(n)))
+
+    pieces = F.array_distinct(F.concat(*[cuts(n) for n in sorted(sizes)]))
+    met = (
+        found.select("_word").distinct().select("_word", F.explode(pieces).alias("_piece"))
+        .join(table.withColumn("_piece", F.left("_run", F.lit(STEM_PIECE))), "_piece")
+        .where(F.col("_word").contains(F.col("_run")))
+        .select("_word", "pattern_id", "stem", "pattern")
+    )
     return (
-        met.join(patterns.select("pattern_id", "stem", "pattern"), "stem")
-        .where(F.expr("text RLIKE concat('(?iU)', pattern)"))
+        found.join(met, "_word")
+        .where(low.contains(F.col("stem")) & F.expr("text RLIKE concat('(?iU)', pattern)"))
         .select(*kept, "pattern_id")
         .distinct()
     )
 
 
+def _longest_word(text):
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    return F.coalesce(longest["w"], F.lit(""))
+
+
 def python_rule(judge: Callable[[str], str | None]):
     """Wrap a Python rule, text -> evidence or None, as a batched column function.
 
@@ -98,12 +113,14 @@ def python_rule(judge: Callable[[str], str | None]):
     return run
 
 
-def apply_python_rule(lines: DataFrame, name: str, judge: Callable[[str], str | None]) -> tuple[DataFrame, DataFrame]:
-    """Findings and rule errors of one Python rule over lines."""
+def apply_python_rule(lines: DataFrame, name: str, judge: Callable[[str], str | None]) -> DataFrame:
+    """Lines one Python rule hits or fails on: ``evidence`` of a finding, or ``reason`` and ``error_type``.
+
+    Findings and errors are one table, so the rule runs once per line; filter on ``reason``.
+    """
     judged = lines.withColumn("_r", python_rule(judge)(F.col("text")))
-    found = judged.where("_r.evidence IS NOT NULL").select(*lines.columns, F.lit(name).alias("rule"), F.col("_r.evidence").alias("evidence"))
-    errors = judged.where("_r.error IS NOT NULL").select(
-        *[c for c in lines.columns if c != "text"], F.lit(name).alias("rule"),
-        F.lit("line_rule_exception").alias("reason"), F.col("_r.error").alias("error_type"),
+    failed = F.col("_r.error").isNotNull()
+    return judged.where(F.col("_r.evidence").isNotNull() | failed).select(
+        *lines.columns, F.lit(name).alias("rule"), F.col("_r.evidence").alias("evidence"),
+        F.when(failed, F.lit("line_rule_exception")).alias("reason"), F.col("_r.error").alias("error_type"),
     )
-    return found, errors

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,20 +39,18 @@ def local_session(cores: int | str = "*", app: str = "wardlight", **extra: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A cluster has to name it. Only a local session, whose executors share the
-    driver's disk, gets a folder of its own.
+    A cluster has to name it. A local session that does not, as in tests, uses a folder
+    in its warehouse.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return named or current.get()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    current = context.getCheckpointDir()
+    if current:
+        return named or current
     if not named:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="wardlight-", dir=os.environ.get("TMPDIR", "/tmp"))
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/wardlight-checkpoints"
     context.setCheckpointDir(named)
     return named
 

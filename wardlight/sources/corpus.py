@@ -71,10 +71,12 @@ def prune(files: DataFrame, root: str = "", links: DataFrame | None = None) -> t
     return marked.where(F.col("_at").isNull()).drop("_folders", "_at"), pruned
 
 
-def decode(files: DataFrame) -> DataFrame:
+def decode(files: DataFrame, max_bytes: int | None = None, probe_bytes: int | None = None) -> DataFrame:
     """Adds ``text``, ``skip_reason`` and ``lossy`` by name, size and bytes.
 
-    A zero byte near the start means binary, unless a byte-order mark declares
+    Files are read whole, whatever their size, and judged by all their bytes, unless a
+    caller names bounds: ``max_bytes`` refuses larger files (``too_large`` in the account),
+    ``probe_bytes`` looks for zero bytes at the start only. A zero byte means binary, unless a byte-order mark declares
     the file as text and the body decodes strictly. Bytes that are not UTF-8
     are still read, with replacement characters, and reported as lossy.
     """
@@ -84,10 +86,11 @@ def decode(files: DataFrame) -> DataFrame:
         F.when(head.startswith("FFFE0000") | head.startswith("0000FEFF"), F.lit("UTF-32"))
         .when(head.startswith("FFFE") | head.startswith("FEFF"), F.lit("UTF-16"))
     )
-    zero = F.expr(f"position(x'00', substring(content, 1, {vocab.BINARY_PROBE_BYTES})) > 0")
-    refused = F.when(~admitted_by_name(F.col("path")), F.lit("not_scannable")).when(
-        F.col("length") > vocab.MAX_FILE_SIZE, F.lit("too_large")
-    )
+    looked_at = "content" if probe_bytes is None else f"substring(content, 1, {int(probe_bytes)})"
+    zero = F.expr(f"position(x'00', {looked_at}) > 0")
+    refused = F.when(~admitted_by_name(F.col("path")), F.lit("not_scannable"))
+    if max_bytes is not None:
+        refused = refused.when(F.col("length") > max_bytes, F.lit("too_large"))
     declared = F.when(F.col("_charset") == "UTF-32", _strict(content, "UTF-32")).when(
         F.col("_charset") == "UTF-16", _strict(content, "UTF-16")
     )
@@ -174,17 +177,13 @@ def explode_lines(docs: DataFrame, pattern: str = tx.LINE_BREAK) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the input is small.
+    """Give every core work when the input comes in fewer splits than there are cores.
 
-    A table of a few files, each one row group, is read by as many tasks. As
-    long as the input is below one split per core, moving it once is cheap.
-    Larger inputs bring enough splits of their own and are left alone.
+    A table of a few files, each one row group, is read by as many tasks; its rows are
+    dealt out once. Inputs with splits enough are left alone. The rows are the same.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return df.repartition(cores) if size < cores * split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

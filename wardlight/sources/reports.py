@@ -1,8 +1,7 @@
 """Report documents: findings as JSON, and the parts of a SARIF run.
 
-A target may have any number of findings, so the parts stay rows: one JSON
-text per result, rule and artifact. Whole documents are put together only for
-targets whose size was checked.
+A target may have any number of findings, so documents are ordered rows: the lines of
+a target, in the order of (section, pos), are its document.
 """
 
 from __future__ import annotations
@@ -14,8 +13,9 @@ from pyspark.sql import functions as F
 
 from wardlight import vocab
 from wardlight.functions import text as tx
+from wardlight.operators.scoring import ranked
 
-INLINE_RESULTS = 10_000
+CHUNK = 4096
 
 
 def _some(column: str, present: Column) -> Column:
@@ -33,29 +33,33 @@ def finding_json(findings: DataFrame) -> DataFrame:
     return findings.withColumn("json", F.to_json(F.struct(*always, *more)))
 
 
+def _listed(rows: DataFrame, keys: Sequence[str], section: int, order: Sequence[str], chunk: Column) -> DataFrame:
+    """Rows of one list of a document: (keys, section, pos, json), with commas between them."""
+    placed = ranked(rows, keys, order, chunk)
+    text = F.when(F.col("rank") > 1, F.concat(F.lit(","), "json")).otherwise(F.col("json"))
+    return placed.select(*keys, F.lit(section).alias("section"), F.col("rank").cast("long").alias("pos"), text.alias("json"))
+
+
+def _fixed(targets: DataFrame, keys: Sequence[str], section: int, text: Column) -> DataFrame:
+    return targets.select(*keys, F.lit(section).alias("section"), F.lit(0).cast("long").alias("pos"), text.alias("json"))
+
+
 def scan_json(findings: DataFrame, scores: DataFrame, summary: DataFrame, coverage: DataFrame, keys: Sequence[str],
-              order: Sequence[str], limit: int = INLINE_RESULTS) -> DataFrame:
-    """One document per target: score, level, counts, coverage and, below ``limit``, its findings.
+              order: Sequence[str], chunk: Column | None = None) -> DataFrame:
+    """One document per target as ordered rows: score, level, counts and coverage, then every finding.
 
-    Larger targets carry ``findings: null`` and the number; their findings are
-    the rows of :func:`finding_json`.
+    ``chunk`` must grow with ``order``; it spreads the numbering of a target with many findings.
     """
     sizes = findings.groupBy(*keys).agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") <= limit).select(*keys)
-    listed = (
-        finding_json(findings.join(small, list(keys), "left_semi"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct(*order, "json"))).alias("rows"))
-        .select(*keys, F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit("]")).alias("findings"))
-    )
-    joined = scores.join(summary, list(keys), "full_outer").join(coverage, list(keys), "full_outer").join(sizes, list(keys), "left").join(listed, list(keys), "left")
+    joined = scores.join(summary, list(keys), "full_outer").join(coverage, list(keys), "full_outer").join(sizes, list(keys), "left")
     counts = F.struct("critical", "high", "medium", "low", "suppressed")
     head = F.to_json(F.struct(
         F.concat_ws("/", *keys).alias("target"), F.coalesce("score", F.lit(0)).alias("score"), "risk_level", counts.alias("summary"),
         F.struct("coverage_status", "files_scanned").alias("coverage"), F.coalesce("n", F.lit(0)).alias("n_findings"),
     ))
-    body = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"findings":'), F.coalesce("findings", F.when(F.coalesce("n", F.lit(0)) == 0, F.lit("[]")), F.lit("null")), F.lit("}"))
-    return joined.select(*keys, body.alias("json"))
+    opening = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"findings":['))
+    rows = _listed(finding_json(findings), keys, 1, order, F.lit(0) if chunk is None else chunk)
+    return _fixed(joined, keys, 0, opening).unionByName(rows).unionByName(_fixed(joined, keys, 2, F.lit("]}")))
 
 
 def level_of(severity: Column) -> Column:
@@ -165,6 +169,33 @@ def sarif_artifacts(findings: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def sarif_run(results: DataFrame, rules: DataFrame, artifacts: DataFrame, keys: Sequence[str], order: Sequence[str],
+              chunk: Column | None = None) -> DataFrame:
+    """One SARIF document per target as ordered rows: tool with its rules, artifacts, results.
+
+    ``results``: rows of :func:`result_json` or :func:`path_results` with the keys and ``order``;
+    ``rules`` and ``artifacts``: as made here. A target without results has no document.
+    """
+    targets = results.select(*keys).distinct()
+    head = F.lit('{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"wardlight","rules":[')
+    none = F.lit(0)
+    parts = [
+        _fixed(targets, keys, 0, head), _listed(rules, keys, 1, ["rule_id"], none), _fixed(targets, keys, 2, F.lit(']}},"artifacts":[')),
+        _listed(artifacts, keys, 3, ["uri"], none), _fixed(targets, keys, 4, F.lit('],"results":[')),
+        _listed(results, keys, 5, order, none if chunk is None else chunk), _fixed(targets, keys, 6, F.lit("]}]}")),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def write_documents(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Ordered rows as text, one folder per target; its part files in name order are the document."""
+    ordered = rows.repartitionByRange(*keys, "section", "pos").sortWithinPartitions(*keys, "section", "pos")
+    ordered.select(*keys, F.col("json").alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)
+
+
 def write_parts(rows: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
     """JSON texts as lines, one folder per target."""
     writer = rows.select(*keys, F.col("json").alias("value")).write.mode("overwrite")

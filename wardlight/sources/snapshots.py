@@ -1,4 +1,7 @@
-"""Baseline snapshots as files: bounded, versioned JSON documents."""
+"""Baselines as files: versioned JSON documents, and tables of records for any size.
+
+Bounds are the caller's: a document is read and written whole unless a bound is named.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +10,15 @@ from pyspark.sql import functions as F
 
 from wardlight import vocab
 from wardlight.operators.baseline import KEY, sorted_records
+from wardlight.operators.scoring import ranked
+from wardlight.session import constant_table
 
 
 class SnapshotError(ValueError):
     """A snapshot cannot be used; it is never read as empty."""
 
 
-def parse_snapshot(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse_snapshot(texts: DataFrame, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Records and problems of snapshot documents (``path``, ``text``).
 
     Values keep their JSON type while they are checked: a line is an integer
@@ -27,8 +32,9 @@ def parse_snapshot(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(~F.schema_of_variant("v").startswith("OBJECT"), F.lit("not a JSON object"))
         .when(F.coalesce(version, F.lit(-1)) != vocab.BASELINE_VERSION, F.lit("unsupported version"))
         .when(items.isNull(), F.lit("no findings list"))
-        .when(F.size(items) > vocab.MAX_BASELINE_RECORDS, F.lit("too many records"))
     )
+    if max_records is not None:
+        wrong = wrong.when(F.size(items) > max_records, F.lit("too many records"))
     judged = doc.withColumn("problem", wrong)
     rows = judged.where("problem IS NULL").select("path", F.posexplode(items).alias("pos", "item"))
 
@@ -56,36 +62,33 @@ def parse_snapshot(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, problems
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Records of one snapshot file, refused when it is too large or malformed."""
+def read_snapshot(spark: SparkSession, path: str, max_bytes: int | None = None, max_records: int | None = None) -> DataFrame:
+    """Records of one snapshot file, refused when it is malformed or beyond a named bound."""
     files = spark.read.format("binaryFile").load(path)
     size = files.agg(F.max("length").alias("n")).first().n
     if size is None:
         raise SnapshotError(f"baseline not found: {path}")
-    if size > vocab.MAX_BASELINE_BYTES:
-        raise SnapshotError(f"baseline is too large: {size} bytes (limit {vocab.MAX_BASELINE_BYTES})")
+    if max_bytes is not None and size > max_bytes:
+        raise SnapshotError(f"baseline is too large: {size} bytes (limit {max_bytes})")
     texts = files.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).alias("text"))
-    good, problems = parse_snapshot(texts)
+    good, problems = parse_snapshot(texts, max_records)
     bad = problems.limit(5).collect()
     if bad:
         raise SnapshotError("; ".join(r.problem for r in bad))
     return good.select(*KEY)
 
 
-def snapshot_document(records: DataFrame) -> DataFrame:
-    """One JSON document with the sorted records.
+def snapshot_lines(records: DataFrame) -> DataFrame:
+    """One JSON document with the sorted records as ordered lines: (section, rank, value).
 
-    A snapshot may hold at most a fixed number of records, checked first; that
-    is what makes it one document.
+    Ranks are counted per (rule, file) and shifted by the records of the ones before.
     """
-    total = records.count()
-    if total > vocab.MAX_BASELINE_RECORDS:
-        raise SnapshotError(f"too many records for one snapshot: {total} (limit {vocab.MAX_BASELINE_RECORDS})")
-    fields = F.struct(*[F.col(c) for c in KEY])
-    order = F.struct("rule_id", "file", F.col("line").isNotNull().alias("known"), F.coalesce("line", F.lit(0)).alias("at"), "evidence", "severity")
-    listed = records.agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), fields.alias("f")))).alias("all"))
-    body = F.struct(F.lit(vocab.BASELINE_VERSION).alias("version"), F.transform("all", lambda r: r["f"]).alias("findings"))
-    return listed.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
+    fields = F.to_json(F.struct(*[F.col(c) for c in KEY]), {"ignoreNullFields": "false"})
+    rows = records.select(*KEY, F.lit(1).alias("section"), fields.alias("value"), F.col("line").isNotNull().alias("known"), F.coalesce("line", F.lit(0)).alias("at"))
+    placed = ranked(rows, ["section"], ["known", "at", "evidence", "severity"], F.struct("rule_id", "file"))
+    body = placed.select("section", "rank", F.when(F.col("rank") > 1, F.concat(F.lit(","), "value")).otherwise(F.col("value")).alias("value"))
+    ends = constant_table(records.sparkSession, ["section", "rank", "value"], [(0, 0, f'{{"version": {vocab.BASELINE_VERSION}, "findings": ['), (2, 0, "]}")])
+    return body.unionByName(ends).orderBy("section", "rank")
 
 
 def write_records(records: DataFrame, path: str) -> None:
@@ -93,6 +96,12 @@ def write_records(records: DataFrame, path: str) -> None:
     sorted_records(records).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_records`` wrote, of any size; a line that is no record stops the job."""
+    schema = "rule_id string, file string, line int, evidence string, severity string"
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path).select(*KEY)
+
+
 def write_snapshot(records: DataFrame, path: str) -> None:
-    """One snapshot document as a text file."""
-    snapshot_document(records).coalesce(1).write.mode("overwrite").text(path)
+    """One snapshot document as a text file; the sorted lines stream through its one writer."""
+    snapshot_lines(records).select("value").coalesce(1).write.mode("overwrite").text(path)

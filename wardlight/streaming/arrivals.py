@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wardlight.operators import baseline as bl
 from wardlight.operators import line_rules as lr
-from wardlight.session import shared_folder
+from wardlight.session import cut, shared_folder
 from wardlight.sources.corpus import explode_lines
 
 
@@ -40,11 +40,18 @@ def write_new_findings(findings: DataFrame, baseline: DataFrame, out: str, check
 
     A fingerprint names one file, and a document arrives whole in one batch,
     so the difference of a batch is the difference of its documents. A batch
-    that is run again replaces its own folder.
+    that is run again replaces its own folder. The baseline is counted and written
+    once; a batch reads only the counts of its own files.
     """
+    counts = cut(bl.count_keys(baseline))
+
     def each(batch: DataFrame, number: int) -> None:
-        state = bl.annotate(batch, baseline, ["line", "rule_order"], F.floor(F.col("line") / 256))
+        batch = batch.persist()  # read three times; lost blocks are computed again
+        files = batch.select("file").distinct()
+        mine = counts.join(files, "file", "left_semi")
+        state = bl.annotate(batch, mine, ["line", "rule_order"], F.floor(F.col("line") / 256))
         state.where("baseline_state = 'new'").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.unpersist()
 
     writer = findings.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
