@@ -9,7 +9,7 @@ the restored text. A token with one path only is its own result, so decoding cos
 Evidence is learned from labelled rows: for each restored word and each of its heads of 4 to 6
 letters, the smoothed share of toxic texts among those that hold it. A text's score is the
 noisy-or of its distinct restored words. The classifier is fitted on at most ``max_labelled``
-labelled rows, the smallest by a hash of the id; the character model and the scores cover all.
+labelled rows, chosen by a hash of the id; the character model and the scores cover all.
 
 Defined results: null and empty texts get the base score. Labels that are null are ignored; of
 several labels of one id the largest counts. Without labelled rows every score is 0. Repeated
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -30,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import Scratch, fold, fresh, sum_arrays, table
+from wardlight.llm.common import Scratch, fold, fresh, most_frequent, sum_arrays, table
 
 ORDER, BUCKETS = 4, 1 << 18
 MAX_LABELLED, MAX_FEATURES, LEAST_TOXIC = 40_000, 200_000, 4
 PRIOR, LEAST_EVIDENCE, THRESHOLD = 3.0, 0.6, 0.7
-_MEMO = 400_000
+_MEMO, _HELD = 600_000, 300_000
 #: Letters that a sign may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "tl", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "il", "|": "il",
@@ -50,41 +49,58 @@ _PIECES = re.compile(r"[^\W\d_]+")
 _CUT = re.compile(r"[ .\-_~'’/\\,:;=|\"()\[\]{}<>]+")
 
 
+_P, _MIX, _MASK = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (1 << 64) - 1
+
+
 def _bucket(gram: str) -> int:
-    return zlib.crc32(gram.encode()) % BUCKETS
+    value = 0
+    for c in gram:
+        value = (value * _P + ord(c) + 1) & _MASK
+    value ^= value >> 29
+    return ((value * _MIX) & _MASK) >> 40 & (BUCKETS - 1)
+
+
+def _add_grams(words: list[str], counts: list[int], total: np.ndarray) -> None:
+    """Adds the n-grams of words, each with a space on either side, as often as the word occurs.
+
+    The words stand in one text, so neighbours share a space; n-grams with a space inside are of no word.
+    """
+    points = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    space = points == 32
+    weight = np.append(np.asarray(counts, np.float64), 0.0)[np.cumsum(space) - 1]
+    value, inside = np.zeros(len(points), np.uint64), np.ones(len(points), bool)
+    for width in range(1, ORDER + 1):
+        n = len(points) - width + 1
+        if n <= 0:
+            break
+        value = value[:n] * np.uint64(_P) + points[width - 1 :] + np.uint64(1)
+        if width > 2:
+            inside = inside[:n] & ~space[width - 2 : width - 2 + n]
+        mixed = (value ^ (value >> np.uint64(29))) * np.uint64(_MIX)
+        spot = ((mixed >> np.uint64(40)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+        total += np.bincount(spot[inside[:n]], weight[:n][inside[:n]], minlength=BUCKETS)
+    total[0] += weight.sum()
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
     """Adds the n-gram counts, over the distinct plain words of each stretch."""
-    memo: dict[str, int] = {}
-
-    def add(words: Counter) -> None:
-        for word, n in words.items():
-            if word.isalpha():
-                padded = f" {word} "
-                for end in range(1, len(padded)):
-                    for width in range(1, ORDER + 1):
-                        if width <= end + 1:
-                            gram = padded[end + 1 - width : end + 1]
-                            spot = memo.get(gram)
-                            if spot is None:
-                                spot = memo[gram] = _bucket(gram)
-                            total[spot] += n
-                        if width == 1:
-                            total[0] += n
-        if len(memo) > _MEMO:
-            memo.clear()
-
-    words: Counter = Counter()
+    tokens: Counter = Counter()
+
+    def add() -> None:
+        plain = [(token.strip(_EDGE), n) for token, n in tokens.items()]
+        plain = [(word, n) for word, n in plain if word.isalpha()]
+        if plain:
+            _add_grams([w for w, _ in plain], [n for _, n in plain], total)
+        tokens.clear()
+
     for batch in batches:
         for text in batch.column(0):
             text = text.as_py()
             if text:
-                words.update(token.strip(_EDGE) for token in text.lower().split())
-        if len(words) > _MEMO:
-            add(words)
-            words = Counter()
-    add(words)
+                tokens.update(text.lower().split())
+        if len(tokens) > _HELD:
+            add()
+    add()
 
 
 class Channel:
@@ -175,28 +191,28 @@ class Channel:
                     out += (self.decode(part).split() if any(c.isalpha() for c in part) else [])
         return tuple(w for w in out if w)
 
-    def words(self, text: str | None) -> set[str]:
-        """Distinct restored words, runs of single letters included."""
-        if not text:
-            return set()
-        tokens = text.lower().split()
-        found: set[str] = set()
-        for token in set(tokens):
-            found.update(self.token(token))
+    def runs(self, tokens: list[str]) -> Iterator[str]:
+        """Restored words of runs of three and more single characters."""
         run: list[str] = []
         last = -2
         for at in [i for i, t in enumerate(tokens) if len(t) == 1]:
             if at != last + 1:
-                self._run(run, found)
+                if len(run) > 2:
+                    yield from self.decode(" ".join(run)).split()
                 run = []
             run.append(tokens[at])
             last = at
-        self._run(run, found)
-        return found
-
-    def _run(self, run: list[str], found: set[str]) -> None:
         if len(run) > 2:
-            found.update(self.decode(" ".join(run)).split())
+            yield from self.decode(" ".join(run)).split()
+
+    def words(self, text: str | None) -> set[str]:
+        """Distinct restored words, runs of single letters included."""
+        tokens = text.lower().split() if text else []
+        found: set[str] = set()
+        for token in set(tokens):
+            found.update(self.token(token))
+        found.update(self.runs(tokens))
+        return found
 
 
 def features(words: Iterable[str]) -> set[str]:
@@ -238,7 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id: str, text: str
     """(character counts, share of toxic texts by feature, base score)."""
     counts = character_counts(docs, text)
     known = labels.filter(F.col(label).isNotNull() & train).groupBy(F.col(label_id).alias("key")).agg(F.max(label).alias("toxic"))
-    known = known.orderBy(F.xxhash64("key"), "key").limit(max_labelled)
+    n_labelled = known.count()
+    if n_labelled > max_labelled:  # a seeded sample; two percent below the bound, for chance
+        known = known.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(980_000 * max_labelled / n_labelled))
     rows = docs.select(F.col(id).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), "key")
     rows = scratch.write(rows.select("text", "toxic"), "labelled")
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
@@ -246,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id: str, text: str
     if not n_toxic:
         return counts, {}, 0.0
     toxic = rows.filter("toxic > 0").select("text").mapInArrow(_counter(counts, None), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    toxic = {r["feature"]: r["n"] for r in toxic.filter(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "feature").limit(MAX_FEATURES).collect()}
+    toxic = {r["feature"]: r["n"] for r in most_frequent(scratch.write(toxic.filter(F.col("n") >= LEAST_TOXIC), "toxic"), "n", MAX_FEATURES).collect()}
     clean = rows.filter("toxic <= 0").select("text").mapInArrow(_counter(counts, set(toxic)), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     clean = {r["feature"]: r["n"] for r in clean.collect()}
     base = n_toxic / n
@@ -254,26 +272,33 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id: str, text: str
     return counts, {f: p for f, p in share.items() if p >= LEAST_EVIDENCE}, base / 10
 
 
-def scorer(counts: np.ndarray, share: dict[str, float], base: float) -> Callable:
-    """Text column to score column."""
+def score_batches(counts: np.ndarray, share: dict[str, float], base: float) -> Callable:
+    """Batches of texts to batches of scores."""
     small = counts.astype(np.float32)
 
-    @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        channel, memo = Channel(small), {}
+        channel, memo, nothing = Channel(small), {}, ()
+
+        def risky(word: str) -> tuple:
+            p = max([share.get(f, 0.0) for f in features([word])])
+            return ((word, p),) if p else nothing
+
         for batch in batches:
             out = []
             for text in batch:
-                clean = 1.0 - base
-                for word in channel.words(text):
-                    p = memo.get(word)
-                    if p is None:
-                        p = memo[word] = max([share.get(f, 0.0) for f in features([word])])
-                    if p:
-                        clean *= 1.0 - p
-                out.append(1.0 - clean)
-            if len(memo) > _MEMO:
-                memo.clear()
+                tokens = text.lower().split() if text else []
+                found = {}
+                for token in set(tokens):
+                    hits = memo.get(token)
+                    if hits is None:  # a token's evidence is worked out once
+                        hits = memo[token] = tuple(h for w in channel._token(token) for h in risky(w)) or nothing
+                    if hits:
+                        found.update(hits)
+                for word in channel.runs(tokens):
+                    found.update(risky(word))
+                out.append(1.0 - (1.0 - base) * math.prod(1.0 - p for p in found.values()))
+                if len(memo) > _MEMO:
+                    memo.clear()
             yield pd.Series(out, dtype="float64")
 
     return score
@@ -282,7 +307,7 @@ def scorer(counts: np.ndarray, share: dict[str, float], base: float) -> Callable
 def with_score(docs: DataFrame, labels: DataFrame, scratch: Scratch, name: str = "score", id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """``docs`` and its score; rows whose id folds to 1 of 3 are held out of learning."""
     model = fit(docs, labels, scratch, id, text, label_id, label, fold(label_id) % 3 != 1, max_labelled)
-    return docs.withColumn(name, scorer(*model)(F.col(text)))
+    return docs.withColumn(name, F.pandas_udf(score_batches(*model), "double")(F.col(text)))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, **names) -> DataFrame:
