@@ -31,7 +31,7 @@ from wardlight.plans.sqltext import m, q
 from wardlight.session import constant_table, cut, shared_folder
 from wardlight.sources import reports as rp
 from wardlight.sources import snapshots as sn
-from wardlight.sources.corpus import coverage_events, decode, documents_of, explode_lines, prune, read_table
+from wardlight.sources.corpus import coverage_events, decode, documents_of, explode_lines, prune, read_table, scan_files
 from wardlight.streaming import arrivals as ar
 
 # ------------------------------------------------------------------- baseline
@@ -499,6 +499,18 @@ def stream_new(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ all of it
+def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written as files, a folder per source, and read back as bytes: lines and findings per source."""
+    root = f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    docs = read_table(spark, folder, "documents").select("source", "text").where("text IS NOT NULL")
+    docs.write.partitionBy("source").option("maxRecordsPerFile", 500).text(root)
+    read = documents_of(decode(scan_files(spark, root))).withColumn("source", F.regexp_extract("path", "/source=([^/]*)/", 1))
+    lines = cut(explode_lines(read.select("source", "text")).where("text <> ''"))
+    found = lr.line_findings(lines).groupBy("source").agg(F.count("*").alias("findings"))
+    sizes = lines.groupBy("source").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))
+    return sizes.join(found, "source", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
+
+
 def files_to_findings(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as files in a tree: bytes are pruned, decoded, ruled and accounted for."""
     left, pruned = prune(file_tree(spark, folder))
@@ -586,6 +598,7 @@ QUERIES = {
     "python_rule_errors": python_rule,
     "stream_scan": stream_scan,
     "stream_new_findings": stream_new,
+    "corpus_scan": corpus_scan,
     "files_to_findings": files_to_findings,
     "whole_scan_findings": scan_findings,
     "whole_scan_paths": scan_paths,
@@ -718,6 +731,8 @@ ORACLES = {
     "python_rule_errors": f"WITH {LINES_SQL} SELECT doc_id, line, CASE WHEN contains(text, 'password') THEN 'line_rule_exception' ELSE 'short' END AS outcome FROM lines WHERE contains(text, 'password') OR length(text) BETWEEN 1 AND 11",
     "stream_scan": f"WITH {FINDINGS_SQL} SELECT doc_id, line, rule, severity FROM line_findings",
     "stream_new_findings": f"WITH {FINDINGS_SQL} SELECT doc_id, line, rule_id, evidence FROM line_findings WHERE rule_id = 'AS-002'",
+    "corpus_scan": f"""WITH {plain_findings_sql("SELECT source AS id, text FROM documents")}, s AS (SELECT id AS source, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM lines WHERE text <> '' GROUP BY id),
+        g AS (SELECT id AS source, count(*) AS findings FROM f GROUP BY id) SELECT s.*, coalesce(findings, 0) AS findings FROM s LEFT JOIN g USING (source)""",
     "files_to_findings": f"""WITH {TREE_SQL}, {plain_findings_sql("SELECT path AS id, CASE WHEN variant = 2 THEN text || chr(65533) ELSE text END AS text FROM judged WHERE skip_reason IS NULL AND NOT pruned")}
         SELECT 'finding' AS kind, rule AS name, count(*) AS n, count(DISTINCT id) AS files FROM f GROUP BY rule
         UNION ALL SELECT kind, coalesce(reason, 'read'), count(*), count(DISTINCT path) FROM events_of GROUP BY ALL""",

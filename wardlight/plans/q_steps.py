@@ -155,6 +155,13 @@ def download_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return co.download_execute(cut(_found(spark, folder)), ["path"]).select("path", "line", "rule_order", "side")
 
 
+def unplaced_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Downloads next to commands, when the commands of every fourth document have no line: findings per file and side."""
+    bare = (F.col("doc_id") % 4 == 0) & (F.col("rule_id") == "AS-002")
+    found = _found(spark, folder).withColumn("line", F.when(~bare, F.col("line")))
+    return co.download_execute(cut(found), ["path"]).groupBy("path", "side").agg(F.count("*").alias("n"), F.count_if(F.col("line").isNull()).alias("unplaced"))
+
+
 def chain_parts(spark: SparkSession, folder: str) -> DataFrame:
     parts = co.contributors(_found(spark, folder), ["source"], "path", ORDER)
     return parts.select("source", "path", "chain", "rule_id", "severity", "line")
@@ -202,6 +209,7 @@ QUERIES = {
     "document_chains": document_chains,
     "correlate_secret_exfiltration": triples,
     "correlate_download_execute": download_pairs,
+    "correlate_unplaced": unplaced_pairs,
     "chain_contributors": chain_parts,
     "correlated_chains": correlated,
     "uncovered_chains": uncovered_chains,
@@ -223,6 +231,10 @@ ORACLES = {
     "document_chains": f"WITH RECURSIVE {CHAINS_SQL} SELECT * FROM chains",
     "correlate_secret_exfiltration": f"{PARTS} SELECT path, a.line || ':' || a.rule_order AS a, b.line || ':' || b.rule_order AS b, c.line || ':' || c.rule_order AS c FROM triple",
     "correlate_download_execute": f"{PARTS} SELECT path, line, rule_order, side FROM sides",
+    "correlate_unplaced": f"""WITH {FINDINGS_SQL}, f AS (SELECT path, rule_id, CASE WHEN doc_id % 4 = 0 AND rule_id = 'AS-002' THEN NULL ELSE line END AS line, row_number() OVER (ORDER BY doc_id, line, rule_order) AS id FROM line_findings),
+        met AS (SELECT d.path, d.id AS did, d.line AS dl, e.id AS eid, e.line AS el FROM (SELECT * FROM f WHERE rule_id IN ('AS-003', 'AS-005')) d JOIN (SELECT * FROM f WHERE rule_id = 'AS-002') e
+          ON d.path = e.path AND (d.line IS NULL OR e.line IS NULL OR abs(d.line - e.line) <= {vocab.LINE_SPAN}))
+        SELECT path, side, count(*) AS n, count(*) FILTER (line IS NULL) AS unplaced FROM (SELECT DISTINCT path, 'download' AS side, did AS id, dl AS line FROM met UNION ALL SELECT DISTINCT path, 'execution', eid, el FROM met) GROUP BY path, side""",
     "chain_contributors": f"{PARTS} SELECT * FROM parts",
     "correlated_chains": f"""{PARTS} SELECT source, chain AS rule_id,
         CASE WHEN chain = 'AS-CHAIN-001' OR (bool_or({HIGH} AND rule_id IN ('AS-003','AS-005')) AND bool_or({HIGH} AND rule_id = 'AS-002')) THEN 'CRITICAL' ELSE 'HIGH' END AS severity,
