@@ -2,11 +2,11 @@
 
 Benchmark items are a stated query set, taken in blocks of bounded size. For a block, texts are
 encoded once as numbers of the block's vocabulary; no other word can take part in a match.
-Passages of ``4 * STEP`` words are weighted by TF-IDF (document frequencies over all passages;
+Passages of ``2 * STEP`` words are weighted by TF-IDF (document frequencies over all passages;
 words in more than ``MOST`` of them weigh nothing). A randomised SVD of all passages, to which
-the items are added with the weight of the corpus, gives the latent space: tasks sum A'A times a
-random matrix, the driver orthonormalises it (vocabulary x rank, both bounded), and a second pass
-solves the small eigenproblem. Windows of ``4 * STEP`` words, every ``2 * STEP``, are projected and
+the items are added with the weight of the corpus, gives the latent space in one pass: tasks sum
+A'A times a random matrix (vocabulary x rank, both bounded), of which the driver takes the
+leading singular vectors. Windows of ``2 * STEP`` words, every ``STEP``, are projected and
 compared with all items of the block; those with a cosine of ``cosine`` or more are candidates.
 A candidate counts when the longest common subsequence of item and surroundings covers
 ``share`` of the item's words and ``answer`` of its answer, the last quarter. Items of any
@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from wardlight.llm.common import Scratch, fresh, sum_arrays, table
 from wardlight.llm.near_dedup import _row, words_of
 
-STEP, LEAST, MOST = 16, 5, 0.1
-RANK, COSINE, SHARE, ANSWER = 256, 0.3, 0.6, 0.5
-BLOCK_ITEMS, BLOCK_WORDS = 512, 16_000
-_PIECE = 200_000  # words that are worked on at once
+STEP, LEAST, MOST = 32, 5, 0.01
+RANK, COSINE, SHARE, ANSWER = 256, 0.25, 0.6, 0.5
+BLOCK_ITEMS, BLOCK_WORDS, OVERSAMPLE = 256, 16_000, 16
+_PIECE, _MEMO = 200_000, 500_000  # words that are worked on at once; tokens that are remembered
 _PAIR = "doc_id long, row string, item_id long, cosine double, lcs double, answer double, word long"
 
 
@@ -54,14 +54,47 @@ def blocks(items: DataFrame, id: str, text: str) -> Iterator[list[tuple[int, lis
         yield block
 
 
+class _Numbers(dict):
+    """Numbers of the words of a lower-cased token: one number, or -2 - k for the k-th list of several or none."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary, self.lists = vocabulary, []
+
+    def __missing__(self, token: str) -> int:
+        found = [self.vocabulary.get(w, -1) for w in words_of(token)]
+        if len(found) == 1:
+            value = found[0]
+        else:
+            value = -2 - len(self.lists)
+            self.lists.append(found)
+        self[token] = value
+        return value
+
+    def of(self, text: str) -> np.ndarray:
+        """The word numbers of a text, -1 for words outside the vocabulary."""
+        numbers = np.fromiter(map(self.__getitem__, text.lower().split()), np.int32)
+        odd = np.flatnonzero(numbers < -1)
+        if len(odd):
+            parts, last = [], 0
+            for at in odd.tolist():
+                parts += [numbers[last:at], self.lists[-2 - numbers[at]]]
+                last = at + 1
+            numbers = np.concatenate([*parts, numbers[last:]])
+        return numbers.astype(np.int16)
+
+
 def _encode(vocabulary: dict[str, int]) -> Callable:
     """(id, row, text) -> (id, row, ids): 16-bit word numbers, -1 for other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers(vocabulary)
         for batch in batches:
             out = []
             for text in batch.column(2):
-                out.append(np.array([vocabulary.get(w, -1) for w in words_of(text.as_py())], np.int16).tobytes())
+                out.append(numbers.of(text.as_py()).tobytes())
+                if len(numbers) > _MEMO:
+                    numbers = _Numbers(vocabulary)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "row", "ids"])
 
     return run
@@ -98,7 +131,7 @@ def _frequencies(size: int) -> Callable:
     def fill(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
         for batch in batches:
             for _, group in _pieces(batch, 0):
-                ids, stretch, firsts = _flat(group, 4 * STEP)
+                ids, stretch, firsts = _flat(group, 2 * STEP)
                 known = ids >= 0
                 pairs = np.unique(stretch[known] * np.int64(size) + ids[known])
                 total[:size] += np.bincount(pairs % size, minlength=size)
@@ -121,7 +154,7 @@ def _gram(idf: np.ndarray, basis: np.ndarray) -> Callable:
         out = total.reshape(size, rank)
         for batch in batches:
             for _, group in _pieces(batch, 0):
-                ids, stretch, _ = _flat(group, 4 * STEP)
+                ids, stretch, _ = _flat(group, 2 * STEP)
                 heavy = (ids >= 0) & (idf[ids] > 0)
                 ids, stretch = ids[heavy], stretch[heavy]
                 if not len(ids):
@@ -138,18 +171,20 @@ def _gram(idf: np.ndarray, basis: np.ndarray) -> Callable:
 
 def latent_space(encoded: DataFrame, idf: np.ndarray, items: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
     """Orthonormal basis (words x rank) of the leading right singular vectors of passages and weighted items."""
-    size = len(idf)
-    rank = min(rank, size)
-    rows = encoded.select("ids")
-    sketch = np.random.default_rng(seed).standard_normal((size, rank)).astype(np.float32)
-    corpus = sum_arrays(rows, _gram(idf, sketch), size * rank).reshape(size, rank)
+    size, rank = len(idf), min(rank, len(items) + OVERSAMPLE)
+    sketch = np.random.default_rng(seed).standard_normal((size, min(size, rank + OVERSAMPLE))).astype(np.float32)
+    width = sketch.shape[1]
+    seen = sum_arrays(encoded.select("ids"), _gram(idf, sketch), size * width).reshape(size, width)
     own = items.T @ (items @ sketch)
-    weight = max(1.0, float(np.linalg.norm(corpus)) / max(float(np.linalg.norm(own)), 1e-9))
-    basis, _ = np.linalg.qr(corpus + weight * own)
-    again = sum_arrays(rows, _gram(idf, basis.astype(np.float32)), size * rank).reshape(size, rank)
-    small = basis.T @ (again + weight * (items.T @ (items @ basis)))
-    _, vectors = np.linalg.eigh((small + small.T) / 2)
-    return (basis @ vectors[:, ::-1]).astype(np.float32)
+    weight = max(1.0, float(np.linalg.norm(seen)) / max(float(np.linalg.norm(own)), 1e-9))
+    seen = seen + weight * own
+    # one pass over the corpus: A'A = Y (S'Y)^+ Y' for Y = A'A S
+    core = sketch.T.astype(np.float64) @ seen
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    keep = values > values.max() * 1e-7
+    half = seen @ (vectors[:, keep] / np.sqrt(values[keep]))
+    left, _, _ = np.linalg.svd(half, full_matrices=False)
+    return np.ascontiguousarray(left[:, :rank], np.float32)
 
 
 def common_subsequence(masks: dict[int, int], length: int, text: list[int]) -> int:
@@ -190,25 +225,22 @@ def _search(names: list[int], items: list[np.ndarray], idf: np.ndarray, basis: n
                     continue
                 weight = idf[ids]
                 keys, sums = _rows_of(weight[:, None] * basis[ids], block)
-                # prefix sums would lose digits: windows add the four blocks they hold
-                dense = np.zeros((firsts[-1] + 3, rank), np.float32)
+                dense, mass = np.zeros((firsts[-1] + 1, rank), np.float32), np.zeros(firsts[-1] + 1)
                 dense[keys] = sums
-                mass = np.zeros(firsts[-1] + 3)
-                mass[: firsts[-1]] = np.bincount(block, weight**2, minlength=firsts[-1])
+                mass[:-1] = np.bincount(block, weight**2, minlength=firsts[-1])
                 owner = np.repeat(np.arange(len(group)), np.diff(firsts))
-                at = np.flatnonzero((np.arange(firsts[-1]) - firsts[:-1][owner]) % 2 == 0)
-                z, norm = np.zeros((len(at), rank), np.float32), np.zeros(len(at))
-                for shift in range(4):
-                    inside = (at + shift < firsts[1:][owner[at]])[:, None]
-                    z += dense[at + shift] * inside
-                    norm += mass[at + shift] * inside[:, 0]
+                # a window is a block and the next one of the same text
+                alone = firsts[1:][np.diff(firsts) > 0] - 1
+                ahead = np.arange(1, firsts[-1] + 1)
+                ahead[alone] = firsts[-1]
+                norm = mass[:-1] + mass[ahead]
                 live = np.flatnonzero(norm > 0)
-                score = (z[live] @ queries.T) / np.sqrt(norm[live])[:, None].astype(np.float32)
+                score = ((dense[live] + dense[ahead[live]]) @ queries.T) / np.sqrt(norm[live])[:, None].astype(np.float32)
                 best: dict[tuple[int, int], tuple] = {}
                 for w, q in zip(*np.nonzero(score >= cosine)):
-                    text = owner[at[live[w]]]
-                    start = int(at[live[w]] - firsts[text]) * STEP
-                    near = group[text][max(0, start - 2 * STEP) : start + 6 * STEP].tolist()
+                    text = owner[live[w]]
+                    start = int(live[w] - firsts[text]) * STEP
+                    near = group[text][max(0, start - STEP) : start + 3 * STEP].tolist()
                     covered = common_subsequence(masks[q], len(items[q]), near) / len(items[q])
                     if covered < share:
                         continue
