@@ -76,10 +76,14 @@ def record_text(date: str) -> Column:
     return F.when(revisit, head).otherwise(F.concat(head, http, F.col("payload")))
 
 
-def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE) -> None:
-    """``plan_records`` rows as archives below ``folder``; rewriting replaces them."""
+def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE, codec: str = "gzip") -> None:
+    """``plan_records`` rows as archives below ``folder``; rewriting replaces them.
+
+    Compressed archives are read a file at a time, which ``records_per_file`` bounds; plain
+    ones (``codec="none"``) are read in splits. Offsets are those of the plain bytes.
+    """
     lines = records.select(record_text(date).alias("value"))
-    lines.write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(folder)
+    lines.write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", codec).text(folder)
 
 
 def _field(name: str) -> Column:
@@ -94,16 +98,17 @@ def pieces(spark: SparkSession, folder: str, *columns: Column) -> DataFrame:
     """
     read = spark.read.option("lineSep", MAGIC).text(folder).withColumn("gap", F.locate(END, F.col("value")))
     raw = read.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("file_size"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("turn"), F.col("value").cast("binary").alias("bytes"),
         F.when(F.col("gap") > 0, F.expr("substring(value, 1, gap - 1)")).alias("header"),
     )
     raw = raw.withColumn("size", F.octet_length("bytes").cast("long")).withColumn("claim", _field("Content-Length").try_cast("long"))
     raw = raw.withColumn("head", F.octet_length("header") + len(END))
-    kept = raw.select("file", "block", "file_size", "turn", "size", *columns)
+    kept = raw.select("file", "block", "turn", "size", *columns)
     spans = kept.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("span"))
     start = F.coalesce(F.sum("span").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = spans.select("file", "block", start.alias("start"))
+    end = F.sum("span").over(W.partitionBy("file")) - len(MAGIC)
+    starts = spans.select("file", "block", start.alias("start"), end.alias("file_size"))
     before = W.partitionBy("file", "block").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
     inner = F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(before), F.lit(0))
     placed = kept.withColumn("inner", inner).join(starts, ["file", "block"])
