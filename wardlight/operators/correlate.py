@@ -152,24 +152,21 @@ def location_of(file: Column, line: Column) -> Column:
     return F.when(F.coalesce(line, F.lit(0)) > 0, F.concat(file, F.lit(":"), line.cast("string"))).otherwise(file)
 
 
-def contributors(findings: DataFrame, scan: Sequence[str], file: str, order: Sequence[str]) -> DataFrame:
+def contributors(findings: DataFrame, scan: Sequence[str], file: str, order: Sequence[str], written: bool = False) -> DataFrame:
     """(scan keys, chain rule, contributing finding): the rows chains are made of.
 
     ``scan`` names one target; ``file`` the path column; ``order`` the scan
     order within a file. This is the whole result; the chain findings are a
-    summary of it.
+    summary of it. ``written`` says that the findings are a written table already.
     """
     keys = [*scan, file]
     known = [r for rules in (
         vocab.SECRET_RULES, vocab.NETWORK_RULES, vocab.EXEC_RULES, vocab.REMOTE_RULES, vocab.DYNAMIC_RULES,
         vocab.SERVER_SECRET_RULES, vocab.SERVER_FS_RULES,
     ) for r in rules]
-    # the joins below read the findings several times; the rules must not run again
-    findings = cut(
-        findings.where(F.col("rule_id").isin(known)).select(
-            *dict.fromkeys([*keys, *order, "rule_id", "severity", "line"])
-        )
-    )
+    findings = findings.where(F.col("rule_id").isin(known)).select(*dict.fromkeys([*keys, *order, "rule_id", "severity", "line"]))
+    if not written:  # the joins below read the findings several times; the rules must not run again
+        findings = cut(findings)
     triple = secret_exfiltration(findings, keys, order)
     chosen = triple.select(*keys, F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("ord"))
     one = (

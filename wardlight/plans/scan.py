@@ -86,8 +86,8 @@ def find(docs: DataFrame, scan: Sequence[str]) -> Found:
     """Findings of files, chains over findings and chains over steps, enriched."""
     keys = list(scan)
     file = [*keys, "path"]
-    raw = dr.collapse_http_claims(cut(file_findings(docs, keys)), file)
-    parts = cut(co.contributors(raw, keys, "path", ORDER))
+    raw = cut(dr.collapse_http_claims(cut(file_findings(docs, keys)), file))
+    parts = cut(co.contributors(raw, keys, "path", ORDER, written=True))
     steps = cut(st.actions(explode_lines(docs)).select(*file, *st.ACTION_COLUMNS))
     chains = co.uncovered(st.file_chains(steps, file), parts, keys, "path")
     nothing = F.lit(None).cast("int")
