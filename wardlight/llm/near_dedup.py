@@ -9,11 +9,14 @@ either: chain / (n + m - chain). For texts without moved parts that is shingle J
 
 With 3 items in 16 sketches a pair at 0.8 is missed with probability (1 - 0.8^3)^16 = 1e-5.
 
-Work per bucket is a star, not all pairs: every member meets the bucket's smallest node. What
-the star links is one component; only members of a bucket that are still in different
-components meet, so no link between different texts that share a bucket is lost. Copies (equal
-word sequences) are one node from the start. Components come from label propagation with
-pointer jumping over written tables.
+Work per bucket is a star, not all pairs: every member meets the centre, the node that shares most
+buckets with others. What the star links is one component. Members of buckets that still hold several components may
+have links that the star does not see; they meet by exact prefix filtering: with a text's items
+ordered by how few texts of other components hold them, two texts at the threshold share one of
+the first n - ceil(threshold * n) + 1. Items that no other component holds come first and match
+nothing, so a text of which a fifth is its own is done, however common the rest is. No link
+between different texts that share a bucket is lost. Copies (equal word sequences) are one node
+from the start. Components come from label propagation with pointer jumping over written tables.
 
 Defined results: null and empty texts have no items; texts without words are copies of each
 other. A text of fewer than ``k`` words is one item. The class is named by its smallest id
@@ -33,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight.llm.common import Scratch, fresh, table
@@ -40,7 +44,7 @@ from wardlight.llm.common import Scratch, fresh, table
 K, SAMPLE, SKETCHES, THRESHOLD = 5, 3, 16, 0.8
 _WORD = re.compile(r"\w+")
 _STEP, _GOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_CACHE = 400_000
+_CACHE = 150_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -143,6 +147,43 @@ def _features(k: int, sample: int, sketches: int) -> Callable:
     return run
 
 
+def _labels(k: int) -> Callable:
+    """(node, comp, text) -> one row per item: node, comp, items, label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(k)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                labels = items.labels(words_of(batch.column(2)[i].as_py()))
+                n = len(labels)
+                same = lambda column, i=i, n=n: pa.DictionaryArray.from_arrays(np.zeros(n, np.int32), column.slice(i, 1)).cast(column.type)
+                yield pa.RecordBatch.from_arrays(
+                    [same(batch.column(0)), same(batch.column(1)), pa.array(np.full(n, n, np.int64)), pa.array(labels.view(np.int64))], names=["node", "comp", "items", "label"]
+                )
+
+    return run
+
+
+def _across(members: DataFrame, scratch: Scratch, k: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may reach the threshold, by prefix filtering; ``members``: node, comp, text."""
+    rows = scratch.write(members.mapInArrow(_labels(k), "node string, comp string, items long, label long"), "items")
+    useful = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("label", "n")
+    shared = rows.join(useful, "label")
+    mine = W.partitionBy("node")
+    prefix = F.col("items") - F.ceil(F.col("items") * F.lit(threshold) - F.lit(1e-9)) + 1
+    owned = shared.withColumn("own", F.col("items") - F.count(F.lit(1)).over(mine))
+    first = owned.withColumn("left", prefix - F.col("own")).filter("left > 0").withColumn("place", F.row_number().over(mine.orderBy("n", "label"))).filter("place <= left")
+    first = scratch.write(first.select("label", "node", "comp", "items", (F.col("items") - F.col("own")).alias("shared"), "place"), "prefix")
+    other = first.toDF("label", "b", "comp_b", "items_b", "shared_b", "place_b")
+    # what either shares with anybody has to reach the overlap that the threshold asks for, and so has
+    # what comes after the places of the common item in the two orders together with what comes before
+    overlap = (F.col("items") + F.col("items_b")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)
+    behind = F.least(F.col("shared") - F.col("place"), F.col("shared_b") - F.col("place_b"))
+    enough = behind + F.least("place", "place_b") >= overlap
+    met = first.join(other, "label").filter((F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _ratio("items", "items_b", threshold) & enough)
+    return met.select(F.col("node").alias("a"), "b").distinct()
+
+
 def _verified(k: int, threshold: float) -> Callable:
     """(a, b, text_a, text_b) -> links; the features of the last ``a`` are kept."""
 
@@ -178,6 +219,7 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         new = scratch.write(step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), f"{name}-{turn}")
         moved = new.filter("comp != old").limit(1).count()
         labels = new.select("node", "comp")
+        scratch.drop(f"{name}-{turn - 1}")
         if not moved:
             return labels
 
@@ -198,9 +240,13 @@ def classes(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "
     features = scratch.write(features, "features")
     nodes = features.filter("items > 0").groupBy("node").agg(F.min(F.struct("row", "items", "sketches")).alias("one"))
     entries = nodes.select("node", F.col("one.row").alias("row"), F.col("one.items").alias("items"), F.explode("one.sketches").alias("sketch"))
-    buckets = entries.groupBy("sketch").agg(F.min(F.struct("node", "items")).alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = entries.join(buckets.drop("n"), "sketch")
-    met = scratch.write(met.select("sketch", "node", "row", "items", F.col("centre.node").alias("centre"), F.col("centre.items").alias("its")), "met")
+    sizes = entries.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = scratch.write(entries.join(sizes, "sketch"), "buckets")
+    # the node that meets most others, over all its buckets, is the centre: of a large group, what the copies were made of
+    known = met.join(met.groupBy("node").agg(F.sum("n").alias("weight")), "node")
+    centres = known.groupBy("sketch").agg(F.max(F.struct("weight", "node", "items")).alias("centre"))
+    met = met.join(centres, "sketch").select("sketch", "node", "row", "items", F.col("centre.node").alias("centre"), F.col("centre.items").alias("its"))
+    met = scratch.write(met, "met")
     texts = rows.join(met.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
     texts = scratch.write(texts.join(met.select("row", "node").distinct(), "row").select("node", "text"), "texts")
 
@@ -214,15 +260,17 @@ def classes(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "
     first = links(star, "links-star")
     parts = connected(first, scratch, "parts")
     placed = met.join(parts, "node", "left").select("sketch", "node", "items", "centre", F.coalesce("comp", "node").alias("comp"))
+    # the centre has met everybody, so only the others may have links that nobody has seen
+    placed = placed.filter("node != centre")
     mixed = placed.groupBy("sketch").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("sketch")
-    members = scratch.write(placed.filter("node != centre").join(mixed, "sketch"), "members")
-    other = members.select("sketch", F.col("node").alias("b"), F.col("items").alias("items_b"), F.col("comp").alias("comp_b"))
-    rest = members.join(other, "sketch").filter((F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _ratio("items", "items_b", threshold))
-    rest = rest.select(F.col("node").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
+    members = placed.join(mixed, "sketch", "left_semi").select("node", "comp").distinct().join(texts, "node")
+    rest = _across(members, scratch, k, threshold).join(star, ["a", "b"], "left_anti")
     second = links(scratch.write(rest, "rest"), "links-rest")
     found = connected(first.unionByName(second), scratch, "all") if second.limit(1).count() else parts
     placed = features.select("id", "row", "node").join(found, "node", "left").select("id", "row", F.coalesce("comp", "node").alias("comp"))
     placed = scratch.write(placed, "placed")
+    for done in ("features", "buckets", "met", "texts", "items", "prefix"):  # the result reads ``placed`` alone
+        scratch.drop(done)
     named = placed.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("blank"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size"))
     named = named.filter("class_size > 1").select("comp", F.col("first.id").alias("class_id"), F.col("first.row").alias("class_row"), "class_size")
     alone = F.col("class_size").isNull()
