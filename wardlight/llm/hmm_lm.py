@@ -12,7 +12,7 @@ Baum-Welch: tasks add up the expected transitions and emissions of all training
 stretches of ``STRETCH`` tokens; the driver normalises them (states x classes, bounded) and the
 next round starts. Scores are exact scaled forward recursions over whole texts.
 
-A word's count is looked up in a dictionary of the ``FREQUENT`` most frequent words (bounded, as
+A word's count is looked up in a dictionary of at most ``FREQUENT`` frequent words (bounded, as
 is a word's length there); other words join the count table, a distinct word of a text at a time.
 
 Defined results: null is the empty text, which is one end token. Without training texts every
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import Scratch, fold, sum_arrays, table
+from wardlight.llm.common import Scratch, fold, most_frequent, sum_arrays, table
 
 STATES, ROUNDS, STRETCH = 8, 6, 64
 TOP, TAIL, FREQUENT, LONGEST = 4096, 256, 1 << 17, 64
@@ -97,9 +97,8 @@ def count(docs: DataFrame, scratch: Scratch, text: str) -> Counts:
     rows = docs.select(F.col(text)).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = scratch.write(rows, "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    order = [F.desc("n"), F.col("word")]
-    best = words.filter(F.octet_length("word") <= LONGEST).orderBy(*order).limit(FREQUENT).collect()
-    frequent = {bytes(r["word"]): r["n"] for r in best}
+    best = most_frequent(words.filter(F.octet_length("word") <= LONGEST), "n", FREQUENT).collect()
+    frequent = {w: n for n, w in sorted(((r["n"], bytes(r["word"])) for r in best), key=lambda x: (-x[0], x[1]))}
     ranked = [w for w in frequent if w != END][:TOP]
     out = Counts(words, total, distinct, frequent, {w: i for i, w in enumerate([END, *ranked])})
     if ranked:
