@@ -38,7 +38,7 @@ def test_exact_awkward(spark, keep):
     pick = max if keep == "largest" else min
     want = Counter((i, pick(groups[t], key=rank), len(groups[t])) for i, t in rows)
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == want
-    kept = ex.keep_one(docs, Scratch(spark, "t"), keep=keep)
+    kept = ex.keep_one(docs, keep=keep)
     assert kept.columns == docs.columns
     texts = Counter(r["text"] or "" for r in kept.collect())
     assert set(texts) == set(groups) and set(texts.values()) == {1}
@@ -56,6 +56,8 @@ def test_exact_normalised(spark):
     docs = spark.createDataFrame([(1, "A b"), (2, "a B"), (3, "c")], "doc_id long, text string")
     got = ex.assign(docs, Scratch(spark, "t"), normalise=F.lower).orderBy("doc_id").collect()
     assert [r["keep_id"] for r in got] == [1, 1, 3]
+    kept = ex.keep_one(docs.withColumn("wl_key", F.array(F.col("doc_id"))), normalise=F.lower, keep="largest", piece_bytes=1, trie_bytes=1).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["text"], r["wl_key"]) for r in kept] == [(2, "a B", [2]), (3, "c", [3])]
 
 
 def items(text):

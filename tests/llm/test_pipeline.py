@@ -42,4 +42,4 @@ def test_a_stage_judges_its_own_input(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     docs = spark.createDataFrame([(1, prose(1, 50)), (2, prose(1, 50)), (3, prose(2, 50))], "doc_id long, text string")
     first = toxicity.keep_clean(docs.filter("doc_id != 2"), labels, Scratch(spark, "t"))
-    assert {r["doc_id"] for r in exact_dedup.keep_one(first, Scratch(spark, "t"), keep="largest").collect()} == {1, 3}
+    assert {r["doc_id"] for r in exact_dedup.keep_one(first, keep="largest").collect()} == {1, 3}

@@ -20,10 +20,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wardlight.llm.common import Scratch, fresh, table
+from wardlight.llm.common import Scratch, table
 
 HEAD = 4  # hex digits of the digest that deal rows out
 PIECE = "bytes int, head string, sha string, text binary, owner long, n long, same long"
@@ -204,21 +204,108 @@ def assign(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "t
     )
 
 
-def keep_one(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text", normalise: Callable[[Column], Column] | None = None, keep: str = "smallest") -> DataFrame:
+def _taken(rows: list[tuple]) -> pa.Table:
+    """The rows (batch, place) as a table."""
+    by: dict[int, tuple] = {}
+    for batch, place in rows:
+        by.setdefault(id(batch), (batch, []))[1].append(place)
+    return pa.Table.from_batches([batch.take(pa.array(places, pa.int64())) for batch, places in by.values()])
+
+
+def _better_row(new: tuple, old: tuple | None, largest: bool) -> bool:
+    """(id, tie): the owning id, then the smaller tie."""
+    if old is None or new[0] == old[0]:
+        return old is None or new[1] < old[1]
+    return _better(new[0], old[0], largest)
+
+
+def _best_pieces(width: int, plain: bool, largest: bool, bound: int) -> Callable:
+    """Of each text of a piece of the input the best row; columns: ``width`` own ones, key, id, tie. Adds bytes, head, sha.
+
+    Where the key is the text as it stands (``plain``), it is not sent along.
+    """
+
+    def out(found: dict) -> Iterator[pa.RecordBatch]:
+        for batch in _taken([(b, i) for _, b, i in found.values()]).to_batches():
+            keys = batch.column(width).to_pylist()
+            shas = [hashlib.sha256(k).hexdigest() for k in keys]
+            more = [pa.array([len(k) for k in keys], pa.int32()), pa.array([s[:HEAD] for s in shas], pa.string()), pa.array(shas, pa.string())]
+            sent = [*batch.columns]
+            if plain:
+                sent[width] = pa.nulls(len(keys), pa.binary())
+            yield pa.RecordBatch.from_arrays([*sent, *more], names=[*batch.schema.names, "wl_bytes", "wl_head", "wl_sha"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bytes, tuple] = {}
+        held = 0
+        for batch in batches:
+            ids, ties = batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist()
+            for i, key in enumerate(batch.column(width)):
+                key = key.as_py()
+                old = found.get(key)
+                if _better_row((ids[i], ties[i]), old and old[0], largest):
+                    found[key] = ((ids[i], ties[i]), batch, i)
+                    held += 0 if old else len(key) + 300
+            if held > bound:
+                yield from out(found)
+                found, held = {}, 0
+        if found:
+            yield from out(found)
+
+    return run
+
+
+def _best_rows(width: int, text: int | None, largest: bool, bound: int) -> Callable:
+    """The best row of each text, from rows sorted by (bytes, head, sha): the terminal nodes of the tries hold them.
+
+    The key is the column ``text`` or, where that is None, the one sent along.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, part, last = RadixTrie(), None, None
+
+        def spill() -> Iterator[pa.RecordBatch]:
+            rows = [record[1:] for record in trie.records()]
+            if rows:
+                yield from _taken(rows).select(range(width)).to_batches()
+
+        for batch in batches:
+            ids, ties = batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist()
+            sizes, heads, shas = (batch.column(width + 3 + k).to_pylist() for k in range(3))
+            keys = batch.column(width if text is None else text).cast(pa.binary())
+            for i in range(batch.num_rows):
+                key = (sizes[i], heads[i])
+                if part != key or (trie.bytes > bound and shas[i] != last):
+                    yield from spill()
+                    trie, part = RadixTrie(), key
+                last = shas[i]
+                node = trie.node(keys[i].as_py() or b"")
+                if _better_row((ids[i], ties[i]), node[0] and node[0][0], largest):
+                    node[0] = ((ids[i], ties[i]), batch, i)
+        yield from spill()
+
+    return run
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", normalise: Callable[[Column], Column] | None = None, keep: str = "smallest", piece_bytes: int = 16 << 20, trie_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` with one row per text, all columns as they were.
 
-    Rows that only repeat the owner (same id, same text) are numbered apart; they are the
-    only ones that need it.
+    Whole rows go through the tries, so texts are moved once and nothing is joined. Of rows
+    equal in id and text the one with the smallest hash of its columns (but maps) stays.
     """
-    columns = docs.columns
-    sha, owner, size, same = (fresh(docs, n) for n in ("wl_sha", "wl_owner", "wl_size", "wl_same"))
-    found = owners(docs, scratch, id, text, normalise, keep).toDF(sha, owner, size, same)
-    rows = docs.withColumn(sha, F.sha2(_value(text, normalise).cast("binary"), 256)).join(found, sha, "left")
-    mine = F.col(size).isNull() | F.col(id).cast("long").eqNullSafe(F.col(owner))
-    single = rows.filter(mine & (F.coalesce(F.col(same), F.lit(1)) == 1)).select(*columns)
-    number = fresh(docs, "wl_number")
-    again = rows.filter(mine & (F.col(same) > 1)).withColumn(number, F.row_number().over(W.partitionBy(sha).orderBy(F.col(id))))
-    return single.unionByName(again.filter(F.col(number) == 1).select(*columns))
+    columns, largest = docs.columns, keep == "largest"
+    own = [F.col(f"`{c}`") for c in columns]
+    names = [f"wl_{i}" for i in range(len(columns))]
+    rows = docs.select(
+        *[c.alias(n) for c, n in zip(own, names)], _value(text, normalise).cast("binary").alias("wl_key"), F.col(id).cast("long").alias("wl_id"), F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)]).alias("wl_tie")
+    )
+    kinds = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, columns)]
+    more = [T.StructField("wl_key", T.BinaryType()), T.StructField("wl_id", T.LongType()), T.StructField("wl_tie", T.LongType())]
+    more += [T.StructField("wl_bytes", T.IntegerType()), T.StructField("wl_head", T.StringType()), T.StructField("wl_sha", T.StringType())]
+    place = columns.index(text) if normalise is None and isinstance(docs.schema[text].dataType, T.StringType) else None
+    pieces = rows.mapInArrow(_best_pieces(len(columns), place is not None, largest, piece_bytes), T.StructType([*kinds, *more]))
+    dealt = pieces.repartition("wl_bytes", "wl_head").sortWithinPartitions("wl_bytes", "wl_head", "wl_sha")
+    return dealt.mapInArrow(_best_rows(len(columns), place, largest, trie_bytes), T.StructType(kinds)).toDF(*columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
