@@ -6,9 +6,10 @@ the letters it may stand for, a repeated letter may be dropped, a separator insi
 single letters may be dropped or end a word. The best path under channel and model costs is
 the restored text. A token with one path only is its own result, so decoding costs little.
 
-Evidence is learned from labelled rows: for each restored word and each of its heads of 4 to 6
-letters, the smoothed share of toxic texts among those that hold it. A text's score is the
-noisy-or of its distinct restored words. The classifier is fitted on at most ``max_labelled``
+Evidence is learned from labelled rows: for each restored word the smoothed share of toxic texts
+among those that hold it, then the same for heads of 4 to 6 letters of the words that are no
+evidence themselves, so a head speaks for a family of words and not for one. A text's score is
+the noisy-or of its distinct restored words. The classifier is fitted on at most ``max_labelled``
 labelled rows, chosen by a hash of the id; the character model and the scores cover all.
 
 Defined results: null and empty texts get the base score. Labels that are null are ignored; of
@@ -34,7 +35,7 @@ from wardlight.llm.common import Scratch, fold, fresh, most_frequent, sum_arrays
 ORDER, BUCKETS = 4, 1 << 18
 MAX_LABELLED, MAX_FEATURES, LEAST_TOXIC = 40_000, 200_000, 4
 PRIOR, LEAST_EVIDENCE, THRESHOLD = 3.0, 0.6, 0.7
-_MEMO, _HELD = 600_000, 300_000
+_MEMO, _HELD = 200_000, 80_000
 #: Letters that a sign may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "tl", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "il", "|": "il",
@@ -45,7 +46,6 @@ _SIGN, _KEEP, _DROP_REPEAT, _DROP_SEPARATOR, _BREAK, _WILD = -1.0, -4.0, -1.5, -
 _EDGE = " .,;:!?\"'()[]{}<>«»„“”…|`´*%&$#@+-_=~/\\"
 _DECORATION = re.compile(r"([%*&$#@!~+=_-])\1{2,}")
 _REPEAT = re.compile(r"(.)\1\1")
-_PIECES = re.compile(r"[^\W\d_]+")
 _CUT = re.compile(r"[ .\-_~'’/\\,:;=|\"()\[\]{}<>]+")
 
 
@@ -98,8 +98,8 @@ def _count_grams(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
             text = text.as_py()
             if text:
                 tokens.update(text.lower().split())
-        if len(tokens) > _HELD:
-            add()
+                if len(tokens) > _HELD:
+                    add()
     add()
 
 
@@ -215,30 +215,43 @@ class Channel:
         return found
 
 
-def features(words: Iterable[str]) -> set[str]:
-    out = set()
-    for word in words:
-        out.add("=" + word)
-        for width in (4, 5, 6):
-            if len(word) >= width:
-                out.add(word[:width])
-    return out
+HEADS = (4, 5, 6)
 
 
-def _counter(counts: np.ndarray, known: set[str] | None) -> Callable:
-    """Texts per feature, by task; only ``known`` features where given."""
+def heads(words: Iterable[str]) -> set[str]:
+    return {word[:width] for word in words for width in HEADS if len(word) >= width}
+
+
+def features(word: str) -> list[str]:
+    return ["=" + word, *heads([word])]
+
+
+def _restored(counts: np.ndarray) -> Callable:
+    """(text, toxic) -> (distinct restored words, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        channel, found = Channel(counts), Counter()
+        channel = Channel(counts)
+        for batch in batches:
+            words = [list(channel.words(text.as_py())) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1)], names=["words", "toxic"])
+
+    return run
+
+
+def _counter(known: set[str] | None, done: set[str] | None) -> Callable:
+    """Texts per feature, by task; only ``known`` features where given. With ``done``, heads of the words that are not in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["feature", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                seen = features(channel.words(text.as_py()))
+            for words in batch.column(0).to_pylist():
+                seen = {"=" + w for w in words} if done is None else heads(w for w in words if "=" + w not in done)
                 found.update(seen if known is None else seen & known)
-            if len(found) > _MEMO:
+            if len(found) > _HELD:
                 yield out()
                 found = Counter()
         yield out()
@@ -246,6 +259,19 @@ def _counter(counts: np.ndarray, known: set[str] | None) -> Callable:
     return run
 
 
+def _shares(rows: DataFrame, scratch: Scratch, name: str, base: float, done: set[str] | None) -> dict[str, float]:
+    """Smoothed share of toxic texts by feature, of features that are evidence."""
+
+    def counted(part: str, known: set[str] | None) -> DataFrame:
+        return rows.filter(part).select("words").mapInArrow(_counter(known, done), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+    toxic = scratch.write(counted("toxic > 0", None).filter(F.col("n") >= LEAST_TOXIC), name)
+    toxic = {r["feature"]: r["n"] for r in most_frequent(toxic, "n", MAX_FEATURES).collect()}
+    clean = {r["feature"]: r["n"] for r in counted("toxic <= 0", set(toxic)).collect()}
+    share = {f: (t + PRIOR * base) / (t + clean.get(f, 0) + PRIOR) for f, t in toxic.items()}
+    return {f: p for f, p in share.items() if p >= LEAST_EVIDENCE}
+
+
 def character_counts(docs: DataFrame, text: str) -> np.ndarray:
     return sum_arrays(docs.select(F.col(text)), _count_grams, BUCKETS)
 
@@ -258,18 +284,14 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id: str, text: str
     if n_labelled > max_labelled:  # a seeded sample; two percent below the bound, for chance
         known = known.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(980_000 * max_labelled / n_labelled))
     rows = docs.select(F.col(id).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), "key")
-    rows = scratch.write(rows.select("text", "toxic"), "labelled")
+    rows = scratch.write(rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_restored(counts), "words array<string>, toxic int"), "labelled")
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
     n_toxic, n = sizes.get(True, 0), sum(sizes.values())
     if not n_toxic:
         return counts, {}, 0.0
-    toxic = rows.filter("toxic > 0").select("text").mapInArrow(_counter(counts, None), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    toxic = {r["feature"]: r["n"] for r in most_frequent(scratch.write(toxic.filter(F.col("n") >= LEAST_TOXIC), "toxic"), "n", MAX_FEATURES).collect()}
-    clean = rows.filter("toxic <= 0").select("text").mapInArrow(_counter(counts, set(toxic)), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    clean = {r["feature"]: r["n"] for r in clean.collect()}
     base = n_toxic / n
-    share = {f: (t + PRIOR * base) / (t + clean.get(f, 0) + PRIOR) for f, t in toxic.items()}
-    return counts, {f: p for f, p in share.items() if p >= LEAST_EVIDENCE}, base / 10
+    words = _shares(rows, scratch, "words", base, None)
+    return counts, words | _shares(rows, scratch, "heads", base, set(words)), base / 10
 
 
 def score_batches(counts: np.ndarray, share: dict[str, float], base: float) -> Callable:
@@ -280,7 +302,7 @@ def score_batches(counts: np.ndarray, share: dict[str, float], base: float) -> C
         channel, memo, nothing = Channel(small), {}, ()
 
         def risky(word: str) -> tuple:
-            p = max([share.get(f, 0.0) for f in features([word])])
+            p = max([share.get(f, 0.0) for f in features(word)])
             return ((word, p),) if p else nothing
 
         for batch in batches:
