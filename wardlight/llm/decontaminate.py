@@ -32,7 +32,7 @@ from wardlight.llm.near_dedup import _row, words_of
 STEP, LEAST, MOST = 32, 5, 0.01
 RANK, COSINE, SHARE, ANSWER = 256, 0.25, 0.6, 0.5
 BLOCK_ITEMS, BLOCK_WORDS, OVERSAMPLE = 256, 16_000, 16
-_PIECE, _MEMO = 200_000, 500_000  # words that are worked on at once; tokens that are remembered
+_PIECE, _MEMO = 100_000, 200_000  # words that are worked on at once; tokens that are remembered
 _PAIR = "doc_id long, row string, item_id long, cosine double, lcs double, answer double, word long"
 
 
@@ -287,6 +287,7 @@ def leaks(
         basis = latent_space(encoded, idf, matrix, rank)
         hits = encoded.mapInArrow(_search(names, items, idf, basis, cosine, share, answer), _PAIR)
         hits = scratch.write(hits, f"hits{turn}")
+        scratch.drop(f"encoded{turn}")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], _PAIR)

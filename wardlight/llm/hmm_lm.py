@@ -38,7 +38,7 @@ STATES, ROUNDS, STRETCH = 8, 6, 64
 TOP, TAIL, FREQUENT, LONGEST = 4096, 256, 1 << 17, 64
 ADD, SMOOTH = 0.1, 0.05
 END = b"\n"  # no word holds white space
-_HELD, _BATCH = 400_000, 2000
+_HELD, _BATCH = 200_000, 2000
 
 
 def tokens(text: str | None) -> list[bytes]:

@@ -31,7 +31,7 @@ BUCKETS, MAX_LANGUAGES = 1 << 16, 1000
 SMOOTHING, PENALTY, ROUNDS = 0.5, 1.0, 8
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_GROUP, _HELD = 200_000, 300_000
+_GROUP, _HELD = 200_000, 80_000
 
 
 def letters_of(text: str | None) -> list[str]:
@@ -64,9 +64,10 @@ def _count(languages: dict[str, int]) -> Callable:
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = letters_of(text.as_py())
                 if words and language in languages:
-                    held.setdefault(languages[language], Counter()).update(words)
-            if sum(map(len, held.values())) > _HELD:
-                add()
+                    found = held.setdefault(languages[language], Counter())
+                    found.update(words)
+                    if len(found) > _HELD:
+                        add()
         add()
 
     return fill
@@ -92,10 +93,10 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", where: Column
     return Model(languages, np.log(share).astype(np.float32))
 
 
-def _mixture(likely: np.ndarray, starts: np.ndarray, text: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(proportions, log likelihood) per text by EM; ``likely`` is words x languages, scaled by word."""
+def _mixture(likely: np.ndarray, starts: np.ndarray, text: np.ndarray, start: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions, log likelihood) per text by EM from ``start``; ``likely`` is words x languages, scaled by word."""
     sizes = np.diff(np.concatenate([starts, [len(text)]]))[:, None]
-    share = allowed / allowed.sum(axis=1, keepdims=True)
+    share = start / start.sum(axis=1, keepdims=True)
     for _ in range(rounds):
         part = likely * share[text]
         part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
@@ -129,7 +130,7 @@ def infer(model: Model, texts: list[list[str]], penalty: float = PENALTY, rounds
         rows = np.concatenate([np.arange(starts[i], starts[i] + lengths[i]) for i in live]) if len(live) < len(texts) else slice(None)
         sub = lengths[live]
         at = np.concatenate([[0], np.cumsum(sub)[:-1]])
-        got, new = _mixture(likely[rows], at, np.repeat(np.arange(len(live)), sub), wider, rounds)
+        got, new = _mixture(likely[rows], at, np.repeat(np.arange(len(live)), sub), wider * np.maximum(full[live], 1e-6), rounds)
         better = new - penalty * (size - 1) * np.log(sub) > value[live] - penalty * (size - 2) * np.log(sub)
         take = live[better]
         share[take], chosen[take], value[take] = got[better], wider[better], new[better]

@@ -143,8 +143,11 @@ def classify(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFr
     prior = types.groupBy("kind").agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"))
     flat = types.select("kind", "features", "yes", "no", F.explode("features").alias("feature"))
     weight = flat.groupBy("kind", "feature").agg(F.sum("yes").alias("f_yes"), F.sum("no").alias("f_no")).join(prior, "kind")
-    log_odds = F.log((F.col("f_yes") + 0.5) / (F.col("all_yes") + 1)) - F.log((F.col("f_no") + 0.5) / (F.col("all_no") + 1))
-    weight = weight.select("kind", "feature", log_odds.alias("odds"), F.log((F.col("all_yes") + 0.5) / (F.col("all_no") + 0.5)).alias("first"))
+    # smoothed towards the odds of the kind, so a value that is rare says little
+    share = (F.col("all_yes") + 0.5) / (F.col("all_yes") + F.col("all_no") + 1)
+    first = F.log(share / (1 - share))
+    log_odds = F.log((F.col("f_yes") + 2 * share) / (F.col("f_no") + 2 * (1 - share))) - first
+    weight = weight.select("kind", "feature", log_odds.alias("odds"), first.alias("first"))
     told = flat.select("kind", "features", "feature").join(weight, ["kind", "feature"]).groupBy("kind", "features").agg((F.sum("odds") + F.max("first")).alias("z"))
     return found.join(told.withColumn("p", 1 / (1 + F.exp(-F.col("z")))).drop("z"), ["kind", "features"], "left")
 
