@@ -89,6 +89,32 @@ def test_paraphrases_and_recall_against_brute_force(spark):
     assert got <= want
 
 
+def test_long_items_are_matched_whole(spark):
+    """Verbatim and with a fifth of the words dropped or replaced, at any offset; a half of one is no match."""
+    lengths = (64, 65, 100, 130, 200, 213, 250, 500, 512, 1500)
+    items = [(n, prose(20_000 + n, n)) for n in lengths]
+    docs = []
+    for n, text in items:
+        for k, shift in enumerate((0, 13, 50, 101)):
+            lead = prose(21_000 + n + k, 40 + shift) + " "
+            docs += [(10 * n + k, lead + text + " " + prose(22_000 + n, 90)), (100_000 + 10 * n + k, lead + paraphrase(text, n + k, 0.2) + " " + prose(23_000 + n, 90))]
+        docs.append((200_000 + n, prose(24_000 + n, 70) + " " + " ".join(text.split()[: n // 2]) + " " + prose(25_000 + n, 2 * n)))
+    found = dc.leaks(spark.createDataFrame(docs, HIT), spark.createDataFrame(items, "item_id long, text string"), Scratch(spark, "t")).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    want = {(d % 100_000 // 10, d) for d, _ in docs if d < 200_000}
+    assert got == {(d, n) for n, d in want}
+    assert {r["lcs"] for r in found if r["doc_id"] < 100_000} == {1.0}
+
+
+def test_an_item_beyond_the_block_bounds(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK_ITEMS", 4)
+    monkeypatch.setattr(dc, "LONGEST", 256)
+    items = [(1, prose(31, 300)), (2, prose(32, 1030)), (3, prose(33, 20))]
+    docs = [(i, prose(600 + i, 50) + " " + text) for i, text in items] + [(9, prose(9, 400))]
+    found = dc.leaks(spark.createDataFrame(docs, HIT), spark.createDataFrame(items, "item_id long, text string"), Scratch(spark, "t"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(dc, "BLOCK_ITEMS", 3)
     items = [(i, prose(40 + i, 25)) for i in range(8)]

@@ -7,10 +7,13 @@ words in more than ``MOST`` of them weigh nothing). A randomised SVD of all pass
 the items are added with the weight of the corpus, gives the latent space in one pass: tasks sum
 A'A times a random matrix (vocabulary x rank, both bounded), of which the driver takes the
 leading singular vectors. Windows of ``2 * STEP`` words, every ``STEP``, are projected and
-compared with all items of the block; those with a cosine of ``cosine`` or more are candidates.
-A candidate counts when the longest common subsequence of item and surroundings covers
-``share`` of the item's words and ``answer`` of its answer, the last quarter. Items of any
-length are matched; those of fewer than ``LEAST`` words are left out as too common.
+compared with the items of the block, in even parts of at most as many words; those with a
+cosine of ``cosine`` or more are candidates. A candidate counts when the longest common
+subsequence of the whole item and the surroundings covers ``share`` of the item's words and
+``answer`` of its answer, the last quarter. Surroundings reach as far as the item would if it
+stood there with twice its words. Items of any length are matched, those of more than
+``LONGEST`` words in even stretches of at most that, of which one that is held is enough; items
+of fewer than ``LEAST`` words are left out as too common.
 
 Defined results: null and empty texts, and texts shorter than an item, match only what they
 hold. Items without text are left out. A repeated row or item gives its own rows of results. An
@@ -31,25 +34,36 @@ from wardlight.llm.near_dedup import _row, words_of
 
 STEP, LEAST, MOST = 32, 5, 0.01
 RANK, COSINE, SHARE, ANSWER = 256, 0.25, 0.6, 0.5
-BLOCK_ITEMS, BLOCK_WORDS, OVERSAMPLE = 256, 16_000, 16
+BLOCK_ITEMS, BLOCK_WORDS, OVERSAMPLE = 256, 16_000, 16  # items count by their parts
+LONGEST = BLOCK_ITEMS * 2 * STEP
 _PIECE, _MEMO = 100_000, 200_000  # words that are worked on at once; tokens that are remembered
 _PAIR = "doc_id long, row string, item_id long, cosine double, lcs double, answer double, word long"
 
 
+def _even(words: list, most: int) -> list[list]:
+    """``words`` in as few stretches of at most ``most`` as there can be, of almost equal length."""
+    n = -(-len(words) // most)
+    ends = [len(words) * k // n for k in range(n + 1)]
+    return [words[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def blocks(items: DataFrame, id: str, text: str) -> Iterator[list[tuple[int, list[str]]]]:
-    """Items as (id, words), in blocks of bounded vocabulary; an item larger than the bound is cut into parts."""
+    """Items as (id, words), in blocks of bounded vocabulary and number of parts; an item larger than the bounds is cut into stretches."""
     block: list[tuple[int, list[str]]] = []
     seen: set[str] = set()
+    parts = 0
     for row in items.select(F.col(id).cast("long"), F.col(text)).orderBy(id).toLocalIterator():
         words = words_of(row[1])
-        for part in [words[i : i + 512] for i in range(0, len(words), 512)]:
-            if len(part) < LEAST:
-                continue
-            if block and (len(block) >= BLOCK_ITEMS or len(seen) + len(part) > BLOCK_WORDS):
+        if len(words) < LEAST:
+            continue
+        for stretch in _even(words, LONGEST):
+            more = len(_even(stretch, 2 * STEP))
+            if block and (parts + more > BLOCK_ITEMS or len(seen) + len(stretch) > BLOCK_WORDS):
                 yield block
-                block, seen = [], set()
-            block.append((row[0], part))
-            seen.update(part)
+                block, seen, parts = [], set(), 0
+            block.append((row[0], stretch))
+            seen.update(stretch)
+            parts += more
     if block:
         yield block
 
@@ -207,8 +221,14 @@ def _masks(words: np.ndarray) -> dict[int, int]:
 
 
 def _search(names: list[int], items: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, cosine: float, share: float, answer: float) -> Callable:
-    latent = np.stack([(idf[i][:, None] * basis[i]).sum(0) for i in items])
-    norms = np.array([np.sqrt((idf[i] ** 2).sum()) for i in items])
+    parts = [_even(i, 2 * STEP) for i in items]
+    # by part: its item, the words of the item before it and those after it
+    whole = [q for q, cut in enumerate(parts) for _ in cut]
+    before = [sum(map(len, cut[:k])) for cut in parts for k in range(len(cut))]
+    after = [sum(map(len, cut[k + 1 :])) for cut in parts for k in range(len(cut))]
+    parts = [p for cut in parts for p in cut]
+    latent = np.stack([(idf[p][:, None] * basis[p]).sum(0) for p in parts])
+    norms = np.array([np.sqrt((idf[p] ** 2).sum()) for p in parts])
     queries = (latent / np.maximum(norms, 1e-9)[:, None]).astype(np.float32)
     tails = [i[-max(2, len(i) // 4) :] for i in items]
     masks, ends = [_masks(i) for i in items], [_masks(t) for t in tails]
@@ -237,17 +257,25 @@ def _search(names: list[int], items: list[np.ndarray], idf: np.ndarray, basis: n
                 live = np.flatnonzero(norm > 0)
                 score = ((dense[live] + dense[ahead[live]]) @ queries.T) / np.sqrt(norm[live])[:, None].astype(np.float32)
                 best: dict[tuple[int, int], tuple] = {}
-                for w, q in zip(*np.nonzero(score >= cosine)):
-                    text = owner[live[w]]
+                near_to, part = np.nonzero(score >= cosine)
+                checked: set[tuple] = set()
+                for at in np.argsort(-score[near_to, part], kind="stable").tolist():
+                    w, p = near_to[at], part[at]
+                    q, text = whole[p], owner[live[w]]
                     start = int(live[w] - firsts[text]) * STEP
-                    near = group[text][max(0, start - STEP) : start + 3 * STEP].tolist()
+                    # parts of an item that put its first word at the same place share one look at the surroundings
+                    place = (text, q, (start - before[p]) // STEP)
+                    if place in checked:
+                        continue
+                    checked.add(place)
+                    near = group[text][max(0, start - 2 * before[p] - STEP) : start + 3 * STEP + 2 * after[p]].tolist()
                     covered = common_subsequence(masks[q], len(items[q]), near) / len(items[q])
                     if covered < share:
                         continue
                     told = common_subsequence(ends[q], len(tails[q]), near) / len(tails[q])
                     if told < answer:
                         continue
-                    one = (covered, min(1.0, float(score[w, q])), told, -start)
+                    one = (covered, min(1.0, float(score[w, p])), told, -start)
                     if one > best.get((text, q), (0.0,)):
                         best[(text, q)] = one
                 found += [(first + text, q, *one) for (text, q), one in best.items()]
@@ -281,8 +309,9 @@ def leaks(
         idf = np.log((passages + 1) / (counts[:-1] + 1))
         idf[counts[:-1] > max(MOST * passages, 20)] = 0
         idf = idf.astype(np.float32)
-        matrix = np.zeros((len(items), len(vocabulary)), np.float32)
-        for at, words in enumerate(items):
+        parts = [part for words in items for part in _even(words, 2 * STEP)]
+        matrix = np.zeros((len(parts), len(vocabulary)), np.float32)
+        for at, words in enumerate(parts):
             np.add.at(matrix[at], words, idf[words])
         basis = latent_space(encoded, idf, matrix, rank)
         hits = encoded.mapInArrow(_search(names, items, idf, basis, cosine, share, answer), _PAIR)
