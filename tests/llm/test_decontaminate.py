@@ -115,6 +115,38 @@ def test_an_item_beyond_the_block_bounds(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 1), (2, 2), (3, 3)}
 
 
+def test_widespread_leaks(spark):
+    """One contaminated document fills a third of the rows, a passage stands in every fifth of the others, an item has common words only."""
+    common = [f"w{k}" for k in range(12)]
+    draw = random.Random(8)
+
+    def page(seed, n):
+        return " ".join(w + " " + draw.choice(common) for w in prose(seed, n // 2).split())
+
+    items = [(i, prose(500 + i, 15 + 12 * i)) for i in range(5)] + [(5, " ".join(draw.choice(common) for _ in range(24)))]
+    copied, passage, single = items[0][1], items[1][1], items[2][1]
+    copy = page(50, 90) + " " + copied + " " + items[5][1] + " " + page(51, 120)
+    docs = [(i, copy) for i in range(150)]
+    docs += [(1000 + i, page(1000 + i, 200 + i % 60) + (" " + passage if i % 5 == 0 else "") + " " + page(2000 + i, 100)) for i in range(300)]
+    docs += [(5000, page(60, 130) + " " + copied + " " + page(61, 60)), (5001, page(62, 99) + " " + items[5][1] + " " + page(63, 60)), (5002, page(64, 77) + " " + single + " " + page(65, 60))]
+    found = dc.leaks(spark.createDataFrame(docs, HIT), spark.createDataFrame(items, "item_id long, text string"), Scratch(spark, "t"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    want = {(d, i) for d, text in docs for i, item in items if f" {item} " in f" {text} "}
+    assert len(want) == 300 + 60 + 3 and want <= got
+    assert {(d, i) for d, i in got if i != 5} == {(d, i) for d, i in want if i != 5}
+
+
+def test_sums_of_frequent_and_other_words_agree():
+    draw = np.random.default_rng(3)
+    ids, stretch = draw.integers(-1, 40, 500).astype(np.int16), np.sort(draw.integers(0, 9, 500))
+    table = draw.standard_normal((40, 6)).astype(np.float32)
+    want = np.zeros((9, 6))
+    np.add.at(want, stretch[ids >= 0], table[ids[ids >= 0]])
+    for often in (np.zeros(0, int), np.arange(0, 40, 3), np.arange(40)):
+        adder = dc._Sums(40, often)
+        assert np.allclose(adder.of(table, *adder.split(ids, stretch, 9)), want, atol=1e-3)
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(dc, "BLOCK_ITEMS", 3)
     items = [(i, prose(40 + i, 25)) for i in range(8)]

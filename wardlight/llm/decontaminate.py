@@ -2,9 +2,11 @@
 
 Benchmark items are a stated query set, taken in blocks of bounded size. For a block, texts are
 encoded once as numbers of the block's vocabulary; no other word can take part in a match.
-Passages of ``2 * STEP`` words are weighted by TF-IDF (document frequencies over all passages;
-words in more than ``MOST`` of them weigh nothing). A randomised SVD of all passages, to which
-the items are added with the weight of the corpus, gives the latent space in one pass: tasks sum
+Passages of ``2 * STEP`` words are weighted by TF-IDF (document frequencies over all passages).
+Every word weighs something, and the rarer half of the words of an item's part at least as much
+as a word in ``MOST`` of the passages: a passage that many documents share makes its own words
+frequent, and it is to be found in each of them. A randomised SVD of all passages, to which
+the items are added, each with the weight of the corpus, gives the latent space in one pass: tasks sum
 A'A times a random matrix (vocabulary x rank, both bounded), of which the driver takes the
 leading singular vectors. Windows of ``2 * STEP`` words, every ``STEP``, are projected and
 compared with the items of the block, in even parts of at most as many words; those with a
@@ -36,6 +38,7 @@ STEP, LEAST, MOST = 32, 5, 0.01
 RANK, COSINE, SHARE, ANSWER = 256, 0.25, 0.6, 0.5
 BLOCK_ITEMS, BLOCK_WORDS, OVERSAMPLE = 256, 16_000, 16  # items count by their parts
 LONGEST = BLOCK_ITEMS * 2 * STEP
+OFTEN = 1024  # so many words in more than MOST of the passages are added up by matrix products, the others one by one
 _PIECE, _MEMO = 100_000, 200_000  # words that are worked on at once; tokens that are remembered
 _PAIR = "doc_id long, row string, item_id long, cosine double, lcs double, answer double, word long"
 
@@ -160,37 +163,77 @@ def _rows_of(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[starts], np.add.reduceat(values, starts, axis=0)
 
 
-def _gram(idf: np.ndarray, basis: np.ndarray) -> Callable:
+def weights(counts: np.ndarray, passages: float, parts: list[np.ndarray]) -> np.ndarray:
+    """Weight of each word by the number of passages that hold it; none is zero."""
+    idf = np.log1p((passages + 1) / (counts + 1))
+    least = np.log1p(1 / MOST)
+    for part in parts:
+        words = np.unique(part)
+        rarer = words[np.argsort(counts[words], kind="stable")[: -(-len(words) // 2)]]
+        idf[rarer] = np.maximum(idf[rarer], least)
+    return idf.astype(np.float32)
+
+
+def frequent(counts: np.ndarray, passages: float) -> np.ndarray:
+    most = np.argsort(-counts, kind="stable")[:OFTEN]
+    return most[counts[most] > MOST * passages]
+
+
+class _Sums:
+    """Sums of rows of a table over stretches of words; words in ``often`` are counted and go through one product."""
+
+    def __init__(self, size: int, often: np.ndarray):
+        self.often, self.slot = often, np.full(size, -1)
+        self.slot[often] = np.arange(len(often))
+
+    def split(self, ids: np.ndarray, stretch: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(counts of the frequent words by stretch, the other words, their stretches)."""
+        known = ids >= 0
+        ids, stretch = ids[known], stretch[known]
+        slot, width = self.slot[ids], len(self.often)
+        rare = slot < 0
+        counts = np.bincount(stretch[~rare] * width + slot[~rare], minlength=n * width) if width else np.zeros(0)
+        return counts.reshape(n, width).astype(np.float32), ids[rare], stretch[rare]
+
+    def of(self, table: np.ndarray, counts: np.ndarray, ids: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+        out = counts @ table[self.often]
+        if len(ids):
+            keys, sums = _rows_of(table[ids], stretch)
+            out[keys] += sums
+        return out
+
+
+def _gram(idf: np.ndarray, basis: np.ndarray, often: np.ndarray) -> Callable:
     """Adds A'A basis over all passages."""
     size, rank = basis.shape
+    weighted = idf[:, None] * basis
 
     def fill(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
-        out = total.reshape(size, rank)
+        out, adder = total.reshape(size, rank), _Sums(size, often)
         for batch in batches:
             for _, group in _pieces(batch, 0):
-                ids, stretch, _ = _flat(group, 2 * STEP)
-                heavy = (ids >= 0) & (idf[ids] > 0)
-                ids, stretch = ids[heavy], stretch[heavy]
-                if not len(ids):
-                    continue
-                weight = idf[ids][:, None]
-                keys, sums = _rows_of(weight * basis[ids], stretch)
-                order = np.argsort(ids, kind="stable")
-                back = sums[np.searchsorted(keys, stretch[order])] * weight[order]
-                terms, gained = _rows_of(back, ids[order])
-                out[terms] += gained
+                ids, stretch, firsts = _flat(group, 2 * STEP)
+                counts, ids, stretch = adder.split(ids, stretch, firsts[-1])
+                sums = adder.of(weighted, counts, ids, stretch)
+                out[often] += idf[often][:, None] * (counts.T @ sums)
+                if len(ids):
+                    order = np.argsort(ids, kind="stable")
+                    terms, gained = _rows_of(sums[stretch[order]], ids[order])
+                    out[terms] += idf[terms][:, None] * gained
 
     return fill
 
 
-def latent_space(encoded: DataFrame, idf: np.ndarray, items: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
+def latent_space(encoded: DataFrame, idf: np.ndarray, items: np.ndarray, rank: int, often: np.ndarray = np.zeros(0, int), seed: int = 7) -> np.ndarray:
     """Orthonormal basis (words x rank) of the leading right singular vectors of passages and weighted items."""
     size, rank = len(idf), min(rank, len(items) + OVERSAMPLE)
     sketch = np.random.default_rng(seed).standard_normal((size, min(size, rank + OVERSAMPLE))).astype(np.float32)
     width = sketch.shape[1]
-    seen = sum_arrays(encoded.select("ids"), _gram(idf, sketch), size * width).reshape(size, width)
+    seen = sum_arrays(encoded.select("ids"), _gram(idf, sketch, often), size * width).reshape(size, width)
+    # each item alike, and enough for its own direction to stand beside the corpus' first
+    items = items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
     own = items.T @ (items @ sketch)
-    weight = max(1.0, float(np.linalg.norm(seen)) / max(float(np.linalg.norm(own)), 1e-9))
+    weight = len(items) ** 0.5 * max(1.0, float(np.linalg.norm(seen)) / max(float(np.linalg.norm(own)), 1e-9))
     seen = seen + weight * own
     # one pass over the corpus: A'A = Y (S'Y)^+ Y' for Y = A'A S
     core = sketch.T.astype(np.float64) @ seen
@@ -220,7 +263,7 @@ def _masks(words: np.ndarray) -> dict[int, int]:
     return out
 
 
-def _search(names: list[int], items: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, cosine: float, share: float, answer: float) -> Callable:
+def _search(names: list[int], items: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, often: np.ndarray, cosine: float, share: float, answer: float) -> Callable:
     parts = [_even(i, 2 * STEP) for i in items]
     # by part: its item, the words of the item before it and those after it
     whole = [q for q, cut in enumerate(parts) for _ in cut]
@@ -228,47 +271,61 @@ def _search(names: list[int], items: list[np.ndarray], idf: np.ndarray, basis: n
     after = [sum(map(len, cut[k + 1 :])) for cut in parts for k in range(len(cut))]
     parts = [p for cut in parts for p in cut]
     latent = np.stack([(idf[p][:, None] * basis[p]).sum(0) for p in parts])
-    norms = np.array([np.sqrt((idf[p] ** 2).sum()) for p in parts])
-    queries = (latent / np.maximum(norms, 1e-9)[:, None]).astype(np.float32)
+    norms = np.array([np.sqrt(((idf[w] * n) ** 2).sum()) for w, n in (np.unique(p, return_counts=True) for p in parts)])
+    # what one occurrence of a word adds to the product of a window with each part
+    table = ((idf[:, None] * basis) @ (latent / norms[:, None]).T).astype(np.float32)
     tails = [i[-max(2, len(i) // 4) :] for i in items]
+    distinct = [set(i.tolist()) for i in items]
     masks, ends = [_masks(i) for i in items], [_masks(t) for t in tails]
-    rank = basis.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        adder = _Sums(len(idf), often)
         for batch in batches:
             found: list[tuple] = []
             for first, group in _pieces(batch, 2):
                 ids, block, firsts = _flat(group, STEP)
-                heavy = (ids >= 0) & (idf[ids] > 0)
-                ids, block = ids[heavy], block[heavy]
-                if not len(ids):
-                    continue
-                weight = idf[ids]
-                keys, sums = _rows_of(weight[:, None] * basis[ids], block)
-                dense, mass = np.zeros((firsts[-1] + 1, rank), np.float32), np.zeros(firsts[-1] + 1)
-                dense[keys] = sums
-                mass[:-1] = np.bincount(block, weight**2, minlength=firsts[-1])
+                counts, ids, block = adder.split(ids, block, firsts[-1])
+                added = adder.of(table, counts, ids, block)
                 owner = np.repeat(np.arange(len(group)), np.diff(firsts))
                 # a window is a block and the next one of the same text
                 alone = firsts[1:][np.diff(firsts) > 0] - 1
                 ahead = np.arange(1, firsts[-1] + 1)
                 ahead[alone] = firsts[-1]
-                norm = mass[:-1] + mass[ahead]
+                more = np.flatnonzero(ahead < firsts[-1])
+                mass = np.bincount(block, idf[ids] ** 2, minlength=firsts[-1]).astype(float)
+                norm = mass.copy()
+                norm[more] += mass[ahead[more]]
+                score = added.copy()
+                score[more] += added[ahead[more]]
+                pairs = counts.copy()
+                pairs[more] += counts[ahead[more]]
+                norm += pairs**2 @ idf[often] ** 2
                 live = np.flatnonzero(norm > 0)
-                score = ((dense[live] + dense[ahead[live]]) @ queries.T) / np.sqrt(norm[live])[:, None].astype(np.float32)
+                score = score[live] / np.sqrt(norm[live])[:, None].astype(np.float32)
                 best: dict[tuple[int, int], tuple] = {}
                 near_to, part = np.nonzero(score >= cosine)
+                order = np.argsort(-score[near_to, part], kind="stable")
+                near_to, part = near_to[order], part[order]
+                texts = owner[live[near_to]]
+                starts = (live[near_to] - firsts[texts]) * STEP
                 checked: set[tuple] = set()
-                for at in np.argsort(-score[near_to, part], kind="stable").tolist():
-                    w, p = near_to[at], part[at]
-                    q, text = whole[p], owner[live[w]]
-                    start = int(live[w] - firsts[text]) * STEP
+                held: dict[tuple, set] = {}
+                for w, p, text, start in zip(near_to.tolist(), part.tolist(), texts.tolist(), starts.tolist()):
+                    q = whole[p]
                     # parts of an item that put its first word at the same place share one look at the surroundings
-                    place = (text, q, (start - before[p]) // STEP)
-                    if place in checked:
+                    if before[p] or after[p]:
+                        place = (text, q, (start - before[p]) // STEP)
+                        if place in checked:
+                            continue
+                        checked.add(place)
+                    look = (text, max(0, start - 2 * before[p] - STEP), start + 3 * STEP + 2 * after[p])
+                    words = held.get(look)
+                    if words is None:
+                        words = held[look] = set(group[text][look[1] : look[2]].tolist())
+                    # a word that is not there is in no common subsequence
+                    if (len(items[q]) - len(distinct[q] - words)) / len(items[q]) < share:
                         continue
-                    checked.add(place)
-                    near = group[text][max(0, start - 2 * before[p] - STEP) : start + 3 * STEP + 2 * after[p]].tolist()
+                    near = group[text][look[1] : look[2]].tolist()
                     covered = common_subsequence(masks[q], len(items[q]), near) / len(items[q])
                     if covered < share:
                         continue
@@ -306,15 +363,13 @@ def leaks(
         encoded = scratch.write(rows.mapInArrow(_encode(vocabulary), "id long, row string, ids binary"), f"encoded{turn}")
         counts = sum_arrays(encoded.select("ids"), _frequencies(len(vocabulary)), len(vocabulary) + 1)
         passages = counts[-1]
-        idf = np.log((passages + 1) / (counts[:-1] + 1))
-        idf[counts[:-1] > max(MOST * passages, 20)] = 0
-        idf = idf.astype(np.float32)
         parts = [part for words in items for part in _even(words, 2 * STEP)]
+        idf, often = weights(counts[:-1], passages, parts), frequent(counts[:-1], passages)
         matrix = np.zeros((len(parts), len(vocabulary)), np.float32)
         for at, words in enumerate(parts):
             np.add.at(matrix[at], words, idf[words])
-        basis = latent_space(encoded, idf, matrix, rank)
-        hits = encoded.mapInArrow(_search(names, items, idf, basis, cosine, share, answer), _PAIR)
+        basis = latent_space(encoded, idf, matrix, rank, often)
+        hits = encoded.mapInArrow(_search(names, items, idf, basis, often, cosine, share, answer), _PAIR)
         hits = scratch.write(hits, f"hits{turn}")
         scratch.drop(f"encoded{turn}")
         found = hits if found is None else found.unionByName(hits)
