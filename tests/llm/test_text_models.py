@@ -43,6 +43,15 @@ def test_spaced_letters(channel):
     assert channel.words(None) == channel.words("") == channel.words(" 12 34 ") == set()
 
 
+@pytest.mark.parametrize(
+    "seen, word",
+    [("iidiot", "idiot"), ("mmoorroonn", "moron"), ("id-iot", "idiot"), ("i.di.ot", "idiot"), ("1d-10t", "idiot"), ("mo.r0n", "moron"), ("id iot", "idiot"), ("mor on", "moron"), ("i di ot", "idiot")],
+)
+def test_doubled_letters_and_inner_separators(channel, seen, word):
+    words = channel.words(f"the and {seen} of")
+    assert word in words and {"the", "and"} <= words
+
+
 def test_best_path_is_the_best_of_all_paths(channel):
     seen = "1d1o"
     paths = {}

@@ -3,8 +3,10 @@
 A character model (interpolated 4-grams, counts hashed into ``BUCKETS``) is trained on the plain
 words of all texts. A token that is not a plain word becomes a lattice: a sign or digit emits
 the letters it may stand for, a repeated letter may be dropped, a separator inside a run of
-single letters may be dropped or end a word. The best path under channel and model costs is
-the restored text. A token with one path only is its own result, so decoding costs little.
+word or between short fragments may be dropped or end a word. The best path under channel and
+model costs is the restored text. A token with one path only is its own result, and so is a
+frequent plain word of the corpus ("too" is no noisy "to"). What is rejoined or loses a doubled
+letter counts beside what stands there. Each distinct token is decoded once per task.
 
 Evidence is learned from labelled rows: for each restored word the smoothed share of toxic texts
 among those that hold it, then the same for heads of 4 to 6 letters of the words that are no
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -33,6 +36,9 @@ from pyspark.sql import functions as F
 from wardlight.llm.common import Scratch, fold, fresh, most_frequent, sum_arrays, table
 
 ORDER, BUCKETS = 4, 1 << 18
+#: Whole words are counted in buckets of their own; a word is known from so many occurrences on and that share of all.
+WORDS, LEAST_KNOWN, KNOWN = 1 << 19, 20, 1e-5
+SHORT = 4  # letters at most of the fragments that are tried together
 MAX_LABELLED, MAX_FEATURES, LEAST_TOXIC = 40_000, 200_000, 4
 PRIOR, LEAST_EVIDENCE, THRESHOLD = 3.0, 0.6, 0.7
 _MEMO, _HELD = 200_000, 80_000
@@ -45,7 +51,7 @@ SEPARATORS = " .-_*~'’/\\,:;"
 _SIGN, _KEEP, _DROP_REPEAT, _DROP_SEPARATOR, _BREAK, _WILD = -1.0, -4.0, -1.5, -0.5, -1.5, -3.0
 _EDGE = " .,;:!?\"'()[]{}<>«»„“”…|`´*%&$#@+-_=~/\\"
 _DECORATION = re.compile(r"([%*&$#@!~+=_-])\1{2,}")
-_REPEAT = re.compile(r"(.)\1\1")
+_REPEAT, _DOUBLED = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
 _CUT = re.compile(r"[ .\-_~'’/\\,:;=|\"()\[\]{}<>]+")
 
 
@@ -60,6 +66,11 @@ def _bucket(gram: str) -> int:
     return ((value * _MIX) & _MASK) >> 40 & (BUCKETS - 1)
 
 
+def _spot(word: str) -> int:
+    """Place of a whole word's count, behind those of the n-grams."""
+    return BUCKETS + (zlib.crc32(word.encode("utf-8", "surrogatepass")) & (WORDS - 1))
+
+
 def _add_grams(words: list[str], counts: list[int], total: np.ndarray) -> None:
     """Adds the n-grams of words, each with a space on either side, as often as the word occurs.
 
@@ -90,7 +101,8 @@ def _count_grams(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
         plain = [(token.strip(_EDGE), n) for token, n in tokens.items()]
         plain = [(word, n) for word, n in plain if word.isalpha()]
         if plain:
-            _add_grams([w for w, _ in plain], [n for _, n in plain], total)
+            _add_grams([w for w, _ in plain], [n for _, n in plain], total[:BUCKETS])
+            np.add.at(total, [_spot(w) for w, _ in plain], [n for _, n in plain])
         tokens.clear()
 
     for batch in batches:
@@ -108,6 +120,17 @@ class Channel:
 
     def __init__(self, counts: np.ndarray):
         self.counts, self.grams, self.tokens = counts, {}, {}
+        self.kinds, self.joined = {}, {}
+
+    def known(self, word: str) -> bool:
+        """Whether a plain word is frequent in the corpus."""
+        return self.counts[_spot(word)] >= max(LEAST_KNOWN, KNOWN * self.counts[0])
+
+    def plain(self, word: str) -> tuple[str, ...]:
+        """A word of letters, and what it is without doubled ones unless it is frequent as it stands."""
+        if not _DOUBLED.search(word) or self.known(word):
+            return (word,)
+        return (word, *self.decode(word).split())
 
     def log_p(self, context: str, letter: str) -> float:
         key = context + letter
@@ -170,13 +193,13 @@ class Channel:
     def _token(self, token: str) -> tuple[str, ...]:
         repeats = _REPEAT.search(token) is not None
         if token.isalpha() and not repeats:
-            return (token,)
+            return self.plain(token)
         plain = _DECORATION.sub(" ", token)
         out: list[str] = []
         for piece in plain.split():
             bare = piece.strip(_EDGE)
             if bare.isalpha() and not _REPEAT.search(bare):
-                out.append(bare)
+                out += self.plain(bare)
                 sign = piece.strip(" .,;:!?\"'()[]{}<>«»„“”…`´")
                 if sign != bare and len(sign) > 2:  # a sign at the edge may be a letter
                     out += self.decode(sign).split()
@@ -184,8 +207,11 @@ class Channel:
             parts = [p for p in _CUT.split(bare) if p]
             if len(parts) > 2 and all(len(p) == 1 for p in parts):
                 out += self.decode(bare).split()
-            elif len(parts) > 1 and all(p.isalpha() and not _REPEAT.search(p) for p in parts):
-                out += parts
+                continue
+            if len(parts) > 1 and any(c.isalpha() for c in bare):  # separators inside a word
+                out += self.decode(bare).split()
+            if len(parts) > 1 and all(p.isalpha() and not _REPEAT.search(p) for p in parts):
+                out += [w for p in parts for w in self.plain(p)]
             elif any(c.isalpha() or c in "@$!|" for c in bare):
                 for part in parts:
                     out += (self.decode(part).split() if any(c.isalpha() for c in part) else [])
@@ -204,6 +230,48 @@ class Channel:
             last = at
         if len(run) > 2:
             yield from self.decode(" ".join(run)).split()
+        yield from self.fragments(tokens)
+
+    def kind(self, token: str) -> int:
+        """0: too long or without letters, 1: a short frequent word or a single sign, 2: another short fragment."""
+        found = self.kinds.get(token)
+        if found is None:
+            bare = token.strip(_EDGE)
+            if len(token) == 1:
+                found = 1
+            elif len(bare) > SHORT or not any(c.isalpha() for c in bare):
+                found = 0
+            else:
+                found = 1 if bare.isalpha() and self.known(bare) else 2
+            if len(self.kinds) > _MEMO:
+                self.kinds.clear()
+            self.kinds[token] = found
+        return found
+
+    def fragments(self, tokens: list[str]) -> Iterator[str]:
+        """Restored words of neighbouring short fragments, with and without the short tokens before and after them."""
+        kinds = [len(t) <= SHORT + 4 and self.kind(t) for t in tokens]
+        last = 0
+        for at, kind in enumerate(kinds):
+            if kind != 2 or at < last:
+                continue
+            last = at + 1
+            while last < len(kinds) and kinds[last] == 2:
+                last += 1
+            firsts = (at, at - 1) if at and kinds[at - 1] else (at,)
+            lasts = (last, last + 1) if last < len(kinds) and kinds[last] else (last,)
+            for a in firsts:
+                for b in lasts:
+                    if b - a > 1:
+                        yield from self.rejoined(" ".join(t.strip(_EDGE) or t for t in tokens[a:b]))
+
+    def rejoined(self, seen: str) -> list[str]:
+        found = self.joined.get(seen)
+        if found is None:
+            if len(self.joined) > _MEMO:
+                self.joined.clear()
+            found = self.joined[seen] = self.decode(seen).split()
+        return found
 
     def words(self, text: str | None) -> set[str]:
         """Distinct restored words, runs of single letters included."""
@@ -273,7 +341,7 @@ def _shares(rows: DataFrame, scratch: Scratch, name: str, base: float, done: set
 
 
 def character_counts(docs: DataFrame, text: str) -> np.ndarray:
-    return sum_arrays(docs.select(F.col(text)), _count_grams, BUCKETS)
+    return sum_arrays(docs.select(F.col(text)), _count_grams, BUCKETS + WORDS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id: str, text: str, label_id: str, label: str, train: Column, max_labelled: int) -> tuple[np.ndarray, dict[str, float], float]:
