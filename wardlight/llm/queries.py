@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardlight.llm import decontaminate, exact_dedup, hmm_lm, mixing, mixture_langid, near_dedup, pii, token_rollup, toxicity, warc
+from wardlight.llm import decontaminate, exact_dedup, hmm_lm, merkle, mixing, mixture_langid, near_dedup, pii, token_rollup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity_channel": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_hmm_score": hmm_lm.query,
     "op9_sainte_lague_mix": mixing.query,
     "op10_patricia_exact_dedup": exact_dedup.query,
+    "op11_pointer_jumping_merkle": merkle.query,
 }
 
-ORACLES = {"op3_warc_boundary_chain": warc.ORACLE, "op10_patricia_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op3_warc_boundary_chain": warc.ORACLE, "op10_patricia_exact_dedup": exact_dedup.ORACLE, "op11_pointer_jumping_merkle": merkle.ORACLE}
