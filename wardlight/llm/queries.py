@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardlight.llm import decontaminate, exact_dedup, hmm_lm, merkle, mixing, mixture_langid, near_dedup, pii, ranked_search, token_rollup, toxicity, warc
+from wardlight.llm import decontaminate, exact_dedup, hmm_lm, merkle, mixing, mixture_langid, near_dedup, pii, ranked_search, set_join, token_rollup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity_channel": toxicity.query,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_sainte_lague_mix": mixing.query,
     "op10_patricia_exact_dedup": exact_dedup.query,
     "op11_pointer_jumping_merkle": merkle.query,
+    "op12_universe_set_join": set_join.query,
     "op13_nra_search": ranked_search.query,
 }
 
-ORACLES = {"op3_warc_boundary_chain": warc.ORACLE, "op10_patricia_exact_dedup": exact_dedup.ORACLE, "op11_pointer_jumping_merkle": merkle.ORACLE, "op13_nra_search": ranked_search.ORACLE}
+ORACLES = {"op3_warc_boundary_chain": warc.ORACLE, "op10_patricia_exact_dedup": exact_dedup.ORACLE, "op11_pointer_jumping_merkle": merkle.ORACLE, "op12_universe_set_join": set_join.ORACLE, "op13_nra_search": ranked_search.ORACLE}
