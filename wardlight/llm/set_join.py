@@ -11,12 +11,14 @@ difference and so pays for both. Any allocation finds all links; the sample only
 
 Sets that share an entry are candidates, but a group of near copies shares one with everybody, so
 pairs are not listed. In each entry the set that meets most others is the centre; all are verified
-against it, which gives components. Where an entry still holds several components, each of its sets is
-described by its difference from the centre, whose symmetric differences are those of the sets: two
+against it, then the rest against the next, ``CENTRES`` times, which gives components. Where those left
+in an entry are still in several components, each is described by its difference from the first centre, whose symmetric differences are those of the sets: two
 sets of different components that link must share labels of their differences, among the first ones in
 an order common to all (inserted before missing ones), as prefix filtering has it. A set needs at
 most H + 1 of them, whatever its length. What meets there is verified, and components are built again.
-Every link is verified on the whole sets, or both its ends are in one component already.
+Before whole sets are moved for verification, pairs are ruled out by histograms of their hashes, whose
+differences bound those of the sets from below. Every link is verified on the whole sets, or both its ends
+are in one component already.
 
 Rows that hash alike more than ``HOT`` times in one batch are passed on without being dealt out by key, so an entry
 that holds a third of all rows sends few to one task.
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 from wardlight.llm.common import Scratch, table
 from wardlight.llm.near_dedup import connected
 
-WIDTH, SHARE, SAMPLE, HOT = 4, 85, 2000, 16
+WIDTH, SHARE, SAMPLE, HOT, CENTRES = 4, 85, 2000, 16, 3
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ONE, _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ROW_COST = 0.1  # an entry more, in candidate pairs
@@ -235,53 +237,90 @@ def _features(width: int, share: int, plan: dict) -> Callable:
 
 
 def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(num, entries) -> entry, num, hot: one row per entry."""
+    """(num, entries) -> entry, hot, num: one row per entry."""
     for batch in batches:
         values = batch.column(1).flatten().to_numpy()
         nums = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
         _, place, count = np.unique(values, return_inverse=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(nums), pa.array(count[place] > HOT)], names=["entry", "num", "hot"])
+        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(count[place] > HOT), pa.array(nums)], names=["entry", "hot", "num"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by entry -> those that are not alone with theirs, and all hot ones."""
-    held = None  # the last row, of which it is not known yet whether another follows
-
-    def rows(entry: np.ndarray, num: np.ndarray, use: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(entry[use]), pa.array(num[use])], names=["entry", "num"])
-
+    """Rows sorted by entry -> those that are not alone with theirs, and all hot ones; ``hot`` is the second column."""
+    held, kept = None, False  # the last row, of which it is not known yet whether another follows
     for batch in batches:
         if not batch.num_rows:
             continue
-        entry, num = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        hot = batch.column(2).to_numpy(zero_copy_only=False)
-        if held:
-            entry, num, hot = np.concatenate([held[0], entry]), np.concatenate([held[1], num]), np.concatenate([held[2], hot])
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        entry, use = rows.column(0).to_numpy(), rows.column(1).to_numpy(zero_copy_only=False).copy()
         same = entry[1:] == entry[:-1]
-        use = hot.copy()
+        use[0] |= kept
         use[1:] |= same
         use[:-1] |= same
-        held = (entry[-1:], num[-1:], use[-1:])
-        yield rows(entry[:-1], num[:-1], use[:-1])
-    if held:
-        yield rows(*held)
+        held, kept = rows.slice(rows.num_rows - 1), bool(use[-1])
+        yield rows.slice(0, rows.num_rows - 1).filter(pa.array(use[:-1]))
+    if kept:
+        yield held
+
+
+def histogram(shingles: np.ndarray) -> np.ndarray:
+    """Shingles by hash range, a power of two of them, counts of at most 255; the sum of differences bounds how sets differ from below."""
+    bits = max(3, (len(shingles) // 2).bit_length() - 1)
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def least_difference(one: np.ndarray, two: np.ndarray) -> int:
+    """A lower bound of the elements by which two sets differ, from their histograms."""
+    if len(one) > len(two):
+        one, two = two, one
+    fine = two.astype(np.int64).reshape(len(one), -1).sum(1)
+    wide = np.minimum(fine, 255) if len(one) != len(two) else fine  # the coarser one is cut at 255
+    return int(np.abs(one.astype(np.int64) - wide).sum())
+
+
+def _sets(width: int) -> Callable:
+    """(node, text) -> node, n, histogram, sorted hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        for batch in batches:
+            found = [shingles.of(text.as_py()) for text in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([histogram(f).tobytes() for f in found], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "n", "bins", "items"]
+            )
+
+    return run
 
 
-def _linked(width: int, share: int) -> Callable:
-    """(a, b, ta, tb) -> the pairs that link; the set of the last ``a`` is kept."""
+def _near(share: int) -> Callable:
+    """(a, b, n_a, bins_a, n_b, bins_b) -> the pairs that their histograms do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, last, left = Shingles(width), None, None
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            use = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                if last != a[i]:
-                    last, left = a[i], shingles.of(batch.column(2)[i].as_py())
-                right = shingles.of(batch.column(3)[i].as_py())
+            n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            one, two = batch.column(3), batch.column(5)
+            use = np.array([least_difference(np.frombuffer(one[i].as_buffer(), np.uint8), np.frombuffer(two[i].as_buffer(), np.uint8)) <= may_differ(int(n[i]), int(m[i]), share) for i in range(len(n))], bool)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(k).to_numpy()[use]) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _items(value) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
+def _linked(share: int) -> Callable:
+    """(a, b, items_a, items_b) -> the pairs that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            use = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                left, right = _items(batch.column(2)[i]), _items(batch.column(3)[i])
                 common = len(np.intersect1d(left, right, assume_unique=True))
                 use[i] = 100 * common >= share * (len(left) + len(right) - common)
-            yield pa.RecordBatch.from_arrays([pa.array(a[use]), pa.array(b[use])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(k).to_numpy()[use]) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -298,34 +337,32 @@ def difference_prefix(centre: np.ndarray, own: np.ndarray, share: int) -> tuple[
     return labels[: max(0, size - needed + 1)], size
 
 
-def _differences(width: int, share: int) -> Callable:
-    """(centre, node, comp, tc, tx) -> centre, label, node, comp, n, size, place."""
+def _differences(share: int) -> Callable:
+    """(member, centre, items of the centre, items) -> entry (of centre and label), hot, member, size, place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, last, middle = Shingles(width), None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                centre = batch.column(0)[i].as_py()
-                if last != centre:
-                    last, middle = centre, shingles.of(batch.column(3)[i].as_py())
-                own = shingles.of(batch.column(4)[i].as_py())
-                labels, size = difference_prefix(middle, own, share)
-                count = len(labels)
-                same = lambda value, count=count: pa.array(np.full(count, value, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [same(centre), pa.array(labels.view(np.int64)), same(batch.column(1)[i].as_py()), same(batch.column(2)[i].as_py()), same(len(own)), same(size), pa.array(np.arange(1, count + 1))],
-                    names=["centre", "label", "node", "comp", "n", "size", "place"],
-                )
+            if not batch.num_rows:
+                continue
+            parts = [difference_prefix(_items(batch.column(2)[i]), _items(batch.column(3)[i]), share) for i in range(batch.num_rows)]
+            counts = np.array([len(labels) for labels, _ in parts], np.int64)
+            each = lambda values: np.repeat(np.asarray(values, np.int64), counts)
+            centres = each(batch.column(1).to_numpy()).view(np.uint64)
+            entry = _mix(np.concatenate([labels for labels, _ in parts]) ^ _mix(centres * _ONE + _TWO))
+            places = np.arange(counts.sum()) - each(np.cumsum(counts) - counts) + 1
+            columns = [entry.view(np.int64), np.zeros(len(entry), bool), each(batch.column(0).to_numpy()), each([size for _, size in parts]).astype(np.int32), places.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["entry", "hot", "member", "size", "place"])
 
     return run
 
 
 def _across(rows: DataFrame, share: int) -> DataFrame:
     """Pairs (a, b) of different components whose differences from a common centre share what a link needs."""
-    other = rows.toDF("centre", "label", "b", "comp_b", "n_b", "size_b", "place_b")
+    names = ["node", "comp", "n", "size", "place"]
+    other = rows.select("entry", *[F.col(c).alias(f"{c}_b") for c in names])
     common = f"((size + size_b - ((n + n_b) * {100 - share}) div {100 + share} + 1) div 2)"
-    met = F.expr(f"node < b and comp != comp_b and 100 * least(n, n_b) >= {share} * greatest(n, n_b) and place <= size - {common} + 1 and place_b <= size_b - {common} + 1")
-    return rows.join(other, ["centre", "label"]).filter(met).select(F.col("node").alias("a"), "b").distinct()
+    met = F.expr(f"node < node_b and comp != comp_b and 100 * least(n, n_b) >= {share} * greatest(n, n_b) and place <= size - {common} + 1 and place_b <= size_b - {common} + 1")
+    return rows.join(other, "entry").filter(met).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _row(id: str, text: str) -> Column:
@@ -340,9 +377,9 @@ def components(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str
     features = scratch.write(made.withColumn("num", F.monotonically_increasing_id()), "features")
     first = features.filter("n > 0").groupBy("node").agg(F.min("num").alias("rep"))
     owners = scratch.write(features.select("num", "id", "row", "node", "n").join(first, "node", "left").select("num", "id", "row", "n", F.coalesce("rep", "num").alias("rep")), "owners")
-    filed = features.select("num", "entries").mapInArrow(_filed, "entry long, num long, hot boolean")
+    filed = features.select("num", "entries").mapInArrow(_filed, "entry long, hot boolean, num long")
     dealt = filed.repartition(F.when(F.col("hot"), F.col("num")).otherwise(F.col("entry"))).sortWithinPartitions("entry")
-    shared = scratch.write(dealt.mapInArrow(_shared, "entry long, num long"), "shared")
+    shared = scratch.write(dealt.mapInArrow(_shared, "entry long, hot boolean, num long").drop("hot"), "shared")
     scratch.drop("features")
     met = shared.join(owners.select("num", "rep", "n"), "num").select("entry", F.col("rep").alias("node"), "n").distinct()
     met = scratch.write(met, "met")
@@ -350,31 +387,47 @@ def components(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str
     sizes = met.groupBy("entry").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     known = scratch.write(met.join(sizes, "entry"), "known")
     weight = known.groupBy("node").agg(F.sum("c").alias("weight"))
-    centres = known.join(weight, "node").groupBy("entry").agg(F.max(F.struct("weight", "node", "n")).alias("top"))
-    placed = known.join(centres, "entry").select("entry", "node", "n", "c", F.col("top.node").alias("centre"), F.col("top.n").alias("n_c")).filter("node != centre")
-    placed = scratch.write(placed, "placed")
-    nodes = placed.select("node").union(placed.select("centre")).distinct()
+    left, pairs = known.filter("c > 1").join(weight, "node"), None
+    for turn in range(CENTRES):  # whoever meets a centre leaves the entry to the next one without it
+        top = left.groupBy("entry").agg(F.max(F.struct("weight", "node", "n")).alias("top"))
+        met = left.join(top, "entry").filter("node != top.node")
+        if turn == 0:
+            met = met.withColumn("centre", F.col("top.node"))
+        met = scratch.write(met, f"round-{turn}")
+        fits = f"100 * least(n, top.n) >= {share} * greatest(n, top.n)"
+        star = met.filter(fits).select(F.col("top.node").alias("a"), F.col("node").alias("b"))
+        pairs = star if pairs is None else pairs.unionByName(star)
+        left = met.drop("top")
+    star = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+    left = left.filter(f"c > {CENTRES + 1}")
+    nodes = star.select("a").union(star.select("b")).union(left.select("node")).union(left.select("centre")).toDF("node").distinct()
     wanted = owners.join(nodes, owners["num"] == nodes["node"], "left_semi").select("row", F.col("num").alias("node"))
     texts = rows.join(wanted, "row").dropDuplicates(["node"]).select("node", "text")
-    texts = scratch.write(texts, "texts")
+    sets = scratch.write(texts.mapInArrow(_sets(width), "node long, n long, bins binary, items binary"), "sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-        return scratch.write(both.mapInArrow(_linked(width, share), "a long, b long"), name)
+        bins = sets.select("node", "n", "bins")
+        both = pairs.join(bins.toDF("b", "n_b", "bins_b"), "b").join(bins.toDF("a", "n_a", "bins_a"), "a")
+        near = scratch.write(both.select("a", "b", "n_a", "bins_a", "n_b", "bins_b").mapInArrow(_near(share), "a long, b long"), f"near-{name}")
+        items = sets.select("node", "items")
+        whole = near.join(items.toDF("b", "items_b"), "b").join(items.toDF("a", "items_a"), "a").select("a", "b", "items_a", "items_b")
+        return scratch.write(whole.mapInArrow(_linked(share), "a long, b long"), name)
 
-    fits = f"100 * least(n, n_c) >= {share} * greatest(n, n_c)"
-    star = scratch.write(placed.filter(fits).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "star")
     links = verified(star, "links-star")
     parts = connected(links, scratch, "parts")
-    open_ = placed.filter("c > 2").join(parts, "node", "left").select("entry", "node", "centre", F.coalesce("comp", "node").alias("comp"))
+    open_ = left.join(parts, "node", "left").select("entry", "node", "n", "centre", F.coalesce("comp", "node").alias("comp"))
     mixed = open_.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("entry")
-    members = scratch.write(open_.join(mixed, "entry", "left_semi").select("centre", "node", "comp").distinct(), "members")
-    described = members.join(texts.toDF("node", "tx"), "node").join(texts.toDF("centre", "tc"), "centre").select("centre", "node", "comp", "tc", "tx")
-    described = scratch.write(described.mapInArrow(_differences(width, share), "centre long, label long, node long, comp long, n long, size long, place long"), "differences")
+    members = open_.join(mixed, "entry", "left_semi").select("centre", "node", "n", "comp").distinct()
+    members = scratch.write(members.withColumn("member", F.monotonically_increasing_id()), "members")
+    items = sets.select("node", "items")
+    described = members.join(items.toDF("node", "own"), "node").join(items.toDF("centre", "middle"), "centre").select("member", "centre", "middle", "own")
+    described = described.mapInArrow(_differences(share), "entry long, hot boolean, member long, size int, place int")
+    described = described.repartition("entry").sortWithinPartitions("entry").mapInArrow(_shared, "entry long, hot boolean, member long, size int, place int").drop("hot")
+    described = scratch.write(scratch.write(described, "differences").join(members, "member"), "described")
     more = verified(scratch.write(_across(described, share).join(star, ["a", "b"], "left_anti"), "rest"), "links-rest")
     found = connected(links.unionByName(more), scratch, "all")
     named = scratch.write(owners.join(found, owners["rep"] == found["node"], "left").select("id", "num", "n", F.coalesce("comp", "rep").alias("comp")), "named")
-    for spent in ("owners", "met", "known", "placed", "texts", "differences"):  # the result reads ``named`` alone
+    for spent in ("owners", "met", "known", "sets", "differences", "described", *[f"round-{turn}" for turn in range(CENTRES)]):  # the result reads ``named`` alone
         scratch.drop(spent)
     smallest = named.groupBy("comp").agg(F.min("id").alias("smallest"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("comp", "smallest")
     return named.join(smallest, "comp", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "id").alias("component_id"))
