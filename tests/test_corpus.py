@@ -83,12 +83,8 @@ def test_lines_equal_splitlines(spark):
 def test_spread_leaves_large_inputs_alone(spark):
     small = spark.range(10).select("id")
     assert corpus.spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
-    try:
-        wide = spark.range(0, 10_000, 1, 3)
-        assert corpus.spread(wide).rdd.getNumPartitions() == 3
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
+    wide = spark.range(0, 10_000, 1, 2 * spark.sparkContext.defaultParallelism)
+    assert corpus.spread(wide).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
 
 
 def test_risk_needs_coverage(spark):

@@ -128,8 +128,9 @@ def test_breakpoints_and_provenance(spark):
 def test_policies(spark):
     paths = pt.analyze(edges_of(spark, lineage()))
     rows = {r.policy_id: (r.violated, r.reason) for r in po.evaluate(paths.select("path_id", "attack_type")).collect()}
-    assert rows["DATA-EXFILTRATION-001"] == (True, "Proven sensitive-data exfiltration reaches an external endpoint.")
-    assert rows["SECRET-EXFILTRATION-001"] == (False, "Secrets must not flow to external endpoints.")
+    said = {policy: (description, why) for policy, _, description, why in vocab.POLICIES}
+    assert rows["DATA-EXFILTRATION-001"] == (True, said["DATA-EXFILTRATION-001"][1])
+    assert rows["SECRET-EXFILTRATION-001"] == (False, said["SECRET-EXFILTRATION-001"][0])
     with pytest.raises(ValueError):
         po.evaluate(paths, ["MY-POLICY"])
     with pytest.raises(Exception, match="no path_id"):

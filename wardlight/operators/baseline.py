@@ -13,23 +13,23 @@ from wardlight import vocab
 KEY = ["rule_id", "file", "line", "evidence", "severity"]
 # fixed values
 TOKEN = r"[^\s,;()\[\]{}\"'<>]+"
-ABSOLUTE = r"(?<![\w:/.~+-])/(?:[A-Za-z0-9._~+-]+/)*([A-Za-z0-9._~+-]+)"
-UP_PREFIX = r"(?:^|(?<=[\s\"'=(,:;]))(?:\.\./)+"
+ABSOLUTE = r"(?<![\w:/.~+-])/(?:[A-Za-z0-9._~+-]++/(?=[A-Za-z0-9._~+-]))*+([A-Za-z0-9._~+-]++)"
+UP_PREFIX = r"(?:^|(?<=[\s\"'=(,:;]))(?:\.\./)++"
 UP_TOKEN = r"(?<![\w.])\.\.(?![\w.])"
 
 
 def normal_path(path: Column, cwd: str = "/") -> Column:
     """Absolute path without empty, ``.`` and ``..`` segments."""
     full = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(cwd.rstrip("/") + "/"), path))
+    plain = F.regexp_replace(F.regexp_replace(full, r"/(?:\.?/)++", "/"), r"/\.?$", "")
+    plain = F.when(plain == "", F.lit("/")).otherwise(plain)
     empty = F.array().cast("array<string>")
     kept = F.aggregate(
-        F.split(full, "/"),
+        F.split(F.substring(plain, F.lit(2), F.length(plain)), "/"),
         empty,
-        lambda acc, part: F.when(part.isin("", "."), acc)
-        .when(part == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.array_append(acc, part)),
+        lambda acc, part: F.when(part == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, part)),
     )
-    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(plain.rlike(r"/\.\.(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(plain)
 
 
 def relative_location(file: Column, root: str, cwd: str = "/") -> Column:

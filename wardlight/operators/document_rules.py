@@ -23,12 +23,11 @@ from wardlight.sources.corpus import explode_lines
 NEWLINE = "\n"
 STRETCH = 256  # lines of a file that stay together where its claims meet their facts
 _ASSIGN = (
-    r"(?m)^[ \t]*((?:[A-Za-z_]\w*\.)*[A-Za-z_]\w*)[ \t]*(?::[^=\n]+)?=[ \t]*" + rc.SESSION_CTOR + r"[ \t]*\("
+    r"(?m)^[ \t]*((?:[A-Za-z_]\w*+\.)*+[A-Za-z_]\w*+)[ \t]*(?::[^=\n]+)?=[ \t]*" + rc.SESSION_CTOR + r"[ \t]*\("
 )
 _WITH_AS = (
     r"(?s)\bwith\b[^\n:]*?" + rc.SESSION_CTOR + r"[ \t]*\((?:[^()]++|\([^()]*+\))*+\)[ \t]*as[ \t]+([A-Za-z_]\w*)"
 )
-_CALL = r"\b(?:[A-Za-z_]\w*\.)+" + rc.SESSION_VERBS + r"[ \t]*\("
 
 
 def session_names(text: Column) -> Column:
@@ -42,13 +41,15 @@ def session_bindings(docs: DataFrame) -> DataFrame:
     return docs.where(might).select(*kept, F.explode(session_names(F.col("text"))).alias("name"))
 
 
-def _receivers(call: Column) -> Column:
-    """``a.b.c.get(`` may be sent by ``c``, ``b.c`` or ``a.b.c``."""
-    parts = F.split(F.regexp_replace(call, r"\.\w+[ \t]*\($", ""), r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."),
-    )
+def session_calls(text: Column) -> Column:
+    """Live calls of a request verb on a dotted name. A chain is one token, however long, so a line is read once."""
+    return F.filter(live_matches(text, rc.DOTTED_NAME), lambda t: tx.has(t, rc.SESSION_CALL + "$"))
+
+
+def _senders(call: Column, names: Column) -> Column:
+    """``a.b.c.get(`` may be sent by ``c``, ``b.c`` or ``a.b.c``: the names of a document among them."""
+    chain = F.regexp_replace(call, r"\.\w+[ \t]*\($", "")
+    return F.filter(names, lambda n: (chain == n) | chain.endswith(F.concat(F.lit("."), n)))
 
 
 def session_requests(docs: DataFrame) -> DataFrame:
@@ -56,10 +57,10 @@ def session_requests(docs: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c != "text"]
     might = F.col("text").contains("requests.Session") | F.col("text").contains("httpx.Client")
     bound = docs.where(might).withColumn("_names", session_names(F.col("text"))).where(F.size("_names") > 0)
-    lines = explode_lines(bound, NEWLINE).where(tx.has(F.col("text"), _CALL))
-    calls = lines.select(*kept, "_names", "line", "text", F.explode(live_matches(F.col("text"), _CALL)).alias("call"))
+    lines = explode_lines(bound, NEWLINE).where(tx.has(F.col("text"), rc.SESSION_CALL))
+    calls = lines.select(*kept, "_names", "line", "text", F.explode(session_calls(F.col("text"))).alias("call"))
     hits = (
-        calls.select(*kept, "line", "text", F.explode(F.array_intersect(_receivers(F.col("call")), F.col("_names"))).alias("name"))
+        calls.select(*kept, "line", "text", F.explode(_senders(F.col("call"), F.col("_names"))).alias("name"))
         .where((F.size(live_matches(F.col("text"), rc.HTTP_CLIENT)) == 0) & ~calls_http_object(F.col("text")))
     )
     return hits.select(*kept, "line", F.lit("session_request").alias("rule"), tx.strip(F.col("text")).alias("matched_text"))
@@ -155,7 +156,7 @@ def collapse_http_claims(findings: DataFrame, file: Sequence[str]) -> DataFrame:
     rows = (
         findings.where(claim)
         .withColumn("_part", F.floor(F.coalesce("line", F.lit(0)) / STRETCH))
-        .withColumn("_calls", (F.size(live_matches(_no_imports(text), rc.HTTP_CALL)) > 0) | (F.size(live_matches(text, rc.SESSION_REQUEST)) > 0))
+        .withColumn("_calls", (F.size(live_matches(_no_imports(text), rc.HTTP_CALL)) > 0) | (F.size(session_calls(text)) > 0))
         .withColumn("_declares", tx.has(text, rc.HTTP_DECLARATION) & ~F.col("_calls"))
         .withColumn("_builds", F.size(live_matches(text, rc.CLIENT_CONSTRUCTION)) > 0)
     )

@@ -132,6 +132,7 @@ def chain_rows_remote(spark: SparkSession, folder: str) -> DataFrame:
 
 # ------------------------------------------------------------------ SQL twins
 ASSIGN = r"(?m)^[ \t]*((?:[A-Za-z_]\w*\.)*[A-Za-z_]\w*)[ \t]*(?::[^=\n]+)?=[ \t]*" + rc.SESSION_CTOR + r"[ \t]*\("
+REQUEST_CALL = r"\b(?:[A-Za-z_]\w*\.)+" + rc.SESSION_VERBS + r"[ \t]*\("
 WITH_AS = r"(?s)\bwith\b[^\n:]*?" + rc.SESSION_CTOR + r"[ \t]*\((?:[^()]|\([^()]*\))*\)[ \t]*as[ \t]+([A-Za-z_]\w*)"
 BOUND = f"bound AS (SELECT DISTINCT doc_id, unnest(list_concat({every('text', ASSIGN, 1)}, {every('text', WITH_AS, 1)})) AS name FROM docs)"
 ANY_CLIENT = (
@@ -139,7 +140,7 @@ ANY_CLIENT = (
     f"OR {m('t', rf'^(?:requests|httpx|aiohttp)(?:\.\w+)*\.(?:{rc.HTTP_VALUE_CLASSES})\b[\w.]*\s*\($')}))) > 0"
 )
 REQUESTS = (
-    f"{BOUND}, called AS (SELECT doc_id, line, text, unnest({live(dr._CALL)}) AS call FROM lines WHERE {m('text', dr._CALL)}), "
+    f"{BOUND}, called AS (SELECT doc_id, line, text, unnest({live(REQUEST_CALL)}) AS call FROM lines WHERE {m('text', REQUEST_CALL)}), "
     "req AS (SELECT c.doc_id, c.line, trim(c.text) AS matched_text, c.text FROM called c JOIN bound b ON b.doc_id = c.doc_id "
     "AND (regexp_replace(call, '\\.\\w+[ \\t]*\\($', '') = b.name OR ends_with(regexp_replace(call, '\\.\\w+[ \\t]*\\($', ''), '.' || b.name)) "
     f"WHERE NOT ({ANY_CLIENT}) AND NOT ({LIVE_OBJECT}))"
@@ -201,7 +202,7 @@ MASK = (
 COLLAPSE = f"""{HTTP}, cut1 AS (SELECT *, regexp_extract(matched_text, {q(rc.IMPORT_STATEMENT)}) AS head FROM f),
 cut2 AS (SELECT *, regexp_replace(head, '[^"]', ' ', 'g') || substr(matched_text, length(head) + 1) AS rest FROM cut1),
 cut3 AS (SELECT *, {MASK.format(t='rest')} AS noimp, {MASK.format(t='matched_text')} AS masked FROM cut2),
-flag AS (SELECT doc_id, line, rule, matched_text, {CALLS} OR len({live(rc.SESSION_REQUEST, masked='masked')}) > 0 AS calls,
+flag AS (SELECT doc_id, line, rule, matched_text, {CALLS} OR len({live(REQUEST_CALL, masked='masked')}) > 0 AS calls,
   {m('matched_text', rc.HTTP_DECLARATION)} AS decl, len({live(rc.CLIENT_CONSTRUCTION, masked='masked')}) > 0 AS builds FROM cut3),
 facts AS (SELECT doc_id, bool_or(NOT builds AND NOT (decl AND NOT calls)) AS requesting, bool_or(calls) AS calling, min(line) FILTER (decl AND NOT calls) AS fd, min(line) FILTER (builds) AS fb FROM flag GROUP BY doc_id)
 SELECT doc_id, line, rule, matched_text FROM flag JOIN facts USING (doc_id) WHERE NOT ((decl AND NOT calls AND (calling OR line <> fd)) OR (builds AND (requesting OR line <> fb)))"""
