@@ -14,6 +14,7 @@ from wardlight import vocab
 from wardlight.functions import text as tx
 from wardlight.operators.graph import kind_of
 from wardlight.operators.paths import asset_index, is_contiguous, path_edges, path_id
+from wardlight.operators.targets import by_target
 
 SHAPE = ["kind", "subject", "detail"]
 
@@ -41,11 +42,13 @@ def contiguity(paths: DataFrame) -> DataFrame:
     return _rows(paths.where(broken), "non_contiguous_walk", "the edges are no walk over the nodes")
 
 
+@by_target()
 def phantom_nodes(paths: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     named = paths.select(*keys, "path_id", F.explode("nodes").alias("id"))
     return _rows(named.join(nodes.select(*keys, "id").distinct(), [*keys, "id"], "left_anti"), "phantom_node", F.concat(F.lit("node "), "id", F.lit(" is not in the graph")))
 
 
+@by_target()
 def phantom_edges(paths: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     real = edges.select(*keys, "source", "target", "type").distinct()
     unknown = path_edges(paths, keys).join(real, [*keys, "source", "target", "type"], "left_anti")
@@ -74,6 +77,7 @@ def severity_without_evidence(paths: DataFrame) -> DataFrame:
     return _rows(paths.where(bare), "severity_without_evidence", F.concat(F.lit("risk_severity "), "risk_severity", F.lit(" without evidence")))
 
 
+@by_target()
 def policy_results(paths: DataFrame, results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """No id, orphan, duplicate, violation without proof or without reason."""
     subject = F.concat("policy_id", F.lit("@"), _subject())
@@ -98,6 +102,7 @@ def policy_results(paths: DataFrame, results: DataFrame, keys: Sequence[str] = (
     return result
 
 
+@by_target()
 def all_checks(paths: DataFrame, results: DataFrame, edges: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Every violation; a sound run yields no row."""
     parts = [

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wardlight import vocab
 from wardlight.operators.graph import kind_of
 from wardlight.operators.paths import path_edges
+from wardlight.operators.targets import by_target
 
 OWNER = ["component_id", "component_type"]
 EDGE = ["component", "source", "target", "edge_type"]
@@ -26,6 +27,7 @@ def behaviour() -> Column:
     return F.struct("source", "edge_type", "target")
 
 
+@by_target()
 def context_violations(context: DataFrame, nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Associations that name no real component or edge: (keys, kind, subject)."""
     said = F.concat_ws(" ", "component_id", "component_type", "source", "edge_type", "target").alias("subject")
@@ -44,6 +46,7 @@ def context_violations(context: DataFrame, nodes: DataFrame, edges: DataFrame, k
     return bad_type.unionByName(bad_edge_type).unionByName(absent).unionByName(mismatch).unionByName(no_edge).distinct()
 
 
+@by_target()
 def valid_context(context: DataFrame, nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Associations that hold, each once per (edge, component, source)."""
     known = nodes.select(*keys, F.col("id").alias("component_id"), F.col("type").alias("component_type")).distinct()
@@ -61,6 +64,7 @@ def security_scope(context: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return context.select(*keys, *OWNER, "source", "edge_type", "target").distinct()
 
 
+@by_target()
 def participation(paths: DataFrame, context: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Behaviours of components that lie on a path, walked or associated: one row each.
 
@@ -90,6 +94,7 @@ def _label(edge_type: Column, target: Column) -> Column:
     )
 
 
+@by_target()
 def risk_evidence(paths: DataFrame, context: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per path and component: relevant behaviours, the facts they back, and the risk of the path."""
     rows = participation(paths, context, keys).withColumn("label", _label(F.col("edge_type"), F.col("target"))).where("label IS NOT NULL")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wardlight import vocab
 from wardlight.operators.bands import TILE, near, tile_of, touching
+from wardlight.operators.targets import by_target
 from wardlight.session import cut
 
 STRONG = ["CRITICAL", "HIGH"]
@@ -56,6 +57,7 @@ def _feasible(pairs: DataFrame, networks: DataFrame, keys: Sequence[str], span:
     return touching(ranges, points, keys, span)
 
 
+@by_target()
 def secret_exfiltration(findings: DataFrame, keys: Sequence[str], order: Sequence[str], span: int = vocab.LINE_SPAN) -> DataFrame:
     """The first local triple (injection, secret, network) of every file.
 
@@ -130,6 +132,7 @@ def _loose_triples(placed: DataFrame, loose: DataFrame, keys: Sequence[str]) ->
     return triples.groupBy(*keys).agg(best.alias("m")).select(*keys, "m._tier", "m.a", "m.b", "m.c")
 
 
+@by_target()
 def download_execute(findings: DataFrame, keys: Sequence[str], span: int = vocab.LINE_SPAN) -> DataFrame:
     """Download and execution findings that have a counterpart near them (adds ``side``)."""
     downloads = findings.where(F.col("rule_id").isin(vocab.NETWORK_RULES))
@@ -152,6 +155,7 @@ def location_of(file: Column, line: Column) -> Column:
     return F.when(F.coalesce(line, F.lit(0)) > 0, F.concat(file, F.lit(":"), line.cast("string"))).otherwise(file)
 
 
+@by_target("scan")
 def contributors(findings: DataFrame, scan: Sequence[str], file: str, order: Sequence[str], written: bool = False) -> DataFrame:
     """(scan keys, chain rule, contributing finding): the rows chains are made of.
 
@@ -194,6 +198,7 @@ def contributors(findings: DataFrame, scan: Sequence[str], file: str, order: Seq
     return one.unionByName(two).unionByName(three)
 
 
+@by_target("scan")
 def chain_findings(parts: DataFrame, scan: Sequence[str], file: str) -> DataFrame:
     """One finding per target and chain, summarising its contributors (read twice)."""
     strong = F.col("severity").isin(STRONG)
@@ -224,6 +229,7 @@ def chain_findings(parts: DataFrame, scan: Sequence[str], file: str) -> DataFram
     )
 
 
+@by_target("scan")
 def locations(parts: DataFrame, scan: Sequence[str], file: str) -> DataFrame:
     """Sorted ``file:line`` list per target and chain, always complete.
 
@@ -234,6 +240,7 @@ def locations(parts: DataFrame, scan: Sequence[str], file: str) -> DataFrame:
     return spots.groupBy(*scan, "chain").agg(F.array_join(F.array_sort(F.collect_set("spot")), ", ").alias("places"))
 
 
+@by_target("scan")
 def uncovered(chains: DataFrame, parts: DataFrame, scan: Sequence[str], file: str, span: int = vocab.LINE_SPAN) -> DataFrame:
     """Document chains that no correlation contributor of the same rule already describes."""
     keys = [*scan, file, "rule_id"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wardlight import vocab
 from wardlight.functions import text as tx
+from wardlight.operators.targets import by_target
 from wardlight.session import constant_table
 
 EDGE_KEY = ["component", "source", "target", "type"]
@@ -203,6 +204,7 @@ def nodes_of(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return ends.select(*keys, "id", kind_of(F.col("id")).alias("type"), label_of(F.col("id")).alias("label"))
 
 
+@by_target()
 def neighbors(edges: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Out-edges of the given nodes (``id``)."""
     return edges.join(nodes.select(*keys, F.col("id").alias("source")).distinct(), [*keys, "source"], "left_semi")

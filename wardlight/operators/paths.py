@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wardlight import vocab
 from wardlight.functions import text as tx
 from wardlight.operators.graph import EDGE_KEY, kind_of, label_of
+from wardlight.operators.targets import by_target
 from wardlight.session import cut
 
 PATH_COLUMNS = ["component", "nodes", "edges", "associated_edges", "sev", "conf", "kind"]
@@ -42,6 +43,7 @@ def _of_type(edges: DataFrame, kind: str) -> DataFrame:
     return edges.where(F.col("type") == kind)
 
 
+@by_target()
 def flow_walks(flows: DataFrame, origins: DataFrame, limit: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """All simple FLOWS_TO walks from the origins, the empty walk included; a walk visits no node twice.
 
@@ -72,6 +74,7 @@ def flow_walks(flows: DataFrame, origins: DataFrame, limit: int | None = None, k
     return walks
 
 
+@by_target()
 def cut_walks(walks: DataFrame, flows: DataFrame, limit: int, keys: Sequence[str] = ()) -> DataFrame:
     """Walks of ``limit`` edges that a further edge would continue: keys, component, origin, walk."""
     place = [*keys, "component"]
@@ -98,6 +101,13 @@ def _can_reach(flows: DataFrame, goals: DataFrame, keys: Sequence[str] = ()) ->
         known = known.unionByName(fresh)
 
 
+def reached(flows: DataFrame, starts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Nodes (keys, component, node) that flows lead to from the starts, these included."""
+    turned = flows.select(*keys, "component", F.col("target").alias("source"), F.col("source").alias("target"))
+    return _can_reach(turned, starts, keys)
+
+
+@by_target()
 def attack_types(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, component, attack_type) of the proven attack types, without listing a path.
 
@@ -134,6 +144,7 @@ def _no_edges() -> Column:
     return F.array().cast("array<struct<source:string,target:string,type:string>>")
 
 
+@by_target()
 def exfiltration_paths(edges: DataFrame, limit: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """skill READS origin, origin FLOWS_TO ... , last SENDS_TO endpoint.
 
@@ -169,6 +180,7 @@ def _exfiltration(edges: DataFrame, limit: int | None = None, keys: Sequence[str
     )
 
 
+@by_target()
 def correlation_paths(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """A skill that reads a secret and executes an action; the read is associated, not walked."""
     return _correlation(ranked_edges(edges.where("type IN ('READS', 'EXECUTES')"), keys), keys)
@@ -194,6 +206,7 @@ def _correlation(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+@by_target()
 def handoff_heads(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Skills that hand off but are never handed to."""
     hand = _of_type(edges, "HANDOFF")
@@ -201,6 +214,7 @@ def handoff_heads(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return hand.select(*keys, "source").distinct().join(given, [*keys, "source"], "left_anti")
 
 
+@by_target()
 def handoff_paths(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Maximal simple HANDOFF walks over the merged graph of a target, from every head.
 
@@ -385,6 +399,7 @@ def finalize(paths: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return describe(assess(classify(one)))
 
 
+@by_target()
 def analyze(edges: DataFrame, keys: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """Every path of every component plus the hand-off walks of each target's merged graph."""
     ranked = cut(ranked_edges(edges, keys))
@@ -419,6 +434,7 @@ def breakpoints(paths: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+@by_target()
 def edge_provenance(paths: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Components that really built each edge of a path: distinct rows.
 
@@ -440,6 +456,7 @@ def node_provenance(provenance: DataFrame, keys: Sequence[str] = ()) -> DataFram
     return provenance.select(*keys, "path_id", F.explode(F.array("source", "target")).alias("node"), "owner").distinct()
 
 
+@by_target()
 def entry_files(paths: DataFrame, files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The file behind the entry of a path, when it is a skill that was read."""
     read = files.select(*keys, F.col("path").alias("file")).distinct()
@@ -447,6 +464,7 @@ def entry_files(paths: DataFrame, files: DataFrame, keys: Sequence[str] = ()) ->
     return entry.join(read, [*keys, "file"]).select(*keys, "path_id", "file")
 
 
+@by_target()
 def context_on_path(paths: DataFrame, context: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Declared component context whose edge lies on the path.
 
@@ -486,6 +504,7 @@ def _breakpoint_words() -> Column:
     return F.transform(chosen, words)
 
 
+@by_target()
 def explain(paths: DataFrame, policies: DataFrame, provenance: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Structured explanation read off the finished path.
 

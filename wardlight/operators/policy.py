@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight import vocab
+from wardlight.operators.targets import by_target
 
 
 def _policy_rows(enabled: Sequence[str] | None) -> Column:
@@ -38,6 +39,7 @@ def evaluate(paths: DataFrame, enabled: Sequence[str] | None = None) -> DataFram
     )
 
 
+@by_target()
 def associate(paths: DataFrame, results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Sorted ids of the policies each path violates (at most one per policy)."""
     own = [*keys, "path_id"]
@@ -53,6 +55,7 @@ def violated_types(types: DataFrame, enabled: Sequence[str] | None = None) -> Da
     return types.withColumn("violated", F.col("attack_type").isin(triggers)).drop("attack_type")
 
 
+@by_target()
 def status(results: DataFrame, coverage: DataFrame, keys: Sequence[str]) -> DataFrame:
     """FAIL when anything is violated, PASS only with full coverage, else UNKNOWN."""
     failed = results.groupBy(*keys).agg(F.bool_or("violated").alias("failed"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wardlight import vocab
 from wardlight.functions import text as tx
+from wardlight.operators.targets import by_target
 
 PARTIAL_KINDS = ["skipped", "rule_error", "decode_error"]
 
@@ -102,6 +103,7 @@ def unknown_reasons(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+@by_target()
 def risk_with_coverage(scored: DataFrame, coverage: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A zero score counts as SAFE only when everything was read."""
     joined = coverage.join(scored, list(keys), "full_outer")
@@ -146,6 +148,7 @@ def highest_risk_path(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
     return paths.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
 
 
+@by_target()
 def gate(findings: DataFrame, keys: Sequence[str], fail_on: str = "HIGH", only_new: bool = False,
          policy_status: DataFrame | None = None) -> DataFrame:
     """Exit code per target: 2 for CRITICAL, 1 at the threshold or for a failed policy, else 0."""

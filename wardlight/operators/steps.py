@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wardlight import vocab
 from wardlight.functions import text as tx
 from wardlight.operators.bands import with_halo
+from wardlight.operators.targets import by_target
 from wardlight.session import cut, set_of
 
 ACTION_COLUMNS = ["idx", "line", "category", "verb", "object", "destination", "output"]
@@ -178,6 +179,7 @@ def same_object(downloads: DataFrame, executions: DataFrame, keys: Sequence[str]
     )
 
 
+@by_target()
 def find_download_execute(steps: DataFrame, keys: Sequence[str], span: int = vocab.LINE_SPAN) -> DataFrame:
     """First download whose object a later execution within ``span`` lines continues.
 
@@ -267,6 +269,7 @@ def _traced(groups: pd.Series) -> pd.DataFrame:
     return out.astype({"sink_idx": "Int64", "last_line": "Int32", "first_line": "Int32"})
 
 
+@by_target()
 def find_source_sink(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """First network action per group whose object stems from an earlier source.
 
@@ -285,6 +288,7 @@ def find_source_sink(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
     return groups.where("made AND sent").select(*keys, traced("steps").alias("t")).where("t.object IS NOT NULL").select(*keys, "t.*")
 
 
+@by_target()
 def file_chains(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Chain findings of single documents: rule, severity, title, evidence, first and last line.
 

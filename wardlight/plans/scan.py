@@ -3,7 +3,9 @@
 ``scan`` names the columns that make one target. They go through everything: equal paths
 in two targets are two files, two components and two graphs. Tables of edges and paths
 have columns of their own called ``source`` and ``target``, so there, and in declared
-edges and context, a target column ``x`` is called ``scan_x``.
+edges and context, a target column ``x`` is called ``scan_x``; in other tables only where the
+table has an ``x`` of its own. Inside, the target columns are one struct: a null is a target like
+any other, and their names meet no column of an operator.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from wardlight.operators import policy as po
 from wardlight.operators import scoring as sc
 from wardlight.operators import server_rules as sr
 from wardlight.operators import steps as st
+from wardlight.operators import targets as tg
+from wardlight.operators import walk_sets as ws
 from wardlight.session import cut
 from wardlight.sources.corpus import explode_lines
 
@@ -59,10 +63,10 @@ class Scan:
     findings: DataFrame
     contributors: DataFrame
     edges: DataFrame
-    paths: DataFrame
-    policy_results: DataFrame
-    entry_files: DataFrame
-    path_policies: DataFrame
+    paths: DataFrame | None
+    policy_results: DataFrame | None
+    entry_files: DataFrame | None
+    path_policies: DataFrame | None
     context: DataFrame | None
     targets: DataFrame
 
@@ -85,6 +89,9 @@ def file_findings(docs: DataFrame, scan: Sequence[str]) -> DataFrame:
 def find(docs: DataFrame, scan: Sequence[str]) -> Found:
     """Findings of files, chains over findings and chains over steps, enriched."""
     keys = list(scan)
+    if not tg.is_sealed(keys):
+        found = find(tg.seal(docs, keys), [tg.BOX])
+        return Found(*[tg.unseal(table, keys) for table in (found.findings, found.contributors, found.steps)])
     file = [*keys, "path"]
     raw = cut(dr.collapse_http_claims(cut(file_findings(docs, keys)), file))
     parts = cut(co.contributors(raw, keys, "path", ORDER, written=True))
@@ -114,7 +121,7 @@ def graph(found: Found, scan: Sequence[str], declared: DataFrame | None = None)
 
 def run(
     docs: DataFrame, scan: Sequence[str], declared: DataFrame | None = None, events: DataFrame | None = None, baseline: DataFrame | None = None,
-    context: DataFrame | None = None, ignore: dict | None = None, limit: int | None = None,
+    context: DataFrame | None = None, ignore: dict | None = None, limit: int | None = None, walks: bool = True,
 ) -> Scan:
     """Scan documents (scan keys, path, text).
 
@@ -122,19 +129,30 @@ def run(
     without them every document counts as read. ``baseline``: fingerprints with the scan keys.
     ``context``: component associations with the scan_ keys. ``ignore``: lists of rules, servers
     and domains. ``limit`` bounds the edges of a walk; a cut walk leaves a coverage row, which
-    makes its target's coverage partial.
+    makes its target's coverage partial. Verdicts, counts of paths and the worst type need no listed
+    walk, so they do not depend on ``limit``; without ``walks`` none is listed, and the tables of paths are None.
     """
-    keys, inside = list(scan), inner(scan)
+    names, own = list(scan), inner(scan)
+    keys = [tg.BOX] if names and not tg.is_sealed(names) else names
+    inside = inner(keys)
+    if keys != names:
+        docs, events, baseline = (tg.seal(table, names) for table in (docs, events, baseline))
+        declared, context = (tg.seal(table, own, inside[0]) for table in (declared, context))
     found = find(docs, keys)
     edges = graph(found, keys, declared)
-    paths = cut(pt.analyze(edges, inside, limit))
-    results = po.evaluate(paths.select(*inside, "path_id", "attack_type"))
+    counts = cut(ws.walk_counts(edges, inside))
     nodes = gr.nodes_of(edges, inside)
-    ck.assert_sound(ck.all_checks(paths, results, edges, nodes, inside))
+    paths = results = entries = violated = None
+    if walks:
+        paths = cut(pt.analyze(edges, inside, limit))
+        results = po.evaluate(paths.select(*inside, "path_id", "attack_type"))
+        ck.assert_sound(ck.all_checks(paths, results, edges, nodes, inside))
+        files = _renamed(docs, keys, inside).select(*inside, gr.component_id(F.col("path")).alias("path")).distinct()
+        entries, violated = pt.entry_files(paths, files, inside), po.associate(paths, results, inside)
     none = F.lit(None).cast("string")
     read = docs.select(*keys, F.lit("scanned").alias("kind"), "path", none.alias("reason"), F.lit(None).cast("int").alias("line"))
     events = read if events is None else events
-    if limit is not None:
+    if limit is not None and walks:
         ranked = cut(pt.ranked_edges(edges, inside))
         flows, origins = ranked.where("type = 'FLOWS_TO'"), pt.read_origins(ranked).select(*inside, "component", F.col("target").alias("origin"))
         short = _renamed(pt.cut_walks(pt.flow_walks(flows, origins, limit, inside), flows, limit, inside), inside, keys)
@@ -146,15 +164,20 @@ def run(
     else:
         findings = findings.select("*", state)
     valid = None if context is None else cp.valid_context(context, nodes, edges, inside)
-    files = _renamed(docs, keys, inside).select(*inside, gr.component_id(F.col("path")).alias("path")).distinct()
-    return Scan(
-        findings, found.contributors, edges, paths, results, pt.entry_files(paths, files, inside), po.associate(paths, results, inside), valid,
-        targets(findings, _renamed(paths.drop("source", "target"), inside, keys), _renamed(results, inside, keys), events, keys),
-    )
+    verdicts = targets(findings, _renamed(counts, inside, keys), events, keys)
+    if keys == names:
+        return Scan(findings, found.contributors, edges, paths, results, entries, violated, valid, verdicts)
+    outer = (tg.unseal(table, names) for table in (findings, found.contributors, verdicts))
+    tables = (tg.unseal(table, own, inside[0]) for table in (edges, paths, results, entries, violated, valid))
+    findings, contributors, verdicts = outer
+    return Scan(findings, contributors, *tables, verdicts)
+
 
+def targets(findings: DataFrame, counts: DataFrame, events: DataFrame, scan: Sequence[str]) -> DataFrame:
+    """One row per target: score, level, counts, coverage, baseline, policy status and the worst type of path.
 
-def targets(findings: DataFrame, paths: DataFrame, results: DataFrame, events: DataFrame, scan: Sequence[str]) -> DataFrame:
-    """One row per target: score, level, counts, coverage, baseline, policy status and the worst path."""
+    ``counts``: walks by target and attack type.
+    """
     keys = list(scan)
     coverage = sc.coverage_status(events, keys)
     row = sc.risk_with_coverage(sc.scores(findings, keys), coverage, keys).join(coverage.drop("coverage_status", "holes"), keys, "left")
@@ -162,10 +185,8 @@ def targets(findings: DataFrame, paths: DataFrame, results: DataFrame, events: D
     states = findings.groupBy(*keys).agg(
         F.count("*").alias("findings"), F.count_if(F.col("baseline_state") == "new").alias("new"), F.count_if(F.col("baseline_state") == "matched").alias("matched")
     )
-    worst = sc.highest_risk_path(paths, keys).select(*keys, F.col("attack_type").alias("worst_attack"), F.col("risk_score").alias("worst_path_score"))
-    counted = paths.groupBy(*keys).agg(F.count("*").alias("paths"), F.count_if(F.col("attack_type") != "UNKNOWN").alias("proven_paths"))
-    verdict = po.status(results, coverage.select(*keys, "coverage_status"), keys)
-    for part in (states, counted, worst, verdict):
+    verdict = po.status(po.violated_types(counts.select(*keys, "attack_type")), coverage.select(*keys, "coverage_status"), keys)
+    for part in (states, ws.worst_type(counts, keys), verdict):
         row = row.join(part, keys, "left")
     counts = ["critical", "high", "medium", "low", "suppressed", "findings", "new", "matched", "paths", "proven_paths", "files_scanned"]
     return row.select(
