@@ -45,6 +45,10 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def settle(self) -> None:
+        """Let Spark's cleaner find the shuffle files of finished stages, which it looks for when the driver collects garbage."""
+        self.spark.sparkContext._jvm.System.gc()
+
     @classmethod
     def release(cls) -> None:
         """Delete the tables of all earlier calls; their results must have been consumed."""

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from wardlight.llm.common import Scratch, table
 from wardlight.llm.near_dedup import connected
 
-WIDTH, SHARE, SAMPLE, HOT, CENTRES = 4, 85, 2000, 16, 3
+WIDTH, SHARE, SAMPLE, HOT, CENTRES = 4, 85, 2000, 16, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ONE, _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ROW_COST = 0.1  # an entry more, in candidate pairs
@@ -213,24 +213,42 @@ def _plan(rows: DataFrame, width: int, share: int, sample: int) -> dict[int, tup
     return allocate(costs, sets, share)
 
 
+def histogram(shingles: np.ndarray) -> np.ndarray:
+    """Shingles by hash range, a power of two of them, counts of at most 255; the sum of differences bounds how sets differ from below."""
+    bits = max(3, (len(shingles) // 4).bit_length() - 1)
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def least_difference(one: np.ndarray, two: np.ndarray) -> int:
+    """A lower bound of the elements by which two sets differ, from their histograms."""
+    if len(one) > len(two):
+        one, two = two, one
+    fine = two.astype(np.int64).reshape(len(one), -1).sum(1)
+    wide = np.minimum(fine, 255) if len(one) != len(two) else fine  # the coarser one is cut at 255
+    return int(np.abs(one.astype(np.int64) - wide).sum())
+
+
 def _features(width: int, share: int, plan: dict) -> Callable:
-    """(id, row, text) -> id, row, node, n, entries; a set met before in the task is not filed again."""
+    """(id, row, text) -> id, row, node, n, histogram, entries; a set met before in the task is not filed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, bands, seen = Shingles(width), Bands(share), set()
         for batch in batches:
-            nodes, sizes, filed = [], [], []
+            nodes, sizes, bins, filed = [], [], [], []
             for text in batch.column(2).cast(pa.binary()):
                 found = shingles.of(text.as_py())
                 node = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 nodes.append(node)
                 sizes.append(len(found))
+                bins.append(histogram(found).tobytes())
                 filed.append(np.zeros(0, np.int64) if node in seen else entries(found, bands, plan).view(np.int64))
                 seen.add(node)
                 if len(seen) > 200_000:
                     seen.clear()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(filed, pa.list_(pa.int64()))], names=["id", "row", "node", "n", "entries"]
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary()), pa.array(filed, pa.list_(pa.int64()))],
+                names=["id", "row", "node", "n", "bins", "entries"],
             )
 
     return run
@@ -263,32 +281,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def histogram(shingles: np.ndarray) -> np.ndarray:
-    """Shingles by hash range, a power of two of them, counts of at most 255; the sum of differences bounds how sets differ from below."""
-    bits = max(3, (len(shingles) // 2).bit_length() - 1)
-    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return np.minimum(counts, 255).astype(np.uint8)
-
-
-def least_difference(one: np.ndarray, two: np.ndarray) -> int:
-    """A lower bound of the elements by which two sets differ, from their histograms."""
-    if len(one) > len(two):
-        one, two = two, one
-    fine = two.astype(np.int64).reshape(len(one), -1).sum(1)
-    wide = np.minimum(fine, 255) if len(one) != len(two) else fine  # the coarser one is cut at 255
-    return int(np.abs(one.astype(np.int64) - wide).sum())
-
-
 def _sets(width: int) -> Callable:
-    """(node, text) -> node, n, histogram, sorted hashes."""
+    """(node, text) -> node, sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in batches:
-            found = [shingles.of(text.as_py()) for text in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([histogram(f).tobytes() for f in found], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "n", "bins", "items"]
-            )
+            found = [shingles.of(text.as_py()).tobytes() for text in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "items"])
 
     return run
 
@@ -365,6 +365,11 @@ def _across(rows: DataFrame, share: int) -> DataFrame:
     return rows.join(other, "entry").filter(met).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def _may_link(pairs: DataFrame, bins: DataFrame, share: int, scratch: Scratch, name: str) -> DataFrame:
+    both = pairs.join(bins.toDF("b", "n_b", "bins_b"), "b").join(bins.toDF("a", "n_a", "bins_a"), "a")
+    return scratch.write(both.select("a", "b", "n_a", "bins_a", "n_b", "bins_b").mapInArrow(_near(share), "a long, b long"), name)
+
+
 def _row(id: str, text: str) -> Column:
     return F.md5(F.concat(F.coalesce(F.col(id).cast("string"), F.lit("null")), F.lit("\x1f"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
 
@@ -373,14 +378,16 @@ def components(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str
     """One row per row: id, n_shingles, component_id (the smallest id that links lead to)."""
     rows = docs.select(F.col(id).cast("long").alias("id"), _row(id, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     plan = _plan(rows, width, share, sample)
-    made = rows.mapInArrow(_features(width, share, plan), "id long, row string, node binary, n long, entries array<long>")
+    made = rows.mapInArrow(_features(width, share, plan), "id long, row string, node binary, n long, bins binary, entries array<long>")
     features = scratch.write(made.withColumn("num", F.monotonically_increasing_id()), "features")
     first = features.filter("n > 0").groupBy("node").agg(F.min("num").alias("rep"))
     owners = scratch.write(features.select("num", "id", "row", "node", "n").join(first, "node", "left").select("num", "id", "row", "n", F.coalesce("rep", "num").alias("rep")), "owners")
+    bins = scratch.write(features.filter("size(entries) > 0").select(F.col("num").alias("node"), "n", "bins"), "bins")
     filed = features.select("num", "entries").mapInArrow(_filed, "entry long, hot boolean, num long")
     dealt = filed.repartition(F.when(F.col("hot"), F.col("num")).otherwise(F.col("entry"))).sortWithinPartitions("entry")
     shared = scratch.write(dealt.mapInArrow(_shared, "entry long, hot boolean, num long").drop("hot"), "shared")
     scratch.drop("features")
+    scratch.settle()
     met = shared.join(owners.select("num", "rep", "n"), "num").select("entry", F.col("rep").alias("node"), "n").distinct()
     met = scratch.write(met, "met")
     scratch.drop("shared")
@@ -400,34 +407,32 @@ def components(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str
         left = met.drop("top")
     star = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
     left = left.filter(f"c > {CENTRES + 1}")
-    nodes = star.select("a").union(star.select("b")).union(left.select("node")).union(left.select("centre")).toDF("node").distinct()
+    near = _may_link(star, bins, share, scratch, "near")
+    nodes = near.select("a").union(near.select("b")).union(left.select("node")).union(left.select("centre")).toDF("node").distinct()
     wanted = owners.join(nodes, owners["num"] == nodes["node"], "left_semi").select("row", F.col("num").alias("node"))
     texts = rows.join(wanted, "row").dropDuplicates(["node"]).select("node", "text")
-    sets = scratch.write(texts.mapInArrow(_sets(width), "node long, n long, bins binary, items binary"), "sets")
+    items = scratch.write(texts.mapInArrow(_sets(width), "node long, items binary"), "items")
+    scratch.settle()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        bins = sets.select("node", "n", "bins")
-        both = pairs.join(bins.toDF("b", "n_b", "bins_b"), "b").join(bins.toDF("a", "n_a", "bins_a"), "a")
-        near = scratch.write(both.select("a", "b", "n_a", "bins_a", "n_b", "bins_b").mapInArrow(_near(share), "a long, b long"), f"near-{name}")
-        items = sets.select("node", "items")
-        whole = near.join(items.toDF("b", "items_b"), "b").join(items.toDF("a", "items_a"), "a").select("a", "b", "items_a", "items_b")
-        return scratch.write(whole.mapInArrow(_linked(share), "a long, b long"), name)
-
-    links = verified(star, "links-star")
+        both = pairs.join(items.toDF("b", "items_b"), "b").join(items.toDF("a", "items_a"), "a").select("a", "b", "items_a", "items_b")
+        return scratch.write(both.mapInArrow(_linked(share), "a long, b long"), name)
+
+    links = verified(near, "links-star")
     parts = connected(links, scratch, "parts")
     open_ = left.join(parts, "node", "left").select("entry", "node", "n", "centre", F.coalesce("comp", "node").alias("comp"))
     mixed = open_.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("entry")
     members = open_.join(mixed, "entry", "left_semi").select("centre", "node", "n", "comp").distinct()
     members = scratch.write(members.withColumn("member", F.monotonically_increasing_id()), "members")
-    items = sets.select("node", "items")
     described = members.join(items.toDF("node", "own"), "node").join(items.toDF("centre", "middle"), "centre").select("member", "centre", "middle", "own")
     described = described.mapInArrow(_differences(share), "entry long, hot boolean, member long, size int, place int")
     described = described.repartition("entry").sortWithinPartitions("entry").mapInArrow(_shared, "entry long, hot boolean, member long, size int, place int").drop("hot")
     described = scratch.write(scratch.write(described, "differences").join(members, "member"), "described")
-    more = verified(scratch.write(_across(described, share).join(star, ["a", "b"], "left_anti"), "rest"), "links-rest")
+    rest = scratch.write(_across(described, share).join(star, ["a", "b"], "left_anti"), "rest")
+    more = verified(_may_link(rest, bins, share, scratch, "near-rest"), "links-rest")
     found = connected(links.unionByName(more), scratch, "all")
     named = scratch.write(owners.join(found, owners["rep"] == found["node"], "left").select("id", "num", "n", F.coalesce("comp", "rep").alias("comp")), "named")
-    for spent in ("owners", "met", "known", "sets", "differences", "described", *[f"round-{turn}" for turn in range(CENTRES)]):  # the result reads ``named`` alone
+    for spent in ("owners", "met", "known", "bins", "items", "differences", "described", *[f"round-{turn}" for turn in range(CENTRES)]):  # the result reads ``named`` alone
         scratch.drop(spent)
     smallest = named.groupBy("comp").agg(F.min("id").alias("smallest"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("comp", "smallest")
     return named.join(smallest, "comp", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "id").alias("component_id"))
