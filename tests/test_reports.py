@@ -313,3 +313,21 @@ def test_rules_are_pure_functions_of_the_text(spark):
     """The same line gives the same findings wherever it stands."""
     lines = spark.createDataFrame([("x.py", 1, "os.system(c)"), ("y.md", 977, "os.system(c)")], "path string, line int, text string")
     assert {r.rule for r in lr.line_findings(lines).collect()} == {"os_system"}
+
+
+def test_a_file_in_several_batches_is_counted_once(spark, tmp_path):
+    """Parts of one file arrive one by one; the stream says what the whole file says, a restart and folded state included."""
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    schema = "rule_id string, file string, line int, evidence string, severity string, rule_order int"
+    rows = [("R", f, i, "same", "HIGH", 0) for f in ("a", "b") for i in (1, 1, 1, 2, 3, 3, 700)] + [("R", None, 5, "x", "LOW", 0)] * 3
+    known = spark.createDataFrame([("R", "a", 1, "same", "HIGH")] * 2 + [("R", "a", 3, "same", "HIGH")] + [("R", "b", 1, "same", "HIGH")] * 5 + [("R", None, 5, "x", "LOW")], "rule_id string, file string, line int, evidence string, severity string")
+    whole = spark.createDataFrame(rows, schema)
+    want = sorted(map(str, bl.annotate(whole, known, ["line", "rule_order"], F.floor(F.col("line") / 256)).where("baseline_state = 'new'").select("file", "line").collect()))
+    for part in range(4):
+        some = [r for i, r in enumerate(rows) if i % 4 == part]
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(src)
+        docs = ar.read_documents(spark, src, whole.schema, files_per_batch=1)
+        ar.write_new_findings(docs, known, out, mark, available_now=True, fold_every=2).awaitTermination()
+    got = spark.read.parquet(out)
+    assert sorted(map(str, got.select("file", "line").collect())) == want
+    assert got.select("batch").distinct().count() > 2

@@ -164,3 +164,60 @@ def test_chains_name_the_lines_that_prove_them(spark):
     rows = st.file_chains(actions_of(spark, text), ["doc_id"]).collect()
     assert [(r.rule_id, r.first, r.last) for r in rows] == [("AS-CHAIN-004", 1, 4)]
     assert rows[0].evidence == "Source-to-sink: blob -> external destination"
+
+
+def plain_source_sink(steps):
+    """First sink whose object stems from an earlier source, by relaxation until nothing changes."""
+    ready = {}
+    for s in steps:
+        if s["category"] in ("SOURCE", "SENSITIVE") and s["object"]:
+            ready[s["object"]] = min(ready.get(s["object"], (s["idx"], s["line"])), (s["idx"], s["line"]))
+    edges = [(s["object"], s["output"], s["idx"]) for s in steps if s["category"] == "TRANSFORM" and s["object"] and s["output"]]
+    at = {o: i for o, (i, _) in ready.items()}
+    for _ in range(len(edges) + 1):
+        for a, b, step in edges:
+            if a in at and max(at[a], step) < at.get(b, 10**9):
+                at[b] = max(at[a], step)
+    sinks = [(s["idx"], s["line"], s["object"]) for s in steps if s["category"] == "NETWORK" and s["destination"] and s["object"] and at.get(s["object"], 10**9) < s["idx"]]
+    if not sinks:
+        return None
+    idx, line, name = min(sinks)
+    seen = {name}
+    for _ in range(len(edges) + 1):
+        seen |= {a for a, b, step in edges if b in seen and step < idx}
+    return name, idx, line, min(ready[o][1] for o in seen if o in ready and ready[o][0] < idx)
+
+
+STEP = "t string, idx long, line int, category string, object string, destination string, output string"
+
+
+def test_source_sink_equals_plain_closure(spark):
+    draw = random.Random(12)
+    rows, want = [], {}
+    for group in [None, "", *range(60)]:
+        names = [f"o{i}" for i in range(draw.randint(2, 7))]
+        steps = []
+        for idx in range(draw.randint(1, 25)):
+            category = draw.choice(["SOURCE", "SENSITIVE", "TRANSFORM", "TRANSFORM", "TRANSFORM", "NETWORK", "EXECUTION"])
+            steps.append({"t": None if group is None else str(group), "idx": idx, "line": idx // 2 + 1, "category": category, "object": draw.choice([*names, ""]), "destination": draw.choice([None, "https://x"]) if category == "NETWORK" else None, "output": draw.choice([*names, ""]) if category == "TRANSFORM" else None})
+        rows += [tuple(s.values()) for s in steps]
+        found = plain_source_sink(steps)
+        if found:
+            want[steps[0]["t"]] = found
+    got = {r["t"]: tuple(r)[1:] for r in st.find_source_sink(spark.createDataFrame(rows, STEP).repartition(4), ["t"]).collect()}
+    assert got == want and len(want) > 20 and None in {r[0] for r in rows}
+
+
+def test_source_sink_of_one_long_document(spark):
+    """The steps of one document are rows like any other; a round per hop, whatever their number."""
+    n = 600_000
+    steps = spark.range(n).selectExpr(
+        "'d' as t", "id as idx", "cast(id as int) as line",
+        "case id % 6 when 0 then 'SOURCE' when 5 then 'NETWORK' else 'TRANSFORM' end as category",
+        "concat(substr('abcde', greatest(cast(id % 6 as int), 1), 1), id div 6) as object",
+        f"case when id = {n - 1} then 'https://x' end as destination",
+        "case when id % 6 between 1 and 4 then concat(substr('abcde', cast(id % 6 as int) + 1, 1), id div 6) end as output",
+    )
+    last = n // 6 - 1
+    got = [tuple(r) for r in st.find_source_sink(steps, ["t"]).collect()]
+    assert got == [("d", f"e{last}", n - 1, n - 1, n - 6)]

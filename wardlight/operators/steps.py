@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
-
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -220,72 +217,56 @@ def find_download_execute(steps: DataFrame, keys: Sequence[str], span: int = voc
     return by_word.unionByName(free).groupBy(*keys).agg(best.alias("m")).select(*keys, "m.*")
 
 
-def _trace(steps) -> tuple | None:
-    """(object, sink idx, sink line, line of the earliest producer) of one group's steps, or None.
+def _derived(first: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, object, ready): the smallest, over an object's derivations, of the largest step index they use.
 
-    An object is ready at the smallest, over its derivations, of the largest step index used:
-    a shortest-path search with maxima for sums. Then backwards from the first sink.
+    Each round hands on only what the last one improved, so the rounds follow the hops of the longest
+    derivation that matters, and a document spreads over tasks by its objects.
     """
-    ready: dict[str, tuple[int, int]] = {}
-    follow: dict[str, dict[str, int]] = {}
-    before: dict[str, dict[str, int]] = {}
-    for s in steps:
-        if s["category"] in ("SOURCE", "SENSITIVE"):
-            ready[s["object"]] = min(ready.get(s["object"], (s["idx"], s["line"])), (s["idx"], s["line"]))
-        elif s["category"] == "TRANSFORM" and s["output"]:
-            step = min(follow.get(s["object"], {}).get(s["output"], s["idx"]), s["idx"])
-            follow.setdefault(s["object"], {})[s["output"]] = step
-            before.setdefault(s["output"], {})[s["object"]] = step
-    settled: dict[str, int] = {}
-    heap = [(at, name) for name, (at, _) in ready.items()]
-    heapq.heapify(heap)
-    while heap:
-        at, name = heapq.heappop(heap)
-        if name in settled:
-            continue
-        settled[name] = at
-        for output, step in follow.get(name, {}).items():
-            if output not in settled:
-                heapq.heappush(heap, (max(at, step), output))
-    sinks = [
-        (s["idx"], s["line"], s["object"]) for s in steps
-        if s["category"] == "NETWORK" and s["destination"] is not None and s["object"] in settled and settled[s["object"]] < s["idx"]
-    ]
-    if not sinks:
-        return None
-    idx, line, name = min(sinks)
-    seen, stack = {name}, [name]
-    while stack:
-        for source, step in before.get(stack.pop(), {}).items():
-            if step < idx and source not in seen:
-                seen.add(source)
-                stack.append(source)
-    return name, idx, line, min(ready[n][1] for n in seen if n in ready and ready[n][0] < idx)
-
-
-def _traced(groups: pd.Series) -> pd.DataFrame:
-    found = [_trace(steps) or (None, None, None, None) for steps in groups]
-    out = pd.DataFrame(found, columns=["object", "sink_idx", "last_line", "first_line"])
-    return out.astype({"sink_idx": "Int64", "last_line": "Int32", "first_line": "Int32"})
+    at = [*keys, "object"]
+    parts = news = first
+    while True:
+        known = parts.groupBy(*at).agg(F.min("ready").alias("known"))
+        heard = news.join(edges, at).groupBy(*keys, F.col("output").alias("object")).agg(F.min(F.greatest("ready", "step")).alias("ready"))
+        news = cut(heard.join(known, at, "left").where("known IS NULL OR ready < known").select(*at, "ready"))
+        if news.isEmpty():
+            return known.withColumnRenamed("known", "ready")
+        parts = parts.unionByName(news)
+
+
+def _sources(sinks: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, object, sink_idx): what the object of each sink stems from by steps before it, itself included."""
+    at = [*keys, "object"]
+    seen = news = sinks.select(*at, "sink_idx")
+    while True:
+        before = edges.join(news.withColumnRenamed("object", "output"), [*keys, "output"]).where("step < sink_idx").select(*at, "sink_idx").distinct()
+        news = cut(before.join(seen, at, "left_anti"))
+        if news.isEmpty():
+            return seen
+        seen = seen.unionByName(news)
 
 
 @by_target()
 def find_source_sink(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """First network action per group whose object stems from an earlier source.
 
-    Derivations never leave a document, and a document is one row of the input, so its
-    steps meet as one list: no rounds, one shuffle. Groups without a source or a sink, and
-    steps that can take no part, are left out first.
-    Returns object, sink idx and line, and the line of the earliest producer.
+    Returns object, sink idx and line, and the line of the earliest producer. An object is ready when a
+    source names it, or when a transformation makes it of one that is ready; the sink must come later.
     """
-    named = steps.where("object <> '' AND category IN ('SOURCE', 'SENSITIVE', 'TRANSFORM', 'NETWORK')").where(
-        "category <> 'TRANSFORM' OR output <> ''"
-    ).where("category <> 'NETWORK' OR destination IS NOT NULL")
-    made, sent = F.col("category").isin("SOURCE", "SENSITIVE"), F.col("category") == "NETWORK"
-    item = F.struct("idx", F.col("line").cast("int").alias("line"), "category", "object", "destination", "output")
-    groups = named.groupBy(*keys).agg(F.bool_or(made).alias("made"), F.bool_or(sent).alias("sent"), F.collect_list(item).alias("steps"))
-    traced = F.pandas_udf(_traced, "struct<object:string,sink_idx:long,last_line:int,first_line:int>")
-    return groups.where("made AND sent").select(*keys, traced("steps").alias("t")).where("t.object IS NOT NULL").select(*keys, "t.*")
+    at = [*keys, "object"]
+    named = steps.where("object <> '' AND category IN ('SOURCE', 'SENSITIVE', 'TRANSFORM', 'NETWORK')").select(
+        *keys, F.col("idx").cast("long").alias("idx"), F.col("line").cast("int").alias("line"), "category", "object", "destination", "output"
+    )
+    named = cut(named.where("(category <> 'TRANSFORM' OR output <> '') AND (category <> 'NETWORK' OR destination IS NOT NULL)"))
+    made = named.where("category IN ('SOURCE', 'SENSITIVE')").groupBy(*at).agg(F.min(F.struct("idx", "line")).alias("f"))
+    first = made.select(*at, F.col("f.idx").alias("ready"), F.col("f.line").alias("made_line"))
+    edges = named.where("category = 'TRANSFORM'").groupBy(*at, "output").agg(F.min("idx").alias("step"))
+    ready = _derived(first.select(*at, "ready"), edges, keys)
+    sent = named.where("category = 'NETWORK'").select(*at, "idx", "line").join(ready, at).where("ready < idx")
+    best = sent.groupBy(*keys).agg(F.min(F.struct("idx", "line", "object")).alias("b"))
+    sinks = cut(best.select(*keys, F.col("b.object").alias("object"), F.col("b.idx").alias("sink_idx"), F.col("b.line").alias("last_line")))
+    origin = _sources(sinks, edges, keys).join(first, at).where("ready < sink_idx").groupBy(*keys).agg(F.min("made_line").alias("first_line"))
+    return sinks.join(origin, list(keys)).select(*keys, "object", "sink_idx", "last_line", "first_line")
 
 
 @by_target()

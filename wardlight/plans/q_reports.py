@@ -498,6 +498,18 @@ def stream_new(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out).select("doc_id", "line", "rule_id", "evidence")
 
 
+def stream_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Files whose findings come in several batches, against a baseline of every third document."""
+    out, checkpoint = ar.fresh_folders(spark)
+    parts = f"{out}-parts"
+    found = seeded_findings(spark, folder).select("doc_id", "rule_id", (F.col("doc_id") % 7).cast("string").alias("file"), "line", "rule_order", "evidence", "severity")
+    found.repartitionByRange(4, "doc_id").write.parquet(parts)
+    docs = ar.read_documents(spark, parts, spark.read.parquet(parts).schema, files_per_batch=1)
+    known = spark.read.parquet(parts).where("doc_id % 3 = 0").select(*bl.KEY)
+    ar.write_new_findings(docs, known, out, checkpoint, available_now=True, fold_every=3).awaitTermination()
+    return spark.read.parquet(out).groupBy("file", "rule_id").agg(F.count("*").alias("new_rows"))
+
+
 # ------------------------------------------------------------------ all of it
 def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written as files, a folder per source, and read back as bytes: lines and findings per source."""
@@ -598,6 +610,7 @@ QUERIES = {
     "python_rule_errors": python_rule,
     "stream_scan": stream_scan,
     "stream_new_findings": stream_new,
+    "stream_files_in_parts": stream_parts,
     "corpus_scan": corpus_scan,
     "files_to_findings": files_to_findings,
     "whole_scan_findings": scan_findings,
@@ -730,6 +743,8 @@ ORACLES = {
         SELECT DISTINCT doc_id, line, 'W-' || w AS pattern_id FROM lines JOIN w ON contains(lower(text), left(w, 4)) WHERE w <> '' UNION ALL {HITS}""",
     "python_rule_errors": f"WITH {LINES_SQL} SELECT doc_id, line, CASE WHEN contains(text, 'password') THEN 'line_rule_exception' ELSE 'short' END AS outcome FROM lines WHERE contains(text, 'password') OR length(text) BETWEEN 1 AND 11",
     "stream_scan": f"WITH {FINDINGS_SQL} SELECT doc_id, line, rule, severity FROM line_findings",
+    "stream_files_in_parts": f"""WITH {FINDINGS_SQL} SELECT CAST(doc_id % 7 AS VARCHAR) AS file, rule_id, count(*) FILTER (doc_id % 3 <> 0) AS new_rows
+      FROM line_findings GROUP BY ALL HAVING new_rows > 0""",
     "stream_new_findings": f"WITH {FINDINGS_SQL} SELECT doc_id, line, rule_id, evidence FROM line_findings WHERE rule_id = 'AS-002'",
     "corpus_scan": f"""WITH {plain_findings_sql("SELECT source AS id, text FROM documents")}, s AS (SELECT id AS source, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM lines WHERE text <> '' GROUP BY id),
         g AS (SELECT id AS source, count(*) AS findings FROM f GROUP BY id) SELECT s.*, coalesce(findings, 0) AS findings FROM s LEFT JOIN g USING (source)""",
