@@ -9,14 +9,15 @@ either: chain / (n + m - chain). For texts without moved parts that is shingle J
 
 With 3 items in 16 sketches a pair at 0.8 is missed with probability (1 - 0.8^3)^16 = 1e-5.
 
-Work per bucket is a star, not all pairs: every member meets the centre, the node that shares most
-buckets with others. What the star links is one component. Members of buckets that still hold several components may
-have links that the star does not see; they meet by exact prefix filtering: with a text's items
-ordered by how few texts of other components hold them, two texts at the threshold share one of
-the first n - ceil(threshold * n) + 1. Items that no other component holds come first and match
-nothing, so a text of which a fifth is its own is done, however common the rest is. No link
-between different texts that share a bucket is lost. Copies (equal word sequences) are one node
-from the start. Components come from label propagation with pointer jumping over written tables.
+Work per bucket is stars, not all pairs: every member meets the centre, the node that shares most
+buckets with others, then whoever is left the next one, ``CENTRES`` times. What the stars link is one
+component. Members left in buckets that still hold several components may have links that no star
+sees. Each is described by how its set of items differs from the first centre's: two sets at the
+threshold that lie in different components share one of the first labels of their differences, by
+prefix filtering as in ``set_join``; sets near the centre that are not in its component (parts were moved)
+meet all that are near it. Pairs are ruled out by histograms of their items before whole texts are moved. No
+link between different texts that share a bucket is lost. Copies (equal word sequences) are one node from
+the start. Components come from label propagation with pointer jumping over written tables.
 
 Defined results: null and empty texts have no items; texts without words are copies of each
 other. A text of fewer than ``k`` words is one item. The class is named by its smallest id
@@ -36,10 +37,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import Scratch, fresh, table
+from wardlight.llm import set_join as sj
+from wardlight.llm.common import Scratch, connected, fresh, table
 
 K, SAMPLE, SKETCHES, THRESHOLD = 5, 3, 16, 0.8
 _WORD = re.compile(r"\w+")
@@ -132,144 +133,73 @@ def _features(k: int, sample: int, sketches: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(k)
         for batch in batches:
-            nodes, counts, values = [], [], []
+            nodes, counts, bins, values = [], [], [], []
             for text in batch.column(2):
                 words = words_of(text.as_py())
                 labels = items.labels(words)
                 nodes.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).hexdigest())
                 counts.append(len(labels))
+                bins.append(sj.histogram(labels).tobytes())
                 values.append(sketch(labels, sample, sketches))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.string()), pa.array(counts, pa.int64()), pa.array(values, pa.list_(pa.int64()))],
-                names=["id", "row", "node", "items", "sketches"],
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.string()), pa.array(counts, pa.int64()), pa.array(bins, pa.binary()), pa.array(values, pa.list_(pa.int64()))],
+                names=["id", "row", "node", "n", "bins", "sketches"],
             )
 
     return run
 
 
-def _labels(k: int) -> Callable:
-    """(node, comp, text) -> one row per item: node, comp, items, label."""
+def _ordered(k: int) -> Callable:
+    """(node, text) -> node, labels in text order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(k)
         for batch in batches:
-            for i in range(batch.num_rows):
-                labels = items.labels(words_of(batch.column(2)[i].as_py()))
-                n = len(labels)
-                same = lambda column, i=i, n=n: pa.DictionaryArray.from_arrays(np.zeros(n, np.int32), column.slice(i, 1)).cast(column.type)
-                yield pa.RecordBatch.from_arrays(
-                    [same(batch.column(0)), same(batch.column(1)), pa.array(np.full(n, n, np.int64)), pa.array(labels.view(np.int64))], names=["node", "comp", "items", "label"]
-                )
+            labels = [items.labels(words_of(text.as_py())).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.binary())], names=["node", "items"])
 
     return run
 
 
-def _across(members: DataFrame, scratch: Scratch, k: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that may reach the threshold, by prefix filtering; ``members``: node, comp, text."""
-    rows = scratch.write(members.mapInArrow(_labels(k), "node string, comp string, items long, label long"), "items")
-    useful = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("label", "n")
-    shared = rows.join(useful, "label")
-    mine = W.partitionBy("node")
-    prefix = F.col("items") - F.ceil(F.col("items") * F.lit(threshold) - F.lit(1e-9)) + 1
-    owned = shared.withColumn("own", F.col("items") - F.count(F.lit(1)).over(mine))
-    first = owned.withColumn("left", prefix - F.col("own")).filter("left > 0").withColumn("place", F.row_number().over(mine.orderBy("n", "label"))).filter("place <= left")
-    first = scratch.write(first.select("label", "node", "comp", "items", (F.col("items") - F.col("own")).alias("shared"), "place"), "prefix")
-    other = first.toDF("label", "b", "comp_b", "items_b", "shared_b", "place_b")
-    # what either shares with anybody has to reach the overlap that the threshold asks for, and so has
-    # what comes after the places of the common item in the two orders together with what comes before
-    overlap = (F.col("items") + F.col("items_b")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)
-    behind = F.least(F.col("shared") - F.col("place"), F.col("shared_b") - F.col("place_b"))
-    enough = behind + F.least("place", "place_b") >= overlap
-    met = first.join(other, "label").filter((F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _ratio("items", "items_b", threshold) & enough)
-    return met.select(F.col("node").alias("a"), "b").distinct()
-
-
-def _verified(k: int, threshold: float) -> Callable:
-    """(a, b, text_a, text_b) -> links; the features of the last ``a`` are kept."""
+def _labels(value) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
+def _verified(threshold: float) -> Callable:
+    """(a, b, items_a, items_b) -> links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, last, left = Items(k), None, None
         for batch in batches:
-            a, b, ta, tb = batch.columns
-            rows: list[tuple] = []
-            for i in range(batch.num_rows):
-                one = a[i].as_py()
-                if one != last:
-                    last, left = one, items.labels(words_of(ta[i].as_py()))
-                share = aligned(left, items.labels(words_of(tb[i].as_py())), threshold)
-                if share:
-                    rows.append((one, b[i].as_py(), share))
-            columns = list(zip(*rows)) if rows else [(), (), ()]
-            kinds = (pa.string(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["a", "b", "similarity"])
+            shares = np.array([aligned(_labels(batch.column(2)[i]), _labels(batch.column(3)[i]), threshold) for i in range(batch.num_rows)], np.float64)
+            columns = [pa.array(batch.column(at).to_numpy()[shares > 0]) for at in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(shares[shares > 0])], names=["a", "b", "similarity"])
 
     return run
 
 
-def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, comp) of undirected (a, b) edges: smallest label of the neighbours, then of its own label's node."""
-    both = scratch.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-edges")
-    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), f"{name}-0")
-    turn = 0
-    while True:
-        turn += 1
-        heard = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(heard, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = scratch.write(step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), f"{name}-{turn}")
-        moved = new.filter("comp != old").limit(1).count()
-        labels = new.select("node", "comp")
-        scratch.drop(f"{name}-{turn - 1}")
-        if not moved:
-            return labels
-
-
 def _row(id: str, text: str) -> Column:
     """A key of rows equal in id and text."""
     return F.md5(F.concat(F.coalesce(F.col(id).cast("string"), F.lit("null")), F.lit("\x1f"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
 
 
-def _ratio(one: str, other: str, threshold: float) -> Column:
-    return F.least(one, other) >= F.greatest(one, other) * threshold
-
-
 def classes(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text", k: int = K, sample: int = SAMPLE, sketches: int = SKETCHES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: id, row, class_id, class_row, class_size, kept."""
     rows = docs.select(F.col(id).cast("long").alias("id"), _row(id, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    features = rows.mapInArrow(_features(k, sample, sketches), "id long, row string, node string, items long, sketches array<long>")
-    features = scratch.write(features, "features")
-    nodes = features.filter("items > 0").groupBy("node").agg(F.min(F.struct("row", "items", "sketches")).alias("one"))
-    entries = nodes.select("node", F.col("one.row").alias("row"), F.col("one.items").alias("items"), F.explode("one.sketches").alias("sketch"))
-    sizes = entries.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = scratch.write(entries.join(sizes, "sketch"), "buckets")
-    # the node that meets most others, over all its buckets, is the centre: of a large group, what the copies were made of
-    known = met.join(met.groupBy("node").agg(F.sum("n").alias("weight")), "node")
-    centres = known.groupBy("sketch").agg(F.max(F.struct("weight", "node", "items")).alias("centre"))
-    met = met.join(centres, "sketch").select("sketch", "node", "row", "items", F.col("centre.node").alias("centre"), F.col("centre.items").alias("its"))
-    met = scratch.write(met, "met")
-    texts = rows.join(met.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
-    texts = scratch.write(texts.join(met.select("row", "node").distinct(), "row").select("node", "text"), "texts")
-
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        second = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
-        both = second.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").select("a", "b", "ta", "tb")
-        return scratch.write(both.mapInArrow(_verified(k, threshold), "a string, b string, similarity double"), name)
-
-    star = met.filter((F.col("node") != F.col("centre")) & _ratio("items", "its", threshold)).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    star = scratch.write(star.distinct(), "star")
-    first = links(star, "links-star")
-    parts = connected(first, scratch, "parts")
-    placed = met.join(parts, "node", "left").select("sketch", "node", "items", "centre", F.coalesce("comp", "node").alias("comp"))
-    # the centre has met everybody, so only the others may have links that nobody has seen
-    placed = placed.filter("node != centre")
-    mixed = placed.groupBy("sketch").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("sketch")
-    members = placed.join(mixed, "sketch", "left_semi").select("node", "comp").distinct().join(texts, "node")
-    rest = _across(members, scratch, k, threshold).join(star, ["a", "b"], "left_anti")
-    second = links(scratch.write(rest, "rest"), "links-rest")
-    found = connected(first.unionByName(second), scratch, "all") if second.limit(1).count() else parts
-    placed = features.select("id", "row", "node").join(found, "node", "left").select("id", "row", F.coalesce("comp", "node").alias("comp"))
-    placed = scratch.write(placed, "placed")
-    for done in ("features", "buckets", "met", "texts", "items", "prefix"):  # the result reads ``placed`` alone
+    features = rows.mapInArrow(_features(k, sample, sketches), "id long, row string, node string, n long, bins binary, sketches array<long>")
+    features = scratch.write(features.withColumn("num", F.monotonically_increasing_id()), "features")
+    first = features.groupBy("node").agg(F.min(F.struct("num", "row", "n", "bins", "sketches")).alias("one"))
+    nodes = scratch.write(first.select("node", F.col("one.num").alias("num"), "one.row", "one.n", "one.bins", "one.sketches"), "nodes")
+    entries = nodes.select(F.explode("sketches").alias("entry"), F.col("num").alias("node"), "n")
+    sizes = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    known = scratch.write(entries.join(sizes, "entry"), "known")
+    bins = nodes.select(F.col("num").alias("node"), "n", "bins")
+    found = linked(
+        known, bins, lambda wanted: rows.join(nodes.join(wanted, nodes["num"] == wanted["node"], "left_semi").select("row", F.col("num").alias("node")), "row").dropDuplicates(["node"]).select("node", "text"),
+        scratch, k, threshold,
+    )
+    owners = features.select("id", "row", "node", "num").join(nodes.select("node", F.col("num").alias("rep")), "node", "left").select("id", "row", F.coalesce("rep", "num").alias("rep"))
+    placed = scratch.write(owners.join(found.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("id", "row", F.coalesce("comp", "rep").alias("comp")), "placed")
+    for done in ("features", "nodes", "known"):  # the result reads ``placed`` alone
         scratch.drop(done)
     named = placed.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("blank"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size"))
     named = named.filter("class_size > 1").select("comp", F.col("first.id").alias("class_id"), F.col("first.row").alias("class_row"), "class_size")
@@ -280,6 +210,31 @@ def classes(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "
     )
 
 
+def linked(known: DataFrame, bins: DataFrame, texts_of: Callable[[DataFrame], DataFrame], scratch: Scratch, k: int, threshold: float) -> DataFrame:
+    """(node, comp) of all links between nodes that share an entry.
+
+    ``known``: entry, node, n (items), c (nodes of the entry). ``bins``: node, n, histogram. ``texts_of`` gives (node, text) of wanted nodes.
+    """
+    share = int(threshold * 100)  # candidates by sets at the threshold or a little below
+    left, star = sj.stars(known, share, scratch)
+    near = sj.may_link(star, bins, share, scratch, "near")
+    wanted = near.select("a").union(near.select("b")).union(left.select("node")).union(left.select("centre")).toDF("node").distinct()
+    items = scratch.write(texts_of(wanted).mapInArrow(_ordered(k), "node long, items binary"), "items")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(items.toDF("b", "items_b"), "b").join(items.toDF("a", "items_a"), "a").select("a", "b", "items_a", "items_b")
+        return scratch.write(both.mapInArrow(_verified(threshold), "a long, b long, similarity double"), name)
+
+    links = verified(near, "links-star")
+    parts = connected(links, scratch, "parts")
+    rest = scratch.write(sj.across(left, parts, items, share, scratch, moved=True).join(star, ["a", "b"], "left_anti"), "rest")
+    more = verified(sj.may_link(rest, bins, share, scratch, "near-rest"), "links-rest")
+    found = connected(links.unionByName(more), scratch, "all") if more.limit(1).count() else parts
+    for done in ("items", "star", "near", "rest", "differences", "described"):
+        scratch.drop(done)
+    return found
+
+
 def keep_one(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs`` with one row of each class, all columns as they were."""
     columns, row, kept = docs.columns, fresh(docs, "wl_row"), fresh(docs, "wl_kept")

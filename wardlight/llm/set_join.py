@@ -3,8 +3,8 @@
 Sets whose Jaccard is at least ``share`` per cent differ in at most H(n, m) shingles. Sizes are cut into bands
 that grow by 100 / share, so partners lie in one band or in neighbours; the sets that may
 meet from a band on (its own and the next) form a group with one bound H. Per group the universe is hashed into
-H + 1 segments: two sets that link agree in at least one, so each set is filed under what it holds of each
-segment. Costs decide about exceptions: on a sample of at most ``sample`` rows the candidate pairs of
+H + 1 + s segments: two sets that link agree in at least s + 1, so each set is filed under what it holds of each
+segment but the up to s smallest subsets, which are the common ones (empty, or a shared passage alone). Costs decide about exceptions: on a sample of at most ``sample`` rows the candidate pairs of
 every segment are counted, and a segment whose subset is common (frequent shingles, empty) is not filed
 where it is cheaper to file another under its one-deletion neighbourhood too, which tolerates one
 difference and so pays for both. Any allocation finds all links; the sample only sets the work.
@@ -42,8 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import Scratch, table
-from wardlight.llm.near_dedup import connected
+from wardlight.llm.common import Scratch, connected, table
 
 WIDTH, SHARE, SAMPLE, HOT, CENTRES = 4, 85, 2000, 16, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -123,10 +122,15 @@ def _tagged(sums: np.ndarray, group: int, segment: np.ndarray) -> np.ndarray:
     return _mix(_mix(sums + start) ^ (segment.astype(np.uint64) + np.uint64(1)) * _TWO)
 
 
-def exact_entries(shingles: np.ndarray, group: int, count: int) -> np.ndarray:
-    """One entry per segment: what the set holds of it."""
+def slack(bound: int) -> int:
+    """Segments beyond H + 1: so many more agree in two sets that link, and so many may be left unfiled."""
+    return (bound + 1) // 8 + 1
+
+
+def exact_entries(shingles: np.ndarray, group: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """One entry per segment: what the set holds of it; and how much that is."""
     starts, sums = _segments(shingles, count)
-    return _tagged(sums[starts[1:]] - sums[starts[:-1]], group, np.arange(count))
+    return _tagged(sums[starts[1:]] - sums[starts[:-1]], group, np.arange(count)), np.diff(starts)
 
 
 def deletion_entries(shingles: np.ndarray, group: int, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,16 +142,26 @@ def deletion_entries(shingles: np.ndarray, group: int, count: int) -> tuple[np.n
 
 
 def entries(shingles: np.ndarray, bands: Bands, plan: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """All entries a set is filed under."""
+    """All entries a set is filed under.
+
+    Subsets of the smallest sizes are left out as long as they are no more than the slack: of the segments in
+    which two linked sets agree, one more than the slack, each of the two leaves out at most the slack, and by a size
+    that both subsets have, so one is filed by both.
+    """
     found = []
     for group, bound in bands.groups(len(shingles)) if len(shingles) else []:
-        exact = exact_entries(shingles, group, bound + 1)
+        spare = slack(bound)
+        count = bound + 1 + spare
+        exact, sizes = exact_entries(shingles, group, count)
+        filed, single = np.ones(count, bool), np.ones(count, bool)
         if group in plan:
             skipped, widened = plan[group]
-            segment, more = deletion_entries(shingles, group, bound + 1)
+            segment, more = deletion_entries(shingles, group, count)
             found.append(more[np.isin(segment, widened)])
-            exact = np.delete(exact, skipped)
-        found.append(exact)
+            filed[skipped], single[skipped], single[widened] = False, False, False
+        small = np.searchsorted(np.cumsum(np.bincount(sizes[single], minlength=1)), spare, side="right")
+        filed &= ~(single & (sizes < small))
+        found.append(exact[filed])
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -160,9 +174,10 @@ def _sampled(width: int, share: int) -> Callable:
             for text in batch.column(0).cast(pa.binary()):
                 found = shingles.of(text.as_py())
                 for group, bound in bands.groups(len(found)) if len(found) else []:
-                    exact = exact_entries(found, group, bound + 1)
-                    segment, more = deletion_entries(found, group, bound + 1)
-                    segments = np.concatenate([np.arange(bound + 1), np.arange(bound + 1), segment, [-1]])
+                    count = bound + 1 + slack(bound)
+                    exact, _ = exact_entries(found, group, count)
+                    segment, more = deletion_entries(found, group, count)
+                    segments = np.concatenate([np.arange(count), np.arange(count), segment, [-1]])
                     widened = np.concatenate([np.zeros(len(exact), bool), np.ones(len(exact) + len(more), bool), [False]])
                     values = np.concatenate([exact, exact, more, np.array([len(found)], np.uint64)])
                     yield pa.RecordBatch.from_arrays(
@@ -176,14 +191,15 @@ def allocate(costs: dict[tuple[int, int, bool], float], sets: dict[int, tuple[fl
     """Per group the segments that are not filed and those that are filed with their one-deletion neighbourhoods.
 
     ``costs``: candidate pairs by (group, segment, widened); ``sets``: number of sets of a group and their shingles.
-    H + 1 units are needed; an exact segment brings one, a widened one two, one that is left out none.
+    H + 1 units and the slack are needed; an exact segment brings one, a widened one two, one that is left out none.
     """
     bands, plan = Bands(share), {}
     for group, (_, shingles) in sets.items():
         while len(bands.upper) <= group:
             bands.groups(bands.upper[-1] + 1)
         upper = bands.upper[group]
-        count = may_differ(upper, upper * 100 // share, share) + 1
+        bound = may_differ(upper, upper * 100 // share, share)
+        count = bound + 1 + slack(bound)
         exact = np.array([costs.get((group, i, False), 0.0) for i in range(count)])
         extra = np.array([costs.get((group, i, True), 0.0) for i in range(count)]) - exact + ROW_COST * shingles / count
         dear, cheap = list(np.argsort(-exact, kind="stable")), list(np.argsort(extra, kind="stable"))
@@ -338,34 +354,82 @@ def difference_prefix(centre: np.ndarray, own: np.ndarray, share: int) -> tuple[
 
 
 def _differences(share: int) -> Callable:
-    """(member, centre, items of the centre, items) -> entry (of centre and label), hot, member, size, place."""
+    """(member, centre, items of the centre, items) -> entry (of centre and label), hot, member, size, place.
+
+    Place 0 is a row of the member as such, with an entry of the centre alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts = [difference_prefix(_items(batch.column(2)[i]), _items(batch.column(3)[i]), share) for i in range(batch.num_rows)]
-            counts = np.array([len(labels) for labels, _ in parts], np.int64)
+            parts = [difference_prefix(np.sort(_items(batch.column(2)[i])), np.sort(_items(batch.column(3)[i])), share) for i in range(batch.num_rows)]
+            counts = np.array([len(labels) + 1 for labels, _ in parts], np.int64)
             each = lambda values: np.repeat(np.asarray(values, np.int64), counts)
+            places = np.arange(counts.sum()) - each(np.cumsum(counts) - counts)
+            labels = np.concatenate([np.concatenate([np.zeros(1, np.uint64), labels]) for labels, _ in parts])
             centres = each(batch.column(1).to_numpy()).view(np.uint64)
-            entry = _mix(np.concatenate([labels for labels, _ in parts]) ^ _mix(centres * _ONE + _TWO))
-            places = np.arange(counts.sum()) - each(np.cumsum(counts) - counts) + 1
-            columns = [entry.view(np.int64), np.zeros(len(entry), bool), each(batch.column(0).to_numpy()), each([size for _, size in parts]).astype(np.int32), places.astype(np.int32)]
+            entry = _mix(labels ^ _mix(centres * _ONE + np.where(places == 0, _THREE, _TWO)))
+            columns = [entry.view(np.int64), places == 0, each(batch.column(0).to_numpy()), each([size for _, size in parts]).astype(np.int32), places.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["entry", "hot", "member", "size", "place"])
 
     return run
 
 
-def _across(rows: DataFrame, share: int) -> DataFrame:
-    """Pairs (a, b) of different components whose differences from a common centre share what a link needs."""
+def stars(known: DataFrame, share: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(entry, node, n, c) -> what is left of entries after all centres (entry, node, n, centre: the first), and the pairs (a, b) to verify."""
+    weight = known.groupBy("node").agg(F.sum("c").alias("weight"))
+    left, pairs = known.filter("c > 1").join(weight, "node"), None
+    for turn in range(CENTRES):  # whoever meets a centre leaves the entry to the next one without it
+        top = left.groupBy("entry").agg(F.max(F.struct("weight", "node", "n")).alias("top"))
+        met = left.join(top, "entry").filter("node != top.node")
+        if turn == 0:
+            met = met.withColumn("centre", F.col("top.node"))
+        met = scratch.write(met, f"round-{turn}")
+        fits = f"100 * least(n, top.n) >= {share} * greatest(n, top.n)"
+        star = met.filter(fits).select(F.col("top.node").alias("a"), F.col("node").alias("b"))
+        pairs = star if pairs is None else pairs.unionByName(star)
+        left = met.drop("top")
+    star = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+    for turn in range(CENTRES - 1):
+        scratch.drop(f"round-{turn}")
+    return left.filter(f"c > {CENTRES + 1}"), star
+
+
+def across(left: DataFrame, parts: DataFrame, items: DataFrame, share: int, scratch: Scratch, moved: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components that may link, of those left in the same entry.
+
+    ``parts``: node, comp by the links found so far. Differences from a common centre have to share what a link needs.
+    With ``moved``, a link asks for more than the share, so a set near the centre need not be in its component;
+    such sets meet all that are near it.
+    """
+    placed = left.join(parts, "node", "left").select("entry", "node", "n", "centre", F.coalesce("comp", "node").alias("comp"))
+    mixed = placed.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("entry")
+    members = placed.join(mixed, "entry", "left_semi").select("centre", "node", "n", "comp").distinct()
+    members = members.join(parts.select(F.col("node").alias("centre"), F.col("comp").alias("comp_c")), "centre", "left").withColumn("comp_c", F.coalesce("comp_c", "centre"))
+    members = scratch.write(members.withColumn("member", F.monotonically_increasing_id()), "members")
+    described = members.join(items.toDF("node", "own"), "node").join(items.toDF("centre", "middle"), "centre")
+    described = described.select("member", "centre", "middle", "own")
+    described = described.mapInArrow(_differences(share), "entry long, hot boolean, member long, size int, place int")
+    described = described.repartition(F.when(F.col("hot"), F.col("member")).otherwise(F.col("entry"))).sortWithinPartitions("entry")
+    described = scratch.write(described.mapInArrow(_shared, "entry long, hot boolean, member long, size int, place int").drop("hot"), "differences")
+    described = scratch.write(described.join(members, "member"), "described")
     names = ["node", "comp", "n", "size", "place"]
+    rows = described.filter("place > 0")
     other = rows.select("entry", *[F.col(c).alias(f"{c}_b") for c in names])
     common = f"((size + size_b - ((n + n_b) * {100 - share}) div {100 + share} + 1) div 2)"
     met = F.expr(f"node < node_b and comp != comp_b and 100 * least(n, n_b) >= {share} * greatest(n, n_b) and place <= size - {common} + 1 and place_b <= size_b - {common} + 1")
-    return rows.join(other, "entry").filter(met).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    pairs = rows.join(other, "entry").filter(met).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    if moved:
+        sizes = items.select(F.col("node").alias("centre"), (F.length("items") / 8).cast("long").alias("n_c"))
+        near = described.filter("place = 0").join(sizes, "centre").filter(f"size <= ((n + n_c) * {100 - share}) div {100 + share}")
+        strange = near.filter("comp != comp_c").select("centre", F.col("node").alias("node_b"), F.col("comp").alias("comp_b"))
+        meet = near.join(strange, "centre").filter("node != node_b and comp != comp_b")
+        pairs = pairs.unionByName(meet.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")))
+    return pairs.distinct()
 
 
-def _may_link(pairs: DataFrame, bins: DataFrame, share: int, scratch: Scratch, name: str) -> DataFrame:
+def may_link(pairs: DataFrame, bins: DataFrame, share: int, scratch: Scratch, name: str) -> DataFrame:
     both = pairs.join(bins.toDF("b", "n_b", "bins_b"), "b").join(bins.toDF("a", "n_a", "bins_a"), "a")
     return scratch.write(both.select("a", "b", "n_a", "bins_a", "n_b", "bins_b").mapInArrow(_near(share), "a long, b long"), name)
 
@@ -393,21 +457,11 @@ def components(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str
     scratch.drop("shared")
     sizes = met.groupBy("entry").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     known = scratch.write(met.join(sizes, "entry"), "known")
-    weight = known.groupBy("node").agg(F.sum("c").alias("weight"))
-    left, pairs = known.filter("c > 1").join(weight, "node"), None
-    for turn in range(CENTRES):  # whoever meets a centre leaves the entry to the next one without it
-        top = left.groupBy("entry").agg(F.max(F.struct("weight", "node", "n")).alias("top"))
-        met = left.join(top, "entry").filter("node != top.node")
-        if turn == 0:
-            met = met.withColumn("centre", F.col("top.node"))
-        met = scratch.write(met, f"round-{turn}")
-        fits = f"100 * least(n, top.n) >= {share} * greatest(n, top.n)"
-        star = met.filter(fits).select(F.col("top.node").alias("a"), F.col("node").alias("b"))
-        pairs = star if pairs is None else pairs.unionByName(star)
-        left = met.drop("top")
-    star = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
-    left = left.filter(f"c > {CENTRES + 1}")
-    near = _may_link(star, bins, share, scratch, "near")
+    scratch.drop("met")
+    left, star = stars(known, share, scratch)
+    scratch.drop("known")
+    scratch.settle()
+    near = may_link(star, bins, share, scratch, "near")
     nodes = near.select("a").union(near.select("b")).union(left.select("node")).union(left.select("centre")).toDF("node").distinct()
     wanted = owners.join(nodes, owners["num"] == nodes["node"], "left_semi").select("row", F.col("num").alias("node"))
     texts = rows.join(wanted, "row").dropDuplicates(["node"]).select("node", "text")
@@ -420,19 +474,11 @@ def components(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str
 
     links = verified(near, "links-star")
     parts = connected(links, scratch, "parts")
-    open_ = left.join(parts, "node", "left").select("entry", "node", "n", "centre", F.coalesce("comp", "node").alias("comp"))
-    mixed = open_.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("entry")
-    members = open_.join(mixed, "entry", "left_semi").select("centre", "node", "n", "comp").distinct()
-    members = scratch.write(members.withColumn("member", F.monotonically_increasing_id()), "members")
-    described = members.join(items.toDF("node", "own"), "node").join(items.toDF("centre", "middle"), "centre").select("member", "centre", "middle", "own")
-    described = described.mapInArrow(_differences(share), "entry long, hot boolean, member long, size int, place int")
-    described = described.repartition("entry").sortWithinPartitions("entry").mapInArrow(_shared, "entry long, hot boolean, member long, size int, place int").drop("hot")
-    described = scratch.write(scratch.write(described, "differences").join(members, "member"), "described")
-    rest = scratch.write(_across(described, share).join(star, ["a", "b"], "left_anti"), "rest")
-    more = verified(_may_link(rest, bins, share, scratch, "near-rest"), "links-rest")
+    rest = scratch.write(across(left, parts, items, share, scratch).join(star, ["a", "b"], "left_anti"), "rest")
+    more = verified(may_link(rest, bins, share, scratch, "near-rest"), "links-rest")
     found = connected(links.unionByName(more), scratch, "all")
     named = scratch.write(owners.join(found, owners["rep"] == found["node"], "left").select("id", "num", "n", F.coalesce("comp", "rep").alias("comp")), "named")
-    for spent in ("owners", "met", "known", "bins", "items", "differences", "described", *[f"round-{turn}" for turn in range(CENTRES)]):  # the result reads ``named`` alone
+    for spent in ("owners", "bins", "items", "differences", "described", f"round-{CENTRES - 1}"):  # the result reads ``named`` alone
         scratch.drop(spent)
     smallest = named.groupBy("comp").agg(F.min("id").alias("smallest"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("comp", "smallest")
     return named.join(smallest, "comp", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "id").alias("component_id"))
