@@ -1,9 +1,11 @@
 import math
+import random
 import zlib
 from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, none_of, prose
 from pyspark.sql import functions as F
@@ -223,3 +225,41 @@ def test_scores_without_training_texts(spark):
     assert hmm_lm.score(none_of(spark), Scratch(spark, "t"), F.lit(True)).count() == 0
     got = hmm_lm.score(awkward(spark), Scratch(spark, "t"), F.lit(False), rounds=1).collect()
     assert {r["n_known"] for r in got} == {0} and all(math.isfinite(r["score"]) for r in got)
+
+
+def test_sifted_lattices_score_as_all_do():
+    draw = random.Random(3)
+    clean, bad = [prose(i, 1) for i in range(300)], ["stupid", "moron", "idiot", "worthless"]
+    counts = np.zeros(toxicity.BUCKETS + toxicity.WORDS)
+    toxicity._count_grams(iter([pa.RecordBatch.from_arrays([pa.array([" ".join(clean * 5 + bad * 40)])], names=["text"])]), counts)
+    share = {"=" + w: 0.9 for w in bad} | {w[:5]: 0.7 for w in bad}
+
+    def noisy(word):
+        kind = draw.randrange(6)
+        if kind == 0:
+            return " ".join(word)
+        if kind == 1:
+            return word.translate(str.maketrans("oisea", "01534"))
+        if kind == 2:
+            return "".join(c * draw.randint(1, 3) for c in word)
+        if kind == 3:
+            at = draw.randrange(1, len(word))
+            return word[:at] + draw.choice([" ", "-", ".", "_", "*"]) + word[at:]
+        return word if kind == 4 else draw.choice("%*#!$") + word
+
+    plain, sifted, held = toxicity.Channel(counts), toxicity.Sifted(counts, share), 0
+    risky = lambda words: {w: max(share.get(f, 0) for f in toxicity.features(w)) for w in words if any(f in share for f in toxicity.features(w))}
+    for _ in range(400):
+        text = " ".join(noisy(draw.choice(clean + bad * 20)) for _ in range(draw.randint(1, 12)))
+        want = risky(plain.words(text))
+        assert risky(sifted.words(text)) == want
+        held += bool(want)
+    assert held > 100
+
+
+def test_numerals_are_no_letters(spark):
+    assert mixture_langid.letters_of("² ½ Ⅷ x² 3a ab") == ["x", "a", "ab"]
+    docs = spark.createDataFrame([(i, "plain english words here", "en") for i in range(9)] + [(20, "² ½ Ⅷ", "en"), (21, "1 _ -", "en")], "doc_id long, text string, lang string")
+    model = mixture_langid.train(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in mixture_langid.predict(docs, model).collect()}
+    assert got[20] == got[21] == ("und", 0.0) and got[0][0] == "en"

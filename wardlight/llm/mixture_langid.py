@@ -35,7 +35,11 @@ _GROUP, _HELD = 200_000, 80_000
 
 
 def letters_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """Runs of letters (category L); other numerals than decimal digits count as word signs, but not as letters."""
+    words = _LETTERS.findall(text.lower()) if text else []
+    if "".join(words).isalpha():
+        return words
+    return [part for word in words for part in ([word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split())]
 
 
 def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -115,6 +115,17 @@ def _count_grams(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
     add()
 
 
+def lattice(sign: str) -> list[tuple[str, float]]:
+    """What a sign may stand for, and its cost under the channel."""
+    if sign.isalpha():
+        return [(sign, 0.0)]
+    letters = LEET.get(sign, "")
+    options = [(x, _SIGN if len(letters) < 4 else _WILD) for x in letters]
+    if sign in SEPARATORS:
+        return [*options, ("", _DROP_SEPARATOR), (" ", _BREAK)]
+    return [*options, (sign, _KEEP) if sign.isdigit() else ("", _WILD)]
+
+
 class Channel:
     """Restores tokens; ``words`` gives the restored words of a text."""
 
@@ -153,18 +164,7 @@ class Channel:
         states: dict[str, tuple[float, str]] = {" ": (0.0, "")}
         before = ""
         for sign in seen:
-            options: list[tuple[str, float]] = []
-            if sign.isalpha():
-                options.append((sign, 0.0))
-            else:
-                letters = LEET.get(sign, "")
-                options += [(x, _SIGN if len(letters) < 4 else _WILD) for x in letters]
-                if sign in SEPARATORS:
-                    options += [("", _DROP_SEPARATOR), (" ", _BREAK)]
-                elif sign.isdigit():
-                    options.append((sign, _KEEP))
-                else:
-                    options.append(("", _WILD))
+            options = lattice(sign)
             if sign == before and sign not in SEPARATORS:
                 options.append(("", _DROP_REPEAT))
             new: dict[str, tuple[float, str]] = {}
@@ -283,6 +283,55 @@ class Channel:
         return found
 
 
+class Sifted(Channel):
+    """A channel that restores only what may hold evidence: scores are the same, most lattices are never searched.
+
+    The words and heads that are evidence form a trie. A lattice none of whose paths spells one of them from a
+    word's start has no path that matters, so its best path is not looked for.
+    """
+
+    def __init__(self, counts: np.ndarray, evidence: Iterable[str]):
+        super().__init__(counts)
+        self.trie: dict = {}
+        self.letters: dict[str, list[str]] = {}
+        for feature in evidence:
+            node = self.trie
+            for letter in feature.lstrip("="):
+                node = node.setdefault(letter, {})
+            node[""] = {}
+
+    def decode(self, seen: str) -> str:
+        return super().decode(seen) if self.may_tell(seen) else ""
+
+    def may_tell(self, seen: str) -> bool:
+        live, dead, before = [self.trie], False, ""
+        for sign in seen:
+            letters = self.letters.get(sign)
+            if letters is None:
+                letters = self.letters[sign] = [letter for letter, _ in lattice(sign)]
+            new = []
+            for letter in letters:
+                if letter == "":
+                    new += live
+                elif letter == " ":
+                    if dead or live:
+                        new.append(self.trie)
+                else:
+                    for node in live:
+                        child = node.get(letter)
+                        if child is not None:
+                            if "" in child:
+                                return True
+                            new.append(child)
+            if sign == before and sign not in SEPARATORS:
+                new += live
+            dead, before = True, sign
+            live = new if len(new) < 2 else list({id(node): node for node in new}.values())
+            if not live and not any(c in SEPARATORS for c in seen):
+                return False
+        return False
+
+
 HEADS = (4, 5, 6)
 
 
@@ -367,7 +416,7 @@ def score_batches(counts: np.ndarray, share: dict[str, float], base: float) -> C
     small = counts.astype(np.float32)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        channel, memo, nothing = Channel(small), {}, ()
+        channel, memo, nothing = Sifted(small, share), {}, ()
 
         def risky(word: str) -> tuple:
             p = max([share.get(f, 0.0) for f in features(word)])
