@@ -43,10 +43,10 @@ def test_batches_against_a_recount(spark, tokenizers):
     assert rollup.commit(1, spark.createDataFrame(rows, DOC), None, first)
     assert totals(rollup) == recount(live)
     again = [(2, "a", "de", "now much shorter"), (50, "c", "en", "new one"), (None, "n", None, "null id revised"), (3, "z", "en", "one row now")]
-    for i, s, lang, t in again:
-        live[i] = [(s, lang, second, t)]
     gone = spark.createDataFrame([(4,), (5,), (5,), (999,), (2,)], "doc_id long")
-    live.pop(4), live.pop(5)
+    live.pop(4), live.pop(5), live.pop(2)
+    for i, s, lang, t in again:  # counted under the second version beside the first
+        live[i] = [*live.get(i, []), (s, lang, second, t)]
     for expected in (True, False, False):  # a repeated commit changes nothing
         assert rollup.commit(2, spark.createDataFrame(again, DOC), gone, second) is expected
         assert totals(rollup) == recount(live)
@@ -57,12 +57,28 @@ def test_batches_against_a_recount(spark, tokenizers):
     live[50] = [("c", "en", first, "back")]
     assert totals(rollup) == recount(live)
     small = rollup.compact(Scratch(spark, "t").path("s"))
-    assert totals(small) == totals(rollup) and small.committed() == [5]
+    assert totals(small) == totals(rollup) and small.committed() == rollup.committed() == [1, 2, 3, 4, 5]
+    for batch in (1, 5):
+        assert small.commit(batch, spark.createDataFrame(rows, DOC), None, first) is False and totals(small) == recount(live)
     assert small.commit(6, None, spark.createDataFrame([(50,)], "doc_id long"), first)
     live.pop(50)
     assert totals(small) == recount(live)
 
 
+def test_late_batches_are_refused(spark, tokenizers):
+    rollup = tr.Rollup(spark, Scratch(spark, "t").path("r"))
+    one = lambda text: spark.createDataFrame([(1, "a", "en", text)], DOC)
+    assert rollup.commit(1, one("one two three"), None, tokenizers[0]) and rollup.commit(3, one("one"), None, *tokenizers)
+    before = totals(rollup)
+    with pytest.raises(ValueError, match="late"):
+        rollup.commit(2, one("one two"), None, tokenizers[0])
+    assert totals(rollup) == before
+    assert rollup.commit(4, one("one two three"), None, *tokenizers)
+    assert totals(rollup) == recount({1: [("a", "en", t, "one two three") for t in tokenizers]})
+    state = {(r["version"], r["docs"], r["tokens"]) for r in rollup.state().collect()}
+    assert state == {(v, d, t) for (_, _, v), (d, t) in totals(rollup).items()}
+
+
 def test_a_commit_that_died_is_overwritten(spark, tokenizers):
     rollup = tr.Rollup(spark, Scratch(spark, "t").path("r"))
     spark.createDataFrame([("a", "b", "c", 5, 5)], tr.DELTA).write.parquet(f"{rollup.folder}/deltas/batch=1")  # no marker
@@ -77,9 +93,9 @@ def test_history_of_the_given_tables(spark, tokenizers):
     bad = {r["doc_id"] for r in labels.filter("quality = 0").collect()}
     live = {}
     for r in docs.collect():
-        second = r["doc_id"] % 2 == 0 and r["lang"] != "en"
+        text = r["text"] if (r["text"] or "").isascii() else re.sub(r"[ \t\n\x0b\f\r]+", " ", r["text"])
         if r["doc_id"] not in bad:
-            live[r["doc_id"]] = [(r["source"], r["lang"], tokenizers[second], r["text"])]
+            live[r["doc_id"]] = [(r["source"], r["lang"], t, text) for t in tokenizers]
     assert rollup.committed() == [1, 2, 3] and totals(rollup) == recount(live)
 
 

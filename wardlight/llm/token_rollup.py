@@ -1,14 +1,16 @@
 """Token counts as delta-maintained rollups.
 
-A batch of changes carries texts to insert or revise and ids to delete. The commit turns it into
-signed deltas: what the touched ids counted before leaves, what they count now enters. Deltas are
-additive by (source, lang, version), so totals are one sum over the committed batches, and nothing
-that a batch does not touch is read but the state of its ids. The state holds, for each batch, what
-the ids it touched count from then on; the latest batch of an id holds.
-
-Commits are idempotent: a batch is written below its number and counts once its marker, written
-last, exists. A repeated commit finds the marker and does nothing; a failed one is overwritten.
-``compact`` folds committed batches into one.
+A batch of changes carries texts to insert or revise and ids to delete, counted under one or more
+tokenizer versions. The commit turns it into signed deltas: what the touched ids counted before
+leaves, what they count now enters. Deltas are additive by (source, lang, version), so totals are one
+sum over the committed batches, and nothing that a batch does not touch is read but the state of its
+ids. The state holds, for each batch, what the (id, version)s it touched count from then on; the latest
+batch of an (id, version) holds. An upsert replaces the id under the batch's versions, a delete under all.
+
+Commits are idempotent and ordered: a batch is written below its number and counts once its marker,
+written last, exists. A repeated commit finds the marker and does nothing; a failed one is overwritten; a
+late batch, whose number is below one that is committed already, is refused, for it would undo what is newer.
+``compact`` folds committed batches into one and keeps all their numbers, so a repeat is known afterwards too.
 
 Tokenizers are files; their bytes travel with the tasks, so executors need no copy. Defined
 results: null texts count 0 tokens and one document; null ids are one id, null sources and
@@ -87,62 +89,74 @@ class Rollup:
         return sorted(n for n in found if system.exists(self._exists(f"{self.folder}/committed/{n}/_SUCCESS")[1]))
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        """Rows of the committed batches with their batch number."""
-        paths = [f"{self.folder}/{kind}/batch={n}" for n in self.committed()]
+        """Rows of the committed batches with their batch number; batches that were folded into a later one have none."""
+        system, _ = self._exists(self.folder)
+        paths = [path for n in self.committed() if system.exists(self._exists(path := f"{self.folder}/{kind}/batch={n}")[1])]
         if not paths:
             return self.spark.createDataFrame([], f"{schema}, batch int")
         return self.spark.read.schema(f"{schema}, batch int").option("basePath", f"{self.folder}/{kind}").parquet(*paths)
 
     def state(self) -> DataFrame:
-        """What each live id counts now."""
+        """What each live id counts now, by version."""
         rows = self._read("state", STATE)
-        last = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-        return rows.join(last, rows["doc_id"].eqNullSafe(last["doc_id"]) & (rows["batch"] == last["batch"]), "left_semi").filter("docs > 0").drop("batch")
+        last = rows.groupBy("doc_id", F.col("version").alias("v")).agg(F.max("batch").alias("batch"))
+        same = rows["doc_id"].eqNullSafe(last["doc_id"]) & (rows["version"] == last["v"]) & (rows["batch"] == last["batch"])
+        return rows.join(last, same, "left_semi").filter("docs > 0").drop("batch")
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens; groups that count nothing any more are left out."""
         rows = self._read("deltas", DELTA).groupBy(*_KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return rows.filter((F.col("docs") != 0) | (F.col("tokens") != 0))
 
-    def commit(self, batch: int, upserts: DataFrame | None, deletes: DataFrame | None, tokenizer: Tokenizer) -> bool:
-        """Apply (doc_id, source, lang, text) and the ids to delete; False when ``batch`` is committed already.
+    def commit(self, batch: int, upserts: DataFrame | None, deletes: DataFrame | None, *tokenizers: Tokenizer) -> bool:
+        """Apply (doc_id, source, lang, text), counted under each tokenizer, and the ids to delete; False when ``batch`` is committed already.
 
-        An id that a batch both deletes and upserts is upserted.
+        An id that a batch both deletes and upserts is upserted: it leaves the versions that the batch does not count.
         """
-        if batch in self.committed():
+        done = self.committed()
+        if batch in done:
             return False
-        empty = self.spark.createDataFrame([], STATE)
-        new = empty
-        if upserts is not None:
-            counted = upserts.select("doc_id", "source", "lang", F.lit(tokenizer.version).alias("version"), token_count(tokenizer)("text").alias("tokens"))
+        if done and batch < done[-1]:
+            raise ValueError(f"batch {batch} is late: {done[-1]} is committed")
+        new = self.spark.createDataFrame([], STATE)
+        if upserts is not None and tokenizers:
+            counts = [token_count(t)("text").alias(f"t{i}") for i, t in enumerate(tokenizers)]
+            each = F.explode(F.array(*[F.struct(F.lit(t.version).alias("version"), F.col(f"t{i}").alias("tokens")) for i, t in enumerate(tokenizers)])).alias("one")
+            counted = upserts.select("doc_id", "source", "lang", *counts).select("doc_id", "source", "lang", each).select("doc_id", "source", "lang", "one.version", "one.tokens")
             new = counted.groupBy("doc_id", *_KEY).agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
         place = f"{self.folder}/pending/batch={batch}"
         new.select(*_STATE).write.mode("overwrite").parquet(place)
         new = self.spark.read.schema(STATE).parquet(place)
-        touched = new.select("doc_id")
+        # a null version stands for all versions of a deleted id
+        touched = new.select(F.col("doc_id").alias("touched"), F.col("version").alias("v"))
         if deletes is not None:
-            touched = touched.unionByName(deletes.select("doc_id"))
-        touched = touched.distinct().withColumnRenamed("doc_id", "touched")
+            touched = touched.unionByName(deletes.select(F.col("doc_id").alias("touched"), F.lit(None).cast("string").alias("v")))
+        touched = touched.distinct().groupBy("touched").agg(F.collect_set("v").alias("versions"), F.bool_or(F.col("v").isNull()).alias("whole"))
         now = self.state()
-        old = now.join(touched, now["doc_id"].eqNullSafe(touched["touched"]), "left_semi")
+        old = now.join(touched, now["doc_id"].eqNullSafe(touched["touched"])).filter(F.col("whole") | F.array_contains("versions", F.col("version"))).select(*_STATE)
         zero = F.lit(0).cast("long")
-        gone = old.join(new.select(F.col("doc_id").alias("again")).distinct(), F.col("doc_id").eqNullSafe(F.col("again")), "left_anti")
-        state = new.unionByName(gone.select("doc_id", *_KEY, zero.alias("docs"), zero.alias("tokens")).dropDuplicates(["doc_id"]))
+        again = new.select(F.col("doc_id").alias("again"), F.col("version").alias("v")).distinct()
+        gone = old.join(again, F.col("doc_id").eqNullSafe(F.col("again")) & (F.col("version") == F.col("v")), "left_anti")
+        state = new.unionByName(gone.select("doc_id", *_KEY, zero.alias("docs"), zero.alias("tokens")).dropDuplicates(["doc_id", "version"]))
         signed = new.select(*_KEY, "docs", "tokens").unionByName(old.select(*_KEY, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
         deltas = signed.groupBy(*_KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         state.select(*_STATE).write.mode("overwrite").parquet(f"{self.folder}/state/batch={batch}")
         deltas.write.mode("overwrite").parquet(f"{self.folder}/deltas/batch={batch}")
-        self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/committed/{batch}")
+        self._mark(batch)
         return True
 
+    def _mark(self, batch: int) -> None:
+        self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/committed/{batch}")
+
     def compact(self, other: str) -> "Rollup":
-        """A rollup below ``other`` with the same state and totals, in one batch numbered as the latest."""
+        """A rollup below ``other`` with the same state, totals and committed numbers, all rows in the latest batch."""
         batches = self.committed()
         new = Rollup(self.spark, other)
         if batches:
             self.state().write.mode("overwrite").parquet(f"{new.folder}/state/batch={batches[-1]}")
             self.totals().write.mode("overwrite").parquet(f"{new.folder}/deltas/batch={batches[-1]}")
-            self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{new.folder}/committed/{batches[-1]}")
+            for batch in reversed(batches):  # the latest first: without the rows no earlier number counts
+                new._mark(batch)
         return new
 
 
@@ -150,15 +164,15 @@ FIRST, SECOND = "byte_bpe_50k", "byte_bpe_multi_50k"
 
 
 def history(spark, docs: DataFrame, labels: DataFrame, folder: str, tokenizers: str = TOKENIZERS) -> Rollup:
-    """All documents inserted; those of even id and another language than English revised under the
-    second tokenizer; those labelled as of low quality deleted; the revision committed once more."""
+    """All documents inserted under both tokenizers; those whose text is not all ASCII revised, white space folded;
+    those labelled as of low quality deleted; the revision committed once more."""
     rollup = Rollup(spark, folder)
-    first, second = Tokenizer.named(FIRST, tokenizers), Tokenizer.named(SECOND, tokenizers)
+    both = [Tokenizer.named(version, tokenizers) for version in (FIRST, SECOND)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
-    revised = rows.filter((F.col("doc_id") % 2 == 0) & (F.col("lang") != "en"))
+    revised = rows.filter(F.octet_length("text") > F.char_length("text")).withColumn("text", F.regexp_replace("text", r"\s+", " "))
     bad = labels.filter("quality = 0").select(F.col("doc_id").cast("long").alias("doc_id"))
-    for batch, upserts, deletes, tokenizer in ((1, rows, None, first), (2, revised, None, second), (3, None, bad, second), (2, revised, None, second)):
-        rollup.commit(batch, upserts, deletes, tokenizer)
+    for batch, upserts, deletes in ((1, rows, None), (2, revised, None), (3, None, bad), (2, revised, None)):
+        rollup.commit(batch, upserts, deletes, *both)
     return rollup
 
 
