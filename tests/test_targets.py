@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wardlight.operators import baseline as bl
 from wardlight.operators import document_rules as dr
 from wardlight.operators import paths as pt
 from wardlight.plans import scan
@@ -107,3 +108,34 @@ def test_two_target_columns_one_null(spark):
     docs = spark.createDataFrame([("x", None, "a.md", TEXT), ("x", "y", "a.md", TEXT), (None, None, "a.md", TEXT)], "t string, line string, path string, text string")
     found = scan.run(docs, ["t", "line"], walks=False)
     assert len(found.targets.drop("t", "line").distinct().collect()) == 1 and found.targets.count() == 3
+
+
+def test_roots_per_target(spark):
+    rows = [("a", "/w/a/x/f.md"), ("a", "/w/a/y/../x/./g.md"), ("a", "/w/b/f.md"), ("b", "/w/b/f.md"), ("b", "/w/bb/f.md"), (None, "/w/n/f.md"), ("c", "/w/c/f.md"), ("a", None), ("a", "<correlated>"), ("a", "rel/f.md"), ("a", "/w/a")]
+    roots = spark.createDataFrame([("a", "/w/a"), ("a", "/w/a/x/"), ("a", "/w"), ("b", "/w/b"), (None, "/w/n"), ("c", None)], "t string, root string")
+    placed = bl.rooted(spark.createDataFrame(rows, "t string, path string"), roots, ["t"])
+    got = {(r.t, r.path): (r.root, r.file) for r in placed.withColumn("file", bl.relative_location(F.col("path"), F.col("root"))).collect()}
+    assert got == {
+        ("a", "/w/a/x/f.md"): ("/w/a/x", "f.md"), ("a", "/w/a/y/../x/./g.md"): ("/w/a/x", "g.md"), ("a", "/w/b/f.md"): ("/w", "b/f.md"), ("b", "/w/b/f.md"): ("/w/b", "f.md"),
+        ("b", "/w/bb/f.md"): (None, "<outside>/f.md"), (None, "/w/n/f.md"): ("/w/n", "f.md"), ("c", "/w/c/f.md"): (None, "<outside>/f.md"), ("a", None): (None, None),
+        ("a", "<correlated>"): (None, "<correlated>"), ("a", "rel/f.md"): (None, "<outside>/f.md"), ("a", "/w/a"): ("/w/a", "<outside>/a"),
+    }
+    for one in ("/w/a", "/", "/w/a/"):  # a column of roots says what a literal says
+        both = spark.createDataFrame([(p, "see /w/a/x/f.md:3, /home/u/k.md and http://h/w/a/x ../../up") for _, p in rows], "path string, evidence string").select(
+            bl.relative_location(F.col("path"), one).alias("f1"), bl.relative_location(F.col("path"), F.lit(one).cast("string")).alias("f2"),
+            bl.sanitize_evidence(F.col("evidence"), one, "/home/u").alias("e1"), bl.sanitize_evidence(F.col("evidence"), F.lit(one), "/home/u").alias("e2"),
+        ).collect()
+        assert all(r.f1 == r.f2 and r.e1 == r.e2 for r in both)
+
+
+def test_a_baseline_of_relative_paths_at_any_root(spark):
+    """The same tree below three roots, one target null: each matches the baseline taken at the first."""
+    tree = [("SKILL.md", "Read the password.\neval(x)\nsee /etc/passwd\n"), ("sub/x.py", "import requests\nrequests.get('http://1.2.3.4/a')\n")]
+    at = {"one": "/srv/one", "two": "/home/u/two", None: "/tmp/n"}
+    docs = spark.createDataFrame([(t, f"{root}/{p}", text) for t, root in at.items() for p, text in tree], "target string, path string, text string")
+    roots = spark.createDataFrame([(t, root) for t, root in at.items()], "target string, root string")
+    first = scan.run(docs.where("target = 'one'"), ["target"], roots=roots, walks=False).findings
+    known = first.withColumn("evidence", bl.sanitize_evidence(F.coalesce("evidence", F.lit("")), "/srv/one")).select("rule_id", "file", "line", "evidence", "severity")
+    baseline = known.join(F.broadcast(roots.select("target")), F.lit(True))
+    told = scan.run(docs, ["target"], roots=roots, baseline=baseline, walks=False).targets.collect()
+    assert len(told) == 3 and all(r.findings > 2 and r.matched == r.findings and r.new == 0 for r in told)

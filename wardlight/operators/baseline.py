@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight import vocab
+from wardlight.operators.targets import by_target
 
 KEY = ["rule_id", "file", "line", "evidence", "severity"]
 # fixed values
@@ -32,16 +33,40 @@ def normal_path(path: Column, cwd: str = "/") -> Column:
     return F.when(plain.rlike(r"/\.\.(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(plain)
 
 
-def relative_location(file: Column, root: str, cwd: str = "/") -> Column:
-    """Location below the scan root; pseudo locations stay, anything outside is named by its base name."""
-    full = normal_path(file, cwd)
-    base = root.rstrip("/") + "/"
-    inside = F.when(full.startswith(base), F.substring(full, F.lit(len(base) + 1), F.length(full)))
+def _folder(root: str | Column) -> Column:
+    """A folder with a slash at its end, so that it is a prefix of what lies below only."""
+    return F.concat(F.rtrim(root, F.lit("/")), F.lit("/")) if isinstance(root, Column) else F.lit(root.rstrip("/") + "/")
+
+
+def relative_location(file: Column, root: str | Column, cwd: str = "/") -> Column:
+    """Location below the scan root; pseudo locations stay, anything outside is named by its base name.
+
+    A null root has nothing below it.
+    """
+    full, base = normal_path(file, cwd), _folder(root)
+    inside = F.when(full.startswith(base), F.substring(full, F.length(base) + 1, F.length(full)))
     outside = F.concat(F.lit("<outside>/"), F.regexp_extract(full, r"([^/]*)$", 1))
     return F.when(file.startswith("<") & file.endswith(">"), file).otherwise(F.coalesce(inside, outside))
 
 
-def sanitize_evidence(evidence: Column, root: str, home: str = "", cwd: str = "") -> Column:
+@by_target()
+def rooted(rows: DataFrame, roots: DataFrame, keys: Sequence[str] = (), column: str = "path", cwd: str = "/") -> DataFrame:
+    """Adds ``root``: of the target's roots (keys, root) the longest that holds the path, null where none does.
+
+    Every distinct path meets the roots by its leading folders, no deeper than the deepest root, so the
+    number of roots does not matter and a target with most files is spread by its paths.
+    """
+    known = roots.where("root IS NOT NULL").select(*keys, normal_path(F.col("root"), cwd).alias("root")).distinct()
+    deepest = known.agg(F.max(F.size(F.split("root", "/")))).first()[0] or 0
+    parts = F.split(F.concat(F.rtrim("_full", F.lit("/")), F.lit("/")), "/")  # the first part is empty, the last too
+    heads = F.transform(F.sequence(F.lit(1), F.least(F.size(parts) - 1, F.lit(max(deepest, 1)))), lambda n: F.when(n == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, 1, n), "/")))
+    files = rows.select(*keys, column).where(F.col(column).isNotNull()).distinct().withColumn("_full", normal_path(F.col(column), cwd))
+    met = files.select(*keys, column, F.explode(heads).alias("root")).join(known, [*keys, "root"])
+    found = met.groupBy(*keys, column).agg(F.max_by("root", F.length("root")).alias("root"))
+    return rows.drop("root").join(found, [*keys, column], "left").select(*[c for c in rows.columns if c != "root"], "root")
+
+
+def sanitize_evidence(evidence: Column, root: str | Column, home: str = "", cwd: str = "") -> Column:
     """Evidence without host paths; URLs stay as written."""
     pieces = F.regexp_extract_all(evidence, F.lit(rf"({TOKEN}|[\s,;()\[\]{{}}\"'<>]+)"), F.lit(1))
 
@@ -52,9 +77,8 @@ def sanitize_evidence(evidence: Column, root: str, home: str = "", cwd: str = ""
 
     text = F.when(evidence.contains("/"), F.array_join(F.transform(pieces, scrub), "")).otherwise(evidence)
     for prefix, by in ((root, ""), (home, "<home>/"), (cwd, "<cwd>/")):
-        lead = prefix.rstrip("/") + "/"
-        if lead != "/":
-            text = F.replace(text, F.lit(lead), F.lit(by))
+        lead = _folder(prefix)
+        text = F.when(lead != "/", F.replace(text, lead, F.lit(by))).otherwise(text)
     text = F.regexp_replace(text, ABSOLUTE, "<path>/$1")
     text = F.regexp_replace(text, UP_PREFIX, "")
     return F.regexp_replace(text, UP_TOKEN, "<up>")
@@ -82,7 +106,7 @@ def rewrite_known_files(findings: DataFrame, files: DataFrame, root: str, cwd: s
     return findings.join(joined, id_column, "left").withColumn("evidence", F.coalesce("_evidence", "evidence")).drop("_evidence")
 
 
-def records(findings: DataFrame, root: str, cwd: str = "/", home: str = "") -> DataFrame:
+def records(findings: DataFrame, root: str | Column, cwd: str = "/", home: str = "") -> DataFrame:
     """Findings with scrubbed ``file`` and ``evidence``; suppressed ones included."""
     return findings.withColumn("file", relative_location(F.col("path"), root, cwd)).withColumn(
         "evidence", sanitize_evidence(F.coalesce("evidence", F.lit("")), root, home, cwd)

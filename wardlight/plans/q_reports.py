@@ -61,6 +61,17 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     return bl.sorted_records(bl.records(_placed(spark, folder), ROOT))
 
 
+def rooted(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings of targets with roots of their own, one of them the null target: files relative to the longest root."""
+    found = seeded_findings(spark, folder).select("doc_id", "path")
+    k = F.col("doc_id") % 5
+    target = F.when(k < 4, F.concat(F.lit("t"), k.cast("string")))
+    rows = found.select(target.alias("target"), F.concat(F.lit("/srv/"), F.coalesce(target, F.lit("null")), F.lit("/./in/"), "path").alias("path"))
+    roots = constant_table(spark, ["target", "root"], [("t0", "/srv/t0"), ("t0", "/srv/t0/in/"), ("t0", "/"), ("t1", "/srv/t1/"), ("t2", "/srv/t2/in"), ("t2", "/srv/t2/i"), ("t3", "/srv/t"), (None, "/srv/null")])
+    placed = bl.rooted(rows, roots, ["target"])
+    return placed.groupBy("target", bl.relative_location(F.col("path"), F.col("root")).alias("file")).agg(F.count("*").alias("n"))
+
+
 def ids(spark: SparkSession, folder: str) -> DataFrame:
     rows = bl.with_ids(bl.records(_placed(spark, folder), ROOT))
     return rows.groupBy("finding_id", "rule_id").agg(F.count("*").alias("n"))
@@ -563,6 +574,7 @@ def scan_targets(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "relative_location": locations,
     "baseline_records": records,
+    "baseline_roots": rooted,
     "rewrite_known_files": known_files,
     "finding_ids": ids,
     "ambiguous_ids": ambiguous,
@@ -672,6 +684,9 @@ per AS (SELECT d.source, p.attack_type, p.risk_score FROM p JOIN docs d ON d.pat
 GRAPH_RESULTS = RESULTS
 ORACLES = {
     "relative_location": f"WITH {PLACED} SELECT file, count(*) AS n FROM recs GROUP BY file",
+    "baseline_roots": f"""WITH {FINDINGS_SQL} SELECT CASE WHEN doc_id % 5 < 4 THEN 't' || doc_id % 5 END AS target,
+      CASE doc_id % 5 WHEN 0 THEN path WHEN 2 THEN path WHEN 3 THEN '<outside>/' || regexp_extract(path, '([^/]*)$', 1) ELSE 'in/' || path END AS file, count(*) AS n
+      FROM line_findings GROUP BY ALL""",
     "baseline_records": f"WITH {PLACED} SELECT rule_id, file, line, evidence, severity FROM recs",
     "rewrite_known_files": f"WITH {FINDINGS_SQL} SELECT doc_id || ':' || line || ':' || rule AS id, 'see ' || substr(path, 8) || ':' || line || ' or other/file.md (' AS evidence FROM line_findings",
     "finding_ids": f"WITH {PLACED} SELECT {ID} AS finding_id, rule_id, count(*) AS n FROM recs GROUP BY ALL",

@@ -121,12 +121,14 @@ def graph(found: Found, scan: Sequence[str], declared: DataFrame | None = None)
 
 def run(
     docs: DataFrame, scan: Sequence[str], declared: DataFrame | None = None, events: DataFrame | None = None, baseline: DataFrame | None = None,
-    context: DataFrame | None = None, ignore: dict | None = None, limit: int | None = None, walks: bool = True,
+    context: DataFrame | None = None, ignore: dict | None = None, limit: int | None = None, walks: bool = True, roots: DataFrame | None = None,
 ) -> Scan:
     """Scan documents (scan keys, path, text).
 
     ``events``: coverage rows (scan keys, kind, path, reason, line) of what was read or not;
     without them every document counts as read. ``baseline``: fingerprints with the scan keys.
+    ``roots``: folders of the targets (scan keys, root); with them a finding's ``file`` is relative to the
+    longest root that holds it, and the baseline is compared by it and by evidence without host paths.
     ``context``: component associations with the scan_ keys. ``ignore``: lists of rules, servers
     and domains. ``limit`` bounds the edges of a walk; a cut walk leaves a coverage row, which
     makes its target's coverage partial. Verdicts, counts of paths and the worst type need no listed
@@ -136,7 +138,7 @@ def run(
     keys = [tg.BOX] if names and not tg.is_sealed(names) else names
     inside = inner(keys)
     if keys != names:
-        docs, events, baseline = (tg.seal(table, names) for table in (docs, events, baseline))
+        docs, events, baseline, roots = (tg.seal(table, names) for table in (docs, events, baseline, roots))
         declared, context = (tg.seal(table, own, inside[0]) for table in (declared, context))
     found = find(docs, keys)
     edges = graph(found, keys, declared)
@@ -158,11 +160,16 @@ def run(
         short = _renamed(pt.cut_walks(pt.flow_walks(flows, origins, limit, inside), flows, limit, inside), inside, keys)
         events = events.unionByName(short.select(*keys, F.lit("skipped").alias("kind"), F.col("component").alias("path"), F.lit("walk_cut").alias("reason"), F.lit(None).cast("int").alias("line")))
     findings = en.suppress(found.findings, **(ignore or {})).withColumn("file", F.col("path"))
-    state = none.alias("baseline_state")
+    if roots is not None:
+        placed = bl.rooted(findings, roots, keys)
+        findings = placed.withColumn("file", bl.relative_location(F.col("path"), F.col("root"))).withColumn("told", bl.sanitize_evidence(F.coalesce("evidence", F.lit("")), F.coalesce("root", F.lit("/")))).drop("root")
     if baseline is not None:
-        findings = cut(bl.annotate(findings, baseline, ORDER, F.floor(F.coalesce("line", F.lit(0)) / 4096), [*keys, *bl.KEY]))
+        # the fingerprint's evidence is the scrubbed one where roots say how to scrub it
+        printed = findings.withColumnRenamed("evidence", "shown").withColumnRenamed("told", "evidence") if roots is not None else findings
+        printed = cut(bl.annotate(printed, baseline, ORDER, F.floor(F.coalesce("line", F.lit(0)) / 4096), [*keys, *bl.KEY]))
+        findings = printed.drop("evidence").withColumnRenamed("shown", "evidence") if roots is not None else printed
     else:
-        findings = findings.select("*", state)
+        findings = findings.drop("told").withColumn("baseline_state", none)
     valid = None if context is None else cp.valid_context(context, nodes, edges, inside)
     verdicts = targets(findings, _renamed(counts, inside, keys), events, keys)
     if keys == names:
