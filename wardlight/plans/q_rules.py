@@ -36,7 +36,7 @@ LIVE_CLIENT = (
     f"starts_with(t, 'def ') OR starts_with(t, 'function ') "
     f"OR {m('t', rf'^(?:requests|httpx|aiohttp)(?:\.\w+)*\.(?:{rc.HTTP_VALUE_CLASSES})\b[\w.]*\s*\($')} "
     f"OR ({m('t', '^' + rc.HTTP_FROM_IMPORT[2:])} AND len(list_filter(list_transform(string_split("
-    f"regexp_extract(t, {q('^' + rc.HTTP_FROM_IMPORT[2:])}, 1), ','), lambda n: trim(regexp_replace(n, '\\s+as\\s+\\w+', '', 'g'))), "
+    f"regexp_extract(t, {q(plain_regex('^' + rc.HTTP_FROM_IMPORT[2:]))}, 1), ','), lambda n: trim(regexp_replace(n, '\\s+as\\s+\\w+', '', 'g'))), "
     f"lambda n: n <> '' AND NOT list_contains({array(rc.HTTP_VALUE_NAMES)}, n))) = 0)))) > 0"
 )
 LIVE_OBJECT = f"len({live(rc.HTTP_OBJECT_CALL, fold=True)}) > 0"
