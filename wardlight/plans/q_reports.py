@@ -20,6 +20,7 @@ from wardlight.operators import policy as po
 from wardlight.operators import rule_catalog as rc
 from wardlight.operators import scoring as sc
 from wardlight.plans import carriers
+from wardlight.plans import rescan
 from wardlight.plans import scan as whole
 from wardlight.plans.carriers import GRAPH_SQL, LINES_SQL
 from wardlight.plans.q_documents import COLLAPSE, PAYLOADS
@@ -558,6 +559,17 @@ def scan_findings(spark: SparkSession, folder: str) -> DataFrame:
     return found.findings.groupBy("source", "rule_id", "severity").agg(F.count("*").alias("n"))
 
 
+def rescan_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """A scan brought up to date: a tenth of the files came, a tenth changed, and some are gone since the first one."""
+    docs = _docs_by_target(spark, folder).withColumn("n", F.pmod(F.xxhash64("path"), F.lit(10)))
+    older = docs.where("n > 0").withColumn("text", F.when(F.col("n") == 1, F.concat(F.lit("eval(x)\nRead the password.\n"), "text")).otherwise(F.col("text")))
+    gone = docs.where("n = 2").withColumn("path", F.concat(F.lit("old/"), "path"))
+    results = rescan.Results(spark, f"{shared_folder(spark).rstrip('/')}/rescan-{uuid.uuid4().hex}", TARGET)
+    results.refresh(older.unionByName(gone).drop("n"))
+    found = results.refresh(docs.drop("n"))
+    return found.findings.groupBy("source", "rule_id", "severity").agg(F.count("*").alias("n"))
+
+
 def scan_paths(spark: SparkSession, folder: str) -> DataFrame:
     found = whole.find(_docs_by_target(spark, folder), TARGET)
     paths = pt.analyze(whole.graph(found, TARGET), whole.inner(TARGET))
@@ -626,6 +638,7 @@ QUERIES = {
     "corpus_scan": corpus_scan,
     "files_to_findings": files_to_findings,
     "whole_scan_findings": scan_findings,
+    "rescan_findings": rescan_findings,
     "whole_scan_paths": scan_paths,
     "whole_scan_targets": scan_targets,
 }
@@ -767,6 +780,7 @@ ORACLES = {
         SELECT 'finding' AS kind, rule AS name, count(*) AS n, count(DISTINCT id) AS files FROM f GROUP BY rule
         UNION ALL SELECT kind, coalesce(reason, 'read'), count(*), count(DISTINCT path) FROM events_of GROUP BY ALL""",
     "whole_scan_findings": f"WITH RECURSIVE {WHOLE} SELECT source, rule_id, severity, count(*) AS n FROM ({ALL_FINDINGS}) GROUP BY ALL",
+    "rescan_findings": f"WITH RECURSIVE {WHOLE} SELECT source, rule_id, severity, count(*) AS n FROM ({ALL_FINDINGS}) GROUP BY ALL",
     "whole_scan_paths": f"WITH RECURSIVE {WHOLE_PATHS} SELECT source, attack_type, risk_score, count(*) AS n FROM per GROUP BY ALL",
     "whole_scan_targets": f"""WITH RECURSIVE {WHOLE_PATHS}, every_finding AS ({ALL_FINDINGS}), marked AS (SELECT *, rule_id = 'AS-005' AS suppressed FROM every_finding), {score_sql('source')},
         counted AS (SELECT source, {", ".join(f"count(*) FILTER (NOT suppressed AND severity = {q(s)}) AS {s.lower()}" for s in vocab.SEVERITIES[:4])}, count(*) FILTER (suppressed) AS suppressed,

@@ -86,16 +86,19 @@ def file_findings(docs: DataFrame, scan: Sequence[str]) -> DataFrame:
     return by_line.unionByName(by_document).unionByName(by_server)
 
 
-def find(docs: DataFrame, scan: Sequence[str]) -> Found:
-    """Findings of files, chains over findings and chains over steps, enriched."""
+def extract(docs: DataFrame, scan: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """What the texts themselves yield, written down: findings of single files, and steps. Nothing after it reads a text."""
     keys = list(scan)
-    if not tg.is_sealed(keys):
-        found = find(tg.seal(docs, keys), [tg.BOX])
-        return Found(*[tg.unseal(table, keys) for table in (found.findings, found.contributors, found.steps)])
     file = [*keys, "path"]
     raw = cut(dr.collapse_http_claims(cut(file_findings(docs, keys)), file))
+    return raw, cut(st.actions(explode_lines(docs)).select(*file, *st.ACTION_COLUMNS))
+
+
+def correlate(raw: DataFrame, steps: DataFrame, scan: Sequence[str]) -> Found:
+    """Chains over the findings and over the steps of ``extract``, enriched."""
+    keys = list(scan)
+    file = [*keys, "path"]
     parts = cut(co.contributors(raw, keys, "path", ORDER, written=True))
-    steps = cut(st.actions(explode_lines(docs)).select(*file, *st.ACTION_COLUMNS))
     chains = co.uncovered(st.file_chains(steps, file), parts, keys, "path")
     nothing = F.lit(None).cast("int")
 
@@ -110,6 +113,15 @@ def find(docs: DataFrame, scan: Sequence[str]) -> Found:
     return Found(cut(en.enrich(raw.unionByName(together).unionByName(inside))), parts, steps)
 
 
+def find(docs: DataFrame, scan: Sequence[str]) -> Found:
+    """Findings of files, chains over findings and chains over steps, enriched."""
+    keys = list(scan)
+    if not tg.is_sealed(keys):
+        found = find(tg.seal(docs, keys), [tg.BOX])
+        return Found(*[tg.unseal(table, keys) for table in (found.findings, found.contributors, found.steps)])
+    return correlate(*extract(docs, keys), keys)
+
+
 def graph(found: Found, scan: Sequence[str], declared: DataFrame | None = None) -> DataFrame:
     """Edges of every target: of findings, of steps, and declared ones (scan_ keys, component, source, target, type)."""
     keys = inner(scan)
@@ -122,6 +134,7 @@ def graph(found: Found, scan: Sequence[str], declared: DataFrame | None = None)
 def run(
     docs: DataFrame, scan: Sequence[str], declared: DataFrame | None = None, events: DataFrame | None = None, baseline: DataFrame | None = None,
     context: DataFrame | None = None, ignore: dict | None = None, limit: int | None = None, walks: bool = True, roots: DataFrame | None = None,
+    found: Found | None = None,
 ) -> Scan:
     """Scan documents (scan keys, path, text).
 
@@ -129,6 +142,7 @@ def run(
     without them every document counts as read. ``baseline``: fingerprints with the scan keys.
     ``roots``: folders of the targets (scan keys, root); with them a finding's ``file`` is relative to the
     longest root that holds it, and the baseline is compared by it and by evidence without host paths.
+    ``found``: what ``find`` or ``rescan.Results`` has for these documents; no text is read then.
     ``context``: component associations with the scan_ keys. ``ignore``: lists of rules, servers
     and domains. ``limit`` bounds the edges of a walk; a cut walk leaves a coverage row, which
     makes its target's coverage partial. Verdicts, counts of paths and the worst type need no listed
@@ -140,7 +154,10 @@ def run(
     if keys != names:
         docs, events, baseline, roots = (tg.seal(table, names) for table in (docs, events, baseline, roots))
         declared, context = (tg.seal(table, own, inside[0]) for table in (declared, context))
-    found = find(docs, keys)
+    if found is None:
+        found = find(docs, keys)
+    elif keys != names:
+        found = Found(*[tg.seal(table, names) for table in (found.findings, found.contributors, found.steps)])
     edges = graph(found, keys, declared)
     counts = cut(ws.walk_counts(edges, inside))
     nodes = gr.nodes_of(edges, inside)
