@@ -14,7 +14,7 @@ buckets with others, then whoever is left the next one, ``CENTRES`` times. What
 component. Members left in buckets that still hold several components may have links that no star
 sees. Each is described by how its set of items differs from the first centre's: two sets at the
 threshold that lie in different components share one of the first labels of their differences, by
-prefix filtering as in ``set_join``; sets near the centre that are not in its component (parts were moved)
+prefix filtering as in ``set_join``, labels that many members have last; sets near the centre that are not in its component (parts were moved)
 meet all that are near it. Pairs are ruled out by histograms of their items before whole texts are moved. No
 link between different texts that share a bucket is lost. Copies (equal word sequences) are one node from
 the start. Components come from label propagation with pointer jumping over written tables.
@@ -227,7 +227,7 @@ def linked(known: DataFrame, bins: DataFrame, texts_of: Callable[[DataFrame], Da
 
     links = verified(near, "links-star")
     parts = connected(links, scratch, "parts")
-    rest = scratch.write(sj.across(left, parts, items, share, scratch, moved=True).join(star, ["a", "b"], "left_anti"), "rest")
+    rest = scratch.write(sj.across(left, parts, items, share, scratch, moved=True, ranked=True).join(star, ["a", "b"], "left_anti"), "rest")
     more = verified(sj.may_link(rest, bins, share, scratch, "near-rest"), "links-rest")
     found = connected(links.unionByName(more), scratch, "all") if more.limit(1).count() else parts
     for done in ("items", "star", "near", "rest", "differences", "described"):

@@ -14,7 +14,7 @@ pairs are not listed. In each entry the set that meets most others is the centre
 against it, then the rest against the next, ``CENTRES`` times, which gives components. Where those left
 in an entry are still in several components, each is described by its difference from the first centre, whose symmetric differences are those of the sets: two
 sets of different components that link must share labels of their differences, among the first ones in
-an order common to all (inserted before missing ones), as prefix filtering has it. A set needs at
+an order common to all (inserted before missing ones, frequent inserted ones last where asked for), as prefix filtering has it. A set needs at
 most H + 1 of them, whatever its length. What meets there is verified, and components are built again.
 Before whole sets are moved for verification, pairs are ruled out by histograms of their hashes, whose
 differences bound those of the sets from below. Every link is verified on the whole sets, or both its ends
@@ -35,16 +35,18 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlight.llm.common import Scratch, connected, table
 
-WIDTH, SHARE, SAMPLE, HOT, CENTRES = 4, 85, 2000, 16, 8
+WIDTH, SHARE, SAMPLE, HOT, CENTRES, COMMON = 4, 85, 2000, 16, 12, 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ONE, _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ROW_COST = 0.1  # an entry more, in candidate pairs
@@ -110,10 +112,14 @@ class Bands:
         return found
 
 
+@lru_cache(maxsize=4096)
+def _edges(count: int) -> np.ndarray:
+    return np.array([(i << 64) // count for i in range(1, count)], np.uint64)
+
+
 def _segments(shingles: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of ``count`` segments in the sorted hashes (one more at the end), sums of mixed hashes up to each place."""
-    edges = np.array([(i << 64) // count for i in range(1, count)], np.uint64)
-    starts = np.concatenate([[0], np.searchsorted(shingles, edges), [len(shingles)]])
+    starts = np.concatenate([[0], np.searchsorted(shingles, _edges(count)), [len(shingles)]])
     return starts, np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(shingles ^ _ONE))])
 
 
@@ -341,35 +347,76 @@ def _linked(share: int) -> Callable:
     return run
 
 
-def difference_prefix(centre: np.ndarray, own: np.ndarray, share: int) -> tuple[np.ndarray, int]:
-    """The first labels of the difference that a link to another component has to share one of, and its size."""
+def difference_prefix(centre: np.ndarray, own: np.ndarray, share: int, strict: bool = True, rank: Callable | None = None) -> tuple[np.ndarray, int]:
+    """The first labels of the difference that a link to another component has to share one of, and its size.
+
+    With ``strict``, sets near the centre are in its component, so their partners elsewhere are far from it.
+    ``rank`` orders the inserted labels, the same way for all sets of a centre.
+    """
     n, c = len(own), len(centre)
-    labels = np.concatenate([np.setdiff1d(own, centre, assume_unique=True), np.setdiff1d(centre, own, assume_unique=True)])
+    inserted = np.setdiff1d(own, centre, assume_unique=True)
+    if rank is not None:
+        inserted = inserted[np.lexsort((inserted, rank(inserted)))]
+    labels = np.concatenate([inserted, np.setdiff1d(centre, own, assume_unique=True)])
     size = len(labels)
     # the other's difference is at least size - H, so at least size - H labels are common
     needed = max(1, size - may_differ(n, n * 100 // share, share))
-    if size <= may_differ(n, c, share):  # in the centre's component, so the other one is not linked to the centre
+    if strict and size <= may_differ(n, c, share):  # in the centre's component, so the other one is not linked to the centre
         needed = max(needed, -(-(size + (c - n) * (100 - share) // (100 + share) + 1) // 2))
     return labels[: max(0, size - needed + 1)], size
 
 
-def _differences(share: int) -> Callable:
-    """(member, centre, items of the centre, items) -> entry (of centre and label), hot, member, size, place.
+def _place(labels: np.ndarray, centre: np.ndarray | int, salt: np.uint64 = _TWO) -> np.ndarray:
+    """Entries of labels under centres."""
+    return _mix(labels ^ _mix(np.asarray(centre).astype(np.int64).view(np.uint64) * _ONE + salt))
 
-    Place 0 is a row of the member as such, with an entry of the centre alone.
+
+def _inserted(share: int) -> Callable:
+    """(member, centre, items of the centre, items) -> centre, entry of each label that the centre lacks, for sets not much farther than links reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                middle, own = np.sort(_items(batch.column(2)[i])), np.sort(_items(batch.column(3)[i]))
+                labels = np.setdiff1d(own, middle, assume_unique=True)
+                if len(labels) <= 4 * (may_differ(len(own), len(own), share) + 1):
+                    centre = np.full(len(labels), batch.column(1)[i].as_py(), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(centre), pa.array(_place(labels, centre).view(np.int64))], names=["centre", "entry"])
+
+    return run
+
+
+def _differences(share: int, strict: bool) -> Callable:
+    """(member, centre, items of the centre, items, common entries, their counts) -> entry (of centre and label), hot, member, size, place.
+
+    Labels that are common among the sets of a centre come after the others it lacks. Place 0 is a row of the
+    member as such, with an entry of the centre alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts = [difference_prefix(np.sort(_items(batch.column(2)[i])), np.sort(_items(batch.column(3)[i])), share) for i in range(batch.num_rows)]
+            parts = []
+            for i in range(batch.num_rows):
+                rank, centre = None, batch.column(1)[i].as_py()
+                if batch.column(4)[i].is_valid:
+                    known, counts = (batch.column(at)[i].values.to_numpy() for at in (4, 5))
+                    order = np.argsort(known)
+                    known, counts = known[order], counts[order]
+
+                    def rank(labels, known=known, counts=counts, centre=centre):
+                        entry = _place(labels, np.full(len(labels), centre, np.int64)).view(np.int64)
+                        at = np.minimum(np.searchsorted(known, entry), len(known) - 1)
+                        return np.where(known[at] == entry, counts[at], 0)
+
+                parts.append(difference_prefix(np.sort(_items(batch.column(2)[i])), np.sort(_items(batch.column(3)[i])), share, strict, rank))
             counts = np.array([len(labels) + 1 for labels, _ in parts], np.int64)
             each = lambda values: np.repeat(np.asarray(values, np.int64), counts)
             places = np.arange(counts.sum()) - each(np.cumsum(counts) - counts)
             labels = np.concatenate([np.concatenate([np.zeros(1, np.uint64), labels]) for labels, _ in parts])
-            centres = each(batch.column(1).to_numpy()).view(np.uint64)
-            entry = _mix(labels ^ _mix(centres * _ONE + np.where(places == 0, _THREE, _TWO)))
+            centres = each(batch.column(1).to_numpy())
+            entry = np.where(places == 0, _place(labels, centres, _THREE), _place(labels, centres))
             columns = [entry.view(np.int64), places == 0, each(batch.column(0).to_numpy()), each([size for _, size in parts]).astype(np.int32), places.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["entry", "hot", "member", "size", "place"])
 
@@ -396,21 +443,35 @@ def stars(known: DataFrame, share: int, scratch: Scratch) -> tuple[DataFrame, Da
     return left.filter(f"c > {CENTRES + 1}"), star
 
 
-def across(left: DataFrame, parts: DataFrame, items: DataFrame, share: int, scratch: Scratch, moved: bool = False) -> DataFrame:
+def across(left: DataFrame, parts: DataFrame, items: DataFrame, share: int, scratch: Scratch, moved: bool = False, ranked: bool = False) -> DataFrame:
     """Pairs (a, b) of different components that may link, of those left in the same entry.
 
     ``parts``: node, comp by the links found so far. Differences from a common centre have to share what a link needs.
     With ``moved``, a link asks for more than the share, so a set near the centre need not be in its component;
-    such sets meet all that are near it.
+    such sets also meet those near it with which they need not share a label. ``ranked`` puts labels that are
+    frequent among the sets of a centre last, for groups whose members differ little more than links may.
     """
     placed = left.join(parts, "node", "left").select("entry", "node", "n", "centre", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("entry")
     members = placed.join(mixed, "entry", "left_semi").select("centre", "node", "n", "comp").distinct()
     members = members.join(parts.select(F.col("node").alias("centre"), F.col("comp").alias("comp_c")), "centre", "left").withColumn("comp_c", F.coalesce("comp_c", "centre"))
     members = scratch.write(members.withColumn("member", F.monotonically_increasing_id()), "members")
-    described = members.join(items.toDF("node", "own"), "node").join(items.toDF("centre", "middle"), "centre")
+    # only the items that are asked for are dealt out
+    nodes = scratch.write(members.select("node").distinct(), "member-nodes")
+    centres = scratch.write(members.select(F.col("centre").alias("node")).distinct(), "member-centres")
+    owns, middles = (items.join(some, "node", "left_semi") for some in (nodes, centres))
+    described = members.join(owns.toDF("node", "own"), "node").join(middles.toDF("centre", "middle"), "centre")
     described = described.select("member", "centre", "middle", "own")
-    described = described.mapInArrow(_differences(share), "entry long, hot boolean, member long, size int, place int")
+    if ranked:  # the sets are read twice for it
+        place = F.row_number().over(W.partitionBy("centre").orderBy(F.col("c").desc(), "entry"))
+        counted = described.mapInArrow(_inserted(share), "centre long, entry long").groupBy("centre", "entry").agg(F.count(F.lit(1)).alias("c")).filter("c > 2")
+        counted = scratch.write(counted.withColumn("at", place).filter(F.col("at") <= COMMON), "common")
+        lists = counted.groupBy("centre").agg(F.collect_list(F.struct("entry", "c")).alias("common"))
+        described = described.join(lists, "centre", "left").select("member", "centre", "middle", "own", "common.entry", "common.c")
+    else:
+        none = F.lit(None).cast("array<long>")
+        described = described.withColumns({"entry": none, "c": none})
+    described = described.mapInArrow(_differences(share, not moved), "entry long, hot boolean, member long, size int, place int")
     described = described.repartition(F.when(F.col("hot"), F.col("member")).otherwise(F.col("entry"))).sortWithinPartitions("entry")
     described = scratch.write(described.mapInArrow(_shared, "entry long, hot boolean, member long, size int, place int").drop("hot"), "differences")
     described = scratch.write(described.join(members, "member"), "described")
@@ -423,8 +484,9 @@ def across(left: DataFrame, parts: DataFrame, items: DataFrame, share: int, scra
     if moved:
         sizes = items.select(F.col("node").alias("centre"), (F.length("items") / 8).cast("long").alias("n_c"))
         near = described.filter("place = 0").join(sizes, "centre").filter(f"size <= ((n + n_c) * {100 - share}) div {100 + share}")
-        strange = near.filter("comp != comp_c").select("centre", F.col("node").alias("node_b"), F.col("comp").alias("comp_b"))
-        meet = near.join(strange, "centre").filter("node != node_b and comp != comp_b")
+        strange = near.filter("comp != comp_c").select("centre", F.col("node").alias("node_b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("size").alias("size_b"))
+        # what differs more in sum has to share labels and has met by them
+        meet = near.join(strange, "centre").filter(f"node != node_b and comp != comp_b and size + size_b <= ((n + n_b) * {100 - share}) div {100 + share}")
         pairs = pairs.unionByName(meet.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")))
     return pairs.distinct()
 
