@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from helpers import awkward, none_of, prose
@@ -254,6 +255,8 @@ def test_sifted_lattices_score_as_all_do():
         want = risky(plain.words(text))
         assert risky(sifted.words(text)) == want
         held += bool(want)
+        scores = list(toxicity.score_batches(counts, share, 0.01)(iter([pd.Series([text])])))[0]
+        assert scores[0] == pytest.approx(1 - 0.99 * math.prod(1 - p for p in want.values()))
     assert held > 100
 
 

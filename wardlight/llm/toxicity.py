@@ -50,6 +50,7 @@ LEET = {
 SEPARATORS = " .-_*~'’/\\,:;"
 _SIGN, _KEEP, _DROP_REPEAT, _DROP_SEPARATOR, _BREAK, _WILD = -1.0, -4.0, -1.5, -0.5, -1.5, -3.0
 _EDGE = " .,;:!?\"'()[]{}<>«»„“”…|`´*%&$#@+-_=~/\\"
+_PUNCTUATION = " .,;:!?\"'()[]{}<>«»„“”…`´"
 _DECORATION = re.compile(r"([%*&$#@!~+=_-])\1{2,}")
 _REPEAT, _DOUBLED = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
 _CUT = re.compile(r"[ .\-_~'’/\\,:;=|\"()\[\]{}<>]+")
@@ -200,7 +201,7 @@ class Channel:
             bare = piece.strip(_EDGE)
             if bare.isalpha() and not _REPEAT.search(bare):
                 out += self.plain(bare)
-                sign = piece.strip(" .,;:!?\"'()[]{}<>«»„“”…`´")
+                sign = piece.strip(_PUNCTUATION)
                 if sign != bare and len(sign) > 2:  # a sign at the edge may be a letter
                     out += self.decode(sign).split()
                 continue
@@ -250,16 +251,26 @@ class Channel:
 
     def fragments(self, tokens: list[str]) -> Iterator[str]:
         """Restored words of neighbouring short fragments, with and without the short tokens before and after them."""
-        kinds = [len(t) <= SHORT + 4 and self.kind(t) for t in tokens]
-        last = 0
-        for at, kind in enumerate(kinds):
-            if kind != 2 or at < last:
+        known, short = self.kinds, {}
+        for token in set(tokens):
+            if len(token) <= SHORT + 4:
+                kind = known.get(token)
+                kind = self.kind(token) if kind is None else kind
+                if kind:
+                    short[token] = kind
+        twos = {token for token, kind in short.items() if kind == 2}
+        if not twos:
+            return
+        last = -1
+        spots = [at for at, token in enumerate(tokens) if token in twos]
+        for at in spots:
+            if at < last:
                 continue
             last = at + 1
-            while last < len(kinds) and kinds[last] == 2:
+            while last < len(tokens) and tokens[last] in twos:
                 last += 1
-            firsts = (at, at - 1) if at and kinds[at - 1] else (at,)
-            lasts = (last, last + 1) if last < len(kinds) and kinds[last] else (last,)
+            firsts = (at, at - 1) if at and tokens[at - 1] in short else (at,)
+            lasts = (last, last + 1) if last < len(tokens) and tokens[last] in short else (last,)
             for a in firsts:
                 for b in lasts:
                     if b - a > 1:
@@ -417,8 +428,11 @@ def score_batches(counts: np.ndarray, share: dict[str, float], base: float) -> C
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         channel, memo, nothing = Sifted(small, share), {}, ()
+        starts = {f.lstrip("=")[:4] for f in share}  # of a word without such a start no feature is evidence
 
         def risky(word: str) -> tuple:
+            if word[:4] not in starts:
+                return nothing
             p = max([share.get(f, 0.0) for f in features(word)])
             return ((word, p),) if p else nothing
 
@@ -428,6 +442,9 @@ def score_batches(counts: np.ndarray, share: dict[str, float], base: float) -> C
                 tokens = text.lower().split() if text else []
                 found = {}
                 for token in set(tokens):
+                    bare = token.strip(_PUNCTUATION)
+                    if bare[:4] not in starts and bare.isalpha() and not _DOUBLED.search(bare):
+                        continue  # restored as it stands, and no evidence
                     hits = memo.get(token)
                     if hits is None:  # a token's evidence is worked out once
                         hits = memo[token] = tuple(h for w in channel._token(token) for h in risky(w)) or nothing
