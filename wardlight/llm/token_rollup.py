@@ -51,10 +51,11 @@ class Tokenizer:
             return cls(version, file.read())
 
     def encoder(self):
-        """Built once in a worker."""
+        """Built once in a worker, which keeps one at a time."""
         if self.version not in _ENCODERS:
             import tiktoken
 
+            _ENCODERS.clear()
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.ranks.splitlines())}
             _ENCODERS[self.version] = tiktoken.Encoding(self.version, pat_str=self.pieces, mergeable_ranks=ranks, special_tokens={})
         return _ENCODERS[self.version]
@@ -118,15 +119,14 @@ class Rollup:
             return False
         if done and batch < done[-1]:
             raise ValueError(f"batch {batch} is late: {done[-1]} is committed")
-        new = self.spark.createDataFrame([], STATE)
-        if upserts is not None and tokenizers:
-            counts = [token_count(t)("text").alias(f"t{i}") for i, t in enumerate(tokenizers)]
-            each = F.explode(F.array(*[F.struct(F.lit(t.version).alias("version"), F.col(f"t{i}").alias("tokens")) for i, t in enumerate(tokenizers)])).alias("one")
-            counted = upserts.select("doc_id", "source", "lang", *counts).select("doc_id", "source", "lang", each).select("doc_id", "source", "lang", "one.version", "one.tokens")
-            new = counted.groupBy("doc_id", *_KEY).agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
         place = f"{self.folder}/pending/batch={batch}"
-        new.select(*_STATE).write.mode("overwrite").parquet(place)
-        new = self.spark.read.schema(STATE).parquet(place)
+        parts = []
+        for i, tokenizer in enumerate(tokenizers if upserts is not None else ()):  # a job each: a worker holds one vocabulary
+            counted = upserts.select("doc_id", "source", "lang", F.lit(tokenizer.version).alias("version"), token_count(tokenizer)("text").alias("tokens"))
+            counted = counted.groupBy("doc_id", *_KEY).agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
+            parts.append(f"{place}/part_{i}")
+            counted.select(*_STATE).write.mode("overwrite").parquet(parts[-1])
+        new = self.spark.read.schema(STATE).parquet(*parts) if parts else self.spark.createDataFrame([], STATE)
         # a null version stands for all versions of a deleted id
         touched = new.select(F.col("doc_id").alias("touched"), F.col("version").alias("v"))
         if deletes is not None:
