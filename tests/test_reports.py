@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from wardlight.operators import evaluation as ev
 from wardlight.operators import extend as ex
 from wardlight.operators import line_rules as lr
 from wardlight.operators import scoring as sc
+from wardlight.plans.q_reports import stream_new, stream_scan
+from wardlight.plans.q_rules import seeded_findings
 from wardlight.sources import reports as rp
 from wardlight.sources import snapshots as sn
 from wardlight.streaming import arrivals as ar
@@ -298,6 +301,25 @@ def test_stream_reads_files_as_they_come(spark, tmp_path):
     assert drain() == [(1, "eval_exec"), (2, "http_client")]
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_queries_read_a_table_of_part_files(spark, tmp_path, files):
+    """A table may be one file or a folder of them; the streams read what the batch queries read."""
+    docs = spark.range(96).selectExpr("id AS doc_id", "'plain text' AS text", "'en' AS lang", "'web' AS source", "10L AS n_chars")
+    docs.repartition(files).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    folder = tmp_path / "many"
+    if files == 1:
+        folder = tmp_path / "one"
+        folder.mkdir()
+        (part,) = (tmp_path / "many" / "documents.parquet").glob("part-*.parquet")
+        shutil.copy(part, folder / "documents.parquet")
+    want = seeded_findings(spark, str(folder)).select("doc_id", "line", "rule", "rule_id", "severity", "evidence").collect()
+    assert want
+    found = stream_scan(spark, str(folder)).collect()
+    assert sorted(map(tuple, found)) == sorted((r.doc_id, r.line, r.rule, r.severity) for r in want)
+    new = stream_new(spark, str(folder)).collect()
+    assert sorted(map(tuple, new)) == sorted((r.doc_id, r.line, r.rule_id, r.evidence) for r in want if r.rule_id == "AS-002")
+
+
 def test_stream_emits_only_new_findings(spark, tmp_path):
     src, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     rows = [("a", "eval(x)\neval(x)"), ("b", "eval(x)")]
