@@ -262,6 +262,43 @@ def test_pattern_table_does_not_depend_on_its_size(spark):
         ex.match_pattern_table(lines, spark.createDataFrame([("f", "--", "--")], "pattern_id string, stem string, pattern string"))
 
 
+@pytest.mark.parametrize("stems, words", [(64, 200_000), (0, 200_000), (0, 0)])
+def test_pattern_table_deals_out_no_text_per_word(spark, tmp_path, monkeypatch, stems, words):
+    """Every way gives the same rows, and what is written between stages grows with a line, not with its square."""
+    monkeypatch.setattr(ex, "FEW_STEMS", stems)
+    monkeypatch.setattr(ex, "FEW_WORDS", words)
+    rules = spark.createDataFrame([("a", "w77x", "w77x"), ("a", "w9999", "w9999"), ("b", "zzzz", "zzzz"), ("c", "longer word", "longer +word")], "pattern_id string, stem string, pattern string")
+    longest = " ".join(f"w{i}x" for i in range(8000))
+    rows = [(1, longest + " W9999"), (2, "one w77x"), (2, "one w77x"), (3, "a longer word"), (4, "longer"), (5, "y" * 5000 + "zzzz"), (6, None), (7, "")]
+    lines = spark.createDataFrame(rows, "line int, text string").coalesce(1)
+    lines.write.parquet(str(tmp_path / "lines"))
+    found = ex.match_pattern_table(spark.read.parquet(str(tmp_path / "lines")), rules)
+    assert sorted((r.line, r.pattern_id) for r in found.collect()) == [(1, "a"), (2, "a"), (3, "c"), (5, "b")]
+    metrics = _shuffled(found)
+    assert metrics < 3_000_000, metrics
+
+
+def _shuffled(df) -> int:
+    """Bytes of the rows that shuffles of a fresh run of ``df`` write, before compression."""
+    df = df.select("*")
+    df.collect()
+    plan, total = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            todo.append(node.plan())
+            continue
+        if name == "Exchange":
+            total += node.metrics().apply("dataSize").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
 def test_a_fingerprint_that_holds_most_rows(spark):
     hot = [(i, "R", "f", 1, "e", "LOW") for i in range(2000)]
     rows = spark.createDataFrame(hot + [(5000 + i, "R", f"g{i}", 1, "e", "LOW") for i in range(200)], RECORD)

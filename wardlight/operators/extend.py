@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from wardlight.operators import line_rules as lr
 from wardlight.operators import rule_catalog as rc
-from wardlight.session import constant_table
+from wardlight.session import constant_table, cut
 
 # Letters on which lines and stems meet.
 STEM_PIECE = 5
 WORD = r"(?U)\w+"
+# Stems looked for in every line, and passed words sent to every task; more take the next way.
+FEW_STEMS = 64
+FEW_WORDS = 200_000
 
 
 @dataclass
@@ -53,40 +56,66 @@ class RuleBook:
 def match_pattern_table(lines: DataFrame, patterns: DataFrame) -> DataFrame:
     """Lines against rules kept as data: ``pattern_id``, ``stem``, ``pattern``; one row per line and id.
 
-    ``stem`` is a lower-case text with a letter or digit that every match contains. The
-    longest word in it lies within some word of the line: the distinct words of all lines meet
-    the stems on the first letters, as they occur anywhere in the word; lines meet the words
-    that passed. Whole stem and pattern are tested on those lines only. The answer does not
-    depend on the number of patterns.
+    ``stem`` is a lower-case text with a letter or digit that every match contains. A few
+    stems are looked for in every line. Of many, the longest word of each lies within some word of
+    the line: the distinct words of all lines meet the stems on the first letters, as they occur
+    anywhere in the word, and lines meet the words that passed. Whole stem and pattern are tested
+    on the whole line in every case. The answer does not depend on the number of patterns.
+
+    Texts are never dealt out per word: passed words go to the tasks while they are few, and
+    else words are dealt out with the hash of their line, which only proposes a line.
     """
     kept = lines.columns
-    low = F.lower("text")
     table = patterns.select("pattern_id", "stem", "pattern").distinct().withColumn("_run", _longest_word(F.col("stem")))
-    sizes = [r.n for r in table.select(F.least(F.length("_run"), F.lit(STEM_PIECE)).alias("n")).distinct().collect()]  # at most STEM_PIECE
-    if 0 in sizes:
+    table = cut(table)
+    n_stems, shortest = table.agg(F.countDistinct("stem"), F.min(F.length("_run"))).first()
+    if shortest == 0:
         raise ValueError("a stem holds no letter or digit")
-    if not sizes:
+    if not n_stems:
         return lines.withColumn("pattern_id", F.lit(None).cast("string")).where("false")
-    found = lines.select(*kept, F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))).alias("_word"))
+    if n_stems <= FEW_STEMS:
+        met = F.broadcast(table.drop("_run"))
+        return _tested(lines.withColumn("_low", F.lower("text")).join(met, F.col("_low").contains(F.col("stem"))), kept)
+    met = cut(_met_words(lines, table))
+    if met.count() <= FEW_WORDS:
+        found = lines.select(*kept, F.explode(_words()).alias("_word")).withColumn("_word", F.xxhash64("_word"))
+        return _tested(found.join(F.broadcast(met), "_word").withColumn("_low", F.lower("text")), kept)
+    found = lines.select(F.xxhash64("text").alias("_text"), F.explode(_words()).alias("_word"))
+    met = found.select("_text", F.xxhash64("_word").alias("_word")).join(met, "_word").drop("_word").distinct()
+    return _tested(lines.withColumn("_text", F.xxhash64("text")).join(met, "_text").withColumn("_low", F.lower("text")), kept)
+
+
+def _words():
+    return F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+
+
+def _met_words(lines: DataFrame, table: DataFrame) -> DataFrame:
+    """Hashes of words of the lines (``_word``) with the rules whose longest word may lie within them.
+
+    A piece of a word carries its hash, and the word itself only while it is short.
+    """
+    sizes = [r.n for r in table.select(F.least(F.length("_run"), F.lit(STEM_PIECE)).alias("n")).distinct().collect()]  # at most STEM_PIECE
 
     def cuts(n: int):
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length("_word") - (n - 1), F.lit(1))), lambda at: F.substring(F.col("_word"), at, F.lit(n)))
 
     pieces = F.array_distinct(F.concat(*[cuts(n) for n in sorted(sizes)]))
-    met = (
-        found.select("_word").distinct().select("_word", F.explode(pieces).alias("_piece"))
-        .join(table.withColumn("_piece", F.left("_run", F.lit(STEM_PIECE))), "_piece")
-        .where(F.col("_word").contains(F.col("_run")))
-        .select("_word", "pattern_id", "stem", "pattern")
-    )
+    short = F.when(F.length("_word") <= 64, F.col("_word")).alias("_short")
     return (
-        found.join(met, "_word")
-        .where(low.contains(F.col("stem")) & F.expr("text RLIKE concat('(?iU)', pattern)"))
-        .select(*kept, "pattern_id")
-        .distinct()
+        lines.select(F.explode(_words()).alias("_word")).distinct()
+        .select(F.xxhash64("_word").alias("_key"), short, F.explode(pieces).alias("_piece"))
+        .join(table.withColumn("_piece", F.left("_run", F.lit(STEM_PIECE))), "_piece")
+        .where(F.col("_short").isNull() | F.col("_short").contains(F.col("_run")))
+        .select(F.col("_key").alias("_word"), "pattern_id", "stem", "pattern").distinct()
     )
 
 
+def _tested(proposed: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """Proposed lines, with ``_low``, that hold the whole stem and the pattern."""
+    holds = F.col("_low").contains(F.col("stem")) & F.expr("text RLIKE concat('(?iU)', pattern)")
+    return proposed.where(holds).select(*kept, "pattern_id").distinct()
+
+
 def _longest_word(text):
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
