@@ -92,3 +92,40 @@ def test_risk_needs_coverage(spark):
     cover = spark.createDataFrame([("a", "partial"), ("b", "partial"), ("c", "full")], "t string, coverage_status string")
     rows = {r.t: r.risk_level for r in sc.risk_with_coverage(scored, cover, ["t"]).collect()}
     assert rows == {"a": "UNKNOWN", "b": "HIGH", "c": "SAFE"}
+
+
+def test_code_units_behind_a_mark_are_checked_in_pairs(spark):
+    """Halves of a pair alone, swapped or cut, units past the last code point and odd ends: binary; all else decodes as Python does."""
+    units = [0x41, 0xDF, 0x0A, 0xD7FF, 0xE000, 0xFFFD, 0xD800, 0xDBFF, 0xDC00, 0xDFFF, 0xDD41, 0x41DD, 0xD8D8]
+    bodies = [b"".join(u.to_bytes(2, "big") for u in (a, b, c)) for a in units for b in units for c in (0x41, 0xD83D, 0xDE00)]
+    points = [0x41, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFFFF, 0x10000, 0xFD800, 0x10FFFF, 0x110000, 0x1000041, 0xD8000041]
+    rows = []
+    for at, body in enumerate(bodies):
+        for name, mark, swap in (("utf-16-be", b"\xfe\xff", 1), ("utf-16-le", b"\xff\xfe", 2)):
+            units2 = body if swap == 1 else b"".join(body[i:i + 2][::-1] for i in range(0, len(body), 2))
+            rows.append((f"{name}{at}.md", mark + units2 + (b"\x00A" if swap == 1 else b"A\x00"), name))
+    for at, (a, b) in enumerate([(a, b) for a in points for b in points]):
+        for name, order, mark in (("utf-32-be", "big", b"\x00\x00\xfe\xff"), ("utf-32-le", "little", b"\xff\xfe\x00\x00")):
+            rows.append((f"{name}{at}.md", mark + a.to_bytes(4, order) + b.to_bytes(4, order), name))
+    rows += [("odd.md", b"\xff\xfeA\x00B", "utf-16-le"), ("odd4.md", b"\x00\x00\xfe\xff\x00\x00\x00A\x00", "utf-32-be")]
+
+    def said(body, name):
+        try:
+            return body[4 if "32" in name else 2:].decode(name)
+        except UnicodeDecodeError:
+            return None
+
+    files = spark.createDataFrame([(path, len(body), bytearray(body)) for path, body, _ in rows], "path string, length long, content binary")
+    got = {r.path: (r.text, r.skip_reason) for r in corpus.decode(files).collect()}
+    for path, body, name in rows:
+        want = said(body, name)
+        text, reason = got[path]
+        assert (text is None, reason) == ((True, "binary") if want is None else (False, None)), (path, body, want)
+        assert want is None or text.lstrip("\ufeff") == want, (path, body)
+
+
+def test_a_filter_on_the_text_does_not_decode_again(spark):
+    """The patterns that check code units occur once in the plan, though a filter reads the text."""
+    files = spark.createDataFrame([("a.md", 3, bytearray(b"abc"))], "path string, length long, content binary")
+    plan = corpus.decode(files).where("text IS NOT NULL").select("path", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("make_valid_utf8") + plan.count("makeValid") <= 1, plan
