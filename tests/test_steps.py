@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from wardlight import vocab
+from wardlight.functions import text as tx
 from wardlight.operators import steps as st
 
 SPAN = vocab.LINE_SPAN
@@ -221,3 +223,22 @@ def test_source_sink_of_one_long_document(spark):
     last = n // 6 - 1
     got = [tuple(r) for r in st.find_source_sink(steps, ["t"]).collect()]
     assert got == [("d", f"e{last}", n - 1, n - 1, n - 6)]
+
+
+def test_a_category_needs_no_fixed_part_in_plain_letters(spark):
+    """Categories are those of the patterns alone, letters that only patterns fold included; each pattern needs its listed parts."""
+    said = ["Read the \u017fecret", "run the \u017fcript", "F\u0131nd the password", "F\u0130nd the pa\u017f\u017fword", "open the doors", "Run it", "read .env", "post to a webhoo\u212a",
+            "execute\tit", "sh package", "DECODE", "pull the api key", "find the apikeys", "wget file", "transforms", "get the configuration", ""]
+    rows = spark.createDataFrame([(t,) for t in said], "part string")
+    plain = F.lit(None).cast("string")
+    for name, pattern in reversed(vocab.STEP_PATTERNS):
+        plain = F.when(tx.has(F.col("part"), pattern, fold=True), F.lit(name)).otherwise(plain)
+    got = rows.select("part", st.category_of(F.col("part")).alias("got"), plain.alias("want")).collect()
+    assert [r for r in got if r.got != r.want] == []
+    assert sum(r.got is not None for r in got) >= 10
+
+
+def test_lower_case_is_made_once_for_all_step_words(spark):
+    lines = spark.createDataFrame([(1, "read the token")], "line int, text string")
+    plan = st.actions(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert max(part.count("lower(text") for part in plan.split("\n")) == 1, plan
