@@ -164,3 +164,24 @@ def test_awkward(spark):
     assert kept.columns == docs.columns and not {6} & {r["doc_id"] for r in kept.collect()}
     assert dc.keep_clean(docs, items.limit(0), Scratch(spark, "t")).count() == docs.count()
     assert dc.leaks(none_of(spark), items, Scratch(spark, "t")).count() == 0
+
+
+def test_a_worker_gives_memory_back_when_a_task_is_done(monkeypatch):
+    from wardlight.llm import common
+
+    told = []
+    monkeypatch.setattr(common, "give_back", lambda: told.append("back"))
+    doubled = common.lean(lambda batches: (told.append(b) or 2 * b for b in batches))
+    assert list(doubled(iter([1, 2]))) == [2, 4] and told == [1, 2, "back"]
+
+    def broken(batches):
+        yield next(batches)
+        raise ValueError
+
+    some = common.lean(broken)(iter([1]))
+    assert next(some) == 1
+    with pytest.raises(ValueError):
+        next(some)
+    assert told[-2:] == ["back", "back"]
+    monkeypatch.undo()
+    common.give_back()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import Scratch, fresh, sum_arrays, table
+from wardlight.llm.common import Scratch, fresh, lean, sum_arrays, table
 from wardlight.llm.near_dedup import _row, words_of
 
 STEP, LEAST, MOST = 32, 5, 0.01
@@ -360,7 +360,7 @@ def leaks(
         names = [i for i, _ in block]
         vocabulary: dict[str, int] = {}
         items = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words]) for _, words in block]
-        encoded = scratch.write(rows.mapInArrow(_encode(vocabulary), "id long, row string, ids binary"), f"encoded{turn}")
+        encoded = scratch.write(rows.mapInArrow(lean(_encode(vocabulary)), "id long, row string, ids binary"), f"encoded{turn}")
         counts = sum_arrays(encoded.select("ids"), _frequencies(len(vocabulary)), len(vocabulary) + 1)
         passages = counts[-1]
         parts = [part for words in items for part in _even(words, 2 * STEP)]
@@ -369,7 +369,7 @@ def leaks(
         for at, words in enumerate(parts):
             np.add.at(matrix[at], words, idf[words])
         basis = latent_space(encoded, idf, matrix, rank, often)
-        hits = encoded.mapInArrow(_search(names, items, idf, basis, often, cosine, share, answer), _PAIR)
+        hits = encoded.mapInArrow(lean(_search(names, items, idf, basis, often, cosine, share, answer)), _PAIR)
         hits = scratch.write(hits, f"hits{turn}")
         scratch.drop(f"encoded{turn}")
         found = hits if found is None else found.unionByName(hits)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardlight.llm.common import Scratch, table
+from wardlight.llm.common import Scratch, lean, table
 
 HEAD = 4  # hex digits of the digest that deal rows out
 PIECE = "bytes int, head string, sha string, text binary, owner long, n long, same long"
@@ -181,9 +181,9 @@ def owners(
     """(sha, keep_id, group_size, same) of every text that occurs more than once."""
     value = _value(text, normalise)
     rows = docs.select(F.col(id).cast("long").alias("id"), value.cast("binary").alias("text"))
-    pieces = rows.mapInArrow(_pieces(keep == "largest", piece_bytes), PIECE)
+    pieces = rows.mapInArrow(lean(_pieces(keep == "largest", piece_bytes)), PIECE)
     dealt = pieces.repartition("bytes", "head").sortWithinPartitions("bytes", "head", "sha")
-    return scratch.write(dealt.mapInArrow(_owners(keep == "largest", trie_bytes), OWNER), "owners")
+    return scratch.write(dealt.mapInArrow(lean(_owners(keep == "largest", trie_bytes)), OWNER), "owners")
 
 
 def _value(text: str, normalise: Callable[[Column], Column] | None) -> Column:
@@ -303,9 +303,9 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", normalise:
     more = [T.StructField("wl_key", T.BinaryType()), T.StructField("wl_id", T.LongType()), T.StructField("wl_tie", T.LongType())]
     more += [T.StructField("wl_bytes", T.IntegerType()), T.StructField("wl_head", T.StringType()), T.StructField("wl_sha", T.StringType())]
     place = columns.index(text) if normalise is None and isinstance(docs.schema[text].dataType, T.StringType) else None
-    pieces = rows.mapInArrow(_best_pieces(len(columns), place is not None, largest, piece_bytes), T.StructType([*kinds, *more]))
+    pieces = rows.mapInArrow(lean(_best_pieces(len(columns), place is not None, largest, piece_bytes)), T.StructType([*kinds, *more]))
     dealt = pieces.repartition("wl_bytes", "wl_head").sortWithinPartitions("wl_bytes", "wl_head", "wl_sha")
-    return dealt.mapInArrow(_best_rows(len(columns), place, largest, trie_bytes), T.StructType(kinds)).toDF(*columns)
+    return dealt.mapInArrow(lean(_best_rows(len(columns), place, largest, trie_bytes)), T.StructType(kinds)).toDF(*columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm import set_join as sj
-from wardlight.llm.common import Scratch, connected, fresh, table
+from wardlight.llm.common import Scratch, connected, fresh, lean, table
 
 K, SAMPLE, SKETCHES, THRESHOLD = 5, 3, 16, 0.8
 _WORD = re.compile(r"\w+")
@@ -185,7 +185,7 @@ def _row(id: str, text: str) -> Column:
 def classes(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text", k: int = K, sample: int = SAMPLE, sketches: int = SKETCHES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: id, row, class_id, class_row, class_size, kept."""
     rows = docs.select(F.col(id).cast("long").alias("id"), _row(id, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    features = rows.mapInArrow(_features(k, sample, sketches), "id long, row string, node string, n long, bins binary, sketches array<long>")
+    features = rows.mapInArrow(lean(_features(k, sample, sketches)), "id long, row string, node string, n long, bins binary, sketches array<long>")
     features = scratch.write(features.withColumn("num", F.monotonically_increasing_id()), "features")
     first = features.groupBy("node").agg(F.min(F.struct("num", "row", "n", "bins", "sketches")).alias("one"))
     nodes = scratch.write(first.select("node", F.col("one.num").alias("num"), "one.row", "one.n", "one.bins", "one.sketches"), "nodes")
@@ -219,11 +219,11 @@ def linked(known: DataFrame, bins: DataFrame, texts_of: Callable[[DataFrame], Da
     left, star = sj.stars(known, share, scratch)
     near = sj.may_link(star, bins, share, scratch, "near")
     wanted = near.select("a").union(near.select("b")).union(left.select("node")).union(left.select("centre")).toDF("node").distinct()
-    items = scratch.write(texts_of(wanted).mapInArrow(_ordered(k), "node long, items binary"), "items")
+    items = scratch.write(texts_of(wanted).mapInArrow(lean(_ordered(k)), "node long, items binary"), "items")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         both = pairs.join(items.toDF("b", "items_b"), "b").join(items.toDF("a", "items_a"), "a").select("a", "b", "items_a", "items_b")
-        return scratch.write(both.mapInArrow(_verified(threshold), "a long, b long, similarity double"), name)
+        return scratch.write(both.mapInArrow(lean(_verified(threshold)), "a long, b long, similarity double"), name)
 
     links = verified(near, "links-star")
     parts = connected(links, scratch, "parts")

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import Scratch, connected, table
+from wardlight.llm.common import Scratch, connected, lean, table
 
 WIDTH, SHARE, SAMPLE, HOT, CENTRES, COMMON = 4, 85, 2000, 16, 12, 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -226,7 +226,7 @@ def allocate(costs: dict[tuple[int, int, bool], float], sets: dict[int, tuple[fl
 def _plan(rows: DataFrame, width: int, share: int, sample: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     thin = max(1, -(-rows.count() // sample))
     some = rows.filter(F.pmod(F.xxhash64("row"), F.lit(thin)) == 0).select("text")
-    filed = some.mapInArrow(_sampled(width, share), "grp int, segment int, widened boolean, entry long")
+    filed = some.mapInArrow(lean(_sampled(width, share)), "grp int, segment int, widened boolean, entry long")
     filed = filed.groupBy("grp", "segment", "widened", "entry").agg(F.count(F.lit(1)).alias("c"))
     pairs = F.when(F.col("segment") < 0, F.col("c")).otherwise(F.col("c") * (F.col("c") - 1))
     found = filed.filter("c > 1 or segment < 0").groupBy("grp", "segment", "widened").agg(F.sum(pairs).alias("c"), F.sum(F.expr("if(segment < 0, entry * c, 0)")).alias("shingles")).collect()
@@ -464,16 +464,16 @@ def across(left: DataFrame, parts: DataFrame, items: DataFrame, share: int, scra
     described = described.select("member", "centre", "middle", "own")
     if ranked:  # the sets are read twice for it
         place = F.row_number().over(W.partitionBy("centre").orderBy(F.col("c").desc(), "entry"))
-        counted = described.mapInArrow(_inserted(share), "centre long, entry long").groupBy("centre", "entry").agg(F.count(F.lit(1)).alias("c")).filter("c > 2")
+        counted = described.mapInArrow(lean(_inserted(share)), "centre long, entry long").groupBy("centre", "entry").agg(F.count(F.lit(1)).alias("c")).filter("c > 2")
         counted = scratch.write(counted.withColumn("at", place).filter(F.col("at") <= COMMON), "common")
         lists = counted.groupBy("centre").agg(F.collect_list(F.struct("entry", "c")).alias("common"))
         described = described.join(lists, "centre", "left").select("member", "centre", "middle", "own", "common.entry", "common.c")
     else:
         none = F.lit(None).cast("array<long>")
         described = described.withColumns({"entry": none, "c": none})
-    described = described.mapInArrow(_differences(share, not moved), "entry long, hot boolean, member long, size int, place int")
+    described = described.mapInArrow(lean(_differences(share, not moved)), "entry long, hot boolean, member long, size int, place int")
     described = described.repartition(F.when(F.col("hot"), F.col("member")).otherwise(F.col("entry"))).sortWithinPartitions("entry")
-    described = scratch.write(described.mapInArrow(_shared, "entry long, hot boolean, member long, size int, place int").drop("hot"), "differences")
+    described = scratch.write(described.mapInArrow(lean(_shared), "entry long, hot boolean, member long, size int, place int").drop("hot"), "differences")
     described = scratch.write(described.join(members, "member"), "described")
     names = ["node", "comp", "n", "size", "place"]
     rows = described.filter("place > 0")
@@ -493,7 +493,7 @@ def across(left: DataFrame, parts: DataFrame, items: DataFrame, share: int, scra
 
 def may_link(pairs: DataFrame, bins: DataFrame, share: int, scratch: Scratch, name: str) -> DataFrame:
     both = pairs.join(bins.toDF("b", "n_b", "bins_b"), "b").join(bins.toDF("a", "n_a", "bins_a"), "a")
-    return scratch.write(both.select("a", "b", "n_a", "bins_a", "n_b", "bins_b").mapInArrow(_near(share), "a long, b long"), name)
+    return scratch.write(both.select("a", "b", "n_a", "bins_a", "n_b", "bins_b").mapInArrow(lean(_near(share)), "a long, b long"), name)
 
 
 def _row(id: str, text: str) -> Column:
@@ -504,14 +504,14 @@ def components(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str
     """One row per row: id, n_shingles, component_id (the smallest id that links lead to)."""
     rows = docs.select(F.col(id).cast("long").alias("id"), _row(id, text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     plan = _plan(rows, width, share, sample)
-    made = rows.mapInArrow(_features(width, share, plan), "id long, row string, node binary, n long, bins binary, entries array<long>")
+    made = rows.mapInArrow(lean(_features(width, share, plan)), "id long, row string, node binary, n long, bins binary, entries array<long>")
     features = scratch.write(made.withColumn("num", F.monotonically_increasing_id()), "features")
     first = features.filter("n > 0").groupBy("node").agg(F.min("num").alias("rep"))
     owners = scratch.write(features.select("num", "id", "row", "node", "n").join(first, "node", "left").select("num", "id", "row", "n", F.coalesce("rep", "num").alias("rep")), "owners")
     bins = scratch.write(features.filter("size(entries) > 0").select(F.col("num").alias("node"), "n", "bins"), "bins")
-    filed = features.select("num", "entries").mapInArrow(_filed, "entry long, hot boolean, num long")
+    filed = features.select("num", "entries").mapInArrow(lean(_filed), "entry long, hot boolean, num long")
     dealt = filed.repartition(F.when(F.col("hot"), F.col("num")).otherwise(F.col("entry"))).sortWithinPartitions("entry")
-    shared = scratch.write(dealt.mapInArrow(_shared, "entry long, hot boolean, num long").drop("hot"), "shared")
+    shared = scratch.write(dealt.mapInArrow(lean(_shared), "entry long, hot boolean, num long").drop("hot"), "shared")
     scratch.drop("features")
     scratch.settle()
     met = shared.join(owners.select("num", "rep", "n"), "num").select("entry", F.col("rep").alias("node"), "n").distinct()
@@ -527,12 +527,12 @@ def components(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str
     nodes = near.select("a").union(near.select("b")).union(left.select("node")).union(left.select("centre")).toDF("node").distinct()
     wanted = owners.join(nodes, owners["num"] == nodes["node"], "left_semi").select("row", F.col("num").alias("node"))
     texts = rows.join(wanted, "row").dropDuplicates(["node"]).select("node", "text")
-    items = scratch.write(texts.mapInArrow(_sets(width), "node long, items binary"), "items")
+    items = scratch.write(texts.mapInArrow(lean(_sets(width)), "node long, items binary"), "items")
     scratch.settle()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         both = pairs.join(items.toDF("b", "items_b"), "b").join(items.toDF("a", "items_a"), "a").select("a", "b", "items_a", "items_b")
-        return scratch.write(both.mapInArrow(_linked(share), "a long, b long"), name)
+        return scratch.write(both.mapInArrow(lean(_linked(share)), "a long, b long"), name)
 
     links = verified(near, "links-star")
     parts = connected(links, scratch, "parts")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import Scratch, fold, fresh, most_frequent, sum_arrays, table
+from wardlight.llm.common import Scratch, fold, fresh, give_back, lean, most_frequent, sum_arrays, table
 
 ORDER, BUCKETS = 4, 1 << 18
 #: Whole words are counted in buckets of their own; a word is known from so many occurrences on and that share of all.
@@ -391,7 +391,7 @@ def _shares(rows: DataFrame, scratch: Scratch, name: str, base: float, done: set
     """Smoothed share of toxic texts by feature, of features that are evidence."""
 
     def counted(part: str, known: set[str] | None) -> DataFrame:
-        return rows.filter(part).select("words").mapInArrow(_counter(known, done), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+        return rows.filter(part).select("words").mapInArrow(lean(_counter(known, done)), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
     toxic = scratch.write(counted("toxic > 0", None).filter(F.col("n") >= LEAST_TOXIC), name)
     toxic = {r["feature"]: r["n"] for r in most_frequent(toxic, "n", MAX_FEATURES).collect()}
@@ -412,7 +412,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id: str, text: str
     if n_labelled > max_labelled:  # a seeded sample; two percent below the bound, for chance
         known = known.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(980_000 * max_labelled / n_labelled))
     rows = docs.select(F.col(id).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), "key")
-    rows = scratch.write(rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_restored(counts), "words array<string>, toxic int"), "labelled")
+    rows = scratch.write(rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(lean(_restored(counts)), "words array<string>, toxic int"), "labelled")
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
     n_toxic, n = sizes.get(True, 0), sum(sizes.values())
     if not n_toxic:
@@ -456,6 +456,8 @@ def score_batches(counts: np.ndarray, share: dict[str, float], base: float) -> C
                 if len(memo) > _MEMO:
                     memo.clear()
             yield pd.Series(out, dtype="float64")
+        channel = memo = None
+        give_back()
 
     return score
 
