@@ -217,3 +217,21 @@ def test_component_projections(spark):
 def test_risk_table_is_its_own_ceiling():
     for severity, confidence, score in vocab.RISK.values():
         assert severity in vocab.SEVERITY_RANK and confidence in vocab.CONFIDENCE_RANK and 0 <= score <= 100
+
+
+def test_policy_results_are_counted_in_one_join(spark):
+    """Every kind of bad result as often as it occurs; all checks together read paths and results a few times only."""
+    paths = spark.createDataFrame([("p", "UNKNOWN"), ("q", "DATA_EXFILTRATION"), ("", "UNKNOWN"), ("n", None)], "path_id string, attack_type string")
+    rows = [("A", "p", True, " "), ("A", "p", False, "r"), ("A", "p", True, "r"), ("B", "q", True, None), ("B", "x", True, "r"), ("B", "x", False, "r"),
+            ("B", "", False, "r"), ("C", None, True, "r"), ("C", "n", True, "r"), (None, "q", None, "r")]
+    results = spark.createDataFrame(rows, "policy_id string, path_id string, violated boolean, reason string")
+    found = sorted((r.kind, r.subject) for r in ck.policy_results(paths, results).collect())
+    assert found == sorted([
+        ("duplicate_policy_result", "A@p"), ("duplicate_policy_result", "A@p"), ("violation_without_proof", "A@p"), ("violation_without_proof", "A@p"),
+        ("violation_without_reason", "A@p"), ("violation_without_reason", "B@q"), ("orphan_policy_result", "B@x"), ("orphan_policy_result", "B@x"),
+        ("result_without_path_id", "B@<no path_id>"), ("result_without_path_id", "C@<no path_id>"),
+    ])
+    edges = edges_of(spark, lineage())
+    whole = ck.all_checks(pt.analyze(edges).checkpoint(), po.evaluate(pt.analyze(edges).select("path_id", "attack_type")).checkpoint(), edges, gr.nodes_of(edges))
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(" Join " in line or line.strip(" :+-").startswith("Join ") for line in plan.split("\n")) == 3
