@@ -235,3 +235,17 @@ def test_policy_results_are_counted_in_one_join(spark):
     whole = ck.all_checks(pt.analyze(edges).checkpoint(), po.evaluate(pt.analyze(edges).select("path_id", "attack_type")).checkpoint(), edges, gr.nodes_of(edges))
     plan = whole._jdf.queryExecution().optimizedPlan().toString()
     assert sum(" Join " in line or line.strip(" :+-").startswith("Join ") for line in plan.split("\n")) == 3
+
+
+def test_paths_without_violations_need_no_row_of_policies(spark):
+    """An explanation says the same with violated ids alone, and paths are not joined with themselves for them."""
+    rows = [*lineage(), simple("b", "SKILL:b", "SKILL:c", "HANDOFF")]
+    edges = edges_of(spark, rows).checkpoint() if spark.sparkContext.getCheckpointDir() else edges_of(spark, rows)
+    paths = pt.cut(pt.analyze(edges))
+    results, owners = po.evaluate(paths.select("path_id", "attack_type")), pt.edge_provenance(paths, edges)
+    ids = {r.path_id: r.policy_ids for r in po.violated_ids(results).collect()}
+    assert ids == {r.path_id: r.policy_ids for r in po.associate(paths, results).collect() if r.policy_ids} and len(ids) == 1 and paths.count() == 2
+    few, many = (pt.explain(paths, told, owners) for told in (po.violated_ids(results), po.associate(paths, results)))
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    joins = [df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for df in (few, many)]
+    assert joins[0] == joins[1] - 1
