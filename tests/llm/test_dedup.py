@@ -165,3 +165,34 @@ def test_near_awkward(spark):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, i) for i in (1, 3, 6, 7, 7, 8, 9, 10)] + [(True, 0)]
     assert nd.classes(none_of(spark), Scratch(spark, "t")).count() == 0
+
+
+def test_components_against_a_search(spark):
+    draw = random.Random(5)
+    edges = [(draw.randrange(400), draw.randrange(400)) for _ in range(330)] + [(399, i) for i in range(60)] + [(7, 7)]
+    parts = nd.connected(spark.createDataFrame(edges[:200], "a long, b long"), Scratch(spark, "t"), "c")
+    found = nd.merged(parts, spark.createDataFrame(edges[200:], "a long, b long"), Scratch(spark, "t"), "m").collect()
+    owner = list(range(400))
+    for _ in range(400):
+        for a, b in edges:
+            owner[a] = owner[b] = min(owner[a], owner[b])
+    met = {i for a, b in edges if a != b for i in (a, b)}
+    assert sorted((r["node"], r["comp"]) for r in found) == [(i, owner[i]) for i in sorted(met)]
+
+
+def test_later_centres_meet_other_components_only(spark):
+    """What the first centre has linked is not compared again, however many members an entry has."""
+    base, scratch = prose(1, 200), Scratch(spark, "t")
+    texts = [edited(base, i, 1) for i in range(60)]
+    met, write = {}, scratch.write
+
+    def counted(df, name):
+        table = write(df, name)
+        if name.startswith("star"):
+            met[name] = table.count()
+        return table
+
+    scratch.write = counted
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["class_id"] for r in nd.classes(docs, scratch).collect()} == {0}
+    assert sum(met.values()) <= 5 * len(texts)

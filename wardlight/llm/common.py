@@ -139,18 +139,37 @@ def most_frequent(rows: DataFrame, n: str, bound: int) -> DataFrame:
 
 
 def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, comp) of undirected (a, b) edges: smallest label of the neighbours, then of its own label's node."""
-    both = scratch.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-edges")
-    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), f"{name}-0")
-    turn = 0
-    while True:
-        turn += 1
-        heard = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(heard, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = scratch.write(step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp")), f"{name}-{turn}")
-        moved = new.filter("comp != old").limit(1).count()
-        labels = new.select("node", "comp")
-        scratch.drop(f"{name}-{turn - 1}")
-        if not moved:
-            return labels
+    """(node, comp) of undirected (a, b) edges; a component is named by its smallest node.
+
+    A turn points every node at its smallest neighbour if that is smaller, follows pointers to their ends, which are at most
+    half of the nodes, and goes on with the edges between ends. An edge is read until both its ends have met, not to the last turn.
+    """
+    links, levels = scratch.write(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), f"{name}-edges-0"), []
+    while links.limit(1).count() or not levels:
+        at = len(levels)
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        points, turn, moved = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("comp")), f"{name}-{at}-0"), 0, 1
+        while moved:
+            turn += 1
+            far = points.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+            new = scratch.write(points.join(far, "comp").select("node", F.col("far").alias("comp"), F.expr("far != comp").alias("moved")), f"{name}-{at}-{turn}")
+            moved = new.filter("moved").limit(1).count()
+            points = new.select("node", "comp")
+            scratch.drop(f"{name}-{at}-{turn - 1}")
+        levels.append(points)
+        ends = links.join(points.toDF("b", "comp_b"), "b").join(points.toDF("a", "comp_a"), "a").filter("comp_a != comp_b")
+        links = scratch.write(ends.select(F.least("comp_a", "comp_b").alias("a"), F.greatest("comp_a", "comp_b").alias("b")).distinct(), f"{name}-edges-{at + 1}")
+        scratch.drop(f"{name}-edges-{at}")
+    found = levels.pop()
+    while levels:
+        found = levels.pop().join(found.toDF("comp", "end"), "comp", "left").select("node", F.coalesce("end", "comp").alias("comp"))
+    return scratch.write(found, f"{name}-found")
+
+
+def merged(parts: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, comp) of ``parts`` after (a, b) edges more."""
+    for end in ("a", "b"):
+        edges = edges.select("a", "b").join(parts.toDF(end, "comp"), end, "left").withColumn(end, F.coalesce("comp", end))
+    more = connected(edges, scratch, name)
+    old = parts.join(more.toDF("comp", "end"), "comp", "left").select("node", F.coalesce("end", "comp").alias("comp"))
+    return scratch.write(old.unionByName(more.join(parts, "node", "left_anti").select("node", "comp")), f"{name}-merged")

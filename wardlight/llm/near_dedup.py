@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm import set_join as sj
-from wardlight.llm.common import Scratch, connected, fresh, lean, table
+from wardlight.llm.common import Scratch, connected, fresh, lean, merged, table  # noqa: F401
 
 K, SAMPLE, SKETCHES, THRESHOLD = 5, 3, 16, 0.8
 _WORD = re.compile(r"\w+")
@@ -216,21 +216,19 @@ def linked(known: DataFrame, bins: DataFrame, texts_of: Callable[[DataFrame], Da
     ``known``: entry, node, n (items), c (nodes of the entry). ``bins``: node, n, histogram. ``texts_of`` gives (node, text) of wanted nodes.
     """
     share = int(threshold * 100)  # candidates by sets at the threshold or a little below
-    left, star = sj.stars(known, share, scratch)
-    near = sj.may_link(star, bins, share, scratch, "near")
-    wanted = near.select("a").union(near.select("b")).union(left.select("node")).union(left.select("centre")).toDF("node").distinct()
-    items = scratch.write(texts_of(wanted).mapInArrow(lean(_ordered(k)), "node long, items binary"), "items")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return texts_of(nodes).mapInArrow(lean(_ordered(k)), "node long, items binary")
+
+    def verify(pairs: DataFrame, items: DataFrame, name: str) -> DataFrame:
         both = pairs.join(items.toDF("b", "items_b"), "b").join(items.toDF("a", "items_a"), "a").select("a", "b", "items_a", "items_b")
         return scratch.write(both.mapInArrow(lean(_verified(threshold)), "a long, b long, similarity double"), name)
 
-    links = verified(near, "links-star")
-    parts = connected(links, scratch, "parts")
+    left, star, parts, items = sj.centred(known, bins, share, scratch, sets_of, verify)
     rest = scratch.write(sj.across(left, parts, items, share, scratch, moved=True, ranked=True).join(star, ["a", "b"], "left_anti"), "rest")
-    more = verified(sj.may_link(rest, bins, share, scratch, "near-rest"), "links-rest")
-    found = connected(links.unionByName(more), scratch, "all") if more.limit(1).count() else parts
-    for done in ("items", "star", "near", "rest", "differences", "described"):
+    more = verify(sj.may_link(rest, bins, share, scratch, "near-rest"), items, "links-rest")
+    found = merged(parts, more, scratch, "all") if more.limit(1).count() else parts
+    for done in ("items-0", "items-1", "star-0", "star-1", "near-0", "near-1", "rest", "differences", "described"):
         scratch.drop(done)
     return found
 

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import Scratch, connected, lean, table
+from wardlight.llm.common import Scratch, connected, lean, merged, table
 
 WIDTH, SHARE, SAMPLE, HOT, CENTRES, COMMON = 4, 85, 2000, 16, 12, 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -423,24 +423,49 @@ def _differences(share: int, strict: bool) -> Callable:
     return run
 
 
-def stars(known: DataFrame, share: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(entry, node, n, c) -> what is left of entries after all centres (entry, node, n, centre: the first), and the pairs (a, b) to verify."""
+def _pairs(met: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) of the members of entries and their centres ``top``, without those whose sizes differ too much."""
+    fits = met.filter(f"100 * least(n, top.n) >= {share} * greatest(n, top.n)")
+    return fits.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b"))
+
+
+def centred(known: DataFrame, bins: DataFrame, share: int, scratch: Scratch, sets_of: Callable, verify: Callable) -> tuple[DataFrame, ...]:
+    """(entry, node, n, c) -> what is left of mixed entries after all centres (entry, node, n, centre: the first), pairs met, (node, comp), sets.
+
+    What the first centres link is one component before others are chosen, so entries of one component are settled, and
+    later centres meet other components only. ``sets_of``: nodes -> (node, items); ``verify``: (pairs, items, name) -> links.
+    """
     weight = known.groupBy("node").agg(F.sum("c").alias("weight"))
-    left, pairs = known.filter("c > 1").join(weight, "node"), None
-    for turn in range(CENTRES):  # whoever meets a centre leaves the entry to the next one without it
-        top = left.groupBy("entry").agg(F.max(F.struct("weight", "node", "n")).alias("top"))
-        met = left.join(top, "entry").filter("node != top.node")
-        if turn == 0:
-            met = met.withColumn("centre", F.col("top.node"))
-        met = scratch.write(met, f"round-{turn}")
-        fits = f"100 * least(n, top.n) >= {share} * greatest(n, top.n)"
-        star = met.filter(fits).select(F.col("top.node").alias("a"), F.col("node").alias("b"))
-        pairs = star if pairs is None else pairs.unionByName(star)
+    left = known.filter("c > 1").join(weight, "node").select("entry", "node", "n", "weight")
+    first = left.groupBy("entry").agg(F.max(F.struct("weight", "node", "n")).alias("top"))
+    met = scratch.write(left.join(first, "entry").filter("node != top.node"), "round-0")
+    star = scratch.write(_pairs(met, share).distinct(), "star-0")
+    near = may_link(star, bins, share, scratch, "near-0")
+    items = scratch.write(sets_of(near.select("a").union(near.select("b")).toDF("node").distinct()), "items-0")
+    scratch.settle()
+    links = verify(near, items, "links-0")
+    parts = connected(links, scratch, "parts-0")
+
+    placed = met.join(parts, "node", "left").select("entry", "node", "n", "weight", F.col("top.node").alias("centre"), F.coalesce("comp", "node").alias("comp"))
+    mixed = placed.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("entry")
+    left, pairs = scratch.write(placed.join(mixed, "entry", "left_semi"), "mixed"), None
+    scratch.drop("round-0")
+    for turn in range(1, CENTRES):  # whoever meets a centre leaves the entry to the next one without it
+        top = left.groupBy("entry").agg(F.max(F.struct("weight", "node", "n", "comp")).alias("top"))
+        met = scratch.write(left.join(top, "entry").filter("node != top.node"), f"round-{turn}")
+        found = _pairs(met.filter("comp != top.comp"), share)
+        pairs = found if pairs is None else pairs.unionByName(found)
         left = met.drop("top")
-    star = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
-    for turn in range(CENTRES - 1):
-        scratch.drop(f"round-{turn}")
-    return left.filter(f"c > {CENTRES + 1}"), star
+    more = scratch.write(pairs.distinct().join(star, ["a", "b"], "left_anti"), "star-1")
+    for spent in ("mixed", *(f"round-{turn}" for turn in range(1, CENTRES - 1))):
+        scratch.drop(spent)
+    scratch.settle()
+    near = may_link(more, bins, share, scratch, "near-1")
+    nodes = near.select("a").union(near.select("b")).union(left.select("node")).union(left.select("centre")).toDF("node").distinct()
+    items = items.unionByName(scratch.write(sets_of(nodes.join(items, "node", "left_anti")), "items-1"))
+    scratch.settle()
+    again = verify(near, items, "links-1")
+    return left.drop("comp"), star.unionByName(more), merged(parts, again, scratch, "parts-1"), items
 
 
 def across(left: DataFrame, parts: DataFrame, items: DataFrame, share: int, scratch: Scratch, moved: bool = False, ranked: bool = False) -> DataFrame:
@@ -520,27 +545,22 @@ def components(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str
     sizes = met.groupBy("entry").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     known = scratch.write(met.join(sizes, "entry"), "known")
     scratch.drop("met")
-    left, star = stars(known, share, scratch)
-    scratch.drop("known")
-    scratch.settle()
-    near = may_link(star, bins, share, scratch, "near")
-    nodes = near.select("a").union(near.select("b")).union(left.select("node")).union(left.select("centre")).toDF("node").distinct()
-    wanted = owners.join(nodes, owners["num"] == nodes["node"], "left_semi").select("row", F.col("num").alias("node"))
-    texts = rows.join(wanted, "row").dropDuplicates(["node"]).select("node", "text")
-    items = scratch.write(texts.mapInArrow(lean(_sets(width)), "node long, items binary"), "items")
-    scratch.settle()
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = owners.join(nodes, owners["num"] == nodes["node"], "left_semi").select("row", F.col("num").alias("node"))
+        return rows.join(wanted, "row").dropDuplicates(["node"]).select("node", "text").mapInArrow(lean(_sets(width)), "node long, items binary")
+
+    def verify(pairs: DataFrame, items: DataFrame, name: str) -> DataFrame:
         both = pairs.join(items.toDF("b", "items_b"), "b").join(items.toDF("a", "items_a"), "a").select("a", "b", "items_a", "items_b")
         return scratch.write(both.mapInArrow(lean(_linked(share)), "a long, b long"), name)
 
-    links = verified(near, "links-star")
-    parts = connected(links, scratch, "parts")
+    left, star, parts, items = centred(known, bins, share, scratch, sets_of, verify)
+    scratch.drop("known")
     rest = scratch.write(across(left, parts, items, share, scratch).join(star, ["a", "b"], "left_anti"), "rest")
-    more = verified(may_link(rest, bins, share, scratch, "near-rest"), "links-rest")
-    found = connected(links.unionByName(more), scratch, "all")
+    more = verify(may_link(rest, bins, share, scratch, "near-rest"), items, "links-rest")
+    found = merged(parts, more, scratch, "all")
     named = scratch.write(owners.join(found, owners["rep"] == found["node"], "left").select("id", "num", "n", F.coalesce("comp", "rep").alias("comp")), "named")
-    for spent in ("owners", "bins", "items", "differences", "described", f"round-{CENTRES - 1}"):  # the result reads ``named`` alone
+    for spent in ("owners", "bins", "items-0", "items-1", "differences", "described", f"round-{CENTRES - 1}"):  # the result reads ``named`` alone
         scratch.drop(spent)
     smallest = named.groupBy("comp").agg(F.min("id").alias("smallest"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("comp", "smallest")
     return named.join(smallest, "comp", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "id").alias("component_id"))
