@@ -223,3 +223,20 @@ def test_difference_prefixes_meet():
             assert len(np.intersect1d(px, py))
             met += 1
     assert met > 20
+
+
+def test_marks_rule_out_no_link():
+    import pyarrow as pa
+
+    from wardlight.llm import set_join
+
+    draw = np.random.default_rng(4)
+    for n in (5, 70, 400, 9000):
+        one = np.unique(draw.integers(0, 2**64, n, dtype=np.uint64))
+        two = np.union1d(draw.choice(one, len(one) * 9 // 10, replace=False), draw.integers(0, 2**64, n // 20, dtype=np.uint64))
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([set_join.histogram(x).tobytes() for x in (one, two)], pa.binary())], names=["node", "bins"])
+        found = next(set_join._marks(iter([batch])))
+        marks = np.array([found.column(at).to_numpy() for at in (1, 2)]).T.copy().view(np.uint8).astype(int)
+        full = np.array([np.minimum(np.bincount((x >> np.uint64(60)).astype(int), minlength=16), 255) for x in (one, two)])
+        assert (marks == full).all()
+        assert np.abs(marks[0] - marks[1]).sum() <= len(np.setxor1d(one, two))

@@ -50,6 +50,7 @@ WIDTH, SHARE, SAMPLE, HOT, CENTRES, COMMON = 4, 85, 2000, 16, 12, 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ONE, _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ROW_COST = 0.1  # an entry more, in candidate pairs
+MARKS = ("marks_low", "marks_high")
 
 
 class _Hashes(dict):
@@ -237,7 +238,7 @@ def _plan(rows: DataFrame, width: int, share: int, sample: int) -> dict[int, tup
 
 def histogram(shingles: np.ndarray) -> np.ndarray:
     """Shingles by hash range, a power of two of them, counts of at most 255; the sum of differences bounds how sets differ from below."""
-    bits = max(3, (len(shingles) // 4).bit_length() - 1)
+    bits = max(4, (len(shingles) // 4).bit_length() - 1)
     counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.minimum(counts, 255).astype(np.uint8)
 
@@ -328,6 +329,21 @@ def _near(share: int) -> Callable:
     return run
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, bins) -> node and its histogram over sixteen ranges, a byte each, in two longs."""
+    for batch in batches:
+        wide = [np.frombuffer(one.as_buffer(), np.uint8).reshape(16, -1).sum(1) for one in batch.column(1)]
+        marks = np.minimum(np.array(wide, np.int64).reshape(-1, 16), 255).astype(np.uint8).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy())], names=["node", *MARKS])
+
+
+def _meets(share: int, one: str, two: str) -> str:
+    """Whether rows may link by what their marks differ at least; ``one`` and ``two`` name the columns n and marks of either."""
+    ranges = [(mark, bit) for mark in MARKS for bit in range(0, 64, 8)]
+    apart = " + ".join(f"abs((shiftright({one.format(mark)}, {bit}) & 255) - (shiftright({two.format(mark)}, {bit}) & 255))" for mark, bit in ranges)
+    return f"coalesce({apart}, 0) <= (({one.format('n')} + {two.format('n')}) * {100 - share}) div {100 + share}"
+
+
 def _items(value) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), np.uint64)
 
@@ -433,7 +449,7 @@ def centred(known: DataFrame, bins: DataFrame, share: int, scratch: Scratch, set
     """(entry, node, n, c) -> what is left of mixed entries after all centres (entry, node, n, centre: the first), pairs met, (node, comp), sets.
 
     What the first centres link is one component before others are chosen, so entries of one component are settled, and
-    later centres meet other components only. ``sets_of``: nodes -> (node, items); ``verify``: (pairs, items, name) -> links.
+    later centres meet other components only, and those whose histograms over sixteen ranges do not rule out a link. ``sets_of``: nodes -> (node, items); ``verify``: (pairs, items, name) -> links.
     """
     weight = known.groupBy("node").agg(F.sum("c").alias("weight"))
     left = known.filter("c > 1").join(weight, "node").select("entry", "node", "n", "weight")
@@ -446,19 +462,23 @@ def centred(known: DataFrame, bins: DataFrame, share: int, scratch: Scratch, set
     links = verify(near, items, "links-0")
     parts = connected(links, scratch, "parts-0")
 
-    placed = met.join(parts, "node", "left").select("entry", "node", "n", "weight", F.col("top.node").alias("centre"), F.coalesce("comp", "node").alias("comp"))
+    marks = bins.select("node", "bins").mapInArrow(lean(_marks), f"node long, {MARKS[0]} long, {MARKS[1]} long").join(parts, "node", "left")
+    placed = met.join(marks, "node", "left").select("entry", "node", "n", "weight", *MARKS, F.col("top.node").alias("centre"), F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("entry")
-    left, pairs = scratch.write(placed.join(mixed, "entry", "left_semi"), "mixed"), None
+    left, pairs = scratch.write(placed.join(mixed, "entry", "left_semi"), "round-mixed"), None
     scratch.drop("round-0")
+    last = "round-mixed"
     for turn in range(1, CENTRES):  # whoever meets a centre leaves the entry to the next one without it
-        top = left.groupBy("entry").agg(F.max(F.struct("weight", "node", "n", "comp")).alias("top"))
+        top = left.groupBy("entry").agg(F.max(F.struct("weight", "node", "n", "comp", *MARKS)).alias("top"))
         met = scratch.write(left.join(top, "entry").filter("node != top.node"), f"round-{turn}")
-        found = _pairs(met.filter("comp != top.comp"), share)
+        found = scratch.write(_pairs(met.filter("comp != top.comp").filter(_meets(share, "{}", "top.{}")), share).distinct(), f"pairs-{turn}")
         pairs = found if pairs is None else pairs.unionByName(found)
         left = met.drop("top")
+        scratch.drop(last)
+        last = f"round-{turn}"
+        if turn % 4 == 0:
+            scratch.settle()
     more = scratch.write(pairs.distinct().join(star, ["a", "b"], "left_anti"), "star-1")
-    for spent in ("mixed", *(f"round-{turn}" for turn in range(1, CENTRES - 1))):
-        scratch.drop(spent)
     scratch.settle()
     near = may_link(more, bins, share, scratch, "near-1")
     nodes = near.select("a").union(near.select("b")).union(left.select("node")).union(left.select("centre")).toDF("node").distinct()
@@ -476,9 +496,9 @@ def across(left: DataFrame, parts: DataFrame, items: DataFrame, share: int, scra
     such sets also meet those near it with which they need not share a label. ``ranked`` puts labels that are
     frequent among the sets of a centre last, for groups whose members differ little more than links may.
     """
-    placed = left.join(parts, "node", "left").select("entry", "node", "n", "centre", F.coalesce("comp", "node").alias("comp"))
+    placed = left.join(parts, "node", "left").select("entry", "node", "n", "centre", *MARKS, F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("entry")
-    members = placed.join(mixed, "entry", "left_semi").select("centre", "node", "n", "comp").distinct()
+    members = placed.join(mixed, "entry", "left_semi").select("centre", "node", "n", "comp", *MARKS).distinct()
     members = members.join(parts.select(F.col("node").alias("centre"), F.col("comp").alias("comp_c")), "centre", "left").withColumn("comp_c", F.coalesce("comp_c", "centre"))
     members = scratch.write(members.withColumn("member", F.monotonically_increasing_id()), "members")
     # only the items that are asked for are dealt out
@@ -500,12 +520,12 @@ def across(left: DataFrame, parts: DataFrame, items: DataFrame, share: int, scra
     described = described.repartition(F.when(F.col("hot"), F.col("member")).otherwise(F.col("entry"))).sortWithinPartitions("entry")
     described = scratch.write(described.mapInArrow(lean(_shared), "entry long, hot boolean, member long, size int, place int").drop("hot"), "differences")
     described = scratch.write(described.join(members, "member"), "described")
-    names = ["node", "comp", "n", "size", "place"]
+    names = ["node", "comp", "n", "size", "place", *MARKS]
     rows = described.filter("place > 0")
     other = rows.select("entry", *[F.col(c).alias(f"{c}_b") for c in names])
     common = f"((size + size_b - ((n + n_b) * {100 - share}) div {100 + share} + 1) div 2)"
     met = F.expr(f"node < node_b and comp != comp_b and 100 * least(n, n_b) >= {share} * greatest(n, n_b) and place <= size - {common} + 1 and place_b <= size_b - {common} + 1")
-    pairs = rows.join(other, "entry").filter(met).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    pairs = rows.join(other, "entry").filter(met).filter(_meets(share, "{}", "{}_b")).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
     if moved:
         sizes = items.select(F.col("node").alias("centre"), (F.length("items") / 8).cast("long").alias("n_c"))
         near = described.filter("place = 0").join(sizes, "centre").filter(f"size <= ((n + n_c) * {100 - share}) div {100 + share}")
