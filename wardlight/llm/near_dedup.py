@@ -10,8 +10,8 @@ either: chain / (n + m - chain). For texts without moved parts that is shingle J
 With 3 items in 16 sketches a pair at 0.8 is missed with probability (1 - 0.8^3)^16 = 1e-5.
 
 Work per bucket is stars, not all pairs: every member meets the centre, the node that shares most
-buckets with others, then whoever is left the next one, ``CENTRES`` times. What the stars link is one
-component. Members left in buckets that still hold several components may have links that no star
+buckets with others. What these stars link is one component; in buckets of several, whoever is left meets the
+next centres of other components (``set_join.centred``). Members left in buckets that still hold several components may have links that no star
 sees. Each is described by how its set of items differs from the first centre's: two sets at the
 threshold that lie in different components share one of the first labels of their differences, by
 prefix filtering as in ``set_join``, labels that many members have last; sets near the centre that are not in its component (parts were moved)

@@ -11,7 +11,8 @@ difference and so pays for both. Any allocation finds all links; the sample only
 
 Sets that share an entry are candidates, but a group of near copies shares one with everybody, so
 pairs are not listed. In each entry the set that meets most others is the centre; all are verified
-against it, then the rest against the next, ``CENTRES`` times, which gives components. Where those left
+against it, which gives components. In entries of several components the rest meets the next centre where that is of another
+component, ``CENTRES`` times in all (``FEW`` times in entries of more than ``MANY`` members), and components are merged. Where those left
 in an entry are still in several components, each is described by its difference from the first centre, whose symmetric differences are those of the sets: two
 sets of different components that link must share labels of their differences, among the first ones in
 an order common to all (inserted before missing ones, frequent inserted ones last where asked for), as prefix filtering has it. A set needs at
@@ -51,6 +52,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ONE, _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ROW_COST = 0.1  # an entry more, in candidate pairs
 MARKS = ("marks_low", "marks_high")
+FEW, MANY = 4, 1000  # centres of entries with more members than MANY: few of them would leave, the differences settle the rest
 
 
 class _Hashes(dict):
@@ -464,8 +466,8 @@ def centred(known: DataFrame, bins: DataFrame, share: int, scratch: Scratch, set
 
     marks = bins.select("node", "bins").mapInArrow(lean(_marks), f"node long, {MARKS[0]} long, {MARKS[1]} long").join(parts, "node", "left")
     placed = met.join(marks, "node", "left").select("entry", "node", "n", "weight", *MARKS, F.col("top.node").alias("centre"), F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("entry")
-    left, pairs = scratch.write(placed.join(mixed, "entry", "left_semi"), "round-mixed"), None
+    mixed = placed.groupBy("entry").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c")).filter("low != high").select("entry", "c")
+    left, pairs = scratch.write(placed.join(mixed, "entry"), "round-mixed"), None
     scratch.drop("round-0")
     last = "round-mixed"
     for turn in range(1, CENTRES):  # whoever meets a centre leaves the entry to the next one without it
@@ -474,10 +476,14 @@ def centred(known: DataFrame, bins: DataFrame, share: int, scratch: Scratch, set
         found = scratch.write(_pairs(met.filter("comp != top.comp").filter(_meets(share, "{}", "top.{}")), share).distinct(), f"pairs-{turn}")
         pairs = found if pairs is None else pairs.unionByName(found)
         left = met.drop("top")
-        scratch.drop(last)
+        if turn == FEW:
+            aside, left = left.filter(f"c > {MANY}"), left.filter(f"c <= {MANY}")
+        if turn != FEW + 1:  # what is aside is read in the end
+            scratch.drop(last)
         last = f"round-{turn}"
         if turn % 4 == 0:
             scratch.settle()
+    left = left.unionByName(aside)
     more = scratch.write(pairs.distinct().join(star, ["a", "b"], "left_anti"), "star-1")
     scratch.settle()
     near = may_link(more, bins, share, scratch, "near-1")
@@ -485,7 +491,7 @@ def centred(known: DataFrame, bins: DataFrame, share: int, scratch: Scratch, set
     items = items.unionByName(scratch.write(sets_of(nodes.join(items, "node", "left_anti")), "items-1"))
     scratch.settle()
     again = verify(near, items, "links-1")
-    return left.drop("comp"), star.unionByName(more), merged(parts, again, scratch, "parts-1"), items
+    return left.drop("comp", "c"), star.unionByName(more), merged(parts, again, scratch, "parts-1"), items
 
 
 def across(left: DataFrame, parts: DataFrame, items: DataFrame, share: int, scratch: Scratch, moved: bool = False, ranked: bool = False) -> DataFrame:
@@ -580,7 +586,7 @@ def components(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str
     more = verify(may_link(rest, bins, share, scratch, "near-rest"), items, "links-rest")
     found = merged(parts, more, scratch, "all")
     named = scratch.write(owners.join(found, owners["rep"] == found["node"], "left").select("id", "num", "n", F.coalesce("comp", "rep").alias("comp")), "named")
-    for spent in ("owners", "bins", "items-0", "items-1", "differences", "described", f"round-{CENTRES - 1}"):  # the result reads ``named`` alone
+    for spent in ("owners", "bins", "items-0", "items-1", "differences", "described", f"round-{FEW}", f"round-{CENTRES - 1}"):  # the result reads ``named`` alone
         scratch.drop(spent)
     smallest = named.groupBy("comp").agg(F.min("id").alias("smallest"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("comp", "smallest")
     return named.join(smallest, "comp", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "id").alias("component_id"))
