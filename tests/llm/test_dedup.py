@@ -196,3 +196,13 @@ def test_later_centres_meet_other_components_only(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {r["class_id"] for r in nd.classes(docs, scratch).collect()} == {0}
     assert sum(met.values()) <= 5 * len(texts)
+
+
+def test_large_entries_leave_the_rounds_early(spark, monkeypatch):
+    monkeypatch.setattr(nd.sj, "MANY", 3)
+    monkeypatch.setattr(nd.sj, "FEW", 1)
+    base = prose(1, 150)
+    texts = [edited(base, i, i % 9 + 4) for i in range(40)] + [edited(base, 70 + i, 1) for i in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["id"]: r["class_id"] for r in nd.classes(docs, Scratch(spark, "t")).collect()}
+    assert same_partition([got[i] for i in range(len(texts))], brute_classes(texts))
