@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from wardlight.operators import targets as tg
 from wardlight.plans import scan
+from wardlight.session import by_merge, cut, settle
 
 KINDS = ("files", "raw", "steps")
 
@@ -61,20 +62,22 @@ class Results:
         if last < 0:
             raw, steps = scan.extract(docs, keys)
         else:
-            same = self._joined(files, self._table("files", last), [*file, "digest"], "left_semi").select(*file)
-            changed = self._joined(files, same, file, "left_anti").select(*file)
+            same = cut(self._joined(files, self._table("files", last), [*file, "digest"], "left_semi").select(*file))
+            changed = cut(self._joined(files, same, file, "left_anti").select(*file))
             raw, steps = scan.extract(self._joined(docs, changed, file, "left_semi"), keys)
             raw = raw.unionByName(self._joined(self._table("raw", last), same, file, "left_semi"))
             steps = steps.unionByName(self._joined(self._table("steps", last), same, file, "left_semi"))
         raw.write.mode("overwrite").parquet(f"{self.folder}/raw/{new}")
         steps.write.mode("overwrite").parquet(f"{self.folder}/steps/{new}")
         self.spark.createDataFrame([(new,)], "generation int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/marks/generation_{new + 1}")
+        raw = steps = same = changed = None
+        settle(self.spark)
         found = scan.correlate(self._table("raw", new), self._table("steps", new), keys)
         return scan.Found(*[tg.unseal(table, names) for table in (found.findings, found.contributors, found.steps)])
 
     @staticmethod
     def _joined(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
-        named = right.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)])
+        named = by_merge(right.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)]))
         cond = F.lit(True)
         for i, c in enumerate(columns):
             cond = cond & F.col(c).eqNullSafe(F.col(f"_k{i}"))
